@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossaria.llm import bpe, decontam, sharding, url_filter
+from glossaria.llm import bpe, decontam, quality, sharding, url_filter
 
 #: The contract's url rules.
 URL_RULES = (
@@ -32,6 +32,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe_path()
     both = bpe.decode(bpe.encode(docs, path), path)
@@ -52,7 +57,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op6_bpe, op8_decontaminate, op10_shard)}
+    return {f.__name__: f for f in (op1_url_filter, op3_quality, op6_bpe, op8_decontaminate, op10_shard)}
 
 
 URL_SQL = r"""
