@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossaria.llm import bpe, decontam, quality, sharding, url_filter
+from glossaria.llm import bpe, decontam, license_scan, quality, sharding, url_filter
 
 #: The contract's url rules.
 URL_RULES = (
@@ -17,6 +17,19 @@ URL_RULES = (
     url_filter.Rule("block", "com", "/de/"),
 )
 
+#: The contract's phrases, and the opening or granting words of well-known licenses.
+LICENSES = (
+    license_scan.Template("gpl", "gnu general public license", True),
+    license_scan.Template("apache", "apache license", True),
+    license_scan.Template("cc-by", "cc by", True),
+    license_scan.Template("mit", "mit license", True),
+    license_scan.Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    license_scan.Template("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    license_scan.Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    license_scan.Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    license_scan.Template("cc-by", "this work is licensed under the creative commons attribution international license"),
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,6 +50,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summarise(license_scan.scan(table(spark, sf_dir, "documents"), LICENSES))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe_path()
     both = bpe.decode(bpe.encode(docs, path), path)
@@ -57,7 +74,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_quality, op6_bpe, op8_decontaminate, op10_shard)}
+    return {f.__name__: f for f in (op1_url_filter, op3_quality, op4_license_scan, op6_bpe, op8_decontaminate, op10_shard)}
 
 
 URL_SQL = r"""
@@ -90,5 +107,22 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+def _license_sql() -> str:
+    rows = ", ".join(f"({k}, '{t.label}', {t.phrase}, string_split('{t.text}', ' '))" for k, t in enumerate(LICENSES))
+    return rf"""
+WITH t AS (SELECT *, list_distinct(ws) AS tokens, CASE WHEN phrase THEN len(list_distinct(ws)) ELSE ceil({license_scan.THRESHOLD} * len(list_distinct(ws)) - 1e-9) END AS need FROM (VALUES {rows}) v(k, label, phrase, ws)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT rid, s, w[s + 1 : s + {license_scan.BLOCK}] AS block FROM (SELECT rid, w, unnest(range(0, len(w), {license_scan.STRIDE})) AS s FROM d)),
+met AS (SELECT rid, s, block, label, phrase, ws, len(list_intersect(list_distinct(block), tokens)) / len(tokens) AS containment
+  FROM b, t WHERE len(list_intersect(list_distinct(block), tokens)) >= need),
+places AS (SELECT rid, label, s + i AS place, containment FROM (SELECT *, unnest(range(0, least(len(block), {license_scan.STRIDE}))) AS i FROM met WHERE phrase) WHERE block[i + 1 : i + len(ws)] = ws),
+p AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY rid),
+l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(containment) AS score
+  FROM (SELECT rid, label, containment FROM places UNION ALL SELECT rid, label, containment FROM met WHERE NOT phrase) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN p USING (rid) LEFT JOIN l USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": URL_SQL, "op8_decontaminate": DECONTAM_SQL}
+    return {"op1_url_filter": URL_SQL, "op4_license_scan": _license_sql(), "op8_decontaminate": DECONTAM_SQL}
