@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossaria.llm import bpe, decontam, license_scan, quality, sharding, url_filter
+from glossaria.llm import bpe, decontam, license_scan, minhash, quality, sharding, url_filter
 
 #: The contract's url rules.
 URL_RULES = (
@@ -68,13 +68,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_quality, op4_license_scan, op6_bpe, op8_decontaminate, op10_shard)}
+    return {f.__name__: f for f in (op1_url_filter, op3_quality, op4_license_scan, op6_bpe, op8_decontaminate, op9_near_dedup, op10_shard)}
 
 
 URL_SQL = r"""
