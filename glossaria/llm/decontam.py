@@ -27,7 +27,7 @@ from glossaria.llm.common import NORMAL_BYTES, row_id, small_batches, text_or_em
 
 WIDTH = 13
 MAX_PATTERN_BYTES = 64 << 20
-WORD_BYTES = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD_BYTES = re.compile(rb"[^ ]+")  # of normalised bytes, which stand where the original ones do
 HIT = "struct<first_word:int,last_word:int,first_byte:int,end_byte:int,items:array<string>>"
 
 
@@ -62,7 +62,8 @@ def _automaton(shared) -> ahocorasick.Automaton:
 
 def _scan(automaton, data: bytes) -> tuple[int, list]:
     """Number of words; hits as (first word, last word, first byte, end byte, items), overlapping ones of the same items joined."""
-    words = data.translate(NORMAL_BYTES).split()
+    normal = data.translate(NORMAL_BYTES)
+    words = normal.split()
     if not words or not len(automaton):
         return len(words), []
     line = (b" %s " % b" ".join(words)).decode("latin-1")
@@ -70,7 +71,7 @@ def _scan(automaton, data: bytes) -> tuple[int, list]:
     if not found:
         return len(words), []
     spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 0x20)
-    spans = [m.span() for m in WORD_BYTES.finditer(data)]
+    spans = [m.span() for m in WORD_BYTES.finditer(normal)]
     hits = []
     for start, end, ids in found:
         first, last = int(np.searchsorted(spaces, start)), int(np.searchsorted(spaces, end)) - 1
