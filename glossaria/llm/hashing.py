@@ -40,9 +40,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(buffer: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(VALUE[buffer] * powers(len(buffer) + 1)[0][: len(buffer)], out=sums[1:])
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Of bytes, or of hashes."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    terms = VALUE[values] if values.dtype == np.uint8 else values
+    np.cumsum(terms * powers(len(values) + 1)[0][: len(values)], out=sums[1:])
     return sums
 
 
@@ -105,3 +107,32 @@ class Words:
             total = total * CHAIN + (np.where(left > j, own, np.uint64(0)) if whole_if_short else own)
         first = at[keep]
         return first, mix(total[keep])
+
+
+#: Places are kept in the low bits of a key while its minimum is sought; texts hashed together stay below 2**28 places.
+PLACE = np.uint64((1 << 28) - 1)
+
+
+def sliding_least(grams: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost least gram among each `width` consecutive ones."""
+    if len(grams) > int(PLACE):
+        raise ValueError("a text is too long to be hashed at once")
+    key, size = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64), 1
+    while 2 * size <= width:
+        key = np.minimum(key[:-size], key[size:])
+        size *= 2
+    if size < width:
+        key = np.minimum(key[: size - width], key[width - size :])
+    return (key & PLACE).astype(np.int64)
+
+
+def anchored_runs(grams: np.ndarray, width: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First start, number and anchor of runs of consecutive window starts that have one anchor.
+
+    A window's anchor is the least of the `width` grams in it, so equal windows have equal anchors at equal places.
+    """
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    place = sliding_least(grams, width)[starts]
+    new = np.flatnonzero(np.concatenate([[True], (starts[1:] != starts[:-1] + 1) | (place[1:] != place[:-1])]))
+    return starts[new], np.diff(np.append(new, len(starts))), grams[place[new]]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossaria.llm import bpe, decontam, license_scan, minhash, quality, sharding, url_filter
+from glossaria.llm import bpe, decontam, license_scan, minhash, quality, sharding, substring_index, url_filter
 
 #: The contract's url rules.
 URL_RULES = (
@@ -54,6 +54,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summarise(license_scan.scan(table(spark, sf_dir, "documents"), LICENSES))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_index.deduplicate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.coalesce("digest", F.sha2("kept", 256)).alias("kept_sha256"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe_path()
     both = bpe.decode(bpe.encode(docs, path), path)
@@ -78,7 +83,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_quality, op4_license_scan, op6_bpe, op8_decontaminate, op9_near_dedup, op10_shard)}
+    return {f.__name__: f for f in (op1_url_filter, op3_quality, op4_license_scan, op5_substring_dedup, op6_bpe, op8_decontaminate, op9_near_dedup, op10_shard)}
 
 
 URL_SQL = r"""
@@ -128,5 +133,16 @@ FROM d LEFT JOIN p USING (rid) LEFT JOIN l USING (rid)
 """
 
 
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, k, sha256(array_to_string(w[k : k + 19], ' ')) AS h FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d)),
+seen AS (SELECT rid, k, (doc_id, k) > min((doc_id, k)) OVER (PARTITION BY h) AS later FROM win),
+gone AS (SELECT DISTINCT rid, unnest(range(k, k + 20)) AS p FROM seen WHERE later),
+w AS (SELECT rid, doc_id, len(w) AS n_words, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+kept AS (SELECT w.rid, count(*) FILTER (g.p IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY w.p) FILTER (g.p IS NULL) AS kept FROM w LEFT JOIN gone g ON w.rid = g.rid AND w.p = g.p GROUP BY w.rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": URL_SQL, "op4_license_scan": _license_sql(), "op8_decontaminate": DECONTAM_SQL}
+    return {"op1_url_filter": URL_SQL, "op4_license_scan": _license_sql(), "op5_substring_dedup": SUBSTRING_SQL, "op8_decontaminate": DECONTAM_SQL}
