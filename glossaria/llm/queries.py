@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossaria.llm import bpe, decontam, license_scan, minhash, quality, sharding, substring_index, url_filter
+from glossaria.llm import bpe, decontam, license_scan, minhash, quality, sharding, substring_index, suffix_dedup, url_filter
 
 #: The contract's url rules.
 URL_RULES = (
@@ -45,6 +45,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("digest", F.sha2("kept", 256)).alias("kept_sha256"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -83,7 +88,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_quality, op4_license_scan, op5_substring_dedup, op6_bpe, op8_decontaminate, op9_near_dedup, op10_shard)}
+    return {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_quality, op4_license_scan, op5_substring_dedup, op6_bpe, op8_decontaminate, op9_near_dedup, op10_shard)}
 
 
 URL_SQL = r"""
