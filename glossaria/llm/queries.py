@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossaria.llm import bpe, decontam, license_scan, minhash, quality, sharding, substring_index, suffix_dedup, url_filter
+from glossaria.llm import bpe, decontam, license_scan, line_dedup, minhash, quality, sharding, substring_index, suffix_dedup, url_filter
 
 #: The contract's url rules.
 URL_RULES = (
@@ -73,6 +73,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_linked", F.coalesce("digest", F.sha2("kept", 256)).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -88,7 +93,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_quality, op4_license_scan, op5_substring_dedup, op6_bpe, op8_decontaminate, op9_near_dedup, op10_shard)}
+    return {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_quality, op4_license_scan, op5_substring_dedup, op6_bpe, op7_line_dedup, op8_decontaminate, op9_near_dedup, op10_shard)}
 
 
 URL_SQL = r"""

@@ -23,16 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from glossaria.llm import bloom
+from glossaria.llm import bloom, slots
 from glossaria.llm.common import cut, row_id, small_batches, text_or_empty
-from glossaria.llm.hashing import anchored_runs, chunks, mix, prefix_sums, span_hashes, window_hashes
+from glossaria.llm.hashing import anchored_runs, chunks, prefix_sums, span_hashes, window_hashes
 from glossaria.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 16
 AT_ONCE = 1 << 21
 SHARD = 1 << 20
-#: A slot is so many of an anchor's top bits: parts that tasks mark on their own, and slots within a part.
-PART_BITS, SLOT_BITS = 12, 24
 PIECE = "anchor:bigint,hash:bigint,n:int,start:int"
 
 
@@ -40,10 +38,6 @@ def _bytes_of(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slots_of(anchors: np.ndarray) -> np.ndarray:
-    return anchors >> np.uint64(64 - PART_BITS - SLOT_BITS)
-
-
 class Pieces:
     """Pieces of several texts: first start, number of starts, anchor and text number."""
 
@@ -59,49 +53,10 @@ class Pieces:
         self.doc = np.searchsorted(self.first, self.start, side="right") - 1
 
 
-def shared_slots(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """slot: of anchors in more than one document."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = _bytes_of(batch.column("text"))
-            for a, b in chunks(texts, AT_ONCE):
-                p = Pieces(texts[a:b])
-                slot = slots_of(p.anchor)
-                order = np.lexsort((p.doc, slot))
-                slot, doc = slot[order], p.doc[order]
-                each = np.concatenate([[True], (slot[1:] != slot[:-1]) | (doc[1:] != doc[:-1])]) if len(slot) else np.empty(0, bool)
-                slot = slot[each]  # one of each document
-                if len(slot) > 2:
-                    slot = slot[np.concatenate([[True, True], slot[2:] != slot[:-2]])]  # two say it all
-                part = (slot >> np.uint64(SLOT_BITS)).astype(np.int32)
-                inner = (slot & np.uint64((1 << SLOT_BITS) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-                edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
-                data = inner.tobytes()
-                blobs = [data[3 * x : 3 * y] for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array(blobs, pa.binary())], names=["part", "slots"])
-
-    def mark(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(1 << SLOT_BITS, bool), np.zeros(1 << SLOT_BITS, bool)
-        for batch in batches:
-            for blob in batch.column("slots").to_pylist():
-                three = np.frombuffer(blob, np.uint8).reshape(-1, 3).astype(np.int64)
-                at = three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16
-                twice[at[once[at]]] = True
-                twice[at[1:][at[1:] == at[:-1]]] = True
-                once[at] = True
-        found = np.flatnonzero(twice) | key[0].as_py() << SLOT_BITS
-        for a in range(0, len(found), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(found[a : a + 100_000])], names=["slot"])
-
-    small_batches(docs.sparkSession)
-    emitted = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(emit, "part int, slots binary")
-    return emitted.groupBy("part").applyInArrow(mark, "slot long")
-
-
-def named_slots(slots: np.ndarray) -> np.ndarray:
-    """Slots spread over 64 bits, for the filter."""
-    return mix(slots.astype(np.uint64) + np.uint64(1))
+def packed_anchors(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    for a, b in chunks(texts, AT_ONCE):
+        p = Pieces(texts[a:b])
+        yield slots.packed(p.anchor, p.doc)
 
 
 def candidates(docs: DataFrame, filter_bits, id_col: str, text_col: str) -> DataFrame:
@@ -115,7 +70,7 @@ def candidates(docs: DataFrame, filter_bits, id_col: str, text_col: str) -> Data
             counts, columns = [], [[], [], [], []]
             for a, b in chunks(texts, AT_ONCE):
                 p = Pieces(texts[a:b])
-                ok = np.flatnonzero(bloom.passing(bits, named_slots(slots_of(p.anchor))))
+                ok = np.flatnonzero(bloom.passing(bits, slots.named(slots.slots_of(p.anchor))))
                 start, n = p.start[ok], p.count[ok]
                 counts.append(np.bincount(p.doc[ok], minlength=b - a))
                 for column, made in zip(columns, (p.anchor[ok].view(np.int64), span_hashes(p.sums, start, start + n + LENGTH - 1).view(np.int64), n.astype(np.int32), (start - p.first[p.doc[ok]]).astype(np.int32)), strict=True):
@@ -192,10 +147,9 @@ def without_spans(rows: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, digest or kept (bytes) of each document; the other one is null."""
     context = docs.sparkSession.sparkContext
-    slots = shared_slots(docs, text_col).mapInArrow(
-        lambda batches: (pa.RecordBatch.from_arrays([pa.array(named_slots(b.column("slot").to_numpy()).view(np.int64))], names=["name"]) for b in batches), "name long"
-    )
-    rows = cut(candidates(docs, context.broadcast(bloom.build(slots, "name")), id_col, text_col))
+    small_batches(docs.sparkSession)
+    names = slots.shared(docs.select(text_or_empty(text_col).alias("text")), packed_anchors)
+    rows = cut(candidates(docs, context.broadcast(bloom.build(names, "name")), id_col, text_col))
     places = rows.select("rid", "doc_id", F.explode("pieces").alias("p")).select("rid", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("owner"), "p.*")
     key = ["anchor", "hash", "n"]
     # `head` is the piece's place in its first document.
