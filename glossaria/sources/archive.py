@@ -25,6 +25,9 @@ MODES = {"term_meta": ("freq", "pitch", "ipa"), "kanji_meta": ("freq",)}
 MEDIA_TYPES = {"apng": "image/apng", "avif": "image/avif", "bmp": "image/bmp", "gif": "image/gif", "ico": "image/x-icon", "jpeg": "image/jpeg", "jpg": "image/jpeg", "png": "image/png", "svg": "image/svg+xml", "tif": "image/tiff", "tiff": "image/tiff", "webp": "image/webp"}
 
 
+ROW = "dictionary string, version int, bank string, file_no int, row_no int, row string"
+
+
 class ArchiveError(ValueError):
     pass
 
@@ -63,7 +66,7 @@ def bank_rows(archives: DataFrame) -> DataFrame:
                             types = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return archives.select("content").mapInArrow(run, "dictionary string, version int, bank string, file_no int, row_no int, row string")
+    return archives.select("content").mapInArrow(run, ROW)
 
 
 def invalid_rows(rows: DataFrame) -> DataFrame:

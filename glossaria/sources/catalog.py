@@ -21,8 +21,17 @@ class Catalog:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
+    def _schema(self, name: str) -> T.StructType:
+        if name == "dictionaries":
+            return T.StructType.fromDDL(SUMMARY)
+        if name == "media":
+            return T.StructType.fromDDL("dictionary string, path string, media_type string, content binary")
+        empty = self.spark.createDataFrame([], archive.ROW)
+        made = {"terms": lambda r: archive.terms(r, reverse=True), "term_meta": archive.term_meta, "kanji": archive.kanji, "kanji_meta": archive.kanji_meta, "tag_meta": archive.tag_meta}
+        return made[name](empty).schema
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(self._schema(name)).parquet(f"{self.path}/{name}")
 
     def info(self) -> DataFrame:
         """Summaries of all dictionaries."""
