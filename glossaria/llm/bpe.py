@@ -29,6 +29,7 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 CHUNK = 1 << 16  # characters cut into pieces at a time
 NO_MERGE = 1 << 62
+MADE = "__glossaria_made__"
 HELD = 3  # a piece that ends in the last characters of a chunk may still change
 REMEMBERED = 400_000  # pieces
 LONGEST_REMEMBERED = 64  # characters
@@ -157,11 +158,11 @@ def load(path: str) -> Transducer:
 
 def _with(batch: pa.RecordBatch, column: pa.Array, drop: str | None = None) -> pa.RecordBatch:
     kept = [n for n in batch.schema.names if n != drop]
-    return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in kept), column], names=[*kept, "made"])
+    return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in kept), column], names=[*kept, MADE])
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", into: str = "ids") -> DataFrame:
-    """`docs` with the text column replaced by its token ids."""
+    """`docs` with the text column replaced by its token ids, as column `into` (in place of one of that name)."""
 
     def run(batches):
         t = load(tokenizer_path)
@@ -172,9 +173,9 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", into: s
             yield _with(batch, ids, text_col)
 
     small_batches(docs.sparkSession)
-    kept = [f for f in docs.schema if f.name != text_col]
-    schema = T.StructType([*kept, T.StructField("made", T.ArrayType(T.IntegerType()))])
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], text_or_empty(text_col).alias(text_col)).mapInArrow(run, schema).withColumnRenamed("made", into)
+    kept = [f for f in docs.schema if f.name not in (text_col, into)]
+    schema = T.StructType([*kept, T.StructField(MADE, T.ArrayType(T.IntegerType()))])
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept], text_or_empty(text_col).alias(text_col)).mapInArrow(run, schema).withColumnRenamed(MADE, into)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -189,5 +190,6 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", into:
             yield _with(batch, pa.array(texts, pa.string()))
 
     small_batches(encoded.sparkSession)
-    schema = T.StructType([*encoded.schema, T.StructField("made", T.StringType())])
-    return encoded.mapInArrow(run, schema).withColumnRenamed("made", into)
+    encoded = encoded.drop(into)
+    schema = T.StructType([*encoded.schema, T.StructField(MADE, T.StringType())])
+    return encoded.mapInArrow(run, schema).withColumnRenamed(MADE, into)

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Name of the column of row numbers; not one that tables have.
+ROW = "__glossaria_row__"
+
 #: Bounds an Arrow batch, so that a batch of very long texts still fits a Python worker.
 ARROW_ROWS = 400
 
@@ -29,14 +33,30 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more, rather than at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared scratch folder and read it back: lineage ends there."""
     spark = df.sparkSession
+    settle(spark)
     path = f"{scratch_root(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *key: str) -> DataFrame:
+    """Write `df` as a table in buckets of `key`: what groups or joins by these columns afterwards needs no shuffle."""
+    spark = df.sparkSession
+    settle(spark)
+    name, n = f"scratch_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *key).write.bucketBy(n, *key).saveAsTable(name)
+    return spark.table(name)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint; keeps the partitions as they are."""
     scratch_root(df.sparkSession)
@@ -48,9 +68,10 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def row_id() -> Column:
-    """Tells rows apart even where ids repeat or are null; stable over recomputation of a file scan."""
-    return F.monotonically_increasing_id()
+def row_id(docs: DataFrame | None = None) -> Column:
+    """Tells rows apart even where ids repeat or are null: the column `ROW` if `docs` has it, else a number that is stable over
+    recomputation of a file scan."""
+    return F.col(ROW) if docs is not None and ROW in docs.columns else F.monotonically_increasing_id()
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -86,12 +107,43 @@ NORMAL_BYTES = bytes(
 )
 
 
-def by_batch(df: DataFrame, fn: Callable, schema: str, *columns: str) -> DataFrame:
-    """mapInArrow over the named columns only; `fn` takes and returns Arrow batches, one at a time."""
+#: Nodes of plans whose rows come in one order however often and with whatever columns they are read.
+STEADY = {"Relation", "LogicalRelation", "LogicalRDD", "LocalRelation", "Project", "Filter"}
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with the row numbers that the operators give the same scan, as the column `ROW`. What isn't a plain scan is
+    written first: its rows could come in another order each time."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for m in re.finditer(r"(?m)^[\s:+|-]*([A-Za-z]+)", plan)}
+    return (docs if nodes <= STEADY else cut(docs)).withColumn(ROW, row_id())
+
+
+#: Row numbers that are sent to all tasks: 8 bytes each.
+FEW_ROWS = 1_000_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Written rows of a few numbers each, marked to be sent to all tasks if they are counted to be few."""
+    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
+
+
+def left_after(docs: DataFrame, rids: DataFrame) -> DataFrame:
+    """`docs`, numbered, without the rows of these numbers. These are written and counted first, and sent to all tasks
+    only if they are few; else both sides are shuffled."""
+    gone = cut(rids.select(F.col("rid").alias(ROW)))
+    return docs.join(few(gone), ROW, "left_anti")
+
+
+def without_rows(docs: DataFrame, rids: DataFrame) -> DataFrame:
+    return left_after(numbered(docs), rids).drop(ROW)
 
-    def run(batches: Iterator) -> Iterator:
-        for batch in batches:
-            yield from fn(batch)
 
-    small_batches(df.sparkSession)
-    return df.select(*columns).mapInArrow(run, schema)
+def exact_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rid, doc_id, head: of numbered rows whose whole text also stands in a row of a smaller id, the first of which is
+    `head`."""
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    named = docs.select(F.col(ROW).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), order.alias("order"), F.unhex(F.md5(text_or_empty(text_col).cast("binary"))).alias("node"))
+    heads = named.groupBy("node").agg(F.min(F.struct("order", "rid")).alias("head"), F.count("*").alias("n")).where(F.col("n") > 1)
+    met = named.join(heads, "node").where(F.col("order") > F.col("head.order"))
+    return cut(met.select("rid", "doc_id", F.col("head.rid").alias("head")))

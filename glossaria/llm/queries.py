@@ -84,7 +84,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +109,18 @@ FROM parsed p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' ||
 GROUP BY rid
 """
 
+SUFFIX_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT rid, doc_id, k, md5(substr(h, 2 * k + 1, 100)) AS s FROM (SELECT rid, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS k FROM d)),
+dup AS (SELECT rid, k FROM (SELECT rid, doc_id, k, min(doc_id) OVER (PARTITION BY s) AS first FROM win) WHERE first < doc_id),
+gone AS (SELECT DISTINCT rid, unnest(range(k, k + 50)) AS p FROM dup),
+spans AS (SELECT rid, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < p - 1) AS n_spans FROM (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS before FROM gone) GROUP BY rid),
+each AS (SELECT rid, h, unnest(range(0, length(h) // 2)) AS p FROM d WHERE rid IN (SELECT rid FROM spans)),
+kept AS (SELECT each.rid, string_agg(substr(h, 2 * each.p + 1, 2), '' ORDER BY each.p) AS k FROM each LEFT JOIN gone ON gone.rid = each.rid AND gone.p = each.p WHERE gone.p IS NULL GROUP BY each.rid)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN n_removed IS NULL THEN h ELSE coalesce(k, '') END)) AS kept_sha256
+FROM d LEFT JOIN spans USING (rid) LEFT JOIN kept USING (rid)
+"""
+
 DECONTAM_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -155,4 +167,4 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(co
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": URL_SQL, "op4_license_scan": _license_sql(), "op5_substring_dedup": SUBSTRING_SQL, "op8_decontaminate": DECONTAM_SQL}
+    return {"op1_url_filter": URL_SQL, "op2_suffix_dedup": SUFFIX_SQL, "op4_license_scan": _license_sql(), "op5_substring_dedup": SUBSTRING_SQL, "op8_decontaminate": DECONTAM_SQL}

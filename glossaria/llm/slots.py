@@ -6,20 +6,27 @@ task a part marks what it meets again, in memory that doesn't depend on how much
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from glossaria.llm.hashing import mix
 
-#: Parts that tasks mark on their own, and slots within a part.
-PART_BITS, SLOT_BITS = 12, 24
+SLOT_BITS = 22  # slots within a part
+SPARE_BITS = 6  # slots are so many times the values, as a power of two
 
 
-def slots_of(values: np.ndarray) -> np.ndarray:
-    return values >> np.uint64(64 - PART_BITS - SLOT_BITS)
+def part_bits(texts: DataFrame, bytes_a_value: float) -> int:
+    """Parts that tasks mark on their own, as a power of two: so many that slots outnumber the values of all texts."""
+    total = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return min(30, max(4, math.ceil(math.log2(total / bytes_a_value + 1)) + SPARE_BITS - SLOT_BITS))
+
+
+def slots_of(values: np.ndarray, bits: int) -> np.ndarray:
+    return values >> np.uint64(64 - bits - SLOT_BITS)
 
 
 def named(slots: np.ndarray) -> np.ndarray:
@@ -27,9 +34,9 @@ def named(slots: np.ndarray) -> np.ndarray:
     return mix(slots.astype(np.uint64) + np.uint64(1))
 
 
-def packed(values: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
+def packed(values: np.ndarray, owners: np.ndarray, bits: int) -> pa.RecordBatch:
     """part, slots: a slot once for each owner in it, twice at most."""
-    slot = slots_of(values)
+    slot = slots_of(values, bits)
     order = np.lexsort((owners, slot))
     slot, owner = slot[order], owners[order]
     if len(slot):
@@ -57,11 +64,24 @@ def _mark(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(found[a : a + 100_000])], names=["name"])
 
 
-def shared(rows: DataFrame, emit: Callable[[list[bytes]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """name: of slots with two owners or more; `emit` makes packed records from texts."""
+#: Values that a task gathers before it emits their slots: fewer records, in bounded memory.
+AT_ONCE = 2_000_000
+
+
+def shared(rows: DataFrame, values_of: Callable[[list[bytes]], Iterator[tuple[np.ndarray, np.ndarray]]], bits: int) -> DataFrame:
+    """name: of slots with two owners or more; `values_of` gives values of texts and their owners, numbers from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, owners_before = [], 0, 0
         for batch in batches:
-            yield from emit(batch.column("text").cast(pa.binary()).to_pylist())
+            for values, owners in values_of(batch.column("text").cast(pa.binary()).to_pylist()):
+                held.append((values, owners + owners_before))
+                n += len(values)
+                owners_before += int(owners.max()) + 1 if len(owners) else 0
+                if n >= AT_ONCE:
+                    yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
+                    held, n = [], 0
+        if n:
+            yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
 
     return rows.select("text").mapInArrow(run, "part int, slots binary").groupBy("part").applyInArrow(_mark, "name long")

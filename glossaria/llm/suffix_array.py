@@ -42,8 +42,9 @@ def _induce(text: np.ndarray, seeds: np.ndarray, small: np.ndarray, letters: int
     n = len(text)
     sizes = np.bincount(text, minlength=letters)
     start = np.concatenate([[0], np.cumsum(sizes)])
+    seeds = seeds.astype(np.int32)
     large = np.bincount(text[~small], minlength=letters)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     seed_count = np.bincount(text[seeds], minlength=letters)
     seed_start = np.concatenate([[0], np.cumsum(seed_count)])
     by_letter = seeds[np.argsort(text[seeds], kind="stable")]
@@ -106,7 +107,7 @@ def _by_doubling(rank: np.ndarray) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: n - width] = rank[width:] + 1
         key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         rank = np.empty(n, np.int64)

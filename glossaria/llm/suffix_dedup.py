@@ -4,7 +4,7 @@ Equal strings have equal anchors (the least hash of the `GRAM`-byte grams in the
 an anchor are a unit: a *piece* of text with a run of starting places. Only anchors of two documents or more matter.
 These are found by marking hashed slots, which costs a few bytes an anchor in the shuffle, and kept as a filter of fixed
 size; a false hit only adds a piece. Pieces of equal bytes are reduced to one with the least id. The distinct pieces are
-dealt into shards by anchor, about `SHARD` bytes each, and each shard's suffix array is built by induced sorting; suffixes
+dealt into shards by anchor, about `SHARD` bytes each (those whose anchor stands in one document only need none), and each shard's suffix array is built by induced sorting; suffixes
 whose permuted common prefixes reach 50 bytes form classes, and the least id of a class is where its string starts first.
 
 Hot strings are reduced before they are dealt, and the way back to their places is an equi-join that Spark can split.
@@ -18,20 +18,23 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from glossaria.llm import bloom, slots
-from glossaria.llm.common import cut, row_id, small_batches, text_or_empty
-from glossaria.llm.hashing import anchored_runs, chunks, prefix_sums, span_hashes, window_hashes
+from glossaria.llm.common import bucketed, cut, exact_copies, left_after, numbered, row_id, small_batches, text_or_empty
+from glossaria.llm.hashing import CHAIN, anchored_runs, chunks, mix, prefix_sums, span_hashes, window_hashes
 from glossaria.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 16
-AT_ONCE = 1 << 21
-SHARD = 1 << 20
-PIECE = "anchor:bigint,hash:bigint,n:int,start:int"
+AT_ONCE = 1_000_000  # bytes of text hashed together
+SHARD = 1 << 18  # bytes
+#: Anchors are settled in so many rounds, one after the other, each of which needs that part of the disk.
+ROUNDS = 4
+PIECE = "anchor:bigint,hash:bigint,at:bigint"  # at: first start, then how many, in the low 8 bits
 
 
 def _bytes_of(column: pa.Array) -> list[bytes]:
@@ -53,27 +56,28 @@ class Pieces:
         self.doc = np.searchsorted(self.first, self.start, side="right") - 1
 
 
-def packed_anchors(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+def anchors_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for a, b in chunks(texts, AT_ONCE):
         p = Pieces(texts[a:b])
-        yield slots.packed(p.anchor, p.doc)
+        yield p.anchor, p.doc
 
 
-def candidates(docs: DataFrame, filter_bits, id_col: str, text_col: str) -> DataFrame:
+def candidates(docs: DataFrame, filter_bits, part_bits: int, id_col: str, text_col: str) -> DataFrame:
     """rid, doc_id, n_bytes, pieces; the text if there are pieces, else its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filter_bits.value
-        kind = pa.list_(pa.struct([("anchor", pa.int64()), ("hash", pa.int64()), ("n", pa.int32()), ("start", pa.int32())]))
+        kind = pa.list_(pa.struct([("anchor", pa.int64()), ("hash", pa.int64()), ("at", pa.int64())]))
         for batch in batches:
             texts = _bytes_of(batch.column("text"))
-            counts, columns = [], [[], [], [], []]
+            counts, columns = [], [[], [], []]
             for a, b in chunks(texts, AT_ONCE):
                 p = Pieces(texts[a:b])
-                ok = np.flatnonzero(bloom.passing(bits, slots.named(slots.slots_of(p.anchor))))
+                ok = np.flatnonzero(bloom.passing(bits, slots.named(slots.slots_of(p.anchor, part_bits))))
                 start, n = p.start[ok], p.count[ok]
                 counts.append(np.bincount(p.doc[ok], minlength=b - a))
-                for column, made in zip(columns, (p.anchor[ok].view(np.int64), span_hashes(p.sums, start, start + n + LENGTH - 1).view(np.int64), n.astype(np.int32), (start - p.first[p.doc[ok]]).astype(np.int32)), strict=True):
+                hashes = mix(span_hashes(p.sums, start, start + n + LENGTH - 1) + n.astype(np.uint64) * CHAIN)
+                for column, made in zip(columns, (p.anchor[ok].view(np.int64), hashes.view(np.int64), (start - p.first[p.doc[ok]]) << 8 | n), strict=True):
                     column.append(made)
             count = np.concatenate([np.empty(0, np.int64), *counts])
             parts = [pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in columns]
@@ -84,26 +88,27 @@ def candidates(docs: DataFrame, filter_bits, id_col: str, text_col: str) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests, pa.string()), kept, pieces], names=["rid", "doc_id", "n_bytes", "digest", "text", "pieces"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(row_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(row_id(docs).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, f"rid long, doc_id long, n_bytes long, digest string, text string, pieces array<struct<{PIECE}>>")
 
 
 def piece_texts(heads: DataFrame) -> DataFrame:
-    """anchor, hash, n, owner, bytes of pieces, cut from the text they stand in."""
+    """anchor, hash, owner, bytes of pieces, cut from the text they stand in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p["anchor"], p["hash"], p["n"], p["owner"], t[p["start"] : p["start"] + p["n"] + LENGTH - 1]) for t, ps in zip(_bytes_of(batch.column("text")), batch.column("pieces").to_pylist(), strict=True) for p in ps]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["anchor", "hash", "n", "owner", "bytes"])
+            rows = [(p["anchor"], p["hash"], p["owner"], t[p["at"] >> 8 : (p["at"] >> 8) + (p["at"] & 255) + LENGTH - 1]) for t, ps in zip(_bytes_of(batch.column("text")), batch.column("pieces").to_pylist(), strict=True) for p in ps]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["anchor", "hash", "owner", "bytes"])
 
-    return heads.select("text", "pieces").mapInArrow(run, "anchor long, hash long, n int, owner long, bytes binary")
+    return heads.select("text", "pieces").mapInArrow(run, "anchor long, hash long, owner long, bytes binary")
 
 
 def resolve_shard(pieces: pa.Table) -> pa.Table:
-    """Of each piece with a string that starts earlier than in its owner: the earliest document of each of its strings."""
-    texts, owner, n = pieces.column("bytes").to_pylist(), pieces.column("owner").to_numpy(), pieces.column("n").to_numpy()
-    size = n.astype(np.int64) + LENGTH  # with the separator
+    """Of each piece with strings that start earlier than in its owner: runs of them (first place in the piece, number)."""
+    texts, owner = pieces.column("bytes").to_pylist(), pieces.column("owner").to_numpy()
+    size = np.array([len(t) + 1 for t in texts], np.int64)  # with the separator
+    n = size - LENGTH
     joined = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.int16) + 2
     first = np.concatenate([[0], np.cumsum(size)])
     joined[first[1:] - 1] = 1
@@ -117,10 +122,12 @@ def resolve_shard(pieces: pa.Table) -> pa.Table:
     least[order] = np.repeat(np.minimum.reduceat(owners[order], starts), np.diff(np.append(starts, len(order))))
     inner = np.arange(len(text)) - np.append(first[:-1], 0)[piece]
     earlier = (least < owners) & (inner < np.append(n, 0)[piece])
-    some = np.unique(piece[earlier])
-    firsts = [least[first[k] : first[k] + n[k]] for k in some.tolist()]
-    taken = pieces.take(pa.array(some)).select(["anchor", "hash", "n"])
-    return taken.append_column("firsts", pa.array(firsts, pa.list_(pa.int64())))
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], earlier.astype(np.int8), [0]])))
+    begin, end = edge[0::2], edge[1::2]  # runs of strings; they end with their piece, as its last 49 places start none
+    some, runs = np.unique(piece[begin], return_counts=True)
+    parts = pa.StructArray.from_arrays([pa.array(inner[begin].astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["k", "n"])
+    taken = pieces.take(pa.array(some)).select(["anchor", "hash"])
+    return taken.append_column("earlier", pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(runs)]).astype(np.int32)), parts))
 
 
 def without_spans(rows: DataFrame) -> DataFrame:
@@ -144,29 +151,50 @@ def without_spans(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def covered(places: DataFrame, texts: DataFrame) -> DataFrame:
+    """rid, span (start, size): parts of the places' texts that also start in an earlier document."""
+    key = ["anchor", "hash"]
+    places = bucketed(places, *key)
+    # The piece's place in its first document: of rows with the least owner all three take the same one.
+    distinct = places.groupBy(*key).agg(F.min("owner").alias("first_owner"), F.min_by("rid", "owner").alias("first_rid"), F.min_by("at", "owner").alias("first_at"))
+    # Pieces of one anchor only can hold equal strings, and only those of several documents matter.
+    several = distinct.groupBy("anchor").agg(F.min("first_owner").alias("least"), F.max("first_owner").alias("most")).where(F.col("least") < F.col("most")).select("anchor")
+    contested = cut(distinct.join(several, "anchor", "left_semi"))
+    total = contested.agg(F.sum(F.col("first_at").bitwiseAND(255) + LENGTH).alias("bytes")).first()["bytes"] or 0
+    shards = max(1, math.ceil(total / SHARD))
+    heads = contested.groupBy(F.col("first_rid").alias("rid")).agg(F.collect_list(F.struct(*key, F.col("first_owner").alias("owner"), F.col("first_at").alias("at"))).alias("pieces"))
+    pieces = piece_texts(texts.join(heads, "rid")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    resolved = cut(pieces.groupBy("shard").applyInArrow(resolve_shard, "anchor long, hash long, earlier array<struct<k:int,n:int>>"))
+
+    known = distinct.select(*key, "first_owner").join(resolved, key, "left")
+    found = places.join(known, key).withColumn("start", F.shiftright("at", 8).cast("int"))
+    span = lambda start, size: F.struct(start.cast("int").alias("start"), size.cast("int").alias("size"))
+    whole = F.when(F.col("owner") > F.col("first_owner"), F.array(span(F.col("start"), F.col("at").bitwiseAND(255) + LENGTH - 1)))
+    strings = F.when(F.col("owner") == F.col("first_owner"), F.transform("earlier", lambda x: span(F.col("start") + x["k"], x["n"] + LENGTH - 1)))
+    return found.select("rid", F.explode(F.coalesce(whole, strings)).alias("span"))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, digest or kept (bytes) of each document; the other one is null."""
+    """doc_id, n_bytes, n_removed, n_spans, digest or kept (bytes) of each document; the other one is null.
+
+    Later copies of a whole text lose all of it, and nothing starts first in them, so they take no part in the rest.
+    """
     context = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
-    names = slots.shared(docs.select(text_or_empty(text_col).alias("text")), packed_anchors)
-    rows = cut(candidates(docs, context.broadcast(bloom.build(names, "name")), id_col, text_col))
-    places = rows.select("rid", "doc_id", F.explode("pieces").alias("p")).select("rid", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("owner"), "p.*")
-    key = ["anchor", "hash", "n"]
-    # `head` is the piece's place in its first document.
-    distinct = cut(places.groupBy(*key).agg(F.min(F.struct("owner", "rid", "start")).alias("head")))
-    total = distinct.agg(F.sum(F.col("n") + LENGTH).alias("bytes")).first()["bytes"] or 0
-    shards = max(1, math.ceil(total / SHARD))
-    heads = distinct.groupBy(F.col("head.rid").alias("rid")).agg(F.collect_list(F.struct(*key, F.col("head.owner").alias("owner"), F.col("head.start").alias("start"))).alias("pieces"))
+    every = numbered(docs)
+    copies = exact_copies(every, id_col, text_col)
+    docs = left_after(every, copies)
+    whole = docs.select(text_or_empty(text_col).alias("text"))
+    part_bits = slots.part_bits(whole, (LENGTH - GRAM + 2) / 2)
+    names = slots.shared(whole, anchors_of, part_bits)
+    rows = cut(candidates(docs, context.broadcast(bloom.build(names, "name")), part_bits, id_col, text_col))
     texts = rows.where(F.col("text").isNotNull()).select("rid", "doc_id", "text")
-    pieces = piece_texts(texts.join(heads, "rid")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    resolved = cut(pieces.groupBy("shard").applyInArrow(resolve_shard, "anchor long, hash long, n int, firsts array<long>"))
-
-    known = distinct.select(*key, F.col("head.owner").alias("first_owner")).join(resolved, key, "left")
-    found = places.join(known, key)
-    whole = found.where(F.col("owner") > F.col("first_owner")).select("rid", "start", (F.col("n") + LENGTH - 1).alias("size"))
-    partly = found.where((F.col("owner") == F.col("first_owner")) & F.col("firsts").isNotNull()).select("rid", "owner", "start", F.posexplode("firsts").alias("k", "first"))
-    partly = partly.where(F.col("first") < F.col("owner")).select("rid", (F.col("start") + F.col("k")).alias("start"), F.lit(LENGTH).alias("size"))
-    spans = whole.unionByName(partly).groupBy("rid").agg(F.collect_list(F.struct("start", "size")).alias("spans"))  # bounded by the text
+    places = rows.select("rid", "doc_id", F.explode("pieces").alias("p")).select("rid", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("owner"), "p.*")
+    found = reduce(DataFrame.unionByName, [cut(covered(places.where(F.pmod("anchor", F.lit(ROUNDS)) == k), texts)) for k in range(ROUNDS)])
+    spans = found.groupBy("rid").agg(F.collect_list("span").alias("spans"))  # bounded by the text
     touched = without_spans(texts.join(spans, "rid", "left"))
     clean = rows.where(F.col("text").isNull()).select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "digest", F.lit(None).cast("binary").alias("kept"))
-    return clean.unionByName(touched.withColumn("digest", F.lit(None).cast("string")))
+    gone = copies.join(rows.select(F.col("rid").alias("head"), "n_bytes", "digest"), "head")
+    long_ = F.col("n_bytes") >= LENGTH
+    gone = gone.select("doc_id", "n_bytes", F.when(long_, F.col("n_bytes")).otherwise(0).alias("n_removed"), long_.cast("long").alias("n_spans"), F.when(~long_, F.col("digest")).alias("digest"), F.when(long_, F.lit(b"")).alias("kept"))
+    return clean.unionByName(touched.withColumn("digest", F.lit(None).cast("string"))).unionByName(gone)
