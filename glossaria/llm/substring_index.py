@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glossaria.llm import bloom
-from glossaria.llm.common import cut, row_id, small_batches, text_or_empty
+from glossaria.llm.common import bucketed, cut, exact_copies, left_after, numbered, row_id, small_batches, text_or_empty
 from glossaria.llm.hashing import Words, anchored_runs, chunks, mix, prefix_sums, span_hashes
 
 WINDOW, GRAM = 20, 6
-AT_ONCE = 1 << 21
+AT_ONCE = 1_000_000  # bytes of text hashed together
 #: Bytes that separate words become spaces, others stay.
 SPACES = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
-RUN = "anchor:bigint,span:bigint,n:int,start:int,windows:array<bigint>"
+RUN = "anchor:bigint,span:bigint,n:int,start:int"
+HEAD = "anchor:bigint,start:int,n:int"
 
 
 def _bytes_of(column: pa.Array) -> list[bytes]:
@@ -80,48 +81,73 @@ def candidate_runs(docs: DataFrame, filter_bits, id_col: str = "doc_id", text_co
                 found = Anchored(texts[a:b])
                 w = found.words
                 ok = np.flatnonzero(bloom.passing(bits, found.anchor))
-                start, n, anchor = found.start[ok], found.count[ok], found.anchor[ok]
+                start, n, anchor = found.start[ok], found.count[ok], found.anchor[ok].view(np.int64)
                 spans = found.hashes(start, n + WINDOW - 1).view(np.int64)
-                at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else start
-                windows = np.split(mix(found.hashes(at, WINDOW)).view(np.int64), np.cumsum(n)[:-1]) if len(n) else []
                 doc = w.doc[start]
                 own: list[list] = [[] for _ in range(b - a)]
-                for k, (d, s) in enumerate(zip(doc.tolist(), (start - w.first[doc]).tolist(), strict=True)):
-                    own[d].append({"anchor": int(anchor[k].view(np.int64)), "span": int(spans[k]), "n": int(n[k]), "start": s, "windows": windows[k]})
+                for d, *values in zip(doc.tolist(), anchor.tolist(), spans.tolist(), n.tolist(), (start - w.first[doc]).tolist(), strict=True):
+                    own[d].append(dict(zip(("anchor", "span", "n", "start"), values, strict=True)))
                 made += own
                 digests += [None if own[k] else hashlib.sha256(b" ".join(t.split())).hexdigest() for k, t in enumerate(texts[a:b])]
                 counts += w.count.tolist()
-            kind = pa.list_(pa.struct([("anchor", pa.int64()), ("span", pa.int64()), ("n", pa.int32()), ("start", pa.int32()), ("windows", pa.list_(pa.int64()))]))
+            kind = pa.list_(pa.struct([("anchor", pa.int64()), ("span", pa.int64()), ("n", pa.int32()), ("start", pa.int32())]))
             kept = pa.array([t if r else None for t, r in zip(texts, made, strict=True)], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), kept, pa.array(made, kind)], names=["rid", "doc_id", "n_words", "digest", "text", "runs"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(row_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(row_id(docs).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, f"rid long, doc_id long, n_words long, digest string, text string, runs array<struct<{RUN}>>")
 
 
-def later_copies(runs: DataFrame) -> DataFrame:
-    """rid, start, n_words of spans of words that also start earlier.
+def windows_of(rows: DataFrame) -> DataFrame:
+    """batch, rid, doc_id, anchor, start, window: each window of the runs (`heads`) of a text."""
 
-    Runs: batch, rid, doc_id and the fields of RUN. Hot runs meet only partial minima and joins that can be split.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, heads = _bytes_of(batch.column("text")), batch.column("heads").to_pylist()
+            for a, b in chunks(texts, AT_ONCE):
+                w = Words(texts[a:b], SPACES)
+                sums = prefix_sums(w.hash)
+                flat = [(k, h["anchor"], h["start"], h["n"]) for k in range(a, b) for h in heads[k]]
+                doc, anchor, start, n = (np.array([f[j] for f in flat], np.int64) for j in range(4))
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                each = np.repeat(np.arange(len(flat)), n)
+                at = start[each] + inner
+                first = w.first[doc - a][each] + at
+                window = mix(span_hashes(sums, first, first + WINDOW)).view(np.int64)
+                row = pa.array(doc[each])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("batch", "rid", "doc_id")), pa.array(anchor[each]), pa.array(at.astype(np.int32)), pa.array(window)], names=["batch", "rid", "doc_id", "anchor", "start", "window"])
+
+    small_batches(rows.sparkSession)
+    return rows.select("batch", "rid", "doc_id", "text", "heads").mapInArrow(run, "batch int, rid long, doc_id long, anchor long, start int, window long")
+
+
+def later_copies(rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """batch, rid, start, n_words of spans of words that also start earlier.
+
+    `rows` has batch, rid, doc_id, text and runs; only runs of the `wanted` anchors, if these are given. Hot runs meet
+    only partial minima and joins that can be split.
     """
     place = F.struct("batch", "doc_id", "start")
     key = ["anchor", "span", "n"]
-    placed = runs.withColumn("place", place)
+    placed = rows.select("batch", "rid", "doc_id", F.explode("runs").alias("r")).select("batch", "rid", "doc_id", "r.*")
+    if wanted is not None:
+        placed = placed.join(wanted, "anchor", "left_semi")
+    placed = bucketed(placed, *key).withColumn("place", place)
     first = placed.groupBy(*key).agg(F.min("place").alias("first"))
     compared = placed.join(first, key)
-    whole = compared.where(F.col("place") > F.col("first")).select("rid", "batch", "start", (F.col("n") + WINDOW - 1).alias("n_words"))
+    whole = compared.where(F.col("place") > F.col("first")).select("batch", "rid", "start", (F.col("n") + WINDOW - 1).alias("n_words"))
     several = first.groupBy("anchor").agg(F.count("*").alias("spans")).where(F.col("spans") > 1).select("anchor")
-    heads = compared.where(F.col("place") == F.col("first")).join(several, "anchor")
-    each = heads.select("rid", "anchor", "batch", "doc_id", F.posexplode("windows").alias("k", "window"), F.col("start").alias("s"))
-    each = cut(each.select("rid", "anchor", "window", F.struct("batch", "doc_id", (F.col("s") + F.col("k")).alias("start")).alias("place")))
+    heads = compared.where(F.col("place") == F.col("first")).join(several, "anchor").groupBy("batch", "rid").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("heads"))  # bounded by the text
+    each = bucketed(windows_of(rows.select("batch", "rid", "doc_id", "text").join(heads, ["batch", "rid"])), "anchor", "window")
+    each = each.withColumn("place", place)
     least = each.groupBy("anchor", "window").agg(F.min("place").alias("first"))
     single = each.join(least, ["anchor", "window"]).where(F.col("place") > F.col("first"))
-    return whole.unionByName(single.select("rid", F.col("place.batch").alias("batch"), F.col("place.start").alias("start"), F.lit(WINDOW).alias("n_words")))
+    return whole.unionByName(single.select("batch", "rid", "start", F.lit(WINDOW).alias("n_words")))
 
 
 def without_spans(rows: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (text of the words that stay) from doc_id, text, spans."""
+    """rid, doc_id, n_words, n_removed, kept (text of the words that stay) from rid, doc_id, text, spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,10 +162,10 @@ def without_spans(rows: DataFrame) -> DataFrame:
                 total.append(len(words))
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["rid", "doc_id", "n_words", "n_removed", "kept"])
 
     small_batches(rows.sparkSession)
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return rows.select("rid", "doc_id", "text", "spans").mapInArrow(run, "rid long, doc_id long, n_words long, n_removed long, kept string")
 
 
 class FingerprintIndex:
@@ -151,7 +177,7 @@ class FingerprintIndex:
         self.runs: list[str] = []
         self.made = 0
         self.batches: list[DataFrame] = []
-        self.compared: list[DataFrame] = []  # runs of windows whose anchors were shared when last seen
+        self.compared: list[DataFrame] = []  # texts and their runs whose anchors were shared when last seen
 
     def _write(self, counted: DataFrame) -> str:
         table, buckets = f"{self.name}_{self.made}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -186,7 +212,7 @@ class FingerprintIndex:
         self.runs = []
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """doc_id, n_words, n_removed, digest or kept (text) of the batch's documents; the other one is null."""
+        """rid, doc_id, n_words, n_removed, digest or kept (text) of the batch's documents; the other one is null."""
         context, k = self.spark.sparkContext, len(self.batches)
         before = self.history()
         table = self._write(anchors_of(docs, text_col))
@@ -197,25 +223,26 @@ class FingerprintIndex:
         else:
             met = cut(own.join(before.withColumnRenamed("n", "m"), "anchor", "left").where((F.col("n") > 1) | F.col("m").isNotNull()))
             shared, alone = met.select("anchor"), met.where(F.col("m") == 1).select("anchor")
-        rows = cut(candidate_runs(docs, context.broadcast(bloom.build(shared, "anchor")), id_col, text_col))
-        flat = rows.select("rid", "doc_id", F.explode("runs").alias("r")).select(F.lit(k).alias("batch"), "rid", "doc_id", "r.*")
-        pool = flat
+        rows = cut(candidate_runs(docs, context.broadcast(bloom.build(shared, "anchor")), id_col, text_col).withColumn("batch", F.lit(k)))
+        columns = ["batch", "rid", "doc_id", "text", "runs"]
+        own_rows = rows.where(F.col("text").isNotNull()).select(*columns)
+        pool, known = own_rows, None
         if alone is not None:
             bits = context.broadcast(bloom.build(alone, "anchor"))
             for j, old in enumerate(self.batches):  # anchors that had been alone until now
-                again = candidate_runs(old, bits, id_col, text_col).select("rid", "doc_id", F.explode("runs").alias("r"))
-                self.compared.append(cut(again.select(F.lit(j).alias("batch"), "rid", "doc_id", "r.*")))
-            known = flat.select("anchor").distinct()
+                again = candidate_runs(old, bits, id_col, text_col).where(F.col("text").isNotNull())
+                self.compared.append(cut(again.withColumn("batch", F.lit(j)).select(*columns)))
+            known = own_rows.select(F.explode("runs.anchor").alias("anchor")).distinct()
             for old in self.compared:
-                pool = pool.unionByName(old.join(known, "anchor", "left_semi"))
-        spans = later_copies(pool).where(F.col("batch") == k)
+                pool = pool.unionByName(old)
+        spans = later_copies(pool, known).where(F.col("batch") == k)
         spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))  # bounded by the text
         touched = without_spans(rows.where(F.col("text").isNotNull()).select("rid", "doc_id", "text").join(spans, "rid", "left"))
-        out = rows.where(F.col("text").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "digest", F.lit(None).cast("string").alias("kept"))
-        out = cut(out.unionByName(touched.select("doc_id", "n_words", "n_removed", F.lit(None).cast("string").alias("digest"), "kept")))
+        out = rows.where(F.col("text").isNull()).select("rid", "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "digest", F.lit(None).cast("string").alias("kept"))
+        out = cut(out.unionByName(touched.select("rid", "doc_id", "n_words", "n_removed", F.lit(None).cast("string").alias("digest"), "kept")))
         self.runs.append(table)
         self.batches.append(docs)
-        self.compared.append(flat)
+        self.compared.append(own_rows)
         if len(self.runs) >= self.most_runs:
             self.compact()
         return out
@@ -234,11 +261,20 @@ def in_batches(docs: DataFrame, n: int, id_col: str = "doc_id") -> list[DataFram
 
 
 def deduplicate(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows of `docs` as if they came in batches: doc_id, n_words, n_removed, digest or kept."""
+    """All rows of `docs` as if they came in batches: doc_id, n_words, n_removed, digest or kept.
+
+    Later copies of a whole text lose all of it (if it has a window), and nothing starts first in them, so only their
+    first text goes into the index.
+    """
     index = FingerprintIndex(docs.sparkSession, most_runs=2)
-    parts = [index.add(part, id_col, text_col) for part in in_batches(docs, batches, id_col)]
+    every = numbered(docs)
+    copies = exact_copies(every, id_col, text_col)
+    parts = [index.add(part, id_col, text_col) for part in in_batches(left_after(every, copies), batches, id_col)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     index.drop()
-    return out
+    gone = copies.join(out.select(F.col("rid").alias("head"), "n_words", "digest", "kept"), "head")
+    long_ = F.col("n_words") >= WINDOW
+    gone = gone.select("doc_id", "n_words", F.when(long_, F.col("n_words")).otherwise(0).alias("n_removed"), F.when(~long_, F.col("digest")).alias("digest"), F.when(long_, F.lit("")).otherwise(F.col("kept")).alias("kept"))
+    return out.drop("rid").unionByName(gone)
