@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import cache
 from itertools import product
 
-from glossaria.functions.rules import Condition, Rule, RuleSet, pattern, prefix, suffix, whole
+from glossaria.functions.rules import Condition, Rule, RuleSet, everywhere, pattern, prefix, suffix, whole
 
 
 def doubled(consonants: str, ending: str, inner: str, outer: str) -> list[Rule]:
@@ -248,7 +248,85 @@ def latin() -> RuleSet:
     })
 
 
-MAKERS = {"en": english, "de": german, "es": spanish, "fr": french, "ja": japanese, "ka": georgian, "ga": irish, "eo": esperanto, "la": latin}
+def listed(text: str, inner: str = "", outer: str = "") -> list[Rule]:
+    """Suffix rules from pairs such as `ies>y`."""
+    return [suffix(*pair.split(">"), inner, outer) for pair in text.split()]
+
+
+def ancient_greek() -> RuleSet:
+    """Present tense persons of -ω, -εω and -ομαι verbs, and cases of three declensions."""
+    # Endings and what they stand for, by transform.
+    verbs = {
+        "2nd person singular present active indicative": "εις>ω εις>εω", "3rd person singular present active indicative": "ει>ω ει>εω", "1st person plural present active indicative": "ομεν>ω", "2nd person plural present active indicative": "ετε>ω",
+        "3rd person plural present active indicative": "ουσι>ω ουσιν>ω", "2nd person singular present middle indicative": "ῃ>ομαι ει>ομαι", "3rd person singular present middle indicative": "εται>ομαι",
+        "1st person plural present middle indicative": "ομεθα>ομαι", "2nd person plural present middle indicative": "εσθε>ομαι", "3rd person plural present middle indicative": "ονται>ομαι",
+    }
+    plural = "οι>ος αι>α αι>ας α>ον αι>η"
+    nouns = {
+        "genitive singular": "ου>ος ας>α ου>ας ου>ον ης>η", "dative singular": "ω>ος α>ας ω>ον", "accusative singular": "ον>ος αν>α αν>ας ην>η", "vocative singular": "ε>ος α>ας η>η",
+        "nominative plural": plural, "genitive plural": "ων>ος ων>α ων>ας ων>ον ων>η", "dative plural": "οις>ος αις>α αις>ας οις>ον αις>η", "accusative plural": "ους>ος ας>α α>ον ας>η", "vocative plural": plural,
+    }
+    return RuleSet("grc", [Condition("v"), Condition("n"), Condition("adj")], {
+        **{k: listed(t, "", "v") for k, t in verbs.items()}, **{k: listed(t, "", "n") for k, t in nouns.items()},
+        "accusative singular masculine": listed("ον>ος", "", "adj"), "nominalization": listed("ος>εω", "", "v"),
+    })
+
+
+def albanian() -> RuleSet:
+    """Definite nouns, and persons of the three conjugations; the second one doesn't follow a j."""
+    numbers = ["first-person singular", "second-person singular", "third-person singular", "first-person plural", "second-person plural", "third-person plural"]
+
+    def second(ending: str) -> Rule:
+        return pattern(f"([^j]){ending}$", r"\g<1>", "", "v")
+
+    # Endings by person; what follows a / belongs to the middle voice, whose base ends in -hem.
+    present = ["", "on>oj uan>uaj n>j hesh>hem", "on>oj uan>uaj n>j het>hem", "më> im> hemi>hem", "ni>j ni> heni>hem", "në> in> hen>hem"]
+    imperfect = ["ja>j ja> hesha>hem", "je>j je> heshe>hem", "nte>j te> hej>hem", "nim>j nim> heshim>hem", "nit>j nit> heshit>hem", "nin>j nin> heshin>hem"]
+    aorist = [("ova>uaj va>j", "a", ""), ("ove>uaj ve>j", "e", ""), ("oi>oj oi>uaj u>j", "i", "ye>ej"), ("uam>oj uam>uaj më>j", "ëm", ""), ("uat>oj uat>uaj të>j", "ët", ""), ("uan>oj uan>uaj në>j", "ën", "")]
+    optative = ["fsha", "fsh", "ftë", "fshim", "fshi", "fshin"]
+    v = lambda t: listed(t, "", "v")
+    return RuleSet("sq", [Condition("v"), Condition("n", ("np", "ns")), Condition("np"), Condition("ns"), Condition("adj"), Condition("adv")], {
+        "definite": listed("ku>k gu>g hu>h au>a iu>i eu>e i>ë i> ri> oi>ua a>ë a> ja>e", "", "n"), "singular definite accusative": listed("n>", "", "n"), "plural": listed("e> t>", "np", "ns"),
+        **{f"present indicative {p}": v(t) for p, t in zip(numbers, present, strict=True) if t}, **{f"imperfect {p} indicative": v(t) for p, t in zip(numbers, imperfect, strict=True)},
+        **{f"aorist {p} indicative": [*v(a), second(b), *v(c)] for p, (a, b, c) in zip(numbers, aorist, strict=True)},
+        "imperative second-person singular present": v("o>oj hu>hem"), "imperative second-person plural present": v("ni>j ni> huni>hem"), "participle": v("uar>oj ur> rë>j yer>ej"), "mediopassive": listed("hem>h hem>j", "v", "v"),
+        **{f"optative {p} present": v(f"{e}>j") for p, e in zip(numbers, optative, strict=True)}, "nominalization": v("im>oj im>ej je>"),
+    })
+
+
+def yiddish() -> RuleSet:
+    """Plurals, diminutives and present tense, with and without a change of the last vowel."""
+    # Plural and diminutive endings, and changed vowels with what they were.
+    plural = "ס ן ים ער עך ען עס ות נס ערען ענעס ענס ערס סער"
+    changing, small = "ער עס ים ען ן ס עך ערס", "ל עלע"
+    vowels = [("ע", "\ufb2e"), ("ע", "\ufb2f"), ("ע", "א"), ("\u05f1", "ע"), ("\u05f2", "\u05f1"), ("י", "ו")]
+    letters = "\u05e2\u05f0\u05d0\ufb2e\u05f1\u05d5\u05f2\ufb1d\ufb1f\u05d9\ufb2f"
+
+    def changed(endings_: str, inner: str, outer: str) -> list[Rule]:
+        # The last vowel before the ending is the changed one.
+        return [pattern(f"{new}(?=[^{letters}]*{e}$)(.*){e}$", old + r"\g<1>", inner, outer) for e in endings_.split() for new, old in vowels]
+
+    return RuleSet("yi", [Condition("v", ("vpast", "vpresent")), Condition("vpast", (), False), Condition("vpresent"), Condition("n", ("np", "ns")), Condition("np"), Condition("ns"), Condition("adj"), Condition("adv")], {
+        "plural": [suffix(e, "", "np", "ns") for e in plural.split()], "umlaut_plural": changed(changing, "np", "ns"), "diminutive": [suffix(e, "", "n", "n") for e in "טשיק קע ל עלע".split()], "diminutive_and_umlaut": changed(small, "n", "n"),
+        "verb_present_singular_to_first_person": [suffix(e, "", "v", "vpresent") for e in "סט ט נדיק".split()], "verb_present_plural_to_first_person": [suffix(e, "נ", "v", "vpresent") for e in "טס ט".split()],
+    })
+
+
+def old_irish() -> RuleSet:
+    """Spellings of one sound inside a word, and initial mutations. No conditions, so every rule applies to every form."""
+    stops, all_ = ("c", "p", "t"), ("c", "p", "t", "g", "b", "d", "r", "l", "n", "m", "s")
+    voiced = ("g", "b", "d")
+    inside = lambda a, b: everywhere(f"(?<!^){a}", b)
+    return RuleSet("sga", [], {
+        "nd for nn": [suffix("nd", "nn")], **{f"{a} for {b}": [everywhere(a, b)] for a, b in (("cg", "c"), ("td", "t"), ("pb", "p"))}, "ǽ/æ for é": [everywhere("ǽ", "é"), everywhere("æ", "é")],
+        "doubled vowel": [inside(2 * a, b) for a, b in ACUTE.items()], "doubled consonant": [inside(2 * c, c) for c in all_], "lenited": [inside(c + "h", c) for c in stops], "lenited (Middle Irish)": [inside(c + "h", c) for c in voiced],
+        "[IM] nasalized": [prefix("ng", "g"), prefix("mb", "b"), prefix("nd", "d"), prefix("n-", ""), prefix("m-", "")], "[IM] nasalized (Middle Irish)": [prefix("gc", "c"), prefix("bp", "p"), prefix("dt", "d")],
+        "[IM] lenited": [prefix(c + "h", c) for c in stops], "[IM] lenited (Middle Irish)": [prefix(c + "h", c) for c in voiced],
+        "[IM] aspirated": [*(prefix("h" + v, v) for v in "aeiou"), prefix("h-", "")], "[IM] geminated": [*(prefix(2 * c, c) for c in all_), *(prefix(f"{c}-{c}", c) for c in all_)],
+    })
+
+
+MAKERS = {"sga": old_irish, "grc": ancient_greek, "sq": albanian, "yi": yiddish, "en": english, "de": german, "es": spanish, "fr": french, "ja": japanese, "ka": georgian, "ga": irish, "eo": esperanto, "la": latin}
 _added: dict[str, RuleSet] = {}
 
 

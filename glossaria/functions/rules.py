@@ -18,7 +18,7 @@ MAX_DEPTH = 16
 
 
 class Rule(NamedTuple):
-    kind: str  # suffix, prefix, whole or pattern
+    kind: str  # suffix, prefix, whole, pattern (its first match) or everywhere (all matches)
     inflected: str  # the affix, word or regular expression
     base: str | Callable[[re.Match], str]
     inner: tuple[str, ...] = ()
@@ -41,6 +41,10 @@ def pattern(inflected: str, base: str | Callable[[re.Match], str], inner: str =
     return Rule("pattern", inflected, base, tuple(inner.split()), tuple(outer.split()))
 
 
+def everywhere(inflected: str, base: str, inner: str = "", outer: str = "") -> Rule:
+    return Rule("everywhere", inflected, base, tuple(inner.split()), tuple(outer.split()))
+
+
 class Condition(NamedTuple):
     name: str
     members: tuple[str, ...] = ()
@@ -70,7 +74,7 @@ class RuleSet:
             for number, rule in enumerate(rules):
                 entry = (place, name, number, rule, self.flags_of(rule.inner, strict=True), self.flags_of(rule.outer, strict=True))
                 place += 1
-                if rule.kind == "pattern":
+                if rule.kind in ("pattern", "everywhere"):
                     self._patterns.append((*entry, re.compile(rule.inflected, re.ASCII)))
                 else:
                     self._affixes.setdefault((rule.kind, rule.inflected), []).append(entry)
@@ -121,7 +125,7 @@ class RuleSet:
             found.append((entry, entry[3].base))
         for *entry, compiled in self._patterns:
             if compiled.search(text):
-                found.append((tuple(entry), compiled.sub(entry[3].base, text, count=1)))
+                found.append((tuple(entry), compiled.sub(entry[3].base, text, count=entry[3].kind == "pattern")))
         yield from sorted(found, key=lambda x: x[0][0])
 
     def closure(self, text: str, max_depth: int = MAX_DEPTH) -> list[Form]:

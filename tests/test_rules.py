@@ -17,7 +17,7 @@ def bases(language, word):
         ("es", "hablamos", "hablar"), ("es", "pienso", "pensar"), ("es", "canciones", "canción"), ("es", "tuvimos", "tener"), ("es", "hablaré", "hablar"), ("es", "me despertar", "despertarse"), ("es", "escrito", "escribir"), ("es", "lavarme", "lavarse"),
         ("fr", "parlons", "parler"), ("fr", "finissait", "finir"), ("fr", "mangeant", "manger"), ("fr", "chevaux", "cheval"), ("fr", "serons", "être"), ("fr", "vendront", "vendre"), ("fr", "mangeais", "manger"),
         ("ja", "食べた", "食べる"), ("ja", "書いて", "書く"), ("ja", "読まない", "読む"), ("ja", "行った", "行く"), ("ja", "高くない", "高い"), ("ja", "食べられた", "食べる"), ("ja", "します", "する"), ("ja", "来なかった", "来る"), ("ja", "食べている", "食べる"), ("ja", "泳いだ", "泳ぐ"),
-        ("ga", "gcat", "cat"), ("eo", "malbona", "bona"), ("la", "puellae", "puella"), ("ka", "სახლები", "სახლ"),
+        ("grc", "λογου", "λογος"), ("grc", "λυομεν", "λυω"), ("sq", "punova", "punuaj"), ("sq", "libri", "libr"), ("sq", "hapa", "hap"), ("yi", "ביכער", "בוכ"), ("sga", "máccán", "mácán"), ("sga", "chenél", "cenél"), ("yi", "טישן", "טיש"), ("yi", "קינדער", "קינד"), ("ga", "gcat", "cat"), ("eo", "malbona", "bona"), ("la", "puellae", "puella"), ("ka", "სახლები", "სახლ"),
     ],
 )
 def test_golden_pairs(language, inflected, base):
