@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from glossaria.functions import columns as C
+from glossaria.functions.processors import text_variants
 from glossaria.functions.rule_sets import rule_set
 from glossaria.operators import lookup, metadata, segment
 from glossaria.operators.deinflect import closure_of, one_step, suffix_rules
@@ -431,6 +432,17 @@ def find_terms_grouped(spark, sf_dir):
     return found.select("query_id", "rank", F.col("headwords")[0]["expression"].alias("expression"), "max_length", "score", F.size("definitions").alias("definitions"), "chain_length")
 
 
+@query(
+    """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zäöüÄÖÜß]+')) AS text FROM documents WHERE lang = 'de'),
+a AS (SELECT text, unnest(list_distinct([text, lower(text)])) AS v FROM w), b AS (SELECT text, unnest(list_distinct([v, upper(left(v, 1)) || substr(v, 2)])) AS v FROM a),
+c AS (SELECT text, unnest(list_distinct([v, replace(v, 'ß', 'ss'), replace(v, 'ss', 'ß')])) AS v FROM b) SELECT DISTINCT text, v AS variant FROM c"""
+)
+def text_variants_de(spark, sf_dir):
+    """All German processors with all options."""
+    own = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-zäöüÄÖÜß]+)"), F.lit(1))).alias("text"))
+    return text_variants(own, "de").select("text", "variant")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch lookup of the benchmark's words in the derived dictionary: the best group of each word."""
     met = benchmark_words(spark, sf_dir).join(terms(spark, sf_dir), F.col("word") == F.col("expression"))
