@@ -433,13 +433,13 @@ def find_terms_grouped(spark, sf_dir):
 
 
 @query(
-    """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zäöüÄÖÜß]+')) AS text FROM documents WHERE lang = 'de'),
+    """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zäöüÄÖÜ][A-Za-zäöüÄÖÜß]*')) AS text FROM documents WHERE lang = 'de'),
 a AS (SELECT text, unnest(list_distinct([text, lower(text)])) AS v FROM w), b AS (SELECT text, unnest(list_distinct([v, upper(left(v, 1)) || substr(v, 2)])) AS v FROM a),
 c AS (SELECT text, unnest(list_distinct([v, replace(v, 'ß', 'ss'), replace(v, 'ss', 'ß')])) AS v FROM b) SELECT DISTINCT text, v AS variant FROM c"""
 )
 def text_variants_de(spark, sf_dir):
     """All German processors with all options."""
-    own = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-zäöüÄÖÜß]+)"), F.lit(1))).alias("text"))
+    own = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-zäöüÄÖÜ][A-Za-zäöüÄÖÜß]*)"), F.lit(1))).alias("text"))
     return text_variants(own, "de").select("text", "variant")
 
 
