@@ -33,7 +33,7 @@ LENGTH, GRAM = 50, 16
 AT_ONCE = 1_000_000  # bytes of text hashed together
 SHARD = 1 << 18  # bytes
 #: Anchors are settled in so many rounds, one after the other, each of which needs that part of the disk.
-ROUNDS = 4
+ROUNDS = 3
 PIECE = "anchor:bigint,hash:bigint,at:bigint"  # at: first start, then how many, in the low 8 bits
 
 
@@ -188,7 +188,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     part_bits = slots.part_bits(whole, (LENGTH - GRAM + 2) / 2)
     names = slots.shared(whole, anchors_of, part_bits)
     rows = cut(candidates(docs, context.broadcast(bloom.build(names, "name")), part_bits, id_col, text_col))
-    texts = rows.where(F.col("text").isNotNull()).select("rid", "doc_id", "text")
+    texts = bucketed(rows.where(F.col("text").isNotNull()).select("rid", "doc_id", "text"), "rid")  # each round asks it
     places = rows.select("rid", "doc_id", F.explode("pieces").alias("p")).select("rid", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("owner"), "p.*")
     found = reduce(DataFrame.unionByName, [cut(covered(places.where(F.pmod("anchor", F.lit(ROUNDS)) == k), texts)) for k in range(ROUNDS)])
     spans = found.groupBy("rid").agg(F.collect_list("span").alias("spans"))  # bounded by the text
