@@ -18,19 +18,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from glossaria.llm import bloom, slots
 from glossaria.llm.classes import classes_in_buckets
-from glossaria.llm.common import cut, row_id, small_batches, text_or_empty
+from glossaria.llm.common import ROW, cut, exact_copies, few, left_after, numbered, row_id, small_batches, text_or_empty
 from glossaria.llm.hashing import CHAIN, chunks, mix, prefix_sums, span_hashes
+from glossaria.llm.rarity import document_counts, entry_of, sharing_pairs
 
 EDITS = 2
 LEAST = 24
-AT_ONCE = 1 << 21
+BYTES_A_KEY = 16  # about, for the number of slots
+GRAM = 4
+AT_ONCE = 1_000_000  # bytes of text hashed together
 PAIRS_AT_ONCE = 4096
 LINE = "line:int,node:binary,own:array<bigint>,probes:array<bigint>"
 
@@ -77,7 +81,7 @@ class Lines:
                 high = np.minimum(np.minimum(p + i, p + less + (EDITS - i)), length - size)
                 for at in range(2 * EDITS + 1):
                     place = low + at
-                    if not (place <= high).any():
+                    if len(length) and not (place <= high).any():
                         continue
                     key = named(length - less, i, self.start + np.minimum(place, length - size), size)
                     if less == 0 and at == 0:
@@ -90,7 +94,7 @@ class Lines:
         return self.joined[self.start[k] : self.end[k]]
 
 
-def packed_keys(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+def keys_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for a, b in chunks(texts, AT_ONCE):
         found = Lines(texts[a:b])
         seen: dict[bytes, int] = {}
@@ -100,10 +104,10 @@ def packed_keys(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         probing = found.probes.reshape(-1)
         repeated = (found.probes[:, :, None] == found.own[:, None, :]).any(axis=2).reshape(-1)
         owners = np.concatenate([np.repeat(each, found.own.shape[1]), np.repeat(equal, found.probes.shape[1])[~repeated]])
-        yield slots.packed(np.concatenate([found.own.reshape(-1), probing[~repeated]]), owners)
+        yield np.concatenate([found.own.reshape(-1), probing[~repeated]]), owners
 
 
-def candidates(docs: DataFrame, filter_bits, id_col: str, text_col: str) -> DataFrame:
+def candidates(docs: DataFrame, filter_bits, part_bits: int, id_col: str, text_col: str) -> DataFrame:
     """rid, doc_id, n_lines, lines whose keys pass the filter; the text if there are any, else its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +118,7 @@ def candidates(docs: DataFrame, filter_bits, id_col: str, text_col: str) -> Data
             for a, b in chunks(texts, AT_ONCE):
                 found = Lines(texts[a:b])
                 lists: list[list] = [[] for _ in range(b - a)]
-                passed = [bloom.passing(bits, slots.named(slots.slots_of(keys.reshape(-1)))).reshape(keys.shape) for keys in (found.own, found.probes)]
+                passed = [bloom.passing(bits, slots.named(slots.slots_of(keys.reshape(-1), part_bits))).reshape(keys.shape) for keys in (found.own, found.probes)]
                 for k in np.flatnonzero(passed[0].any(axis=1) | passed[1].any(axis=1)).tolist():
                     own = found.own[k][passed[0][k]].view(np.int64).tolist()
                     probes = set(found.probes[k][passed[1][k]].view(np.int64).tolist()) - set(own)
@@ -127,7 +131,7 @@ def candidates(docs: DataFrame, filter_bits, id_col: str, text_col: str) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(lines, pa.int64()), pa.array(digests, pa.string()), kept, pa.array(made, kind)], names=["rid", "doc_id", "n_lines", "digest", "text", "lines"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(row_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(text_col).isNotNull().alias("some"))
+    rows = docs.select(row_id(docs).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(text_col).isNotNull().alias("some"))
     return rows.mapInArrow(run, f"rid long, doc_id long, n_lines long, digest string, text string, lines array<struct<{LINE}>>")
 
 
@@ -195,11 +199,21 @@ def banded_distance(pairs: list[tuple[bytes, bytes]], edits: int = EDITS) -> np.
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b of the pairs of lines within the distance."""
 
+    def judged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = [p for batch in held for p in zip(_bytes_of(batch.column("text_a")), _bytes_of(batch.column("text_b")), strict=True)]
+        near, at = banded_distance(both) <= EDITS, 0
+        for batch in held:
+            yield batch.select(["a", "b"]).filter(pa.array(near[at : at + len(batch)]))
+            at += len(batch)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            both = list(zip(_bytes_of(batch.column("text_a")), _bytes_of(batch.column("text_b")), strict=True))
-            near = banded_distance(both) <= EDITS
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            held.append(batch)
+            if sum(map(len, held)) >= PAIRS_AT_ONCE or sum(b.nbytes for b in held) >= AT_ONCE * 8:
+                yield from judged(held)
+                held = []
+        yield from judged(held)
 
     small_batches(pairs.sparkSession)
     second = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -207,6 +221,68 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Text numbers and hashes of all grams, each told apart by how often it stood before in its text."""
+    buffer = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    n = np.maximum(size - GRAM + 1, 0)
+    first = np.cumsum(size) - size
+    at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+    doc = np.repeat(np.arange(len(texts)), n)
+    h = span_hashes(prefix_sums(buffer), at, at + GRAM)
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.empty(0, bool)
+    run = np.flatnonzero(new)
+    repeat = np.arange(len(h)) - np.repeat(run, np.diff(np.append(run, len(h)))) if len(h) else np.empty(0, np.int64)
+    return doc, mix(h + repeat.astype(np.uint64) * CHAIN)
+
+
+def profiles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How often bytes of each of 16 kinds stand in a text: eight bits a kind (modulo 256), eight kinds a number."""
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    kind = np.frombuffer(b"".join(texts), np.uint8) & 15
+    counts = np.bincount(doc * 16 + kind, minlength=16 * len(texts)).reshape(-1, 2, 8).astype(np.uint8)
+    return counts[:, 0].copy().view(np.int64)[:, 0], counts[:, 1].copy().view(np.int64)[:, 0]
+
+
+def unlike(a: Column, b: Column) -> Column:
+    """Sum of differences of two profiles, in eight kinds. An edit changes it by two at most."""
+    parts = []
+    for k in range(8):
+        d = F.abs(F.shiftrightunsigned(a, 8 * k).bitwiseAND(255) - F.shiftrightunsigned(b, 8 * k).bitwiseAND(255))
+        parts.append(F.least(d, 256 - d))
+    return reduce(Column.__add__, parts)
+
+
+def prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, token, size, short (always), low and high (see `profiles`): the rarest `GRAM * EDITS + 1` grams of each
+    line. An edit changes `GRAM` grams at most, so lines within the distance share one of these."""
+    own = texts.join(nodes, "node").select("node", "text")
+    seen = nodes.sparkSession.sparkContext.broadcast(document_counts(own, grams)[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _bytes_of(batch.column("text"))
+            for a, b in chunks(found, AT_ONCE):
+                doc, h = grams(found[a:b])
+                order = np.lexsort((h, seen.value[entry_of(h)], doc))
+                doc, h = doc[order], h[order]
+                at = np.flatnonzero(np.arange(len(doc)) - np.searchsorted(doc, doc) <= GRAM * EDITS)
+                sizes, profile = np.array([len(t) for t in found[a:b]], np.int32), profiles(found[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(a + doc[at])), pa.array(h[at].view(np.int64)), pa.array(sizes[doc[at]]), pa.array(np.ones(len(at), bool)), *(pa.array(p[doc[at]]) for p in profile)], names=["node", "token", "size", "short", "low", "high"])
+
+    return own.mapInArrow(run, "node binary, token long, size int, short boolean, low long, high long")
+
+
+def across(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: pairs of lines of different classes, one of them minor, that share what near lines must share."""
+    nodes = cut(groups.groupBy("node", "class").agg(F.max("minor").alias("minor")))
+    # Of two minor lines the lesser name comes first; a line that isn't minor may come second or first.
+    once = lambda a, b: (F.abs(a("size") - b("size")) <= EDITS) & (unlike(a("low"), b("low")) + unlike(a("high"), b("high")) <= 2 * EDITS) & (~a("minor") | ~b("minor") | (a("node") < b("node")))
+    return sharing_pairs(cut(prefixes(nodes.select("node"), texts)), nodes, once)
+
+
 def split_lines(rows: DataFrame) -> DataFrame:
     """rid, node, text of candidate lines."""
 
@@ -239,12 +315,33 @@ def without_lines(rows: DataFrame) -> DataFrame:
     return rows.select("rid", "doc_id", "text", "gone", "n_linked").mapInArrow(run, "rid long, doc_id long, n_lines long, n_removed long, n_linked long, kept string")
 
 
+def lines_of_copies(rows: DataFrame) -> DataFrame:
+    """rid, doc_id, n_lines, n_removed, kept: a later copy of a whole text loses every line that takes part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, removed, kept = [], [], []
+            for text, some in zip(_bytes_of(batch.column("text")), batch.column("some").to_pylist(), strict=True):
+                gone, lines = set(Lines([text]).number.tolist()) if some else set(), text.split(b"\n")
+                total.append(len(lines) if some else 0)
+                removed.append(len(gone))
+                kept.append(b"\n".join([x for k, x in enumerate(lines) if k not in gone]))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("head"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["rid", "doc_id", "head", "n_lines", "n_removed", "kept"])
+
+    return rows.mapInArrow(run, "rid long, doc_id long, head long, n_lines long, n_removed long, kept string")
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rid, doc_id, n_lines, n_removed, n_linked (lines in a class with other texts), digest or kept (text); the other is null."""
     context = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
-    names = slots.shared(docs.select(text_or_empty(text_col).alias("text")), packed_keys)
-    rows = cut(candidates(docs, context.broadcast(bloom.build(names, "name")), id_col, text_col))
+    every = numbered(docs)
+    copies = exact_copies(every, id_col, text_col)
+    docs = left_after(every, copies)
+    whole = docs.select(text_or_empty(text_col).alias("text"))
+    part_bits = slots.part_bits(whole, BYTES_A_KEY)
+    names = slots.shared(whole, keys_of, part_bits)
+    rows = cut(candidates(docs, context.broadcast(bloom.build(names, "name")), part_bits, id_col, text_col))
     lines = rows.select("rid", "doc_id", F.explode("lines").alias("x")).select("rid", "doc_id", "x.*")
     keyed = lines.select("node", F.lit(True).alias("own"), F.explode("own").alias("bucket")).unionByName(lines.select("node", F.lit(False).alias("own"), F.explode("probes").alias("bucket")))
     members = cut(keyed.groupBy("bucket", "node").agg(F.max("own").alias("own")))
@@ -252,7 +349,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = cut(members.join(chosen.select("bucket", "a"), "bucket").select("bucket", "a", F.col("node").alias("b")))
     texts = split_lines(rows.where(F.col("text").isNotNull()))
     texts = cut(texts.join(met.select(F.col("b").alias("node")).distinct(), "node").dropDuplicates(["node"]))
-    classes = classes_in_buckets(met, lambda pairs: verified(pairs, texts))
+    classes = classes_in_buckets(met, lambda pairs: verified(pairs, texts), lambda groups: across(groups, texts))
 
     placed = lines.join(classes, "node", "left").select("rid", F.coalesce("class", "node").alias("class"), F.struct("doc_id", "line").alias("place"), F.col("class").isNotNull().alias("linked"))
     first = placed.groupBy("class").agg(F.min("place").alias("first"))
@@ -261,4 +358,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spans = judged.where(later | F.col("linked")).groupBy("rid").agg(F.collect_list(F.when(later, F.col("place.line"))).alias("gone"), F.count_if("linked").alias("n_linked"))  # bounded by the text
     touched = without_lines(rows.where(F.col("text").isNotNull()).select("rid", "doc_id", "text").join(spans, "rid", "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("long"))))
     clean = rows.where(F.col("text").isNull()).select("rid", "doc_id", "n_lines", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_linked"), "digest", F.lit(None).cast("string").alias("kept"))
+    copied = every.select(F.col(ROW).alias("rid"), text_or_empty(text_col).alias("text"), F.col(text_col).isNotNull().alias("some")).join(few(copies), "rid")
+    copied = lines_of_copies(copied).join(spans.select(F.col("rid").alias("head"), "n_linked"), "head", "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("long"))).drop("head")
+    touched = touched.unionByName(copied)
     return clean.unionByName(touched.withColumn("digest", F.lit(None).cast("string")))
