@@ -1,7 +1,7 @@
 """Near-duplicate documents by improved consistent weighted sampling of TF-IDF shingles.
 
 A document is a weighted set of five-word shingles: how often one occurs, times the mean inverse document frequency of
-its words. Document frequencies cover all documents; they are counted in a table of `2**IDF_BITS` hashed words, whose
+its words. Document frequencies cover all documents; they are counted in a table of hashed words, whose
 size doesn't depend on the corpus. Samples agree with the probability of the weighted Jaccard similarity; bands of samples
 give buckets. In each bucket everything is compared with one member, and connected texts form classes; where a bucket
 still holds several classes, its texts outside the largest are compared with all others of the bucket, so no pair that
@@ -23,19 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glossaria.llm.common import NORMAL_BYTES, cut, small_batches, text_or_empty
-from glossaria.llm.components import connected
+from glossaria.llm.classes import classes_in_buckets
+from glossaria.llm.common import NORMAL_BYTES, cut, row_id, small_batches, text_or_empty
 from glossaria.llm.hashing import Words, chunks, mix
+from glossaria.llm.rarity import AT_ONCE, TABLE_BITS, document_counts, entry_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
-IDF_BITS = 18
-SLICE = 1024  # table entries in one record of the counting shuffle
-AT_ONCE = 1 << 21  # bytes of text hashed together
 BLOCK = 2048  # shingles sampled together
-TABLE_BITS = 13
+SAMPLING_BITS = 13
 
 _rng = np.random.default_rng(7)
 MULTIPLIER = _rng.integers(1, 1 << 63, SAMPLES, np.uint64) | np.uint64(1)
@@ -43,7 +41,7 @@ MULTIPLIER = _rng.integers(1, 1 << 63, SAMPLES, np.uint64) | np.uint64(1)
 
 def _sampling_table() -> np.ndarray:
     """1/r, beta, r and ln c + r*beta - r of consistent weighted sampling; entries are picked by hash."""
-    n = 1 << TABLE_BITS
+    n = 1 << SAMPLING_BITS
     r, c, beta = _rng.gamma(2, 1, n), _rng.gamma(2, 1, n), _rng.random(n)
     return np.stack([1 / r, beta, r, np.log(c) + r * beta - r], axis=1).astype(np.float32)
 
@@ -51,48 +49,17 @@ def _sampling_table() -> np.ndarray:
 TABLE = _sampling_table()
 
 
-def bucket_of(word_hash: np.ndarray) -> np.ndarray:
-    return (word_hash >> np.uint64(64 - IDF_BITS)).astype(np.int64)
-
-
 def _bytes_of(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """Documents with each hashed word, and documents: a table of fixed size."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = np.zeros(1 << IDF_BITS, np.int64), 0
-        for batch in batches:
-            texts = _bytes_of(batch.column("text"))
-            rows += len(texts)
-            for a, b in chunks(texts, AT_ONCE):
-                w = Words(texts[a:b], NORMAL_BYTES)
-                both = np.unique((w.doc << IDF_BITS) | bucket_of(w.hash))
-                seen += np.bincount(both & ((1 << IDF_BITS) - 1), minlength=1 << IDF_BITS)
-        if rows:
-            parts = seen.reshape(-1, SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(parts)), pa.int32()), pa.array([np.array([rows]).tobytes(), *(p.tobytes() for p in parts)], pa.binary())], names=["part", "counts"])
-
-    def add(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # records of a slice come one batch at a time
-        total = None
-        for batch in tables:
-            for x in batch.column("counts").to_pylist():
-                own = np.frombuffer(x, np.int64)
-                total = own if total is None else total + own
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
-
-    small_batches(docs.sparkSession)
-    counted = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(count, "part int, counts binary")
-    rows = {r["part"]: np.frombuffer(r["counts"], np.int64) for r in counted.groupBy("part").applyInArrow(add, "part int, counts binary").collect()}
-    if not rows:
-        return np.zeros(1 << IDF_BITS, np.int64), 0
-    return np.concatenate([rows[k] for k in range((1 << IDF_BITS) // SLICE)]), int(rows[-1][0])
+def words_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    w = Words(texts, NORMAL_BYTES)
+    return w.doc, w.hash
 
 
 def idf_table(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    seen, n = document_frequencies(docs, text_col)
+    seen, n = document_counts(docs.select(text_or_empty(text_col).alias("text")), words_in)
     return np.log1p(n / (1.0 + seen)).astype(np.float32)
 
 
@@ -101,7 +68,7 @@ def weighted_shingles(texts: list[bytes], idf: np.ndarray) -> tuple[np.ndarray,
     w = Words(texts, NORMAL_BYTES)
     first, h = w.windows(SHINGLE, whole_if_short=True)
     doc = w.doc[first]
-    sums = np.concatenate([[0], np.cumsum(idf[bucket_of(w.hash)], dtype=np.float64)])
+    sums = np.concatenate([[0], np.cumsum(idf[entry_of(w.hash)], dtype=np.float64)])
     end = np.minimum(first + SHINGLE, w.last[doc])
     mean = (sums[end] - sums[first]) / np.maximum(end - first, 1)
     order = np.lexsort((h, doc))
@@ -118,7 +85,7 @@ def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.nd
     for a in range(0, len(h), BLOCK):
         own, x = doc[a : a + BLOCK], h[a : a + BLOCK, None] * MULTIPLIER
         x ^= x >> np.uint64(32)
-        entry = TABLE[(x >> np.uint64(64 - TABLE_BITS)).astype(np.int32)]
+        entry = TABLE[(x >> np.uint64(64 - SAMPLING_BITS)).astype(np.int32)]
         t = np.floor(log_weight[a : a + BLOCK, None] * entry[..., 0] + entry[..., 1])
         value = entry[..., 3] - entry[..., 2] * t + np.float32(4096)  # positive, so its bits are ordered like it
         step = t.astype(np.int32).astype(np.uint32) * np.uint32(0x9E3779B1)
@@ -144,7 +111,7 @@ def node() -> Column:
 
 
 def sketch(docs: DataFrame, idf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """node, doc_id, bands (empty if there are no shingles)."""
+    """rid, node, doc_id, bands (empty if there are no shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,11 +121,11 @@ def sketch(docs: DataFrame, idf, id_col: str = "doc_id", text_col: str = "text")
                 found = bands(samples(doc, h, weight, b - a))
                 some = np.bincount(doc, minlength=b - a) > 0
                 made += [x if ok else [] for x, ok in zip(found.tolist(), some, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("doc_id"), pa.array(made, pa.list_(pa.int64()))], names=["node", "doc_id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("node"), batch.column("doc_id"), pa.array(made, pa.list_(pa.int64()))], names=["rid", "node", "doc_id", "bands"])
 
     small_batches(docs.sparkSession)
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("node", node())
-    return named.mapInArrow(run, "node binary, doc_id long, bands array<long>")
+    named = docs.select(row_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("node", node())
+    return named.mapInArrow(run, "rid long, node binary, doc_id long, bands array<long>")
 
 
 def similarity(texts: list[bytes], others: list[bytes], idf: np.ndarray) -> list[float]:
@@ -187,42 +154,107 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = similarity(_bytes_of(batch.column("text_a")), _bytes_of(batch.column("text_b")), idf.value)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+            yield out.filter(pa.array([x >= least for x in found]))
 
     second = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = second.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double").where(F.col("similarity") >= least)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
+
+
+def difference(text: np.ndarray, weight: np.ndarray, chosen: np.ndarray, chosen_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What tells a weighted set from another one: tokens (a shingle and whether there is more or less of it), weights."""
+    h = np.concatenate([text, chosen])
+    signed = np.concatenate([weight, -chosen_weight])
+    order = np.argsort(h, kind="stable")
+    h, signed = h[order], signed[order]
+    if not len(h):
+        return h, signed
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    h, signed = h[new], np.add.reduceat(signed, new)
+    some = signed != 0
+    h, signed = h[some], signed[some]
+    return mix(h + (signed < 0).astype(np.uint64)), np.abs(signed)
+
+
+def differences(groups: DataFrame, idf, least: float, seen=None) -> DataFrame:
+    """a, node, class, token, of_minor, of_any: tokens of each member's difference from its group's chosen one.
+
+    Two texts differ by D(x, y), the sum of their weights' differences, and are similar if that is at most
+    c * (total(x) + total(y)) with c = (1 - least) / (1 + least). Of each shingle the differences x - a and y - a share
+    the lesser part, if their signs agree, and that is all by which D(x, y) falls short of D(x, a) + D(y, a). So similar
+    texts share R = (D(x, a) + D(y, a) - c * (total(x) + total(y))) / 2 at least. As a minor x isn't similar to a, R is at
+    least (D(y, a) + c * (total(a) - total(y))) / 2 for any y, and at least D(x, a) - c * total(x) * (1 + 1 / least) for
+    x. With tokens in one order, rarest first (`seen` counts them, in a table of fixed size), a token that both share
+    stands where as much as R is still to come; later ones are left out. Without `seen` all tokens are given.
+    """
+    c = (1 - least) / (1 + least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, tokens, minors, anys = [], [], [], []
+            known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+            for k, (a, text_a, text_b) in enumerate(zip(batch.column("a").to_pylist(), _bytes_of(batch.column("text_a")), _bytes_of(batch.column("text_b")), strict=True)):
+                if a not in known:
+                    known.clear()
+                    known[a] = weighted_shingles([text_a], idf.value)[1:]
+                own, chosen = weighted_shingles([text_b], idf.value)[1:], known[a]
+                token, weight = difference(*own, *chosen)
+                token = mix(token ^ np.uint64(int.from_bytes(a[:8], "little")))
+                of_minor = of_any = np.ones(len(token), bool)
+                if seen is not None and len(token):
+                    order = np.lexsort((token, seen.value[entry_of(token)]))
+                    token, weight = token[order], weight[order]
+                    total, total_a = own[1].sum(), chosen[1].sum()
+                    still = weight[::-1].cumsum()[::-1] * (1 + 1e-6) + 1e-6
+                    of_minor = still >= weight.sum() - c * total * (1 + 1 / least)
+                    of_any = still >= (weight.sum() + c * (total_a - total)) / 2
+                rows.append(np.full(len(token), k))
+                tokens.append(token)
+                minors.append(of_minor)
+                anys.append(of_any)
+            at, token, of_minor, of_any = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, tokens, minors, anys))
+            take = pa.array(at.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in ("a", "node", "class", "minor")), pa.array(token.astype(np.uint64).view(np.int64)), pa.array(of_minor.astype(bool)), pa.array(of_any.astype(bool))], names=["a", "node", "class", "minor", "token", "of_minor", "of_any"])
+
+    return groups.select("a", "node", "class", "minor", "text_a", "text_b").mapInArrow(run, "a binary, node binary, class binary, minor boolean, token long, of_minor boolean, of_any boolean")
+
+
+def across(groups: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
+    """a, b: pairs of a group's texts of different classes that share what similar texts must share of their differences
+    from the chosen one."""
+    both = groups.join(texts.select("node", F.col("text").alias("text_b")), "node").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = cut(both)
+    entry = F.shiftrightunsigned("token", 64 - TABLE_BITS).cast("int")
+    counted = differences(both, idf, least).groupBy(entry.alias("entry")).agg(F.count("*").alias("n")).collect()  # a row of each table entry at most
+    seen = np.zeros(1 << TABLE_BITS, np.int64)
+    for r in counted:
+        seen[r["entry"]] = r["n"]
+    known = cut(differences(both, idf, least, groups.sparkSession.sparkContext.broadcast(seen)).where("of_any or (minor and of_minor)"))
+    x = known.where("minor and of_minor").select("token", F.col("node").alias("a"), F.col("class").alias("a_class"))
+    y = known.where("of_any").select("token", F.col("node").alias("b"), F.col("class").alias("b_class"), F.col("minor").alias("b_minor"))
+    # Two minor texts meet either way: once is enough.
+    return x.join(y, "token").where((F.col("a_class") != F.col("b_class")) & (~F.col("b_minor") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id: the least id among connected documents of at least this similarity."""
+    """rid, doc_id, class_id (the least id among connected documents of at least this similarity), first (of its class,
+    by id, then by place in the input)."""
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(idf_table(docs, text_col))
     members = cut(sketch(docs, idf, id_col, text_col))
     nodes = members.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where(F.col("n") > 1).select("bucket", "a")
-    met = cut(buckets.join(shared, "bucket").select("bucket", "a", F.col("node").alias("b")))  # texts that share a bucket
-    stars = met.where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    held = cut(buckets.join(shared, "bucket"))  # texts that share a bucket
+    # A bucket's chosen member is the one that meets most texts in all buckets: likely the one that most are near to.
+    meets = held.groupBy("node").agg(F.sum("n").alias("meets"))
+    chosen = held.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("c")).select("bucket", F.col("c.node").alias("a"))
+    met = cut(held.join(chosen, "bucket").select("bucket", "a", F.col("node").alias("b")))
     texts = docs.select(text_or_empty(text_col).alias("text")).withColumn("node", node())
     texts = cut(texts.join(met.select(F.col("b").alias("node")).distinct(), "node").dropDuplicates(["node"]))
-    links = cut(verified(stars, texts, idf, least).select("a", "b"))
-    classes = connected(links)  # node, class
-
-    # Buckets that still hold several classes.
-    placed = met.join(classes.withColumnRenamed("node", "b"), "b", "left").select("bucket", "a", "b", F.coalesce("class", "b").alias("class"))
-    sizes = placed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("most"), F.count("*").alias("classes"), F.sum("n").alias("size"))
-    open_ = open_.where((F.col("classes") > 1) & (F.col("size") > 2)).select("bucket", F.col("most.class").alias("largest"))
-    held = cut(placed.join(open_, "bucket"))
-    minor = held.where(F.col("class") != F.col("largest")).select("bucket", F.col("b").alias("x"), F.col("class").alias("x_class"), "a")
-    rest = minor.join(held.select("bucket", F.col("b").alias("y"), F.col("class").alias("y_class"), "largest"), "bucket")
-    # Each pair once; those with the bucket's first member are known.
-    rest = rest.where((F.col("x_class") != F.col("y_class")) & (F.col("x") != F.col("a")) & (F.col("y") != F.col("a")) & ((F.col("y_class") == F.col("largest")) | (F.col("x") < F.col("y"))))
-    more = cut(verified(rest.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), texts, idf, least).select("a", "b"))
-    if not more.isEmpty():
-        classes = connected(links.unionByName(more))
-
-    named = members.join(classes, "node", "left").select("doc_id", F.coalesce("class", "node").alias("class"))
-    least_id = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return named.join(least_id, "class").select("doc_id", "class_id")
+    classes = classes_in_buckets(met, lambda pairs: verified(pairs, texts, idf, least), lambda groups: across(groups, texts, idf, least))
+
+    named = members.join(classes, "node", "left").select("rid", "doc_id", F.coalesce("class", "node").alias("class"))
+    heads = named.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "rid")).alias("head"))
+    return named.join(heads, "class").select("rid", "doc_id", "class_id", (F.col("rid") == F.col("head.rid")).alias("first"))
