@@ -24,10 +24,11 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that stand, within the edit distance, in an earlier place; a document that loses all its
     lines goes."""
-    changed = line_dedup.deduplicate(docs).where(F.col("n_removed") > 0).select(F.col("rid").alias(ROW), F.col("kept").alias(KEPT))
-    both = numbered(docs).join(changed, ROW, "left").where(F.col(KEPT).isNull() | (F.col(KEPT) != ""))
-    text = F.coalesce(KEPT, "text")
-    return both.select(*[{"text": text.alias("text"), "n_chars": F.when(F.col(KEPT).isNull(), F.col("n_chars")).otherwise(F.length(KEPT).cast("long")).alias("n_chars")}.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    changed = cut(line_dedup.deduplicate(docs).where(F.col("n_removed") > 0).select("rid", F.col("kept").alias(KEPT)))
+    same = without_rows(docs, changed.select("rid"))  # their texts are not shuffled
+    rest = numbered(docs.drop("text", "n_chars")).join(changed.where(F.col(KEPT) != "").withColumnRenamed("rid", ROW), ROW)
+    rest = rest.withColumns({"text": F.col(KEPT), "n_chars": F.length(KEPT).cast("long")})
+    return same.unionByName(rest.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
