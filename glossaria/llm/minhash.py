@@ -178,7 +178,8 @@ def difference(text: np.ndarray, weight: np.ndarray, chosen: np.ndarray, chosen_
 
 
 def differences(groups: DataFrame, idf, least: float, seen=None) -> DataFrame:
-    """a, node, class, token, of_minor, of_any: tokens of each member's difference from its group's chosen one.
+    """a, node, class, minor, token, of_minor, of_any, still, apart, total: tokens of each member's difference from its
+    group's chosen one, with the weight still to come from there, the whole difference's and the text's.
 
     Two texts differ by D(x, y), the sum of their weights' differences, and are similar if that is at most
     c * (total(x) + total(y)) with c = (1 - least) / (1 + least). Of each shingle the differences x - a and y - a share
@@ -192,7 +193,7 @@ def differences(groups: DataFrame, idf, least: float, seen=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, tokens, minors, anys = [], [], [], []
+            rows, tokens, minors, anys, stills, aparts, totals = [], [], [], [], [], [], []
             known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
             for k, (a, text_a, text_b) in enumerate(zip(batch.column("a").to_pylist(), _bytes_of(batch.column("text_a")), _bytes_of(batch.column("text_b")), strict=True)):
                 if a not in known:
@@ -202,10 +203,10 @@ def differences(groups: DataFrame, idf, least: float, seen=None) -> DataFrame:
                 token, weight = difference(*own, *chosen)
                 token = mix(token ^ np.uint64(int.from_bytes(a[:8], "little")))
                 of_minor = of_any = np.ones(len(token), bool)
+                still, total, total_a = weight, own[1].sum(), chosen[1].sum()
                 if seen is not None and len(token):
                     order = np.lexsort((token, seen.value[entry_of(token)]))
                     token, weight = token[order], weight[order]
-                    total, total_a = own[1].sum(), chosen[1].sum()
                     still = weight[::-1].cumsum()[::-1] * (1 + 1e-6) + 1e-6
                     of_minor = still >= weight.sum() - c * total * (1 + 1 / least)
                     of_any = still >= (weight.sum() + c * (total_a - total)) / 2
@@ -213,11 +214,14 @@ def differences(groups: DataFrame, idf, least: float, seen=None) -> DataFrame:
                 tokens.append(token)
                 minors.append(of_minor)
                 anys.append(of_any)
-            at, token, of_minor, of_any = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, tokens, minors, anys))
+                stills.append(still)
+                aparts.append(np.full(len(token), weight.sum()))
+                totals.append(np.full(len(token), total))
+            at, token, of_minor, of_any, still, apart, total = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, tokens, minors, anys, stills, aparts, totals))
             take = pa.array(at.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in ("a", "node", "class", "minor")), pa.array(token.astype(np.uint64).view(np.int64)), pa.array(of_minor.astype(bool)), pa.array(of_any.astype(bool))], names=["a", "node", "class", "minor", "token", "of_minor", "of_any"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in ("a", "node", "class", "minor")), pa.array(token.astype(np.uint64).view(np.int64)), pa.array(of_minor.astype(bool)), pa.array(of_any.astype(bool)), *(pa.array(x.astype(np.float64)) for x in (still, apart, total))], names=["a", "node", "class", "minor", "token", "of_minor", "of_any", "still", "apart", "total"])
 
-    return groups.select("a", "node", "class", "minor", "text_a", "text_b").mapInArrow(run, "a binary, node binary, class binary, minor boolean, token long, of_minor boolean, of_any boolean")
+    return groups.select("a", "node", "class", "minor", "text_a", "text_b").mapInArrow(run, "a binary, node binary, class binary, minor boolean, token long, of_minor boolean, of_any boolean, still double, apart double, total double")
 
 
 def across(groups: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
@@ -231,10 +235,14 @@ def across(groups: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
     for r in counted:
         seen[r["entry"]] = r["n"]
     known = cut(differences(both, idf, least, groups.sparkSession.sparkContext.broadcast(seen)).where("of_any or (minor and of_minor)"))
-    x = known.where("minor and of_minor").select("token", F.col("node").alias("a"), F.col("class").alias("a_class"))
-    y = known.where("of_any").select("token", F.col("node").alias("b"), F.col("class").alias("b_class"), F.col("minor").alias("b_minor"))
+    c = (1 - least) / (1 + least)
+    x = known.where("minor and of_minor").select("token", F.col("node").alias("a"), F.col("class").alias("a_class"), *(F.col(n).alias(f"a_{n}") for n in ("still", "apart", "total")))
+    y = known.where("of_any").select("token", F.col("node").alias("b"), F.col("class").alias("b_class"), F.col("minor").alias("b_minor"), *(F.col(n).alias(f"b_{n}") for n in ("still", "apart", "total")))
+    # What the two must share is known now; at the first token that they share, so much is still to come in both.
+    must = (F.col("a_apart") + F.col("b_apart") - c * (F.col("a_total") + F.col("b_total"))) / 2
+    fits = (F.least("a_still", "b_still") >= must) & (F.least("a_total", "b_total") * (1 + 1e-6) >= least * F.greatest("a_total", "b_total"))
     # Two minor texts meet either way: once is enough.
-    return x.join(y, "token").where((F.col("a_class") != F.col("b_class")) & (~F.col("b_minor") | (F.col("a") < F.col("b")))).select("a", "b")
+    return x.join(y, "token").where((F.col("a_class") != F.col("b_class")) & fits & (~F.col("b_minor") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
