@@ -16,6 +16,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import uuid
 from collections import defaultdict
 
 import ahocorasick
@@ -40,7 +41,7 @@ def windows(text: str, width: int) -> set[bytes]:
     return {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
 
 
-_automata: dict[int, ahocorasick.Automaton] = {}
+_automata: dict[str, ahocorasick.Automaton] = {}
 
 
 def _automaton(shared) -> ahocorasick.Automaton:
@@ -95,7 +96,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col:
 
     def scan(k: int) -> DataFrame:
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toArrow()
-        shared = spark.sparkContext.broadcast((id(own), list(zip(*(own.column(c).to_pylist() for c in ("item", "text")), strict=True)), width))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, list(zip(*(own.column(c).to_pylist() for c in ("item", "text")), strict=True)), width))
 
         def run(batches):
             automaton = _automaton(shared)

@@ -301,6 +301,16 @@ def test_decontamination(spark, stored):
     assert decontam.judge(stored.limit(0), bench).count() == 0
 
 
+def test_workers_keep_blocks_and_benchmarks_apart(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "id", lambda x: 7, raising=False)  # addresses may clash once a table is freed
+    docs = spark.createDataFrame([(k, f"w{k} x{k} y{k}") for k in range(20)], "doc_id long, text string").coalesce(1)
+    bench = docs.select(F.col("doc_id").alias("item_id"), "text")
+    hit = lambda b, most: {r["doc_id"] for r in decontam.judge(docs, b, max_pattern_bytes=most).where("contaminated").collect()}
+    assert hit(bench, 500) == set(range(20))  # several blocks
+    assert hit(bench.where("item_id < 5"), decontam.MAX_PATTERN_BYTES) == set(range(5))
+    assert hit(bench.where("item_id >= 5"), decontam.MAX_PATTERN_BYTES) == set(range(5, 20))
+
+
 def test_hits_point_into_the_original(spark):
     text = "Élan!  Some QUOTED--passage of é words, here?"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
