@@ -8,6 +8,9 @@ dealt into shards by anchor, about `SHARD` bytes each (those whose anchor stands
 whose permuted common prefixes reach 50 bytes form classes, and the least id of a class is where its string starts first.
 
 Hot strings are reduced before they are dealt, and the way back to their places is an equi-join that Spark can split.
+An anchor whose distinct pieces come to more than `HOT` bytes (the edges of a passage that many documents share) goes
+into no shard: its strings are named by digests, and an aggregate and an equi-join give the least id of each, so that no
+group in memory grows with the number of documents.
 
 Defined cases: a null text is empty; null ids come first; rows of equal id are not earlier than each other; texts shorter
 than 50 bytes lose nothing; a text up to 2**28 bytes is hashed at once; an empty table gives an empty result.
@@ -32,6 +35,7 @@ from glossaria.llm.suffix_array import common_prefixes, suffix_array
 LENGTH, GRAM = 50, 16
 AT_ONCE = 1_000_000  # bytes of text hashed together
 SHARD = 1 << 18  # bytes
+HOT = SHARD >> 2  # bytes of one anchor's distinct pieces
 #: Anchors are settled in so many rounds, one after the other, each of which needs that part of the disk.
 ROUNDS = 3
 PIECE = "anchor:bigint,hash:bigint,at:bigint"  # at: first start, then how many, in the low 8 bits
@@ -130,6 +134,18 @@ def resolve_shard(pieces: pa.Table) -> pa.Table:
     return taken.append_column("earlier", pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(runs)]).astype(np.int32)), parts))
 
 
+def resolve_strings(pieces: DataFrame) -> DataFrame:
+    """The same as `resolve_shard` for pieces of hot anchors: equal strings meet by digest."""
+    each = pieces.select("anchor", "hash", "owner", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH)).alias("k"))
+    strings = cut(each.select("anchor", "hash", "owner", "k", F.unhex(F.md5(F.substring("bytes", F.col("k") + 1, F.lit(LENGTH)))).alias("name")))
+    least = strings.groupBy("name").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where(F.col("least") < F.col("most"))
+    later = strings.join(least.select("name", "least"), "name").where(F.col("owner") > F.col("least"))
+    found = later.groupBy("anchor", "hash").agg(F.array_sort(F.collect_list("k")).alias("ks"))  # 35 at most
+    begins = F.filter("ks", lambda k: ~F.array_contains("ks", k - 1))
+    ends = F.filter("ks", lambda k: ~F.array_contains("ks", k + 1))
+    return found.select("anchor", "hash", F.zip_with(begins, ends, lambda b, e: F.struct(b.alias("k"), (e - b + 1).alias("n"))).alias("earlier"))
+
+
 def without_spans(rows: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes that stay) from doc_id, text, spans."""
 
@@ -158,13 +174,20 @@ def covered(places: DataFrame, texts: DataFrame) -> DataFrame:
     # The piece's place in its first document: of rows with the least owner all three take the same one.
     distinct = places.groupBy(*key).agg(F.min("owner").alias("first_owner"), F.min_by("rid", "owner").alias("first_rid"), F.min_by("at", "owner").alias("first_at"))
     # Pieces of one anchor only can hold equal strings, and only those of several documents matter.
-    several = distinct.groupBy("anchor").agg(F.min("first_owner").alias("least"), F.max("first_owner").alias("most")).where(F.col("least") < F.col("most")).select("anchor")
-    contested = cut(distinct.join(several, "anchor", "left_semi"))
-    total = contested.agg(F.sum(F.col("first_at").bitwiseAND(255) + LENGTH).alias("bytes")).first()["bytes"] or 0
-    shards = max(1, math.ceil(total / SHARD))
-    heads = contested.groupBy(F.col("first_rid").alias("rid")).agg(F.collect_list(F.struct(*key, F.col("first_owner").alias("owner"), F.col("first_at").alias("at"))).alias("pieces"))
-    pieces = piece_texts(texts.join(heads, "rid")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    resolved = cut(pieces.groupBy("shard").applyInArrow(resolve_shard, "anchor long, hash long, earlier array<struct<k:int,n:int>>"))
+    size = F.col("first_at").bitwiseAND(255) + LENGTH
+    several = distinct.groupBy("anchor").agg(F.min("first_owner").alias("least"), F.max("first_owner").alias("most"), F.sum(size).alias("bytes")).where(F.col("least") < F.col("most"))
+    contested = cut(distinct.join(several.select("anchor", (F.col("bytes") > HOT).alias("hot")), "anchor"))
+    sizes = {r["hot"]: r["bytes"] for r in contested.groupBy("hot").agg(F.sum(size).alias("bytes")).collect()}
+    shards = max(1, math.ceil(sizes.get(False, 0) / SHARD))
+
+    def pieces(some: DataFrame) -> DataFrame:
+        heads = some.groupBy(F.col("first_rid").alias("rid")).agg(F.collect_list(F.struct(*key, F.col("first_owner").alias("owner"), F.col("first_at").alias("at"))).alias("pieces"))
+        return piece_texts(texts.join(heads, "rid"))
+
+    dealt = pieces(contested.where(~F.col("hot"))).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    resolved = cut(dealt.groupBy("shard").applyInArrow(resolve_shard, "anchor long, hash long, earlier array<struct<k:int,n:int>>"))
+    if True in sizes:
+        resolved = resolved.unionByName(cut(resolve_strings(pieces(contested.where("hot")))))
 
     known = distinct.select(*key, "first_owner").join(resolved, key, "left")
     found = places.join(known, key).withColumn("start", F.shiftright("at", 8).cast("int"))

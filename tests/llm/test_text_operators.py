@@ -67,6 +67,38 @@ def test_suffix_dedup(spark, stored):
     assert suffix_dedup.deduplicate(stored.limit(0)).count() == 0
 
 
+def test_suffix_dedup_bounds_groups_of_hot_anchors(spark, tmp_path, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, sides = letters(90), [letters(60) for _ in range(700)]
+    # Sides are shared in part, so that strings at the edges have earlier ones too.
+    docs = [(k, sides[k % 700] + passage + letters(9) + sides[k % 600]) for k in range(1400)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    first = {}
+    for i, t in docs:
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    expected = []
+    for i, t in docs:
+        gone = {p for k in range(len(t) - 49) if first[t[k : k + 50]] < i for p in range(k, k + 50)}
+        expected.append((i, len(gone), sha("".join(x for k, x in enumerate(t) if k not in gone))))
+    inner = suffix_dedup.resolve_shard
+
+    def bounded(pieces):
+        held = Counter()
+        for anchor, text in zip(pieces.column("anchor").to_pylist(), pieces.column("bytes").to_pylist(), strict=True):
+            held[anchor] += len(text)
+        if max(held.values()) > 1 << 16:
+            raise ValueError("a group grows with the number of documents")
+        return inner(pieces)
+
+    monkeypatch.setattr(suffix_dedup, "resolve_shard", bounded)
+    found = suffix_dedup.deduplicate(spark.read.parquet(str(tmp_path / "docs")))
+    same(found.select("doc_id", "n_removed", F.coalesce("digest", F.sha2("kept", 256))).collect(), expected)
+
+
 def test_quality_statistics(spark, stored):
     expected = []
     for i, t in texts_of(stored):
