@@ -142,6 +142,21 @@ def deinflect_closure_en(spark, sf_dir):
     return closure_of(own, "en")
 
 
+def _register_whole_closures() -> None:
+    for language in ("es", "fr", "de"):
+
+        def run(spark, sf_dir, language=language):
+            docs = table(spark, sf_dir, "documents").where(F.col("lang") == language)
+            return closure_of(docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-zà-ÿßœ]+)"), F.lit(1))).alias("text")), language)
+
+        run.__name__ = f"deinflect_closure_{language}"
+        run.__doc__ = "The whole closure, with pattern rules and traces, of every word of the language."
+        query()(run)
+
+
+_register_whole_closures()
+
+
 @query()
 def deinflect_ja(spark, sf_dir):
     """Forms of a Japanese verb list, one for each word of the benchmark in turn: rows only, there is no Japanese text."""

@@ -1,7 +1,9 @@
+import re
+
 import pytest
 
 from glossaria.functions.rule_sets import MAKERS, rule_set
-from glossaria.functions.rules import Condition, RuleSet, pattern, prefix, suffix, whole
+from glossaria.functions.rules import MAX_DEPTH, Condition, RuleSet, pattern, prefix, suffix, whole
 
 
 def bases(language, word):
@@ -61,3 +63,49 @@ def test_empty_suffix_leaves_the_base_only_and_whole_words_match_wholly():
     r = RuleSet("x", [], {"e": [suffix("", "다")], "w": [whole("ab", "c")]})
     texts = [f.text for f in r.closure("ab", max_depth=1)]
     assert texts == ["ab", "다", "c"]
+
+
+def brute_closure(rules, word, most):
+    """Forms and flags that any rules lead to, level by level, in at most so many rewrites; and whether that is all."""
+    seen, level = {(word, 0)}, {(word, 0)}
+    for _ in range(most):
+        made = set()
+        for text, flags in level:
+            for r in (r for rs in rules.transforms.values() for r in rs):
+                if flags and not flags & rules.flags_of(r.inner):
+                    continue
+                if r.kind == "suffix" and text.endswith(r.inflected):
+                    new = text[: len(text) - len(r.inflected)] + r.base if r.inflected else r.base
+                elif r.kind == "prefix" and text.startswith(r.inflected):
+                    new = r.base + text[len(r.inflected) :]
+                elif r.kind == "whole" and text == r.inflected:
+                    new = r.base
+                elif r.kind in ("pattern", "everywhere") and re.search(r.inflected, text, re.ASCII):
+                    new = re.sub(r.inflected, r.base, text, count=int(r.kind == "pattern"), flags=re.ASCII)
+                else:
+                    continue
+                made.add((new, rules.flags_of(r.outer)))
+        level = made - seen
+        seen |= level
+    return seen, not level
+
+
+@pytest.mark.parametrize(
+    ("language", "text", "expected", "ends"),
+    [
+        ("es", "Ella piensa, puede y pidió; pienso canciones.", {("piensa", "pensar"), ("puede", "poder"), ("pidió", "pedir"), ("canciones", "canción")}, True),
+        ("fr", "Nous parlons des chevaux", {("parlons", "parler"), ("chevaux", "cheval")}, False),  # "des" gains letters with each rewrite
+        ("de", "aufgemacht gekeitkeit unklarheit", {("aufgemacht", "aufmachen")}, True),
+    ],
+)
+def test_whole_closures_are_brute_forces(spark, tmp_path, language, text, expected, ends):
+    from glossaria.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, text, language), (2, None, language), (3, "walked", "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {}
+    for r in QUERIES[f"deinflect_closure_{language}"](spark, str(tmp_path)).collect():
+        found.setdefault(r["text"], set()).add((r["base"], r["flags"]))
+    forms = {w: brute_closure(rule_set(language), w, MAX_DEPTH) for w in re.findall("[a-zà-ÿßœ]+", text.lower())}
+    assert found == {w: f for w, (f, _) in forms.items()}
+    assert all(done for _, done in forms.values()) == ends
+    assert expected <= {(w, b) for w, f in found.items() for b, _ in f}
