@@ -201,6 +201,13 @@ def group_term(spark, sf_dir):
     return own.groupBy("reading").agg(F.array_sort(F.collect_set("expression")).alias("expressions"), F.max("score").alias("score"), F.count("*").alias("definitions"))
 
 
+@query()
+def group_term_whole(spark, sf_dir):
+    """`group_term` of all terms, rare ones too."""
+    own = terms(spark, sf_dir)
+    return own.groupBy("reading").agg(F.array_sort(F.collect_set("expression")).alias("expressions"), F.max("score").alias("score"), F.count("*").alias("definitions"))
+
+
 @query(f"""WITH {TERMS_SQL}, {BENCHMARK_SQL}, e AS (SELECT item_id AS query_id, id, dictionary, sequence FROM bw JOIN terms ON word = expression WHERE length(word) >= 9),
 s AS (SELECT DISTINCT query_id, sequence FROM e WHERE dictionary = 'src2' AND sequence >= 0)
 SELECT s.query_id, t.id, t.score FROM s JOIN terms t ON s.sequence = t.sequence AND t.dictionary = 'src2' WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.query_id = s.query_id AND e.id = t.id)""")
@@ -210,6 +217,14 @@ def merge_sequence(spark, sf_dir):
     return lookup.related_by_sequence(rows, own, "src2").select("query_id", "id", "score")
 
 
+@query()
+def merge_sequence_whole(spark, sf_dir):
+    """`merge_sequence` of all words of the benchmark."""
+    own = terms(spark, sf_dir)
+    rows = benchmark_words(spark, sf_dir).join(own, F.col("word") == F.col("expression")).withColumnRenamed("item_id", "query_id")
+    return lookup.related_by_sequence(rows, own, "src2").select("query_id", "id", "score")
+
+
 @query(f"""WITH {TERMS_SQL}, {BENCHMARK_SQL}, e AS (SELECT DISTINCT item_id AS query_id, id, expression, reading FROM bw JOIN terms ON word = expression WHERE dictionary = 'src2')
 SELECT h.query_id, t.id FROM (SELECT DISTINCT query_id, expression, reading FROM e) h JOIN terms t USING (expression, reading) WHERE t.dictionary IN ('src2', 'src4') AND NOT EXISTS (SELECT 1 FROM e WHERE e.query_id = h.query_id AND e.id = t.id)""")
 def merge_secondary(spark, sf_dir):
@@ -229,7 +244,17 @@ def exclude_dictionary(spark, sf_dir):
 SELECT expression, tag, coalesce(m.category, 'default') AS category, min(coalesce(m.ord, 0)) AS "order", max(coalesce(m.score, 0)) AS score, list_sort(list(DISTINCT dictionary)) AS dictionaries, list_sort(list(DISTINCT m.notes) FILTER (m.notes IS NOT NULL)) AS content
 FROM named LEFT JOIN tagmeta m ON m.name = tag GROUP BY ALL""")
 def merge_tags(spark, sf_dir):
-    named = terms(spark, sf_dir).where(F.length("expression") >= 4).select("expression", "dictionary", F.explode(F.array("tag", "pos")).alias("tag"))
+    return _merged_tags(spark, sf_dir, terms(spark, sf_dir).where(F.length("expression") >= 4))
+
+
+@query()
+def merge_tags_whole(spark, sf_dir):
+    """`merge_tags` of all expressions."""
+    return _merged_tags(spark, sf_dir, terms(spark, sf_dir))
+
+
+def _merged_tags(spark, sf_dir, own: DataFrame) -> DataFrame:
+    named = own.select("expression", "dictionary", F.explode(F.array("tag", "pos")).alias("tag"))
     sources = table(spark, sf_dir, "documents").select(F.col("source").alias("dictionary")).distinct()
     described = tags(spark).withColumnRenamed("ord", "order").withColumn("tag_id", F.col("order")).join(sources)  # every dictionary describes the few tags alike
     merged = metadata.merged_tags(metadata.with_tags(named, described), ["expression"])
@@ -242,6 +267,13 @@ def redundant_tags_lag(spark, sf_dir):
     return metadata.redundant_tags(own, ["reading"], "id").select("id", "redundant")
 
 
+@query()
+def redundant_tags_whole(spark, sf_dir):
+    """`redundant_tags_lag` of all terms."""
+    own = terms(spark, sf_dir).withColumn("tags", F.array("pos"))
+    return metadata.redundant_tags(own, ["reading"], "id").select("id", "redundant")
+
+
 @query(f"""WITH {TERMS_SQL}, {BENCHMARK_SQL}, g AS (SELECT item_id, expression, max(score) AS score, count(*) AS definitions FROM bw JOIN terms ON word = expression GROUP BY ALL)
 SELECT item_id, expression, score, definitions, row_number() OVER (PARTITION BY item_id ORDER BY length(expression) DESC, score DESC, expression) AS rank FROM g QUALIFY rank <= 10""")
 def sort_entries_topk(spark, sf_dir):
@@ -343,6 +375,20 @@ def batch_lookup_distinct(spark, sf_dir):
     return met.groupBy("head", "text").agg(F.count("id").alias("hits"), F.coalesce(F.max("score"), F.lit(0)).alias("score"))
 
 
+@query()
+def batch_lookup_whole(spark, sf_dir):
+    """The whole lookup of each distinct word of the conversations, once; words without a hit stay."""
+    own = terms(spark, sf_dir)
+    sources = [r[0] for r in own.select("dictionary").distinct().orderBy("dictionary").collect()]
+    said = table(spark, sf_dir, "conversations").select(F.explode(words()).alias("text")).distinct()
+    found = lookup.batch_lookup(said, _shaped(own), enabled_map(spark, sources), language="en")
+    return found.select("text", "rank", F.col("headwords")[0]["expression"].alias("expression"), "max_length", "score", F.size("definitions").alias("definitions"), "chain_length")
+
+
+def _shaped(own: DataFrame) -> DataFrame:
+    return own.select("*", F.array("pos").alias("rules"), F.array(F.col("expression")).alias("definitions"), F.array("pos").alias("definition_tags"), F.array("tag").alias("term_tags")).drop("pos", "tag", "freq")
+
+
 def _characters(spark, sf_dir) -> DataFrame:
     """A dictionary of single letters: source, character, and statistics of the words it stands in."""
     own = terms(spark, sf_dir).select("dictionary", F.explode(F.split("expression", "")).alias("character"), "expression", "freq").where("character <> ''")
@@ -416,6 +462,15 @@ def disambiguation_sets(spark, sf_dir):
     return sets.join(every, "reading").select("dictionary", "reading", metadata.disambiguations(F.col("own"), F.array("reading"), F.col("every"), F.array("reading")).alias("terms"))
 
 
+@query()
+def disambiguation_sets_whole(spark, sf_dir):
+    """`disambiguation_sets` of all terms."""
+    own = terms(spark, sf_dir)
+    sets = own.groupBy("dictionary", "reading").agg(F.array_sort(F.collect_set("expression")).alias("own"))
+    every = own.groupBy("reading").agg(F.collect_set("expression").alias("every"))
+    return sets.join(every, "reading").select("dictionary", "reading", metadata.disambiguations(F.col("own"), F.array("reading"), F.col("every"), F.array("reading")).alias("terms"))
+
+
 @query(f"WITH {BENCHMARK_SQL} SELECT DISTINCT word, 'https://audio.example/en/' || word || '?r=' || regexp_replace(word, '[aeiou]', '', 'g') || '%20x' AS url FROM bw")
 def audio_custom_url(spark, sf_dir):
     own = benchmark_words(spark, sf_dir).select("word").distinct()
@@ -441,9 +496,8 @@ def find_terms_grouped(spark, sf_dir):
     """The whole lookup of each distinct word of the benchmark: prefixes, rewrites, hits, groups and ranks."""
     own = terms(spark, sf_dir)
     sources = [r[0] for r in own.select("dictionary").distinct().orderBy("dictionary").collect()]
-    shaped = own.select("*", F.array("pos").alias("rules"), F.array(F.col("expression")).alias("definitions"), F.array("pos").alias("definition_tags"), F.array("tag").alias("term_tags")).drop("pos", "tag", "freq")
     asked = benchmark_words(spark, sf_dir).select(F.col("word").alias("text")).distinct().withColumn("query_id", F.col("text"))
-    found = lookup.find_terms(asked, shaped, enabled_map(spark, sources), "en")
+    found = lookup.find_terms(asked, _shaped(own), enabled_map(spark, sources), "en")
     return found.select("query_id", "rank", F.col("headwords")[0]["expression"].alias("expression"), "max_length", "score", F.size("definitions").alias("definitions"), "chain_length")
 
 
