@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from glossaria.llm.common import small_batches
 from glossaria.llm.hashing import mix
@@ -52,3 +52,13 @@ def passing(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     for at in _places(values):
         ok &= (bits[part, (at >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
     return ok
+
+
+def passes(bits, names: Column) -> Column:
+    """Whether a long may be in a broadcast filter; only the names go to Python, other columns stay where they are."""
+
+    @F.arrow_udf("boolean")
+    def check(x: pa.Array) -> pa.Array:
+        return pa.array(passing(bits.value, x.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+
+    return check(names)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import gc
-import re
 import shutil
 import tempfile
 import uuid
@@ -68,10 +67,10 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def row_id(docs: DataFrame | None = None) -> Column:
-    """Tells rows apart even where ids repeat or are null: the column `ROW` if `docs` has it, else a number that is stable over
-    recomputation of a file scan."""
-    return F.col(ROW) if docs is not None and ROW in docs.columns else F.monotonically_increasing_id()
+def row_id(docs: DataFrame) -> Column:
+    """Tells rows apart even where ids repeat or are null: the column `ROW` if `docs` has it, else a number that holds for
+    this one reading of `docs`."""
+    return F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -107,16 +106,16 @@ NORMAL_BYTES = bytes(
 )
 
 
-#: Nodes of plans whose rows come in one order however often and with whatever columns they are read.
-STEADY = {"Relation", "LogicalRelation", "LogicalRDD", "LocalRelation", "Project", "Filter"}
+def of_scan(docs: DataFrame) -> DataFrame:
+    """`docs`, a plain scan of files with its filters and columns, with row numbers (`ROW`): these are alike however often
+    and with whatever columns the files are read."""
+    return docs if ROW in docs.columns else docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with the row numbers that the operators give the same scan, as the column `ROW`. What isn't a plain scan is
-    written first: its rows could come in another order each time."""
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    nodes = {m[1] for m in re.finditer(r"(?m)^[\s:+|-]*([A-Za-z]+)", plan)}
-    return (docs if nodes <= STEADY else cut(docs)).withColumn(ROW, row_id())
+    """`docs` with row numbers. Rows that have none yet are written first: what isn't a scan could come in another order
+    each time it is computed. Callers that hold a scan number it by `of_scan`, which costs nothing."""
+    return docs if ROW in docs.columns else of_scan(cut(docs))
 
 
 #: Row numbers that are sent to all tasks: 8 bytes each.
@@ -136,7 +135,8 @@ def left_after(docs: DataFrame, rids: DataFrame) -> DataFrame:
 
 
 def without_rows(docs: DataFrame, rids: DataFrame) -> DataFrame:
-    return left_after(numbered(docs), rids).drop(ROW)
+    """`docs`, numbered, without the rows of these numbers and without the numbers."""
+    return left_after(docs, rids).drop(ROW)
 
 
 def exact_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

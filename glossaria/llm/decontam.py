@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glossaria.llm.common import NORMAL_BYTES, row_id, small_batches, text_or_empty
+from glossaria.llm.common import NORMAL_BYTES, numbered, row_id, small_batches, text_or_empty
 
 WIDTH = 13
 MAX_PATTERN_BYTES = 64 << 20
@@ -85,13 +85,13 @@ def _scan(automaton, data: bytes) -> tuple[int, list]:
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
     """rid, doc_id, n_words, hits: one row of each document and block."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, numbered(docs)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_or_empty().alias("text"))
     # A window is repeated in up to `width` patterns.
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] * width
     blocks = max(1, math.ceil(total / max_pattern_bytes))
     schema = f"rid long, doc_id long, n_words long, hits array<{HIT}>"
-    rows = docs.select(row_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(row_id(docs).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     small_batches(spark)
 
     def scan(k: int) -> DataFrame:

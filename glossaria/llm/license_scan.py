@@ -74,7 +74,7 @@ def scan(docs: DataFrame, templates: Sequence[Template], threshold: float = THRE
     probes = [(token, at, s.template) for s in shapes for at, token in enumerate(s.tokens[: len(s.tokens) - s.need + 1])]
     rare, known = (F.array(*[F.lit(w) for w in ws]) for ws in (sorted({p[0] for p in probes}), order))
 
-    texts = docs.select(row_id().alias("rid"), F.col(id_col).alias("doc_id"), words(text_col).alias("words"))
+    texts = docs.select(row_id(docs).alias("rid"), F.col(id_col).alias("doc_id"), words(text_col).alias("words"))
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STRIDE)), lambda i: F.arrays_overlap(F.slice("words", i + 1, F.lit(BLOCK)), rare))
     chosen = F.when(F.arrays_overlap("words", rare), F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice("words", i + 1, F.lit(BLOCK)).alias("words"))))
     blocks = texts.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"), F.explode_outer(chosen).alias("block"))

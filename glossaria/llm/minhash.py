@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from glossaria.llm import bloom
 from glossaria.llm.classes import classes_in_buckets
-from glossaria.llm.common import NORMAL_BYTES, cut, row_id, small_batches, text_or_empty
+from glossaria.llm.common import NORMAL_BYTES, ROW, cut, numbered, row_id, small_batches, text_or_empty
 from glossaria.llm.hashing import Words, chunks, mix
 from glossaria.llm.rarity import AT_ONCE, TABLE_BITS, document_counts, entry_of
 
@@ -124,7 +125,7 @@ def sketch(docs: DataFrame, idf, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("node"), batch.column("doc_id"), pa.array(made, pa.list_(pa.int64()))], names=["rid", "node", "doc_id", "bands"])
 
     small_batches(docs.sparkSession)
-    named = docs.select(row_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("node", node())
+    named = docs.select(row_id(docs).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("node", node())
     return named.mapInArrow(run, "rid long, node binary, doc_id long, bands array<long>")
 
 
@@ -245,13 +246,22 @@ def across(groups: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
     return x.join(y, "token").where((F.col("a_class") != F.col("b_class")) & fits & (~F.col("b_minor") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """node, text of the rows that `wanted` (node, rid) names. A filter of fixed size drops most other texts before any is
+    shuffled, at every size of the corpus."""
+    wanted = cut(wanted.select("node", "rid", F.xxhash64("rid").alias("name")))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted, "name"))
+    rows = docs.select(F.col(ROW).alias("rid"), text_or_empty(text_col).alias("text"), F.xxhash64(ROW).alias("name"))
+    return cut(rows.where(bloom.passes(bits, F.col("name"))).join(wanted.select("node", "rid"), "rid").select("node", "text"))
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rid, doc_id, class_id (the least id among connected documents of at least this similarity), first (of its class,
     by id, then by place in the input)."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, numbered(docs)
     idf = spark.sparkContext.broadcast(idf_table(docs, text_col))
     members = cut(sketch(docs, idf, id_col, text_col))
-    nodes = members.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    nodes = members.groupBy("node").agg(F.min("rid").alias("rid"), F.first("bands").alias("bands"))  # equal texts have equal bands
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     held = cut(buckets.join(shared, "bucket"))  # texts that share a bucket
@@ -259,8 +269,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     meets = held.groupBy("node").agg(F.sum("n").alias("meets"))
     chosen = held.join(meets, "node").groupBy("bucket").agg(F.max(F.struct("meets", "node")).alias("c")).select("bucket", F.col("c.node").alias("a"))
     met = cut(held.join(chosen, "bucket").select("bucket", "a", F.col("node").alias("b")))
-    texts = docs.select(text_or_empty(text_col).alias("text")).withColumn("node", node())
-    texts = cut(texts.join(met.select(F.col("b").alias("node")).distinct(), "node").dropDuplicates(["node"]))
+    texts = texts_of(docs, nodes.select("node", "rid").join(met.select(F.col("b").alias("node")).distinct(), "node"), text_col)
     classes = classes_in_buckets(met, lambda pairs: verified(pairs, texts, idf, least), lambda groups: across(groups, texts, idf, least))
 
     named = members.join(classes, "node", "left").select("rid", "doc_id", F.coalesce("class", "node").alias("class"))

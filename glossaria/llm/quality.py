@@ -46,7 +46,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = text_or_empty(text_col)
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
     source = F.coalesce(F.col("source"), F.lit("")) if "source" in docs.columns else F.lit("")
-    rows = docs.select(row_id().alias("rid"), F.col(id_col).alias("doc_id"), lang.alias("g_lang"), source.alias("g_source"), text.alias("text"))
+    rows = docs.select(row_id(docs).alias("rid"), F.col(id_col).alias("doc_id"), lang.alias("g_lang"), source.alias("g_source"), text.alias("text"))
     rows = rows.withColumn("words", space_words(F.col("text"))).withColumn(
         "lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     )

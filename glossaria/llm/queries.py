@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glossaria.llm import bpe, decontam, license_scan, line_dedup, minhash, quality, sharding, substring_index, suffix_dedup, url_filter
+from glossaria.llm.common import of_scan
 
 #: The contract's url rules.
 URL_RULES = (
@@ -35,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan, with row numbers."""
+    return of_scan(table(spark, sf_dir, "documents"))
+
+
 def byte_bpe_path() -> str:
     import public_tokenizers
 
@@ -46,21 +52,21 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    kept = suffix_dedup.deduplicate(documents(spark, sf_dir))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("digest", F.sha2("kept", 256)).alias("kept_sha256"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents"))
+    judged = quality.judge(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.summarise(license_scan.scan(table(spark, sf_dir, "documents"), LICENSES))
+    return license_scan.summarise(license_scan.scan(documents(spark, sf_dir), LICENSES))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substring_index.deduplicate(table(spark, sf_dir, "documents"))
+    kept = substring_index.deduplicate(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.coalesce("digest", F.sha2("kept", 256)).alias("kept_sha256"))
 
 
@@ -74,21 +80,21 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    kept = line_dedup.deduplicate(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_removed", "n_linked", F.coalesce("digest", F.sha2("kept", 256)).alias("kept_sha256"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    judged = decontam.judge(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return minhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id")
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
+    placed = sharding.assign_shards(documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -38,7 +38,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), row_id().alias("rid"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), row_id(docs).alias("rid"),
     )
     order = ["doc_id", "text_crc32", "rid"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -54,7 +54,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     shape_list = F.array(*[F.struct(F.lit(k).alias("labels"), F.lit(m).alias("length")) for k, m in sorted(shapes)]) if shapes else F.expr("cast(array() as array<struct<labels:int,length:int>>)")
 
     host, path = host_and_path(F.col(url_col))
-    parsed = pages.select(row_id().alias("rid"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("labels", F.split("host", r"\."))
+    parsed = pages.select(row_id(pages).alias("rid"), F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("labels", F.split("host", r"\."))
     fitting = F.filter(shape_list, lambda s: (F.col("host") != "") & (s["labels"] <= F.size("labels")) & (s["length"] <= F.length("path")))
     tried = parsed.select("rid", "page_id", "host", "path", "labels", F.explode_outer(fitting).alias("shape"))
     expression = F.concat(
