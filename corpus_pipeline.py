@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glossaria.llm import bpe, decontam, line_dedup, minhash, quality
-from glossaria.llm.common import ROW, cut, numbered, without_rows
+from glossaria.llm.common import ROW, cut, of_scan, without_rows
 from glossaria.llm.queries import byte_bpe_path, table
 
 
@@ -18,26 +18,30 @@ KEPT = "__glossaria_kept__"
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    docs = of_scan(docs)
     return without_rows(docs, quality.judge(docs).where(~F.col("kept")))
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that stand, within the edit distance, in an earlier place; a document that loses all its
     lines goes."""
+    docs = of_scan(docs)
     changed = cut(line_dedup.deduplicate(docs).where(F.col("n_removed") > 0).select("rid", F.col("kept").alias(KEPT)))
     same = without_rows(docs, changed.select("rid"))  # their texts are not shuffled
-    rest = numbered(docs.drop("text", "n_chars")).join(changed.where(F.col(KEPT) != "").withColumnRenamed("rid", ROW), ROW)
+    rest = docs.drop("text", "n_chars").join(changed.where(F.col(KEPT) != "").withColumnRenamed("rid", ROW), ROW)
     rest = rest.withColumns({"text": F.col(KEPT), "n_chars": F.length(KEPT).cast("long")})
-    return same.unionByName(rest.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    return same.unionByName(rest.select(*(F.col(f"`{c}`") for c in same.columns)))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near duplicates."""
+    docs = of_scan(docs)
     return without_rows(docs, minhash.near_duplicates(docs).where(~F.col("first")))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated with benchmark items."""
+    docs = of_scan(docs)
     return without_rows(docs, decontam.judge(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
