@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from glossaria.llm import bloom
 from glossaria.llm.classes import classes_in_buckets
-from glossaria.llm.common import NORMAL_BYTES, ROW, cut, numbered, row_id, small_batches, text_or_empty
+from glossaria.llm.common import NORMAL_BYTES, ROW, cut, digest, numbered, row_id, small_batches, text_or_empty
 from glossaria.llm.hashing import Words, chunks, mix
 from glossaria.llm.rarity import AT_ONCE, TABLE_BITS, document_counts, entry_of
 
@@ -106,11 +106,6 @@ def bands(best: np.ndarray) -> np.ndarray:
     return mix(total).view(np.int64)
 
 
-def node() -> Column:
-    """A text's name: equal texts are one node."""
-    return F.unhex(F.md5(F.col("text").cast("binary")))
-
-
 def sketch(docs: DataFrame, idf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rid, node, doc_id, bands (empty if there are no shingles)."""
 
@@ -125,7 +120,7 @@ def sketch(docs: DataFrame, idf, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("node"), batch.column("doc_id"), pa.array(made, pa.list_(pa.int64()))], names=["rid", "node", "doc_id", "bands"])
 
     small_batches(docs.sparkSession)
-    named = docs.select(row_id(docs).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("node", node())
+    named = docs.select(row_id(docs).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("node", digest(F.col("text")))
     return named.mapInArrow(run, "rid long, node binary, doc_id long, bands array<long>")
 
 

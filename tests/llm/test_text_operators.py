@@ -11,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from glossaria.llm import bpe, decontam, license_scan, line_dedup, minhash, quality, queries, sharding, substring_index, suffix_dedup, url_filter
+from glossaria.llm.common import of_scan
 from pyspark.sql import functions as F
 
 SPACE_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -194,18 +195,37 @@ def test_substring_dedup_in_any_number_of_batches(spark, stored):
     assert substring_index.deduplicate(stored.limit(0)).count() == 0
 
 
-def test_index_compacts_its_runs(spark, stored):
-    index = substring_index.FingerprintIndex(spark, most_runs=3)
-    parts = substring_index.in_batches(stored, 3)
-    sizes = []
-    for part in parts:
-        index.add(part).count()
-        sizes.append(len(index.runs))
-    assert sizes == [1, 2, 1]
-    total = sum(r["n"] for r in substring_index.anchors_of(stored).collect())
-    assert index.history().agg(F.sum("n")).first()[0] == total
-    assert index.history().count() == index.history().select("anchor").distinct().count()
-    index.drop()
+def test_index_is_stored_compacted_and_opened_again(spark, stored, tmp_path):
+    """Each batch by an index opened anew, as three jobs would; the runs are merged before the third."""
+    whole = {r["rid"]: tuple(r) for r in substring_index.FingerprintIndex(spark).add(of_scan(stored)).drop("digest", "kept").collect()}
+    found, sizes = {}, []
+    for part in substring_index.in_batches(of_scan(stored), 3):
+        index = substring_index.FingerprintIndex(spark, str(tmp_path / "index"), most_runs=2)
+        found |= {r["rid"]: tuple(r) for r in index.add(part).drop("digest", "kept").collect()}
+        sizes.append(len(index._names("run")))
+    assert sizes == [1, 2, 2]
+    assert found == whole
+    again = substring_index.FingerprintIndex(spark, str(tmp_path / "index"))
+    again.compact()
+    n = [len(a) for a in _anchors(stored)]
+    assert again.history().agg(F.sum("n")).first()[0] == sum(n)
+    assert again.history().count() == again.history().select("anchor").distinct().count()
+    again.drop()
+
+
+def _anchors(docs):
+    for r in docs.select("text").collect():
+        yield substring_index.Anchored([(r["text"] or "").encode()]).anchor
+
+
+def test_words_are_compared_and_not_their_hashes(spark):
+    """Words whose polynomial hashes are equal in any base: a Thue-Morse word and its complement."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    rest = " ".join(f"w{k}" for k in range(19))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{other} {rest}")], "doc_id long, text string")
+    found = substring_index.deduplicate(docs).select("doc_id", "n_removed").collect()
+    assert {tuple(r) for r in found} == {(1, 0), (2, 0), (3, 20)}
 
 
 def test_bpe_is_the_librarys(spark, stored):
