@@ -122,9 +122,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 FEW_ROWS = 1_000_000
 
 
-def few(rows: DataFrame) -> DataFrame:
+def few(rows: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     """Written rows of a few numbers each, marked to be sent to all tasks if they are counted to be few."""
-    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def left_after(docs: DataFrame, rids: DataFrame) -> DataFrame:

@@ -1,9 +1,14 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant, per language and source.
 
-Each text gives a vector of transformed statistics. In each group, concentration steps keep the three quarters of the
-rows that are nearest in Mahalanobis distance and estimate again from these, which lowers the determinant each time;
-rows far outside the last estimate are rejected. Variances have a floor in each dimension, since most clean texts have
-no symbols and no repeated lines at all. Only sums of each group are gathered, never its rows.
+Each text gives a vector of transformed statistics. In each group three starts (quartiles; directions from the medians;
+the half that is nearest to the medians) take two concentration steps each: a step keeps the three quarters of the rows
+that are nearest in Mahalanobis distance and estimates again from these, which lowers the determinant. The start with the
+least determinant goes on until a step lowers it no further. The estimate is scaled to chi-square's 0.75 quantile, and
+once more made from all rows within its 0.975 quantile; rows beyond the 0.9999 quantile are rejected.
+
+The estimate is a regularised one: a floor is added to each variance, since nearly all clean texts have no symbols and no
+repeated lines at all, so that without it the determinant would be 0 and any symbol an outlier. Only sums of each group
+are gathered, never its rows, and they are summed before they are shuffled, so a hot group is no task of its own.
 
 Defined cases: a null text has no words; texts that fail the base rules are rejected and take no part in the estimates;
 null languages and sources count as empty strings; a group of fewer than `MIN_GROUP` rows supports no estimate of its
@@ -13,26 +18,28 @@ alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glossaria.llm.common import cut, row_id, space_words, text_or_empty
+from glossaria.llm.common import cut, few, row_id, space_words, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 
-#: Dimensions of the vector, and the standard deviation that is least believed in each.
-FLOORS = {"log_words": 0.5, "word_length": 0.4, "symbols": 0.12, "repeats": 0.12, "lines": 0.5}
+#: Dimensions of the vector, and the standard deviation that is added in each.
+FLOORS = {"log_words": 1.0, "word_length": 0.25, "symbols": 0.05, "repeats": 0.1, "lines": 0.5}
 CORE = 0.75  # of a group's rows are in the estimate
-CORE_CHI2 = 6.63  # the 0.75 quantile of chi-square with five degrees of freedom
-STEPS = 3
+# Quantiles of chi-square with five degrees of freedom.
+CHI2_CORE, CHI2_975, CHI2_9999 = 6.6257, 12.8325, 25.7448
+FALL = 1e-3  # of a log determinant; less is no fall
 MIN_GROUP = 50
-CUTOFF = 40.0  # squared distance; far beyond chi-square's tail, as real statistics have heavier ones
-GROUP = ["g_lang", "g_source"]
+CUTOFF = CHI2_9999  # squared distance
+FEW_GROUPS = 20_000  # estimates that are sent to all tasks: some 400 bytes each
+GROUP = ["g_pooled", "g_lang", "g_source"]
+TEXT_GROUP = ["g_lang", "g_source"]
 DIMS = list(FLOORS)
-PAIRS = [(i, j) for i in range(len(DIMS)) for j in range(i + 1)]
+NUMBERS = range(len(DIMS))
+PAIRS = [(i, j) for i in NUMBERS for j in range(i + 1)]
 
 
 def window_hashes(words: Column) -> Column:
@@ -51,7 +58,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     )
     rows = rows.select(
-        "rid", "doc_id", *GROUP, F.size("words").cast("long").alias("n_words"), F.length(F.concat_ws("", "words")).cast("long").alias("word_chars"),
+        "rid", "doc_id", *TEXT_GROUP, F.size("words").cast("long").alias("n_words"), F.length(F.concat_ws("", "words")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), window_hashes(F.col("words")).alias("windows"),
     )
@@ -69,7 +76,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     rows = rows.withColumn("n_repeat_words", F.when(F.col("repeats"), covered).otherwise(F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return rows.select("rid", "doc_id", *GROUP, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    return rows.select("rid", "doc_id", *TEXT_GROUP, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
 def vector() -> dict[str, Column]:
@@ -80,68 +87,103 @@ def vector() -> dict[str, Column]:
     }
 
 
-def distance() -> Column:
-    """Squared Mahalanobis distance by the inverse Cholesky factor of a group's estimate."""
-    off = [F.col(d) - F.col(f"m_{i}") for i, d in enumerate(DIMS)]
-    rows = [sum(F.col(f"w_{i}_{j}") * off[j] for j in range(i + 1)) for i in range(len(DIMS))]
-    return sum(r * r for r in rows)
+def with_group(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """Rows with their group's estimates: sent to all tasks where they are counted to be few."""
+    return rows.join(few(estimate, FEW_GROUPS), GROUP)
+
+
+def _sum(parts: list[str]) -> str:
+    return "(" + " + ".join(parts or ["0D"]) + ")"
+
+
+#: Squared Mahalanobis distance by the inverse Cholesky factor of a group's estimate.
+DISTANCE = _sum([f"pow({_sum([f'w_{i}_{j} * ({DIMS[j]} - m_{j})' for j in range(i + 1)])}, 2)" for i in NUMBERS])
 
 
 def with_factor(moments: DataFrame) -> DataFrame:
-    """Adds w_i_j, the inverse of the Cholesky factor of the covariances c_i_j."""
-    out = moments
-    for j, k in itertools.product(range(len(DIMS)), repeat=2):
-        if k >= j:  # entry (k, j) of the factor, column by column
-            rest = F.col(f"c_{k}_{j}") - sum((F.col(f"l_{k}_{m}") * F.col(f"l_{j}_{m}") for m in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l_{k}_{j}", F.sqrt(rest) if k == j else rest / F.col(f"l_{j}_{j}"))
-    for i in range(len(DIMS)):
-        for j in range(i, -1, -1):
-            rest = F.lit(1.0) if i == j else -sum((F.col(f"l_{i}_{m}") * F.col(f"w_{m}_{j}") for m in range(j, i)), F.lit(0.0))
-            out = out.withColumn(f"w_{i}_{j}", rest / F.col(f"l_{i}_{i}"))
-    return out.select(*GROUP, "n", *(f"m_{i}" for i in range(len(DIMS))), *(f"w_{i}_{j}" for i, j in PAIRS))
-
-
-def start(rows: DataFrame) -> DataFrame:
-    """Medians and the spread between quartiles, without covariances."""
-    quartiles = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), *(F.percentile_approx(d, [0.25, 0.5, 0.75], 1000).alias(f"q_{i}") for i, d in enumerate(DIMS)))
-    spread = [F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(f)) for i, f in enumerate(FLOORS.values())]
-    return quartiles.select(
-        *GROUP, "n", *(F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(len(DIMS))),
-        *((1 / spread[i] if i == j else F.lit(0.0)).alias(f"w_{i}_{j}") for i, j in PAIRS),
-    )
+    """w_i_j, the inverse of the Cholesky factor of the covariances c_i_j, and their log determinant, in place of these."""
+    kept, out = [c for c in moments.columns if not c.startswith("c_")], moments
+    for j in NUMBERS:  # column by column of the factor
+        rest = {k: f"(c_{k}_{j} - {_sum([f'l_{k}_{m} * l_{j}_{m}' for m in range(j)])})" for k in NUMBERS[j:]}
+        corner = f"sqrt(greatest({rest[j]}, 1e-12D))"
+        out = out.selectExpr("*", *(f"{corner if k == j else f'{rest[k]} / {corner}'} AS l_{k}_{j}" for k in rest))
+    for i in NUMBERS:  # row by row of its inverse
+        rest = {j: "1D" if i == j else "-" + _sum([f"l_{i}_{m} * w_{m}_{j}" for m in range(j, i)]) for j in range(i + 1)}
+        out = out.selectExpr("*", *(f"{rest[j]} / l_{i}_{i} AS w_{i}_{j}" for j in rest))
+    return out.selectExpr(*kept, *(f"w_{i}_{j}" for i, j in PAIRS), f"{_sum([f'2 * ln(l_{i}_{i})' for i in NUMBERS])} AS log_det")
+
+
+def moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Means and regularised covariances of rows that have their group's center m_i; sums are taken around that."""
+    off = [f"({d} - m_{i})" for i, d in enumerate(DIMS)]
+    means = [f"avg({off[i]})" for i in NUMBERS]
+    sums = rows.groupBy(*by).agg(*map(F.expr, [
+        "count(*) AS n", *(f"first(m_{i}) + {means[i]} AS m_{i}" for i in NUMBERS),
+        *(f"avg({off[i]} * {off[j]}) - {means[i]} * {means[j]} + {list(FLOORS.values())[i] ** 2 if i == j else 0.0}D AS c_{i}_{j}" for i, j in PAIRS),
+    ]))
+    return with_factor(sums)
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Three estimates of each group."""
+    quartiles = rows.groupBy(*GROUP).agg(*(F.expr(f"percentile_approx({d}, array(0.25, 0.5, 0.75), 1000) AS q_{i}") for i, d in enumerate(DIMS)))
+    spread = [f"greatest((q_{i}[2] - q_{i}[0]) / 1.349D, {f}D) AS t_{i}" for i, f in enumerate(FLOORS.values())]
+    middle = cut(quartiles.selectExpr(*GROUP, *(f"q_{i}[1] AS m_{i}" for i in NUMBERS), *spread))
+    centers = [f"m_{i}" for i in NUMBERS]
+    plain = with_factor(middle.selectExpr(*GROUP, *centers, *(f"{f't_{i} * t_{j}' if i == j else '0D'} AS c_{i}_{j}" for i, j in PAIRS)))
+
+    placed = with_group(rows, middle).selectExpr("*", *(f"({d} - m_{i}) / t_{i} AS z_{i}" for i, d in enumerate(DIMS)))
+    placed = placed.selectExpr("*", f"sqrt({_sum([f'z_{i} * z_{i}' for i in NUMBERS])}) AS norm")
+    sign = [f"z_{i} / greatest(norm, 1e-9D)" for i in NUMBERS]
+    signs = placed.groupBy(*GROUP).agg(F.percentile_approx("norm", 0.5, 1000).alias("half"), *(F.expr(f"covar_pop({sign[i]}, {sign[j]}) AS s_{i}_{j}") for i, j in PAIRS))
+    signs = cut(signs.join(middle, GROUP))
+    directions = with_factor(signs.selectExpr(*GROUP, *centers, *(f"t_{i} * t_{j} * ({len(DIMS)} * s_{i}_{j} + {0.05 if i == j else 0.0}D) AS c_{i}_{j}" for i, j in PAIRS)))
+    near = placed.join(few(signs.select(*GROUP, "half"), FEW_GROUPS), GROUP).where("norm <= half")
+    found = [plain, directions, moments(near, GROUP).drop("n")]
+    return cut(found[0].withColumn("start", F.lit(0)).unionByName(found[1].withColumn("start", F.lit(1))).unionByName(found[2].withColumn("start", F.lit(2))))
 
 
 def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One step: moments of each group's nearest three quarters."""
-    far = rows.join(estimate, GROUP).select(*GROUP, *DIMS, distance().alias("d2"))
-    edge = far.groupBy(*GROUP).agg(F.percentile_approx("d2", CORE, 1000).alias("edge"))
-    core = far.join(edge, GROUP).where(F.col("d2") <= F.col("edge"))
-    floors = list(FLOORS.values())
-    moments = core.groupBy(*GROUP).agg(
-        F.count("*").alias("n"), *(F.avg(d).alias(f"m_{i}") for i, d in enumerate(DIMS)),
-        *((F.covar_pop(DIMS[i], DIMS[j]) + (floors[i] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS),
-    )
-    return with_factor(moments)
+    """One step: moments of each group's nearest three quarters, for each of its estimates."""
+    by = [*GROUP, "start"]
+    far = with_group(rows, estimate).withColumn("d2", F.expr(DISTANCE))
+    edge = cut(far.groupBy(*by).agg(F.percentile_approx("d2", CORE, 1000).alias("edge")))
+    return cut(moments(far.join(few(edge, FEW_GROUPS), by).where(F.col("d2") <= F.col("edge")), by))
+
+
+def scaled(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """Adds the group's number of rows, and `scale`: what makes the core's edge fit chi-square's."""
+    edge = with_group(rows, estimate).groupBy(*GROUP).agg(F.percentile_approx(F.expr(DISTANCE), CORE, 1000).alias("edge"), F.count("*").alias("rows"))
+    return cut(estimate.join(edge, GROUP).select(*estimate.columns, "rows", F.greatest(F.col("edge") / CHI2_CORE, F.lit(1.0)).alias("scale")))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """The last estimate of each group, with `scale`: what makes the core's edge fit chi-square's."""
-    found = cut(start(rows))
-    for _ in range(STEPS):
-        found = cut(concentrate(rows, found))
-    edge = rows.join(found, GROUP).groupBy(*GROUP).agg(F.percentile_approx(distance(), CORE, 1000).alias("edge"), F.count("*").alias("rows"))
-    return cut(found.join(edge, GROUP).select(*found.columns, "rows", F.greatest(F.col("edge") / CORE_CHI2, F.lit(1.0)).alias("scale")))
+    """The estimate of each group: m_i, w_i_j, scale, rows."""
+    tried = concentrate(rows, concentrate(rows, starts(rows)))
+    least = F.struct("log_det", "start")
+    best = tried.groupBy(*GROUP).agg(F.min(least).alias("least")).select(*GROUP, "least.start")
+    found = active = cut(tried.join(best, [*GROUP, "start"]))
+    while True:  # a group goes on while a step lowers its determinant, which floors bound from below
+        before = active.select(*GROUP, F.col("log_det").alias("before"))
+        active = cut(concentrate(rows, active).join(before, GROUP).where(F.col("log_det") < F.col("before") - FALL).drop("before"))
+        if active.isEmpty():
+            break
+        found = cut(found.join(active.select(*GROUP), GROUP, "left_anti").unionByName(active))
+    found = scaled(rows, found.drop("start", "n"))
+    good = with_group(rows, found).where(F.expr(DISTANCE) <= CHI2_975 * F.col("scale"))
+    return scaled(rows, cut(moments(good, GROUP).drop("n")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
     """The statistics, d2 (squared distance; null if base_failed or without an estimate) and kept."""
     stats = cut(statistics(docs, id_col, text_col))
-    rows = stats.where(~F.col("base_failed")).select(*GROUP, *(c.alias(n) for n, c in vector().items()))
-    own = estimates(rows).where(F.col("rows") >= MIN_GROUP)
-    pooled = estimates(rows.withColumn("g_source", F.lit(""))).where(F.col("rows") >= MIN_GROUP).drop("g_source")
-    shape = [c for c in own.columns if c not in (*GROUP, "n", "rows")]
-    measured = stats.withColumns(vector()).join(own.select(*GROUP, *(F.col(c).alias(f"own_{c}") for c in shape)), GROUP, "left")
-    measured = measured.join(pooled.select("g_lang", *(F.col(c).alias(f"pool_{c}") for c in shape)), "g_lang", "left")
+    both = F.explode(F.array(F.struct(F.lit(False).alias("g_pooled"), "g_lang", "g_source"), F.struct(F.lit(True).alias("g_pooled"), "g_lang", F.lit("").alias("g_source"))))
+    rows = stats.where(~F.col("base_failed")).select(both.alias("g"), *(c.alias(n) for n, c in vector().items())).select("g.*", *DIMS)
+    found = estimates(rows).where(F.col("rows") >= MIN_GROUP)
+    shape = [c for c in found.columns if c[:2] in ("m_", "w_") or c == "scale"]
+    own = found.where(~F.col("g_pooled")).select("g_lang", "g_source", *(F.col(c).alias(f"own_{c}") for c in shape))
+    pooled = found.where("g_pooled").select("g_lang", *(F.col(c).alias(f"pool_{c}") for c in shape))
+    measured = stats.withColumns(vector()).join(few(own, FEW_GROUPS), ["g_lang", "g_source"], "left").join(few(pooled, FEW_GROUPS), "g_lang", "left")
     measured = measured.withColumns({c: F.coalesce(f"own_{c}", f"pool_{c}") for c in shape})
-    measured = measured.withColumn("d2", F.when(~F.col("base_failed"), distance() / F.col("scale")))
+    measured = measured.withColumn("d2", F.when(~F.col("base_failed"), F.expr(DISTANCE) / F.col("scale")))
     return measured.select(*stats.columns, "d2", (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"))
