@@ -18,17 +18,44 @@ URL_RULES = (
     url_filter.Rule("block", "com", "/de/"),
 )
 
-#: The contract's phrases, and the opening or granting words of well-known licenses.
+#: The contract's phrases, and the wording of well-known licenses or of the notices that point to them.
 LICENSES = (
     license_scan.Template("gpl", "gnu general public license", True),
     license_scan.Template("apache", "apache license", True),
     license_scan.Template("cc-by", "cc by", True),
     license_scan.Template("mit", "mit license", True),
-    license_scan.Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    license_scan.Template("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    license_scan.Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    license_scan.Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    license_scan.Template("cc-by", "this work is licensed under the creative commons attribution international license"),
+    license_scan.Template("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    license_scan.Template("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing,
+software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See
+the License for the specific language governing permissions and limitations under the License."""),
+    license_scan.Template("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
+conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE
+IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    license_scan.Template("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND
+ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    license_scan.Template("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies."""),
+    license_scan.Template("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
+    license_scan.Template("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and
+by any means."""),
+    license_scan.Template("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
 )
 
 
@@ -145,14 +172,14 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 
 
 def _license_sql() -> str:
-    rows = ", ".join(f"({k}, '{t.label}', {t.phrase}, string_split('{t.text}', ' '))" for k, t in enumerate(LICENSES))
+    rows = ", ".join(f"({k}, '{t.label}', {t.phrase}, string_split('{' '.join(t.words)}', ' '), {t.stride})" for k, t in enumerate(LICENSES))
     return rf"""
-WITH t AS (SELECT *, list_distinct(ws) AS tokens, CASE WHEN phrase THEN len(list_distinct(ws)) ELSE ceil({license_scan.THRESHOLD} * len(list_distinct(ws)) - 1e-9) END AS need FROM (VALUES {rows}) v(k, label, phrase, ws)),
+WITH t AS (SELECT *, list_distinct(ws) AS tokens, CASE WHEN phrase THEN len(list_distinct(ws)) ELSE ceil({license_scan.THRESHOLD} * len(list_distinct(ws)) - 1e-9) END AS need FROM (VALUES {rows}) v(k, label, phrase, ws, stride)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT rid, s, w[s + 1 : s + {license_scan.BLOCK}] AS block FROM (SELECT rid, w, unnest(range(0, len(w), {license_scan.STRIDE})) AS s FROM d)),
-met AS (SELECT rid, s, block, label, phrase, ws, len(list_intersect(list_distinct(block), tokens)) / len(tokens) AS containment
-  FROM b, t WHERE len(list_intersect(list_distinct(block), tokens)) >= need),
-places AS (SELECT rid, label, s + i AS place, containment FROM (SELECT *, unnest(range(0, least(len(block), {license_scan.STRIDE}))) AS i FROM met WHERE phrase) WHERE block[i + 1 : i + len(ws)] = ws),
+b AS (SELECT rid, stride, s, w[s + 1 : s + 2 * stride] AS block FROM (SELECT rid, w, stride, unnest(range(0, len(w), stride)) AS s FROM d, (SELECT DISTINCT stride FROM t))),
+met AS (SELECT rid, s, block, label, phrase, ws, t.stride AS stride, len(list_intersect(list_distinct(block), tokens)) / len(tokens) AS containment
+  FROM b JOIN t ON b.stride = t.stride WHERE len(list_intersect(list_distinct(block), tokens)) >= need),
+places AS (SELECT rid, label, s + i AS place, containment FROM (SELECT *, unnest(range(0, least(len(block), stride))) AS i FROM met WHERE phrase) WHERE block[i + 1 : i + len(ws)] = ws),
 p AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY rid),
 l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(containment) AS score
   FROM (SELECT rid, label, containment FROM places UNION ALL SELECT rid, label, containment FROM met WHERE NOT phrase) GROUP BY rid)
