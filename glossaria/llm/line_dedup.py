@@ -7,7 +7,8 @@ bytes. Keys of one line only, nearly all of them, are left out by a filter of fi
 compared by banded bit-parallel edit distance, all pairs of a batch at once, after common ends are cut off. Linked
 lines form classes; of a class the first line stays, by document id and line number.
 
-Lines of fewer than `LEAST` bytes, and those without a word, are never removed: they carry no text of their own.
+Lines of fewer than `LEAST` bytes, in which two edits may change the meaning, only equal each other byte by byte. Lines
+without a letter or digit (ASCII or any byte beyond) are never removed: they carry no text of their own.
 
 Defined cases: a null text has no lines, an empty one has one line that stays; null ids come first; rows of equal id have
 the same places, so a repeated row keeps its lines; a text up to 2**28 bytes is read whole; an empty table gives an
@@ -34,6 +35,8 @@ EDITS = 2
 LEAST = 24
 BYTES_A_KEY = 16  # about, for the number of slots
 GRAM = 4
+#: Bytes of letters and digits.
+LETTERS = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 AT_ONCE = 1_000_000  # bytes of text hashed together
 PAIRS_AT_ONCE = 4096
 LINE = "line:int,node:binary,own:array<bigint>,probes:array<bigint>"
@@ -66,9 +69,8 @@ class Lines:
         offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
         doc = np.searchsorted(offsets, starts, side="right") - 1
         number = np.arange(len(starts)) - np.searchsorted(starts, offsets[:-1])[doc]
-        blank = np.concatenate([[0], np.cumsum((self.buffer == 0x20) | ((self.buffer >= 9) & (self.buffer <= 13)))])
-        words = (blank[ends] - blank[starts]) < (ends - starts)
-        ok = np.flatnonzero((ends - starts >= LEAST) & words)
+        letters = np.concatenate([[0], np.cumsum(LETTERS[self.buffer])])
+        ok = np.flatnonzero(letters[ends] > letters[starts])
         self.start, self.end, self.doc, self.number = starts[ok], ends[ok], doc[ok], number[ok]
         self.joined = joined
         sums = prefix_sums(self.buffer)
@@ -76,7 +78,7 @@ class Lines:
         named = lambda l, i, at, size: mix(span_hashes(sums, at, at + size) * CHAIN + (l * (EDITS + 1) + i).astype(np.uint64))
         own, probes = [], []
         for less in range(EDITS + 1):  # of a line that many bytes shorter
-            for i, (p, size) in enumerate(segments(length - less)):
+            for i, (p, size) in enumerate(segments(np.maximum(length - less, 0))):
                 low = np.maximum(np.maximum(p - i, p + less - (EDITS - i)), 0)
                 high = np.minimum(np.minimum(p + i, p + less + (EDITS - i)), length - size)
                 for at in range(2 * EDITS + 1):
@@ -89,6 +91,8 @@ class Lines:
                     probes.append(np.where(place <= high, key, own[0] if own else key))
         self.own = np.stack(own, axis=1)
         self.probes = np.stack(probes, axis=1)  # some repeat the line's own keys
+        short = length < LEAST
+        self.own[short] = self.probes[short] = mix(span_hashes(sums, self.start[short], self.end[short]) + CHAIN)[:, None]
 
     def line(self, k: int) -> bytes:
         return self.joined[self.start[k] : self.end[k]]
@@ -122,7 +126,7 @@ def candidates(docs: DataFrame, filter_bits, part_bits: int, id_col: str, text_c
                 for k in np.flatnonzero(passed[0].any(axis=1) | passed[1].any(axis=1)).tolist():
                     own = found.own[k][passed[0][k]].view(np.int64).tolist()
                     probes = set(found.probes[k][passed[1][k]].view(np.int64).tolist()) - set(own)
-                    node = hashlib.md5(found.line(k)).digest()
+                    node = hashlib.sha256(found.line(k)).digest()[:16]
                     lists[found.doc[k]].append({"line": int(found.number[k]), "node": node, "own": own, "probes": list(probes)})
                 made += lists
             digests = [None if m else hashlib.sha256(t).hexdigest() for t, m in zip(texts, made, strict=True)]
