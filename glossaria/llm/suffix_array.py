@@ -144,23 +144,40 @@ def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
     return _induce(text, least, small, letters)
 
 
+#: The first places of so many are compared from their first letter; the others begin where these let them.
+CARRY = 4
+
+
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """By place in the text: letters shared with the suffix before it in order, up to `most`."""
+    """By place in the text: letters shared with the suffix before it in order, up to `most`.
+
+    A place shares at least one letter less than the place before it, so only every `CARRY`-th place is compared from
+    zero on; what it shares is carried on to the places after it.
+    """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([text.astype(np.uint64), np.zeros(most + 16, np.uint64)])
-    packed = padded.copy()  # four letters of 16 bits
+    packed = np.concatenate([text.astype(np.uint64), np.zeros(most + 16, np.uint64)])  # four letters of 16 bits
     for width in (1, 2):
         packed[:-width] |= packed[width:] << np.uint64(16 * width)
     shared = np.zeros(n, np.int64)
-    alive = np.flatnonzero(before >= 0)
-    for k in range(0, most, 4):
-        differ = packed[alive + k] ^ packed[before[alive] + k]
-        unlike = differ != 0
-        lowest = differ[unlike]
-        lowest &= ~lowest + np.uint64(1)
-        shared[alive[unlike]] = k + (np.log2(lowest.astype(np.float64)).astype(np.int64) >> 4)
-        alive = alive[~unlike]
-    shared[alive] = most
+
+    def extend(places: np.ndarray, at: np.ndarray) -> None:
+        some = before[places] >= 0
+        places, at = places[some], at[some]
+        while len(places):
+            differ = packed[places + at] ^ packed[before[places] + at]
+            unlike = differ != 0
+            lowest = differ[unlike]
+            lowest &= ~lowest + np.uint64(1)
+            shared[places[unlike]] = at[unlike] + (np.log2(lowest.astype(np.float64)).astype(np.int64) >> 4)
+            places, at = places[~unlike], at[~unlike] + 4
+            shared[places[at >= most]] = most
+            places, at = places[at < most], at[at < most]
+
+    first = np.arange(0, n, CARRY)
+    extend(first, np.zeros(len(first), np.int64))
+    for k in range(1, CARRY):
+        later = first[first + k < n] + k
+        extend(later, np.maximum(np.minimum(shared[later - k], most) - k, 0))
     return np.minimum(shared, most)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import secrets
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from glossaria.llm import bloom, slots
-from glossaria.llm.common import bucketed, cut, exact_copies, left_after, numbered, row_id, small_batches, text_or_empty
-from glossaria.llm.hashing import CHAIN, anchored_runs, chunks, mix, prefix_sums, span_hashes, window_hashes
+from glossaria.llm.common import bucketed, cut, digest, exact_copies, left_after, numbered, row_id, small_batches, text_or_empty
+from glossaria.llm.hashing import anchored_runs, chunks, prefix_sums, window_hashes
 from glossaria.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 16
@@ -67,7 +68,9 @@ def anchors_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def candidates(docs: DataFrame, filter_bits, part_bits: int, id_col: str, text_col: str) -> DataFrame:
-    """rid, doc_id, n_bytes, pieces; the text if there are pieces, else its digest."""
+    """rid, doc_id, n_bytes, pieces; the text if there are pieces, else its digest. A piece is known by its anchor and a
+    keyed digest of its bytes, under a key that no text can foresee."""
+    salt = secrets.token_bytes(16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filter_bits.value
@@ -80,8 +83,9 @@ def candidates(docs: DataFrame, filter_bits, part_bits: int, id_col: str, text_c
                 ok = np.flatnonzero(bloom.passing(bits, slots.named(slots.slots_of(p.anchor, part_bits))))
                 start, n = p.start[ok], p.count[ok]
                 counts.append(np.bincount(p.doc[ok], minlength=b - a))
-                hashes = mix(span_hashes(p.sums, start, start + n + LENGTH - 1) + n.astype(np.uint64) * CHAIN)
-                for column, made in zip(columns, (p.anchor[ok].view(np.int64), hashes.view(np.int64), (start - p.first[p.doc[ok]]) << 8 | n), strict=True):
+                data, end = p.buffer.tobytes(), start + n + LENGTH - 1
+                hashes = b"".join([hashlib.blake2b(data[x:y], digest_size=8, key=salt).digest() for x, y in zip(start.tolist(), end.tolist(), strict=True)])
+                for column, made in zip(columns, (p.anchor[ok].view(np.int64), np.frombuffer(hashes, np.int64), (start - p.first[p.doc[ok]]) << 8 | n), strict=True):
                     column.append(made)
             count = np.concatenate([np.empty(0, np.int64), *counts])
             parts = [pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in columns]
@@ -137,7 +141,7 @@ def resolve_shard(pieces: pa.Table) -> pa.Table:
 def resolve_strings(pieces: DataFrame) -> DataFrame:
     """The same as `resolve_shard` for pieces of hot anchors: equal strings meet by digest."""
     each = pieces.select("anchor", "hash", "owner", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH)).alias("k"))
-    strings = cut(each.select("anchor", "hash", "owner", "k", F.unhex(F.md5(F.substring("bytes", F.col("k") + 1, F.lit(LENGTH)))).alias("name")))
+    strings = cut(each.select("anchor", "hash", "owner", "k", digest(F.substring("bytes", F.col("k") + 1, F.lit(LENGTH))).alias("name")))
     least = strings.groupBy("name").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where(F.col("least") < F.col("most"))
     later = strings.join(least.select("name", "least"), "name").where(F.col("owner") > F.col("least"))
     found = later.groupBy("anchor", "hash").agg(F.array_sort(F.collect_list("k")).alias("ks"))  # 35 at most
