@@ -1,6 +1,8 @@
 """Each operator against a plain version of its contract, on awkward rows."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -129,39 +131,122 @@ def test_quality_rejects_outliers_of_a_group(spark):
     assert {r["doc_id"] for r in judged if not r["kept"]} == {1000 + k for k in range(5)}
 
 
-def test_estimate_is_of_the_nearest_rows(spark):
-    """One concentration step against numpy."""
+def _nearest_rank(values, share):
+    values = sorted(values)
+    return values[max(0, math.ceil(share * len(values)) - 1)]
+
+
+def _robust(x):
+    """Center, covariance and scale of rows: three starts, steps until the determinant falls no more, one new weighting."""
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(size=(300, 5)), rng.normal(8, 1, size=(40, 5))])
-    rows = spark.createDataFrame([("g", "s", *map(float, r)) for r in x], "g_lang string, g_source string, " + ", ".join(f"{d} double" for d in quality.DIMS))
-    found = quality.estimates(rows).first()
-    near = np.array([found[f"m_{i}"] for i in range(5)])
-    assert np.abs(near - x[:300].mean(0)).max() < 0.4
-    w = np.zeros((5, 5))
-    for i, j in quality.PAIRS:
-        w[i, j] = found[f"w_{i}_{j}"]
-    d2 = ((w @ (x - near).T) ** 2).sum(0) / found["scale"]
-    assert d2[:300].max() < d2[300:].min()
+    floors = np.array(list(quality.FLOORS.values()))
+
+    def distance(m, c):
+        y = np.linalg.solve(np.linalg.cholesky(c), (x - m).T)
+        return (y**2).sum(0)
+
+    def estimate(rows):
+        return rows.mean(0), np.cov(rows.T, bias=True).reshape(5, 5) + np.diag(floors**2)
+
+    def step(m, c):
+        d = distance(m, c)
+        return estimate(x[d <= _nearest_rank(d, 0.75)])
+
+    log_det = lambda c: np.linalg.slogdet(c)[1]
+    low, middle, high = (np.array([_nearest_rank(x[:, k], q) for k in range(5)]) for q in (0.25, 0.5, 0.75))
+    spread = np.maximum((high - low) / 1.349, floors)
+    z = (x - middle) / spread
+    norm = np.sqrt((z**2).sum(1))
+    sign = z / np.maximum(norm, 1e-9)[:, None]
+    turned = np.diag(spread) @ (5 * np.cov(sign.T, bias=True) + 0.05 * np.eye(5)) @ np.diag(spread)
+    starts = [(middle, np.diag(spread**2)), (middle, turned), estimate(x[norm <= _nearest_rank(norm, 0.5)])]
+    best = min((step(*step(*s)) for s in starts), key=lambda e: log_det(e[1]))
+    while log_det((new := step(*best))[1]) < log_det(best[1]) - quality.FALL:
+        best = new
+    d = distance(*best)
+    best = estimate(x[d <= quality.CHI2_975 * max(1, _nearest_rank(d, 0.75) / quality.CHI2_CORE)])
+    return (*best, max(1, _nearest_rank(distance(*best), 0.75) / quality.CHI2_CORE))
+
+
+def test_quality_verdicts_are_those_of_brute_force(spark):
+    """Groups above and below `MIN_GROUP`: the small ones are measured against their language, or against nothing."""
+    import numpy as np
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(4)
+    rows = []
+    for lang, source, n in (("en", "s0", 120), ("en", "s1", 20), ("fr", "s0", 49), ("fr", None, 60), ("de", "s2", 10)):
+        for _ in range(n):
+            text = prose(rng, rng.randint(40, 400))
+            if rng.random() < 0.1:
+                text = " ".join(w + "#$" * rng.randint(0, 3) for w in text.split())
+            if rng.random() < 0.1:
+                text += "\n" + "\n".join(text.split("\n")[: rng.randint(1, 9)])
+            rows.append((len(rows), text, lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    judged = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    fine = [(i, r[2], r[3] or "") for i, r in enumerate(rows) if not judged[i]["base_failed"]]
+    vectors = {}
+    for i, _, _ in fine:
+        r = judged[i]
+        vectors[i] = (math.log1p(r["n_words"]), r["word_chars"] / r["n_words"], math.sqrt(r["n_symbols"] / r["word_chars"]), math.sqrt(r["n_repeat_words"] / r["n_words"]), math.log1p(r["n_dup_lines"]))
+    sides = set()
+    for lang, source in {(f[1], f[2]) for f in fine}:
+        own, every = ([f[0] for f in fine if f[1] == lang and s in (f[2], None)] for s in (source, None))
+        base = own if len(own) >= quality.MIN_GROUP else every
+        sides.add((len(own) >= quality.MIN_GROUP, len(every) >= quality.MIN_GROUP))
+        if len(base) < quality.MIN_GROUP:
+            assert all(judged[i]["kept"] and judged[i]["d2"] is None for i in own)
+            continue
+        m, c, scale = _robust(np.array([vectors[i] for i in base]))
+        for i in own:
+            d = np.linalg.solve(np.linalg.cholesky(c), np.array(vectors[i]) - m)
+            assert judged[i]["d2"] == pytest.approx(float(d @ d) / scale, rel=1e-6, abs=1e-9)
+            assert judged[i]["kept"] == (float(d @ d) / scale <= quality.CUTOFF)
+    assert sides == {(True, True), (False, True), (False, False)}
+    assert {r["kept"] for r in judged.values() if not r["base_failed"]} == {True, False}
+
+
+def test_quality_rejects_outliers_in_one_dimension(spark):
+    """Texts like the others but for one statistic go; clean ones stay, a very long one too."""
+    from tests.llm.conftest import prose
+
+    rng = random.Random(8)
+    rows = [prose(rng, rng.randint(60, 600)) for _ in range(300)] + [prose(rng, 20_000)]
+    clean = len(rows)
+    words = prose(rng, 200).split()
+    rows.append(" ".join(words[:60] + ["#%&"] + [w[:-1] + "#" for w in words[60:]]))  # symbols
+    rows.append(" ".join(w * 2 for w in words))  # long words
+    rows.append(prose(rng, 150) + " " + " ".join(words[:60]) + " " + " ".join(words[:60]))  # repeated words
+    lines = prose(rng, 2000).split("\n")
+    rows.append("\n".join(lines + ["so"] * 60))  # repeated lines of one word
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    judged = quality.judge(docs).collect()
+    assert not any(r["base_failed"] for r in judged)
+    assert {r["doc_id"] for r in judged if not r["kept"]} == set(range(clean, len(rows)))
 
 
 @pytest.mark.parametrize("threshold", [0.8])
 def test_license_scan(spark, threshold):
-    gpl = queries.LICENSES[4].text
+    words = {x.label: x.words for x in queries.LICENSES if not x.phrase}
+    gpl, mit = " ".join(words["gpl"]), words["mit"]
+    edited = [w for k, w in enumerate(mit) if k % 12]  # a tenth of the words is lost
     texts = ["Under the MIT License, see Apache-License. mit license", "CC BY 4.0", "cc\tby", gpl.upper(), " ".join(gpl.split()[:20]), "word " * 60 + "GNU general PUBLIC license " + "word " * 100 + gpl, "", None, "mit", "license mit", "K mit license", "ſmit license"]
+    texts += ["filler " * 777 + " ".join(edited) + " filler" * 333, " ".join(mit[: len(mit) // 2]), "so " * 100 + " ".join(words["bsd"]) + " end", queries.LICENSES[5].text, " ".join(words["isc"]) + " " + gpl]
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(0, texts[0], 2)], "doc_id long, text string, hits int")
     expected = []
     for i, t in texts_of(docs):
         w = ALNUM_WORDS.findall(t.translate(LOWER))
         places, labels, score = [], set(), 0.0
-        for s in range(0, len(w), license_scan.STRIDE):
-            block = w[s : s + license_scan.BLOCK]
-            for x in queries.LICENSES:
-                own = x.text.split()
+        for x in queries.LICENSES:
+            own, stride = x.words, x.stride
+            for s in range(0, len(w), stride):
+                block = w[s : s + 2 * stride]
                 share = len(set(block) & set(own)) / len(set(own))
                 if x.phrase:
-                    found = [s + k for k in range(min(license_scan.STRIDE, len(block))) if block[k : k + len(own)] == own]
+                    found = [s + k for k in range(min(stride, len(block))) if block[k : k + len(own)] == own]
                     places += [(p, x.label) for p in found]
                     score = max(score, 1.0 if found else 0.0)
                 elif share >= threshold:
@@ -171,7 +256,12 @@ def test_license_scan(spark, threshold):
         at = [p for p, _ in places]
         expected.append((i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score))
     same(license_scan.summarise(license_scan.scan(docs, queries.LICENSES, threshold)).collect(), expected)
+    assert {"mit", "bsd"} <= {label for x in expected if not x[5] for label in x[6].split(",")}  # containment adds labels
     assert license_scan.summarise(license_scan.scan(docs.limit(0), queries.LICENSES)).count() == 0
+    one_by_one = license_scan.scan(docs, [*queries.LICENSES, license_scan.Template("none", "...")], threshold)
+    assert license_scan.groups_of([license_scan.Template("long", "w " * 9000), *queries.LICENSES])[-1] == [0]
+    same(license_scan.summarise(one_by_one).collect(), expected)
+    assert license_scan.summarise(license_scan.scan(docs, [])).where("labels <> ''").count() == 0
 
 
 def test_substring_dedup_in_any_number_of_batches(spark, stored):
@@ -281,17 +371,17 @@ def test_line_dedup(spark):
     line = "the quick brown fox jumps over the lazy dog"
     texts = [
         f"{line}\n{line}.\nshort\nshort\n{line}x!\nalone in this text, quite alone", f"{line[1:]}\n\n\nshort", line.replace("quick", "slow") + "\n" + line.replace("fox", "fxo"), None, "", "\n", f"  {line}  ", line, line,
-        "completely different words stand in this line here", "completely different words stood in this line hare", "é" * 30, "é" * 29 + "e", "z" * 3000 + "q", "z" * 3000 + "w", "#" * 24, "#" * 26, "                              ", "                              ",
+        "completely different words stand in this line here", "completely different words stood in this line hare", "é" * 30, "é" * 29 + "e", "z" * 3000 + "q", "z" * 3000 + "w", "yes\n}\nYes\n日本\n-- --", "}\nyes\n日本\n-- --\nyes!", "#" * 24, "#" * 26, "                              ", "                              ",
     ]
     rows = [(k, t, "x") for k, t in enumerate(texts)] + [(7, texts[7], "x"), (None, texts[9], "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(3)
     lines = {}
     for i, t, _ in rows:
         for k, x in enumerate((t or "").encode().split(b"\n")) if t is not None else ():
-            if len(x) >= line_dedup.LEAST and x.strip(b" \t\n\x0b\x0c\r"):
+            if re.search(rb"[0-9A-Za-z\x80-\xff]", x):
                 lines[x] = min(lines.get(x, (1 << 62, 0)), (NULL if i is None else i, k))
     names = list(lines)
-    near = {(a, b) for a in range(len(names)) for b in range(a) if abs(len(names[a]) - len(names[b])) <= 2 and distance(names[a], names[b]) <= 2}
+    near = {(a, b) for a in range(len(names)) for b in range(a) if min(len(names[a]), len(names[b])) >= line_dedup.LEAST and abs(len(names[a]) - len(names[b])) <= 2 and distance(names[a], names[b]) <= 2}
     cls = dict(zip(names, brute_classes(names, lambda a, b: (a, b) in near), strict=True))
     linked = {names[k] for pair in near for k in pair}
     first = {}
