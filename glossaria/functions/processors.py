@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 class Processor(NamedTuple):
@@ -171,7 +171,16 @@ def pinyin(text: str) -> str:
     return re.sub("[\\s・:'’-]|\\(.*?\\)", "", unicodedata.normalize("NFC", text).lower())
 
 
-def variants(text: str, language: str, replacements: tuple[tuple[tuple[str, str], ...], ...] = ()) -> dict[str, list[tuple[str, ...]]]:
+#: Processors of rewritten texts: what languages undo after their rules.
+AFTER: dict[str, tuple[Processor, ...]] = {}
+
+
+def normalised_reading(reading: Column, language: str) -> Column:
+    """Readings that are spelled in several ways, in one: Chinese only."""
+    return F.udf(pinyin, "string", useArrow=True)(reading) if language in ("zh", "yue") else reading
+
+
+def variants(text: str, language: str, replacements: tuple[tuple[tuple[str, str], ...], ...] = (), after: bool = False) -> dict[str, list[tuple[str, ...]]]:
     """Variants of a text, in order, each with its chains of processors. A replacement set is a list of (pattern, text)."""
     found: dict[str, list[tuple[str, ...]]] = {text: [()]}
     for k, rules in enumerate(replacements):
@@ -179,7 +188,7 @@ def variants(text: str, language: str, replacements: tuple[tuple[tuple[str, str]
         for pattern, new in rules:
             made = re.sub(pattern, new, made)
         found.setdefault(made, []).append((f"Text Replacement {k}",)) if made != text else None
-    for processor in LANGUAGES.get(language, ()):
+    for processor in (AFTER if after else LANGUAGES).get(language, ()):
         new: dict[str, list[tuple[str, ...]]] = {}
         for variant, chains in found.items():
             new.setdefault(variant, []).extend(chains)
@@ -191,13 +200,16 @@ def variants(text: str, language: str, replacements: tuple[tuple[tuple[str, str]
     return found
 
 
-def text_variants(texts: DataFrame, language: str, column: str = "text", replacements: tuple = ()) -> DataFrame:
-    """text, ord, variant, chains of each distinct text."""
+def text_variants(texts: DataFrame, language: str, column: str = "text", replacements: tuple = (), after: bool = False) -> DataFrame:
+    """text, ord, variant, chains of each distinct text; `after` takes the processors of rewritten texts."""
+    if not replacements and language not in (AFTER if after else LANGUAGES):
+        same = texts.select(F.col(column).alias("text")).where(F.col(column).isNotNull()).distinct()
+        return same.select("text", F.lit(0).alias("ord"), F.col("text").alias("variant"), F.array(F.array().cast("array<string>")).alias("chains"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.list_(pa.string())))
         for batch in batches:
-            rows = [(t, k, v, [list(c) for c in chains]) for t in batch.column("text").to_pylist() for k, (v, chains) in enumerate(variants(t, language, replacements).items())]
+            rows = [(t, k, v, [list(c) for c in chains]) for t in batch.column("text").to_pylist() for k, (v, chains) in enumerate(variants(t, language, replacements, after).items())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["text", "ord", "variant", "chains"])
 
     distinct = texts.select(F.col(column).alias("text")).where(F.col("text").isNotNull()).distinct()

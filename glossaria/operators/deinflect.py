@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from glossaria.functions.processors import AFTER, LANGUAGES, variants
 from glossaria.functions.rule_sets import rule_set
-from glossaria.functions.rules import MAX_DEPTH, RuleSet
+from glossaria.functions.rules import MAX_DEPTH, Form, RuleSet
 
 FORM = "text string, ord int, base string, flags int, inflections array<string>"
 
@@ -30,6 +31,36 @@ def closure_of(texts: DataFrame, language: str, column: str = "text", max_depth:
     return words.mapInArrow(run, FORM)
 
 
+FORMS = "original_text string, o2 int, o3 int, o4 int, transformed_text string, base string, flags int, text_chains array<array<string>>, inflections array<struct<source:string,rules:array<string>>>"
+
+
+def forms_of(texts: DataFrame, language: str, column: str, replacements: tuple = ()) -> DataFrame:
+    """Of each distinct text: its variants (o2), their rewrites (o3) and the variants of these (o4), with the chains of
+    processors and rules that lead there. A language without processors and rules gives the text itself, without Python."""
+    rules = rule_set(language)
+    words = texts.select(F.col(column).alias("text")).where(F.col("text").isNotNull()).distinct()
+    if rules is None and not replacements and language not in LANGUAGES and language not in AFTER:
+        chain = F.array(F.struct(F.lit("algorithm").alias("source"), F.array().cast("array<string>").alias("rules")))
+        zero = (F.lit(0).alias(f"o{k}") for k in (2, 3, 4))
+        return words.select(F.col("text").alias("original_text"), *zero, F.col("text").alias("transformed_text"), F.col("text").alias("base"), F.lit(0).alias("flags"), F.array(F.array().cast("array<string>")).alias("text_chains"), chain.alias("inflections"))
+
+    def forms(text: str) -> Iterator[tuple]:
+        for o2, (variant, before) in enumerate(variants(text, language, replacements).items()):
+            for o3, form in enumerate(rules.closure(variant) if rules else [Form(variant, 0, ())]):
+                for o4, (base, after) in enumerate(variants(form.text, language, after=True).items()):
+                    yield text, o2, o3, o4, variant, base, form.flags, [[*x, *y] for x in before for y in after], [{"source": "algorithm", "rules": [name for name, *_ in form.trace]}]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in FORMS.split(", ")]
+        chain = pa.list_(pa.struct([("source", pa.string()), ("rules", pa.list_(pa.string()))]))
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.string())), chain)
+        for batch in batches:
+            rows = [f for t in batch.column("text").to_pylist() for f in forms(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    return words.mapInArrow(run, FORMS)
+
+
 def suffix_rules(spark, language: str) -> DataFrame:
     """A language's affix rules as a table: transform, kind, inflected, base, inner, outer (flags)."""
     rules = rule_set(language)

@@ -3,30 +3,49 @@
 Terms have dictionary, id, expression, reading, rules (array), score, sequence, definitions (array), definition_tags and
 term_tags (arrays). The enabled map is a small table: title, idx, alias, pos_filter, use_deinflections,
 allow_secondary. Order matters throughout and is carried as a column, never taken from the order of rows.
+
+A definition that is a JSON array, [text, [rules]], redirects to another term: its dictionary says of which text the term
+is a form.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from glossaria.functions.columns import LAST_ASCENDING, LAST_DESCENDING, lookup_prefixes, part_of_speech_passes, reversed_text
+from glossaria.functions.columns import JAPANESE, LAST_ASCENDING, LAST_DESCENDING, lookup_prefixes, part_of_speech_passes, reversed_text
+from glossaria.functions.processors import normalised_reading
 from glossaria.functions.rule_sets import rule_set
-from glossaria.operators.deinflect import closure_of
+from glossaria.operators.deinflect import forms_of
 
 MODES = ("group", "term", "merge", "simple")
+NO_CHAINS = "array<array<string>>"
+INFLECTIONS = "array<struct<source:string,rules:array<string>>>"
 
 
 def enabled_only(terms: DataFrame, enabled: DataFrame) -> DataFrame:
     return terms.join(enabled.select(F.col("title").alias("dictionary")), "dictionary", "left_semi")
 
 
+def keyed(terms: DataFrame) -> DataFrame:
+    """Terms by what they are looked up by: once by the expression, once by a reading that differs from it."""
+    by_reading = F.when(F.col("reading") != F.col("expression"), F.array(F.struct(F.col("reading").alias("_key"), F.lit("reading").alias("match_source")))).otherwise(F.array())
+    keys = F.concat(F.array(F.struct(F.col("expression").alias("_key"), F.lit("term").alias("match_source"))), by_reading)
+    return terms.select("*", F.explode(keys).alias("_k")).select("*", "_k.*").drop("_k").where("_key <> ''")
+
+
 def exact_hits(items: DataFrame, terms: DataFrame, key: str = "text") -> DataFrame:
     """Items by expression and by reading; match_source says which. A row met by both is met by its expression."""
-    by = [
-        items.join(terms, F.col(key) == F.col(column)).withColumn("match_source", F.lit(source))
-        for column, source in (("expression", "term"), ("reading", "reading"))
-    ]
-    return by[0].unionByName(by[1].where(F.col("expression") != F.col("reading")))
+    return items.join(keyed(terms), F.col(key) == F.col("_key")).drop("_key")
+
+
+def exact_pairs(pairs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Terms of just this expression and reading."""
+    return pairs.join(terms, ["expression", "reading"])
+
+
+def by_sequence(asked: DataFrame, terms: DataFrame) -> DataFrame:
+    """Terms of the asked (sequence, dictionary)."""
+    return asked.join(terms, ["sequence", "dictionary"])
 
 
 def prefix_hits(items: DataFrame, terms: DataFrame, key: str = "text", column: str = "expression") -> DataFrame:
@@ -53,18 +72,21 @@ def first_hit(hits: DataFrame, by: list[str], order: list) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def candidates(queries: DataFrame, language: str, deinflect: bool = True, by: str = "letter", variants=None) -> DataFrame:
-    """query_id, ord, original_text, transformed_text, base, flags, inflections.
+def candidates(queries: DataFrame, language: str, deinflect: bool = True, by: str = "letter", replacements: tuple = ()) -> DataFrame:
+    """query_id, ord, original_text, transformed_text, base, flags, text_chains, inflections (array of source, rules).
 
-    `variants` makes an array of texts from a text, the text itself first; rewrites are made of distinct texts once.
+    Each prefix of a query gives its variants under the language's processors, each of these its rewrites, and each of
+    these its variants under the processors that come after. All are made of distinct texts once. Without `deinflect` the
+    text itself is the only candidate.
     """
-    sources = queries.where(F.length("text") > 0).select("query_id", F.posexplode(lookup_prefixes(F.col("text"), by)).alias("o1", "original_text"))
-    made = variants(F.col("original_text")) if variants else F.array("original_text")
-    texts = sources.select("*", F.posexplode(made).alias("o2", "transformed_text"))
+    asked = queries.where(F.length("text") > 0)
     if not deinflect:
-        return texts.select("query_id", F.struct("o1", "o2", F.lit(0).alias("o3")).alias("ord"), "original_text", "transformed_text", F.col("transformed_text").alias("base"), F.lit(0).alias("flags"), F.array().cast("array<string>").alias("inflections"))
-    forms = closure_of(texts, language, "transformed_text").withColumnRenamed("text", "transformed_text").withColumnRenamed("ord", "o3")
-    return texts.join(forms, "transformed_text").select("query_id", F.struct("o1", "o2", "o3").alias("ord"), "original_text", "transformed_text", "base", "flags", "inflections")
+        text = F.col("text")
+        nothing = (F.lit(0).alias("flags"), F.array().cast(NO_CHAINS).alias("text_chains"), F.array().cast(INFLECTIONS).alias("inflections"))
+        return asked.select("query_id", F.struct(*(F.lit(0).alias(f"o{k}") for k in range(1, 5))).alias("ord"), text.alias("original_text"), text.alias("transformed_text"), text.alias("base"), *nothing)
+    sources = asked.select("query_id", F.posexplode(lookup_prefixes(F.col("text"), by)).alias("o1", "original_text"))
+    made = sources.join(forms_of(sources, language, "original_text", replacements), "original_text")
+    return made.select("query_id", F.struct("o1", "o2", "o3", "o4").alias("ord"), "original_text", "transformed_text", "base", "flags", "text_chains", "inflections")
 
 
 def rule_flags(rules: Column, language: str) -> Column:
@@ -79,98 +101,231 @@ def rule_flags(rules: Column, language: str) -> Column:
     return out
 
 
-def entries(found: DataFrame, terms: DataFrame, enabled: DataFrame, language: str) -> DataFrame:
-    """One row of each query and term: the candidate with the longest text, ties merged.
+def is_redirect(definition: Column) -> Column:
+    return definition.rlike(r"^\s*\[")
 
-    A row reached first through one candidate isn't tried again for another text, even if its part of speech then fails.
-    """
-    on = F.broadcast(enabled) if enabled.isLocal() else enabled
-    own = terms.join(on.withColumnRenamed("title", "dictionary"), "dictionary")
+
+def _hits(found: DataFrame, own: DataFrame, language: str) -> DataFrame:
+    """Candidates with the rows they meet. A row belongs to the first text that reaches it, and isn't tried for another
+    text, even if its part of speech then fails."""
     hits = exact_hits(found, own, "base")
     w = Window.partitionBy("query_id", "id").orderBy("ord", F.when(F.col("match_source") == "term", 0).otherwise(1))
-    hits = hits.withColumn("_text", F.first("base").over(w)).where(F.col("base") == F.col("_text"))
-    # A term reached by its expression is not a reading's hit as well.
-    passes = ~F.col("pos_filter") | part_of_speech_passes(F.col("flags"), rule_flags(F.col("rules"), language))
-    hits = hits.where(passes & (F.col("use_deinflections") | (F.size("inflections") == 0)))
-    longest = F.max(F.length("transformed_text")).over(Window.partitionBy("query_id", "id"))
-    hits = hits.withColumn("_longest", longest).where(F.length("transformed_text") == F.col("_longest"))
-    chains = F.array_sort(F.collect_list(F.struct("ord", "inflections")))
-    first = lambda c: F.min_by(c, "ord").alias(c)
-    kept = [first(c) for c in ("original_text", "transformed_text", "base", "match_source", "dictionary", "expression", "reading", "score", "sequence", "definitions", "definition_tags", "term_tags", "idx", "alias", "rules", "allow_secondary")]
-    out = hits.groupBy("query_id", "id").agg(F.min("ord").alias("ord"), *kept, chains.alias("_chains"))
-    chain_list = F.array_distinct(F.transform("_chains", lambda c: F.array_sort(c["inflections"])))
-    return out.withColumn("chains", chain_list).withColumn("exact", (F.col("base") == F.col("transformed_text")).cast("int")).drop("_chains")
+    first = F.first(F.struct("base", "match_source")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    hits = hits.withColumn("_first", first).where((F.col("base") == F.col("_first.base")) & (F.col("match_source") == F.col("_first.match_source"))).drop("_first")
+    return hits.where(~F.col("pos_filter") | part_of_speech_passes(F.col("flags"), rule_flags(F.col("rules"), language)))
 
 
-def grouped(rows: DataFrame, mode: str = "group") -> DataFrame:
-    """Entries of one headword (group), one term (term), or as they are (simple or unknown modes).
+def redirected(hits: DataFrame) -> DataFrame:
+    """Candidates that redirecting definitions of hits name, after all others; their chains go on from the hit's."""
+    named = hits.where("use_deinflections").select("query_id", "ord", "id", "original_text", "transformed_text", "text_chains", "inflections", F.posexplode("definitions").alias("_k", "_d"))
+    named = named.where(is_redirect(F.col("_d"))).withColumn("base", F.get_json_object("_d", "$[0]")).where("base <> ''")
+    rules = F.coalesce(F.from_json(F.get_json_object("_d", "$[1]"), "array<string>"), F.array().cast("array<string>"))
+    longer = F.transform("inflections", lambda c: F.struct(F.when(F.size(c["rules"]) == 0, "dictionary").otherwise("both").alias("source"), F.concat(c["rules"], rules).alias("rules")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("ord", "id", "_k"))
+    order = F.struct((F.lit(1 << 30) + place).alias("o1"), *(F.lit(0).alias(f"o{k}") for k in (2, 3, 4)))
+    return named.select("query_id", order.alias("ord"), "original_text", "transformed_text", "base", F.lit(0).alias("flags"), "text_chains", longer.alias("inflections"))
 
-    Scores, places and definitions of a group are combined; different inflection chains stay apart.
+
+def entries(found: DataFrame, terms: DataFrame, enabled: DataFrame, language: str, primary_reading: str = "") -> DataFrame:
+    """One row of each query and term: by the first candidate of the longest text, chains of ties merged.
+
+    Redirects are followed once; terms that only redirect are no entries.
     """
-    keys = {"group": ["expression", "reading"], "term": ["expression"]}.get(mode, ["expression", "reading", "id"])
-    by = ["query_id", *keys, "chains"]
-    definition = F.struct(F.col("idx"), (-F.col("score")).alias("rank"), "ord", "id", "dictionary", "score", "definitions", "sequence")
-    headword = F.struct("ord", "expression", "reading")
-    return rows.groupBy(*by).agg(
-        F.max("score").alias("score"), F.min("idx").alias("dictionary_index"), F.max(F.length("original_text")).alias("max_length"), F.sum("exact").alias("exact"), F.min("ord").alias("ord"),
-        F.array_sort(F.collect_list(definition)).alias("definitions"), F.array_distinct(F.transform(F.array_sort(F.collect_list(headword)), lambda h: F.struct(h["expression"].alias("expression"), h["reading"].alias("reading")))).alias("headwords"),
-    ).withColumn("chain_length", F.coalesce(F.array_min(F.transform("chains", F.size)), F.lit(0)))
+    own = terms.join(enabled.withColumnRenamed("title", "dictionary"), "dictionary")
+    hits = _hits(found, own, language)
+    if not terms.where(F.exists("definitions", is_redirect)).isEmpty():
+        hits = hits.unionByName(_hits(redirected(hits), own, language))
+    hits = hits.withColumn("definitions", F.filter("definitions", lambda d: ~is_redirect(d))).where(F.size("definitions") > 0)
+    longest = F.max(F.length("transformed_text")).over(Window.partitionBy("query_id", "id"))
+    hits = hits.withColumn("_longest", longest).withColumn("_place", F.min("ord").over(Window.partitionBy("query_id", "id")))
+    hits = hits.where(F.length("transformed_text") == F.col("_longest"))
+    first = lambda c: F.min_by(c, "ord").alias(c)
+    scalars = ("original_text", "transformed_text", "base", "match_source", "dictionary", "expression", "reading", "score", "sequence", "definitions", "definition_tags", "term_tags", "idx", "alias", "rules", "allow_secondary")
+    gathered = F.array_sort(F.collect_list(F.struct("ord", "text_chains", "inflections")))
+    out = hits.groupBy("query_id", "id").agg(F.min("_place").alias("ord"), *map(first, scalars), gathered.alias("_all"))
+    text_chains = F.flatten(F.transform("_all", lambda c: c["text_chains"]))
+    chains = F.flatten(F.transform("_all", lambda c: c["inflections"]))
+    out = out.withColumns({"text_chains": distinct_chains(text_chains), "chains": merged_chains(chains)})
+    return shaped(out, primary_reading).withColumns({"primary": F.lit(True), "exact": (F.col("base") == F.col("expression")).cast("int")}).drop("_all")
+
+
+def distinct_chains(chains: Column) -> Column:
+    """The first of those that have the same members, whatever their order."""
+    empty = F.array().cast(NO_CHAINS)
+    add = lambda out, c: F.when(F.exists(out, lambda o: F.array_sort(o) == F.array_sort(c)), out).otherwise(F.concat(out, F.array(c)))
+    return F.aggregate(chains, empty, add)
+
+
+def merged_chains(chains: Column) -> Column:
+    """The first of those whose rules have the same members; found by different sources, it is of both."""
+    alike = lambda a, b: F.array_sort(a["rules"]) == F.array_sort(b["rules"])
+    both = lambda o, c: F.struct(F.when(alike(o, c) & (o["source"] != c["source"]), "both").otherwise(o["source"]).alias("source"), o["rules"].alias("rules"))
+    add = lambda out, c: F.when(F.exists(out, lambda o: alike(o, c)), F.transform(out, lambda o: both(o, c))).otherwise(F.concat(out, F.array(c)))
+    return F.aggregate(chains, F.array().cast(INFLECTIONS), add)
+
+
+def shaped(rows: DataFrame, primary_reading: str) -> DataFrame:
+    """A missing reading is the expression itself."""
+    reading = F.when(F.coalesce(F.length("reading"), F.lit(0)) == 0, F.col("expression")).otherwise(F.col("reading"))
+    return rows.withColumn("reading", reading).withColumn("primary_reading", (F.lit(primary_reading) != "") & (F.col("reading") == primary_reading))
+
+
+def related_row(terms: DataFrame, text: Column, primary_reading: str) -> DataFrame:
+    """Terms that come by another term of their group, not by the query: not primary, without chains."""
+    out = terms.withColumns({"original_text": text, "transformed_text": text, "base": text, "match_source": F.lit("term"), "text_chains": F.array().cast(NO_CHAINS), "chains": F.array().cast(INFLECTIONS)})
+    out = out.withColumn("definitions", F.filter("definitions", lambda d: ~is_redirect(d)))
+    return shaped(out, primary_reading).withColumns({"primary": F.lit(False), "exact": F.lit(0)})
+
+
+def headwords_of(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, headwords (primary ones first, then by dictionary, then by place), exact: headwords that the query met by
+    their expression, primary_reading."""
+    source = F.struct("original_text", "transformed_text", "base", "match_source", "primary")
+    heads = rows.groupBy(*by, "expression", "norm_reading").agg(
+        F.min("place").alias("place"), F.min_by("reading", "place").alias("reading"), F.min("idx").alias("idx"), F.max("primary").alias("primary"), F.max("primary_reading").alias("primary_reading"),
+        F.max((F.col("primary") & (F.col("match_source") == "term")).cast("int")).alias("exact"), F.array_sort(F.collect_set(source)).alias("sources"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("classes"),
+    )
+    order = F.struct((~F.col("primary")).alias("later"), "idx", "place", "expression", "norm_reading", "reading", "sources", "classes")
+    shown = F.transform(F.array_sort(F.collect_list(order)), lambda h: h.dropFields("later", "place"))
+    return heads.groupBy(*by).agg(shown.alias("headwords"), F.sum("exact").alias("exact"), F.max("primary_reading").alias("primary_reading"))
+
+
+def definitions_of(rows: DataFrame, by: list[str], once: bool) -> DataFrame:
+    """by, definitions by place, each with the (expression, reading) it belongs to; `once` joins those of equal content."""
+    entry = [*by, "dictionary", "definitions"] if once else [*by, "id"]
+    keep = lambda *names: [F.min_by(n, "place").alias(n) for n in names if n not in entry]
+    each = rows.groupBy(*entry).agg(
+        F.min("place").alias("place"), *keep("id", "dictionary", "definitions", "idx", "alias", "score"), F.max("primary").alias("primary"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "sequence"))), lambda x: x["sequence"])).alias("sequences"),
+        F.collect_set(F.struct("expression", "norm_reading")).alias("heads"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("definition_tags")))).alias("tags"),
+    )
+    whole = F.struct("place", "id", "dictionary", "idx", "alias", "score", "definitions", "primary", "sequences", "tags", "heads")
+    return each.groupBy(*by).agg(F.array_sort(F.collect_list(whole)).alias("definitions"))
+
+
+def definition_order(definitions: Column) -> Column:
+    """By frequency, dictionary, score, number and places of headwords, then as they came."""
+    key = lambda d: F.struct(d["frequency_order"].alias("f"), d["idx"].alias("i"), (-d["score"]).alias("s"), (-F.size(d["headword_indices"])).alias("n"), d["headword_indices"].alias("h"), d["place"].alias("p"), d.alias("d"))
+    return F.transform(F.array_sort(F.transform(definitions, key)), lambda x: x["d"])
+
+
+def groups_of(rows: DataFrame, by: list[str], once: bool = False) -> DataFrame:
+    """Rows of one group become one entry. `rows` has place: the order within the group."""
+    best = lambda c: F.min_by(F.when(F.col("primary"), F.col(c)), F.when(F.col("primary"), F.struct(F.size(c), "place")))
+    merged = rows.groupBy(*by).agg(
+        F.max("score").alias("score"), F.min("idx").alias("dictionary_index"), F.max(F.when(F.col("primary"), F.length("original_text")).otherwise(0)).alias("max_length"), F.max("primary").alias("primary"),
+        F.coalesce(best("text_chains"), F.array().cast(NO_CHAINS)).alias("text_chains"), F.coalesce(best("chains"), F.array().cast(INFLECTIONS)).alias("chains"), F.min("ord").alias("ord"), F.max("exact").alias("_exact"),
+    )
+    out = merged.join(headwords_of(rows, by), by).join(definitions_of(rows, by, once), by)
+    heads = F.transform("headwords", lambda h: F.struct(h["expression"].alias("expression"), h["norm_reading"].alias("norm_reading")))
+    indices = lambda d: F.array_sort(F.transform(d["heads"], lambda h: (F.array_position("_heads", h) - 1).cast("int")))
+    numbered = F.transform("definitions", lambda d, k: d.withField("headword_indices", indices(d)).withField("frequency_order", F.lit(0).cast("long")).withField("place", k).dropFields("heads"))
+    return out.withColumn("_heads", heads).withColumn("definitions", definition_order(numbered)).drop("_heads")
+
+
+def grouped(rows: DataFrame, mode: str = "group", language: str = "") -> DataFrame:
+    """Entries of one headword (group), one term (term), or as they are (simple or unknown modes); entries of different
+    inflection chains stay apart."""
+    keys = {"group": ["expression", "norm_reading"], "term": ["expression"]}.get(mode, ["id"])
+    own = rows.withColumn("norm_reading", normalised_reading(F.col("reading"), language)).withColumn("place", F.struct("ord", "id"))
+    out = groups_of(own.withColumn("_group", F.to_json(F.struct(*keys, "chains"))), ["query_id", "_group"])
+    return (out.withColumn("exact", F.col("_exact")) if "id" in keys else out).drop("_group", "_exact")
 
 
 def related_by_sequence(rows: DataFrame, terms: DataFrame, main_dictionary: str) -> DataFrame:
     """Terms of the main dictionary that share a sequence with an entry, without those that are entries already."""
     seeds = rows.where((F.col("dictionary") == main_dictionary) & (F.col("sequence") >= 0)).select("query_id", "sequence").distinct()
     found = seeds.join(terms.where(F.col("dictionary") == main_dictionary), "sequence")
-    return found.join(rows.select("query_id", "id"), ["query_id", "id"], "left_anti")
-
-
-def related_by_headword(rows: DataFrame, terms: DataFrame, enabled: DataFrame) -> DataFrame:
-    """Terms of dictionaries open to secondary searches with an entry's term and reading, without entries."""
-    open_ = enabled.where("allow_secondary").select(F.col("title").alias("dictionary"))
-    found = rows.select("query_id", "expression", "reading").distinct().join(terms.join(open_, "dictionary", "left_semi"), ["expression", "reading"])
-    return found.join(rows.select("query_id", "id"), ["query_id", "id"], "left_anti")
-
-
-def redirected(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """Terms that a deinflection-only definition [form, rules] names; one hop."""
-    named = rows.select("query_id", "ord", F.explode("definitions").alias("d")).where(F.col("d").rlike(r"^\s*\["))
-    target = F.get_json_object("d", "$[0]")
-    return named.select("query_id", "ord", target.alias("base"), F.get_json_object("d", "$[1]").alias("inflection_rules")).join(terms, F.col("base") == F.col("expression"))
-
-
-def without_redirects(definitions: Column) -> Column:
-    return F.filter(definitions, lambda d: ~d.rlike(r"^\s*\["))
+    return found.join(rows.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
+
+
+def related_by_headword(rows: DataFrame, terms: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Terms with an entry's expression and reading, once in a group (`by`), without those that are entries already."""
+    asked = rows.select(*by, "expression", "reading").distinct()
+    found = exact_pairs(asked, terms).dropDuplicates([*by, "id"])
+    return found.join(rows.select(*by, "id").distinct(), [*by, "id"], "left_anti")
+
+
+def merged(rows: DataFrame, terms: DataFrame, enabled: DataFrame, main_dictionary: str, language: str = "", primary_reading: str = "") -> DataFrame:
+    """Entries of the main dictionary are grouped by sequence. A group gets the dictionary's other terms of that sequence;
+    entries of other dictionaries that have a term and reading of the group; and terms of dictionaries open to secondary
+    searches that have one. Definitions of equal content are joined. Other entries are grouped by headword."""
+    spelled = lambda df: df.withColumn("norm_reading", normalised_reading(F.col("reading"), language))
+    place = lambda phase, *by: F.struct(F.lit(phase).alias("phase"), *by)
+    key = ["query_id", "_sequence"]
+    is_main = (F.col("dictionary") == main_dictionary) & (F.col("sequence") >= 0)
+    own = terms.join(enabled.withColumnRenamed("title", "dictionary"), "dictionary")
+    rows = spelled(rows)
+    seeds = rows.where(is_main).withColumn("_sequence", F.col("sequence"))
+    more = related_by_sequence(rows, own, main_dictionary).withColumn("_sequence", F.col("sequence"))
+    more = spelled(related_row(more, F.col("expression"), primary_reading))
+    wanted = ["query_id", "_sequence", "id", "ord", "original_text", "transformed_text", "base", "match_source", "dictionary", "expression", "reading", "norm_reading", "score", "sequence", "definitions", "definition_tags", "term_tags", "idx", "alias", "rules", "text_chains", "chains", "primary", "primary_reading", "exact"]
+    last = F.struct(*(F.lit(2**31 - 1).alias(f"o{k}") for k in range(1, 5)))
+    pick = lambda df, where: df.select(*wanted, where.alias("place"))
+    core = pick(seeds, place(0, "id", F.col("ord").alias("at"))).unionByName(pick(more.withColumn("ord", last), place(0, "id", F.col("ord").alias("at"))))
+    core = core.persist()
+
+    heads = core.select(*key, "expression", "norm_reading").distinct()
+    others = rows.where(~is_main)
+    joined = others.join(heads, ["query_id", "expression", "norm_reading"]).persist()
+    found = related_by_headword(core, own.where("allow_secondary"), tuple(key))
+    found = found.join(joined.select(*key, "id"), [*key, "id"], "left_anti")
+    secondary = spelled(related_row(found, F.col("expression"), primary_reading)).withColumn("ord", last).persist()
+    groups = core.unionByName(pick(joined, place(1, "id", F.col("ord").alias("at")))).unionByName(pick(secondary, place(2, "id", F.col("ord").alias("at"))))
+    groups = groups.withColumn("_group", F.col("_sequence").cast("string")).where(F.size("definitions") > 0).persist()
+    groups = groups_of(groups, ["query_id", "_group"], True)
+    left = others.join(joined.select("query_id", "id").unionByName(secondary.select("query_id", "id")).distinct(), ["query_id", "id"], "left_anti")
+    return groups.drop("_group", "_exact").unionByName(grouped(left.drop("norm_reading"), "group", language))
 
 
 def without_dictionaries(groups: DataFrame, excluded: list[str]) -> DataFrame:
-    """Definitions of other dictionaries; groups that lose all of them go."""
-    kept = F.filter("definitions", lambda d: ~d["dictionary"].isin(excluded))
-    return groups.withColumn("definitions", kept).where(F.size("definitions") > 0)
+    """Definitions of other dictionaries; headwords without a definition go and the others are numbered anew; groups that
+    lose all of their definitions go."""
+    kept = groups.withColumn("definitions", F.filter("definitions", lambda d: ~d["dictionary"].isin(excluded))).where(F.size("definitions") > 0)
+    if "headword_indices" not in groups.schema["definitions"].dataType.elementType.names:
+        return kept
+    kept = kept.withColumn("_used", F.array_sort(F.array_distinct(F.flatten(F.transform("definitions", lambda d: d["headword_indices"])))))
+    numbered = F.transform("definitions", lambda d: d.withField("headword_indices", F.transform(d["headword_indices"], lambda i: (F.array_position("_used", i) - 1).cast("int"))))
+    return kept.withColumns({"headwords": F.filter("headwords", lambda h, i: F.array_contains("_used", i)), "definitions": numbered}).drop("_used")
 
 
 def frequency_order(groups: DataFrame, frequencies: DataFrame, ascending: bool = True) -> DataFrame:
     """Adds frequency_order by one dictionary's (expression, reading, frequency, ord): the last value of a headword
-    counts; ascending takes the least, descending the greatest with its sign turned, so that less comes first."""
+    counts; ascending takes the least, descending the greatest with its sign turned, so that less comes first.
+    Definitions that know their headwords are put in the same order."""
     last = frequencies.groupBy("expression", "reading").agg(F.max_by("frequency", "ord").alias("frequency"))
-    heads = groups.select("query_id", "ord", F.explode("headwords").alias("h")).select("query_id", "ord", "h.*").join(last, ["expression", "reading"], "left")
-    value = F.min(F.coalesce("frequency", F.lit(LAST_ASCENDING))) if ascending else -F.max(F.coalesce("frequency", F.lit(LAST_DESCENDING)))
-    return groups.join(heads.groupBy("query_id", "ord").agg(value.alias("frequency_order")), ["query_id", "ord"], "left")
+    value = F.coalesce("frequency", F.lit(LAST_ASCENDING)) if ascending else -F.coalesce("frequency", F.lit(LAST_DESCENDING))
+    heads = groups.select("query_id", "ord", F.posexplode("headwords").alias("_k", "h")).select("query_id", "ord", "_k", "h.expression", "h.reading").join(last, ["expression", "reading"], "left")
+    values = heads.groupBy("query_id", "ord").agg(F.array_sort(F.collect_list(F.struct("_k", value.cast("long").alias("v")))).alias("_values"))
+    out = groups.join(values, ["query_id", "ord"], "left").withColumn("frequency_order", F.array_min(F.transform("_values", lambda x: x["v"])))
+    if "definitions" in groups.columns and "headword_indices" in groups.schema["definitions"].dataType.elementType.names:
+        own = lambda d: F.array_min(F.transform(d["headword_indices"], lambda i: F.element_at("_values", i + 1)["v"]))
+        out = out.withColumn("definitions", definition_order(F.transform("definitions", lambda d: d.withField("frequency_order", own(d)))))
+    return out.drop("_values")
 
 
 def ranked(groups: DataFrame) -> DataFrame:
-    """Adds rank, from 1, within a query."""
-    order = [F.col("max_length").desc(), F.col("chain_length").asc(), F.col("exact").desc()]
+    """Adds rank, from 1, within a query: by reading, length of the text, shortest chains, exact hits, frequency,
+    dictionary, score, headwords (longer ones first, then by English collation) and number of definitions."""
+    shortest = lambda chains, size: F.coalesce(F.array_min(F.transform(chains, size)), F.lit(0))
+    out = groups.withColumns({"text_chain_length": shortest("text_chains", F.size), "chain_length": shortest("chains", lambda c: F.size(c["rules"]))})
+    heads = F.array_distinct(F.transform("headwords", lambda h: F.struct((-F.length(h["expression"])).alias("n"), F.collate(h["expression"], "en").alias("t"))))
+    order = [F.col("primary_reading").desc(), F.col("max_length").desc(), F.col("text_chain_length").asc(), F.col("chain_length").asc(), F.col("exact").desc()]
     if "frequency_order" in groups.columns:
         order.append(F.col("frequency_order").asc())
-    first = F.col("headwords")[0]["expression"]
-    order += [F.col("dictionary_index").asc(), F.col("score").desc(), F.length(first).desc(), first.asc(), F.size("definitions").desc(), F.col("ord").asc()]
-    return groups.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    order += [F.col("dictionary_index").asc(), F.col("score").desc(), heads.asc(), F.size("definitions").desc(), F.col("ord").asc(), F.col("definitions")[0]["id"].asc()]
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
-def find_terms(queries: DataFrame, terms: DataFrame, enabled: DataFrame, language: str = "en", mode: str = "group", deinflect: bool = True, by: str = "letter", variants=None, excluded: list[str] | None = None, frequencies: DataFrame | None = None, ascending: bool = True) -> DataFrame:
+def find_terms(
+    queries: DataFrame, terms: DataFrame, enabled: DataFrame, language: str = "en", mode: str = "group", deinflect: bool = True, by: str = "letter", replacements: tuple = (), excluded: list[str] | None = None,
+    frequencies: DataFrame | None = None, ascending: bool = True, main_dictionary: str = "", primary_reading: str = "", remove_non_japanese: bool = False,
+) -> DataFrame:
     """The whole lookup: ranked groups of entries of each query (query_id, text)."""
-    rows = entries(candidates(queries, language, deinflect, by, variants), enabled_only(terms, enabled), enabled, language)
-    groups = grouped(rows, mode)
+    if remove_non_japanese and language == "ja":
+        queries = queries.withColumn("text", F.regexp_extract("text", f"^[{JAPANESE}]*", 0))
+    own = enabled_only(terms, enabled)
+    rows = entries(candidates(queries, language, deinflect, by, replacements), own, enabled, language, primary_reading).persist()  # asked several times
+    groups = merged(rows, own, enabled, main_dictionary, language, primary_reading) if mode == "merge" else grouped(rows, mode, language)
     if excluded:
         groups = without_dictionaries(groups, excluded)
     if frequencies is not None:

@@ -40,9 +40,10 @@ def rows(df, *columns):
 def test_inflected_lookup_groups_over_dictionaries(spark, terms):
     asked = spark.createDataFrame([("q", "食べた！")], "query_id string, text string")
     found = lookup.find_terms(asked, terms, enabled_map(spark, ["A", "B"]), "ja").where("rank = 1").first()
-    assert [tuple(h) for h in found["headwords"]] == [("食べる", "たべる")]
+    assert [(h["expression"], h["reading"]) for h in found["headwords"]] == [("食べる", "たべる")]
     assert [d["id"] for d in found["definitions"]] == [1, 4]
-    assert (found["max_length"], found["score"], found["chains"]) == (3, 10.0, [["-た"]])
+    assert (found["max_length"], found["score"], found["chains"]) == (3, 10.0, [("algorithm", ["-た"])])
+    assert (found["exact"], found["text_chain_length"], found["chain_length"]) == (1, 0, 1)
 
 
 def test_part_of_speech_filter_drops_nouns_for_inflected_forms(spark, terms):
@@ -68,14 +69,60 @@ def test_merge_redirect_exclude_and_frequency_order(spark, terms):
     on = enabled_map(spark, ["A", "B"])
     own = lookup.entries(lookup.candidates(asked, "ja"), terms, on, "ja")
     assert rows(lookup.related_by_sequence(own, terms, "B"), "id") == [(5,)]
-    assert rows(lookup.related_by_headword(own.where("dictionary = 'A'"), terms, on), "id") == [(4,)]
+    assert rows(lookup.related_by_headword(own.where("dictionary = 'A'"), terms), "id") == [(4,)]
     groups = lookup.grouped(own)
     assert all(d["dictionary"] == "B" for r in lookup.without_dictionaries(groups, ["A"]).collect() for d in r["definitions"])
     freq = spark.createDataFrame([("食べる", "たべる", 7.0, 0), ("食べる", "たべる", 42.0, 1)], "expression string, reading string, frequency double, ord int")
     assert {r["frequency_order"] for r in lookup.frequency_order(groups, freq).where("headwords[0].expression = '食べる'").collect()} == {42.0}
-    forms = spark.createDataFrame([("q", 1, ['["食べる",["past"]]', "text"])], "query_id string, ord int, definitions array<string>")
-    assert rows(lookup.redirected(forms, terms.drop("definitions")), "id") == [(1,), (4,)]
-    assert forms.select(lookup.without_redirects(F.col("definitions")).alias("d")).first()["d"] == ["text"]
+
+
+def find(spark, terms, text, titles=("A", "B"), language="ja", **options):
+    asked = spark.createDataFrame([("q", text)], "query_id string, text string")
+    return lookup.find_terms(asked, terms, enabled_map(spark, list(titles)), language, **options).orderBy("rank").collect()
+
+
+def test_redirects_are_followed_once_and_are_no_entries(spark, terms):
+    more = spark.createDataFrame([("B", 7, "喰べる", "たべる", ["v1"], 1.0, -1, ['["食べる", ["old"]]', "an old spelling"], [], []), ("B", 8, "くいた", "", [], 1.0, -1, ['["喰べる",["x","y"]]'], [], [])], TERM)
+    found = find(spark, terms.unionByName(more), "喰べた", mode="simple")
+    assert {d["id"]: [tuple(c) for c in r["chains"]] for r in found for d in r["definitions"]} == {1: [("both", ["-た", "old"])], 4: [("both", ["-た", "old"])], 7: [("algorithm", ["-た"])]}
+    assert [d["definitions"] for r in found for d in r["definitions"] if d["id"] == 7] == [["an old spelling"]]
+    assert {r["exact"] for r in found} == {1}
+    once = find(spark, terms.unionByName(more), "くいた", mode="simple")
+    assert [(d["id"], r["chains"][0]["source"], r["chains"][0]["rules"]) for r in once for d in r["definitions"] if d["id"] == 7] == [(7, "dictionary", ["x", "y"])]
+    assert not {d["id"] for r in once for d in r["definitions"]} & {1, 4, 8}
+
+
+def test_exact_counts_and_reading_order(spark, terms):
+    by_reading = find(spark, terms, "たべる", mode="simple")
+    assert {d["id"]: r["exact"] for r in by_reading for d in r["definitions"]} == {1: 0, 4: 0, 6: 1}
+    assert [d["id"] for r in by_reading for d in r["definitions"]] == [6, 1, 4]
+    grouped = find(spark, terms, "たべる")
+    assert [(r["headwords"][0]["expression"], r["exact"]) for r in grouped] == [("たべる", 1), ("食べる", 0)]
+    more = spark.createDataFrame([("A", 9, "食べる", "はべる", ["v1"], 99.0, 9, ["rare reading"], [], [])], TERM)
+    assert find(spark, terms.unionByName(more), "食べる")[0]["headwords"][0]["reading"] == "はべる"
+    assert find(spark, terms.unionByName(more), "食べる", primary_reading="たべる")[0]["headwords"][0]["reading"] == "たべる"
+    assert [h["reading"] for h in find(spark, terms.unionByName(more), "食べる", mode="term")[0]["headwords"]] == ["たべる", "はべる"]
+
+
+def test_processors_give_chains_and_rank(spark):
+    words = spark.createDataFrame([("A", 1, "polish", "", [], 0.0, -1, ["make bright"], [], []), ("A", 2, "Polish", "", [], 0.0, -1, ["of Poland"], [], [])], TERM)
+    found = find(spark, words, "Polish", ("A",), "pt")
+    assert [(r["definitions"][0]["id"], r["text_chain_length"], r["text_chains"]) for r in found] == [(2, 0, [[], ["decapitalize", "capitalizeFirstLetter"]]), (1, 1, [["decapitalize"]])]
+    swapped = find(spark, words, "p0lish", ("A",), "pt", replacements=((("0", "o"),),))
+    assert swapped[0]["text_chains"] == [["Text Replacement 0"]]
+    assert find(spark, words, "polishes", ("A",), "pt", deinflect=False) == []
+
+
+def test_merge_mode(spark, terms):
+    """Entries of the main dictionary are joined by sequence, with what other dictionaries say of their headwords."""
+    more = spark.createDataFrame([("C", 10, "食う", "くう", ["v5"], 2.0, -1, ["to devour"], ["v5"], []), ("C", 11, "食べる", "たべる", ["v1"], 2.0, -1, ["eat"], ["v1"], []), ("B", 12, "食べる", "たべる", ["v1"], 6.0, 1, ["eat"], ["v1"], [])], TERM)
+    found = find(spark, terms.unionByName(more), "食べた", ("B", "A", "C"), mode="merge", main_dictionary="B")
+    assert len(found) == 1
+    assert [(h["expression"], len(h["sources"])) for h in found[0]["headwords"]] == [("食べる", 1), ("食う", 1)]
+    definitions = {(d["dictionary"], d["definitions"][0]): (d["id"], d["headword_indices"], d["primary"], d["sequences"]) for d in found[0]["definitions"]}
+    assert definitions == {("A", "to eat"): (1, [0], True, [1]), ("B", "eat"): (4, [0], True, [1]), ("B", "eat, rough"): (5, [1], False, [1]), ("C", "to devour"): (10, [1], False, [-1]), ("C", "eat"): (11, [0], True, [-1])}
+    assert (found[0]["score"], found[0]["max_length"], found[0]["exact"]) == (10.0, 3, 1)
+    assert [d["dictionary"] for d in found[0]["definitions"]] == ["B", "B", "A", "C", "C"]
 
 
 def test_batch_lookup_keeps_misses_and_nulls(spark, terms):
@@ -94,11 +141,11 @@ def test_segments_chain_longest_matches(spark):
 
 @pytest.mark.parametrize(
     ("term", "reading", "parts"),
-    [("食べる", "たべる", [("食", "た"), ("べる", "")]), ("猫", "ねこ", [("猫", "ねこ")]), ("お金", "おかね", [("お", ""), ("金", "かね")]), ("ねこ", "ねこ", [("ねこ", "")]), ("好き嫌い", "すききらい", [("好き嫌い", "すききらい")]), ("取り引き", "とりひき", [("取", "と"), ("り", ""), ("引", "ひ"), ("き", "")])],
+    [("食べる", "たべる", [("食", "た"), ("べる", "")]), ("猫", "ねこ", [("猫", "ねこ")]), ("お金", "おかね", [("お", ""), ("金", "かね")]), ("ねこ", "ねこ", [("ねこ", "")]), ("好き嫌い", "すききらい", [("好", "す"), ("き", ""), ("嫌", "きら"), ("い", "")]), ("取り引き", "とりひき", [("取", "と"), ("り", ""), ("引", "ひ"), ("き", "")])],
 )
 def test_furigana(term, reading, parts):
     found = [(p["text"], p["reading"]) for p in segment.furigana(term, reading)]
-    assert found == parts or (term == "好き嫌い" and "".join(p[0] for p in found) == term)
+    assert found == parts
 
 
 def test_with_furigana_on_spark(spark):
