@@ -10,8 +10,9 @@ from glossaria.functions import columns as C
 from glossaria.functions.processors import text_variants
 from glossaria.functions.rule_sets import rule_set
 from glossaria.operators import lookup, metadata, segment
+from glossaria.operators.kanji import find_kanji
 from glossaria.operators.deinflect import closure_of, one_step, suffix_rules
-from glossaria.plans.derived import BENCHMARK_SQL, TAGS_SQL, TERMS_SQL, benchmark_words, table, tags, terms, words
+from glossaria.plans.derived import BENCHMARK_SQL, TAGS, TAGS_SQL, TERMS_SQL, benchmark_words, table, terms, words
 from glossaria.sources.catalog import dictionary_counts, enabled_map
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,14 +51,14 @@ def lookup_suffix(spark, sf_dir):
 @query(f"WITH {TERMS_SQL}, {BENCHMARK_SQL}, pairs AS (SELECT DISTINCT word AS expression, regexp_replace(word, '[aeiou]', '', 'g') AS reading FROM bw) SELECT expression, reading, id, score FROM pairs JOIN terms USING (expression, reading)")
 def lookup_exact_pair(spark, sf_dir):
     pairs = benchmark_words(spark, sf_dir).select(F.col("word").alias("expression"), F.regexp_replace("word", "[aeiou]", "").alias("reading")).distinct()
-    return pairs.join(terms(spark, sf_dir), ["expression", "reading"]).select("expression", "reading", "id", "score")
+    return lookup.exact_pairs(pairs, terms(spark, sf_dir)).select("expression", "reading", "id", "score")
 
 
 @query(f"WITH {TERMS_SQL} SELECT sequence, dictionary, count(*) AS n, sum(score) AS score, min(expression) AS first FROM terms JOIN (SELECT DISTINCT sequence, dictionary FROM terms WHERE score >= 5) USING (sequence, dictionary) GROUP BY ALL")
 def lookup_sequence(spark, sf_dir):
     own = terms(spark, sf_dir)
     seeds = own.where("score >= 5").select("sequence", "dictionary").distinct()
-    met = seeds.join(own, ["sequence", "dictionary"])
+    met = lookup.by_sequence(seeds, own)
     return met.groupBy("sequence", "dictionary").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.min("expression").alias("first"))
 
 
@@ -195,34 +196,31 @@ def group_headword(spark, sf_dir):
     return met.groupBy("item_id", "expression", "reading").agg(F.max("score").alias("score"), F.count("*").alias("definitions"), F.min("dictionary").alias("first_dictionary"))
 
 
-@query(f"WITH {TERMS_SQL} SELECT reading, list_sort(list(DISTINCT expression)) AS expressions, max(score) AS score, count(*) AS definitions FROM terms WHERE score >= 3 GROUP BY reading")
+@query(f"WITH {TERMS_SQL} SELECT reading, list_sort(list(DISTINCT expression)) AS expressions, max(score) AS score, count(*) AS definitions FROM terms GROUP BY reading")
 def group_term(spark, sf_dir):
-    own = terms(spark, sf_dir).where("score >= 3")
+    own = terms(spark, sf_dir)
     return own.groupBy("reading").agg(F.array_sort(F.collect_set("expression")).alias("expressions"), F.max("score").alias("score"), F.count("*").alias("definitions"))
 
 
 @query()
 def group_term_whole(spark, sf_dir):
-    """`group_term` of all terms, rare ones too."""
-    own = terms(spark, sf_dir)
-    return own.groupBy("reading").agg(F.array_sort(F.collect_set("expression")).alias("expressions"), F.max("score").alias("score"), F.count("*").alias("definitions"))
+    """`group_term` by its other name."""
+    return group_term(spark, sf_dir)
 
 
-@query(f"""WITH {TERMS_SQL}, {BENCHMARK_SQL}, e AS (SELECT item_id AS query_id, id, dictionary, sequence FROM bw JOIN terms ON word = expression WHERE length(word) >= 9),
+@query(f"""WITH {TERMS_SQL}, {BENCHMARK_SQL}, e AS (SELECT item_id AS query_id, id, dictionary, sequence FROM bw JOIN terms ON word = expression),
 s AS (SELECT DISTINCT query_id, sequence FROM e WHERE dictionary = 'src2' AND sequence >= 0)
-SELECT s.query_id, t.id, t.score FROM s JOIN terms t ON s.sequence = t.sequence AND t.dictionary = 'src2' WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.query_id = s.query_id AND e.id = t.id)""")
+SELECT s.query_id, t.id, t.score FROM s JOIN terms t ON s.sequence = t.sequence AND t.dictionary = 'src2' ANTI JOIN e ON e.query_id = s.query_id AND e.id = t.id""")
 def merge_sequence(spark, sf_dir):
     own = terms(spark, sf_dir)
-    rows = benchmark_words(spark, sf_dir).where(F.length("word") >= 9).join(own, F.col("word") == F.col("expression")).withColumnRenamed("item_id", "query_id")
+    rows = benchmark_words(spark, sf_dir).join(own, F.col("word") == F.col("expression")).withColumnRenamed("item_id", "query_id")
     return lookup.related_by_sequence(rows, own, "src2").select("query_id", "id", "score")
 
 
 @query()
 def merge_sequence_whole(spark, sf_dir):
-    """`merge_sequence` of all words of the benchmark."""
-    own = terms(spark, sf_dir)
-    rows = benchmark_words(spark, sf_dir).join(own, F.col("word") == F.col("expression")).withColumnRenamed("item_id", "query_id")
-    return lookup.related_by_sequence(rows, own, "src2").select("query_id", "id", "score")
+    """`merge_sequence` by its other name."""
+    return merge_sequence(spark, sf_dir)
 
 
 @query(f"""WITH {TERMS_SQL}, {BENCHMARK_SQL}, e AS (SELECT DISTINCT item_id AS query_id, id, expression, reading FROM bw JOIN terms ON word = expression WHERE dictionary = 'src2')
@@ -230,7 +228,7 @@ SELECT h.query_id, t.id FROM (SELECT DISTINCT query_id, expression, reading FROM
 def merge_secondary(spark, sf_dir):
     own = terms(spark, sf_dir)
     rows = benchmark_words(spark, sf_dir).join(own.where("dictionary = 'src2'"), F.col("word") == F.col("expression")).withColumnRenamed("item_id", "query_id")
-    return lookup.related_by_headword(rows.select("query_id", "id", "expression", "reading").distinct(), own, enabled_map(spark, ["src2", "src4"])).select("query_id", "id")
+    return lookup.related_by_headword(rows.select("query_id", "id", "expression", "reading").distinct(), lookup.enabled_only(own, enabled_map(spark, ["src2", "src4"]))).select("query_id", "id")
 
 
 @query(f"WITH {TERMS_SQL} SELECT expression, count(*) AS definitions, max(score) AS score FROM terms WHERE dictionary NOT IN ('src0', 'src1') GROUP BY ALL HAVING count(*) > 1")
@@ -240,11 +238,11 @@ def exclude_dictionary(spark, sf_dir):
     return kept.select("expression", F.size("definitions").cast("long").alias("definitions"), F.array_max(F.transform("definitions", lambda d: d["score"])).alias("score"))
 
 
-@query(f"""WITH {TERMS_SQL}, {TAGS_SQL}, named AS (SELECT expression, dictionary, unnest([tag, pos]) AS tag FROM terms WHERE length(expression) >= 4)
+@query(f"""WITH {TERMS_SQL}, {TAGS_SQL}, named AS (SELECT expression, dictionary, unnest([tag, pos]) AS tag FROM terms)
 SELECT expression, tag, coalesce(m.category, 'default') AS category, min(coalesce(m.ord, 0)) AS "order", max(coalesce(m.score, 0)) AS score, list_sort(list(DISTINCT dictionary)) AS dictionaries, list_sort(list(DISTINCT m.notes) FILTER (m.notes IS NOT NULL)) AS content
 FROM named LEFT JOIN tagmeta m ON m.name = tag GROUP BY ALL""")
 def merge_tags(spark, sf_dir):
-    return _merged_tags(spark, sf_dir, terms(spark, sf_dir).where(F.length("expression") >= 4))
+    return _merged_tags(spark, sf_dir, terms(spark, sf_dir))
 
 
 @query()
@@ -255,15 +253,16 @@ def merge_tags_whole(spark, sf_dir):
 
 def _merged_tags(spark, sf_dir, own: DataFrame) -> DataFrame:
     named = own.select("expression", "dictionary", F.explode(F.array("tag", "pos")).alias("tag"))
+    few = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("name", "category", "order", "score", "notes", "tag_id"), (*t, t[2]), strict=True))) for t in TAGS))
     sources = table(spark, sf_dir, "documents").select(F.col("source").alias("dictionary")).distinct()
-    described = tags(spark).withColumnRenamed("ord", "order").withColumn("tag_id", F.col("order")).join(sources)  # every dictionary describes the few tags alike
+    described = sources.select("dictionary", F.explode(few).alias("t")).select("dictionary", "t.*")  # every dictionary describes the tags alike
     merged = metadata.merged_tags(metadata.with_tags(named, described), ["expression"])
     return merged.withColumn("content", F.when(F.size("content") > 0, F.col("content")))
 
 
-@query(f"""WITH {TERMS_SQL} SELECT id, coalesce(dictionary = lag(dictionary) OVER w AND pos = lag(pos) OVER w, false) AS redundant FROM terms WHERE score >= 2 WINDOW w AS (PARTITION BY reading ORDER BY id)""")
+@query(f"""WITH {TERMS_SQL} SELECT id, coalesce(dictionary = lag(dictionary) OVER w AND pos = lag(pos) OVER w, false) AS redundant FROM terms WINDOW w AS (PARTITION BY reading ORDER BY id)""")
 def redundant_tags_lag(spark, sf_dir):
-    own = terms(spark, sf_dir).where("score >= 2").withColumn("tags", F.array("pos"))
+    own = terms(spark, sf_dir).withColumn("tags", F.array("pos"))
     return metadata.redundant_tags(own, ["reading"], "id").select("id", "redundant")
 
 
@@ -367,12 +366,76 @@ def delete_dictionary_anti(spark, sf_dir):
     return terms(spark, sf_dir).join(gone, "dictionary", "left_anti").groupBy("dictionary").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
-@query(f"""WITH {TERMS_SQL}, t AS (SELECT DISTINCT role || ' ' || left(text, 8) AS head, regexp_extract(lower(text), '[a-z]+') AS text FROM conversations)
-SELECT head, t.text, count(id) AS hits, coalesce(max(score), 0) AS score FROM t LEFT JOIN terms ON t.text = expression GROUP BY ALL""")
+def _entries_sql(asked: str) -> str:
+    """Rows that texts reach by their prefixes, in a language without rules: `asked` selects the texts."""
+    return f"""{TERMS_SQL}, dicts AS (SELECT dictionary, row_number() OVER (ORDER BY dictionary) - 1 AS idx FROM (SELECT DISTINCT dictionary FROM terms)),
+q AS ({asked}), cand AS (SELECT word AS query_id, left(word, k) AS base FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM q)),
+hits AS (SELECT query_id, base, 0 AS k, t.*, idx FROM cand JOIN terms t ON base = expression JOIN dicts USING (dictionary)
+  UNION ALL SELECT query_id, base, 1, t.*, idx FROM cand JOIN terms t ON base = reading AND reading <> expression JOIN dicts USING (dictionary)),
+rows AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY length(base) DESC, k) = 1)"""
+
+
+BENCHMARK_TEXTS = f"WITH {BENCHMARK_SQL} SELECT DISTINCT word FROM bw"
+SAID = "SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z]', ' ', 'g')), '[a-z]+')) AS word FROM conversations"
+HEADWORD_SQL = """g AS (SELECT query_id, expression, reading, max(score) AS score, min(idx) AS dictionary_index, max(length(base)) AS max_length, max(1 - k) AS exact, count(*) AS definitions FROM rows GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY max_length DESC, exact DESC, dictionary_index, score DESC, length(expression) DESC, expression, definitions DESC) AS rank FROM g)"""
+SHOWN = ("query_id", "rank", "expression", "max_length", "exact", "dictionary_index", "score", "definitions")
+
+
+def _found(spark, sf_dir, asked: DataFrame, mode: str, **options) -> DataFrame:
+    """The library's lookup of texts (`text`) in all dictionaries, in a language of the same letters that has no rules."""
+    own = terms(spark, sf_dir)
+    sources = [r[0] for r in own.select("dictionary").distinct().orderBy("dictionary").collect()]
+    found = lookup.find_terms(asked.withColumn("query_id", F.col("text")), _shaped(own), enabled_map(spark, sources), "pt", mode, **options)
+    return found.select("query_id", "rank", F.col("headwords")[0]["expression"].alias("expression"), "max_length", "exact", "dictionary_index", "score", F.size("definitions").alias("definitions"), "headwords")
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    return benchmark_words(spark, sf_dir).select(F.col("word").alias("text")).distinct()
+
+
+@query(f"WITH {_entries_sql(BENCHMARK_TEXTS)}, {HEADWORD_SQL} SELECT {', '.join(SHOWN)} FROM ranked")
+def find_terms_group(spark, sf_dir):
+    """Grouped by headword, ranked."""
+    return _found(spark, sf_dir, _asked(spark, sf_dir), "group").select(*SHOWN)
+
+
+@query(f"WITH {_entries_sql(BENCHMARK_TEXTS)}, {HEADWORD_SQL} SELECT {', '.join(SHOWN)} FROM ranked")
+def find_terms_term(spark, sf_dir):
+    """Grouped by term: here a term has one reading."""
+    return _found(spark, sf_dir, _asked(spark, sf_dir), "term").select(*SHOWN)
+
+
+@query(f"""WITH {_entries_sql(BENCHMARK_TEXTS)} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY length(base) DESC, base = expression DESC, idx, score DESC, length(expression) DESC, expression, id) AS rank,
+expression, length(base) AS max_length, CAST(base = expression AS INTEGER) AS exact, idx AS dictionary_index, score, 1 AS definitions FROM rows""")
+def find_terms_simple(spark, sf_dir):
+    """Entries as they are, ranked."""
+    return _found(spark, sf_dir, _asked(spark, sf_dir), "simple").select(*SHOWN)
+
+
+@query(f"""WITH {_entries_sql(BENCHMARK_TEXTS)}, seeds AS (SELECT query_id, sequence AS s, id, expression, reading, idx, score, length(base) AS size, k FROM rows WHERE dictionary = 'src2'),
+core AS (SELECT g.query_id, g.s, t.id, t.expression, t.reading, d.idx, t.score, coalesce(seeds.size, 0) AS size, coalesce(seeds.k, 1) AS k
+  FROM (SELECT DISTINCT query_id, s FROM seeds) g JOIN terms t ON t.sequence = g.s AND t.dictionary = 'src2' JOIN dicts d ON d.dictionary = 'src2' LEFT JOIN seeds ON seeds.query_id = g.query_id AND seeds.s = g.s AND seeds.id = t.id),
+heads AS (SELECT DISTINCT query_id, s, expression, reading FROM core),
+joined AS (SELECT h.query_id, h.s, r.id, r.expression, r.reading, r.idx, r.score, length(r.base) AS size, r.k FROM rows r JOIN heads h USING (query_id, expression, reading) WHERE r.dictionary <> 'src2'),
+more AS (SELECT h.query_id, h.s, t.id, t.expression, t.reading, d.idx, t.score, 0 AS size, 1 AS k FROM heads h JOIN terms t USING (expression, reading) JOIN dicts d USING (dictionary)
+  ANTI JOIN (SELECT query_id, s, id FROM core UNION ALL SELECT query_id, s, id FROM joined) x ON x.query_id = h.query_id AND x.s = h.s AND x.id = t.id),
+every AS (SELECT * FROM core UNION ALL SELECT * FROM joined UNION ALL SELECT * FROM more),
+left_ AS (SELECT * FROM rows r WHERE dictionary <> 'src2' AND NOT EXISTS (SELECT 1 FROM joined j WHERE j.query_id = r.query_id AND j.id = r.id) AND NOT EXISTS (SELECT 1 FROM more m WHERE m.query_id = r.query_id AND m.id = r.id))
+SELECT query_id, max(size) AS max_length, count(DISTINCT expression) FILTER (k = 0) AS exact, min(idx) AS dictionary_index, max(score) AS score, count(*) AS definitions, count(DISTINCT expression) AS headwords FROM every GROUP BY query_id, s
+UNION ALL SELECT query_id, max(length(base)), max(1 - k), min(idx), max(score), count(*), 1 FROM left_ GROUP BY query_id, expression, reading""")
+def find_terms_merge(spark, sf_dir):
+    """Merged by the sequences of one dictionary."""
+    found = _found(spark, sf_dir, _asked(spark, sf_dir), "merge", main_dictionary="src2")
+    return found.select("query_id", "max_length", "exact", "dictionary_index", "score", "definitions", F.size("headwords").alias("headwords"))
+
+
+@query(f"""WITH {_entries_sql(SAID)}, {HEADWORD_SQL} SELECT word AS text, rank, expression, max_length, exact, score, definitions FROM q LEFT JOIN ranked ON query_id = word""")
 def batch_lookup_distinct(spark, sf_dir):
-    said = table(spark, sf_dir, "conversations").select(F.concat_ws(" ", "role", F.left("text", F.lit(8))).alias("head"), F.regexp_extract(F.lower("text"), "[a-z]+", 0).alias("text")).distinct()
-    met = said.join(terms(spark, sf_dir), F.col("text") == F.col("expression"), "left")
-    return met.groupBy("head", "text").agg(F.count("id").alias("hits"), F.coalesce(F.max("score"), F.lit(0)).alias("score"))
+    """Every distinct word of the conversations, once; words without a hit stay."""
+    said = table(spark, sf_dir, "conversations").select(F.explode(words()).alias("text")).distinct()
+    found = _found(spark, sf_dir, said, "group").withColumnRenamed("query_id", "text")
+    return said.join(found, "text", "left").select("text", "rank", "expression", "max_length", "exact", "score", "definitions")
 
 
 @query()
@@ -401,8 +464,10 @@ kanji AS (SELECT dictionary, character, count(*) AS words, sum(freq) AS freq FRO
 
 @query(f"WITH {CHARACTERS_SQL}, c AS (SELECT DISTINCT item_id, unnest(string_split(regexp_replace(lower(text), '[^a-z]', '', 'g'), '')) AS character FROM benchmark) SELECT item_id, character, dictionary, words, freq FROM c JOIN kanji USING (character)")
 def kanji_lookup(spark, sf_dir):
-    letters = F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("text"), "[^a-z]", ""), ""))).alias("character")
-    return table(spark, sf_dir, "benchmark").select("item_id", letters).join(_characters(spark, sf_dir), "character").select("item_id", "character", "dictionary", "words", "freq")
+    own = _characters(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("text"))
+    on = own.select(F.col("dictionary").alias("title"), F.lit(0).alias("idx"), F.col("dictionary").alias("alias")).distinct()
+    return find_kanji(asked, own, on).select(F.col("query_id").alias("item_id"), "character", "dictionary", "words", "freq")
 
 
 @query(f"""WITH {CHARACTERS_SQL}, s(name, category, ord) AS (VALUES ('words', 'count', 1), ('freq', 'count', 2)),
@@ -416,14 +481,15 @@ def kanji_stats_group(spark, sf_dir):
     return out.select("character", "dictionary", "category", F.array_join(F.transform("stats", lambda s: F.concat_ws("=", s["name"], s["value"])), " ").alias("stats"))
 
 
-@query(f"""WITH RECURSIVE {TERMS_SQL}, d AS (SELECT DISTINCT expression AS text FROM terms WHERE score >= 5 AND length(expression) BETWEEN 2 AND 20),
+@query(f"""WITH RECURSIVE {TERMS_SQL}, d AS (SELECT DISTINCT expression AS text FROM terms WHERE length(expression) BETWEEN 2 AND 20),
 l AS (SELECT item_id, unnest(string_split(lower(text), chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM benchmark),
-m AS (SELECT item_id, line_no, pos, max(length(d.text)) AS size FROM (SELECT *, unnest(range(0, length(line))) AS pos FROM l) s JOIN d ON starts_with(substr(line, pos + 1), d.text) GROUP BY ALL),
+p AS (SELECT item_id, line_no, line, unnest(range(0, length(line))) AS pos FROM l), w AS (SELECT item_id, line_no, pos, unnest(range(2, 21)) AS size, line FROM p),
+m AS (SELECT item_id, line_no, pos, max(size) AS size FROM w JOIN d ON substr(line, pos + 1, size) = d.text AND pos + size <= length(line) GROUP BY ALL),
 c AS (SELECT item_id, line_no, min(pos) AS pos FROM m GROUP BY ALL UNION ALL
   SELECT * FROM (SELECT c.item_id, c.line_no, (SELECT min(n.pos) FROM m n WHERE n.item_id = c.item_id AND n.line_no = c.line_no AND n.pos >= c.pos + m.size) AS pos FROM c JOIN m ON m.item_id = c.item_id AND m.line_no = c.line_no AND m.pos = c.pos) WHERE pos IS NOT NULL)
 SELECT c.item_id, c.line_no, c.pos, substr(line, c.pos + 1, size) AS text FROM c JOIN m USING (item_id, line_no, pos) JOIN l ON l.item_id = c.item_id AND l.line_no = c.line_no""")
 def segment_longest_match(spark, sf_dir):
-    known = terms(spark, sf_dir).where("score >= 5 AND length(expression) BETWEEN 2 AND 20").select(F.col("expression").alias("text"))
+    known = terms(spark, sf_dir).where("length(expression) BETWEEN 2 AND 20").select(F.col("expression").alias("text"))
     lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
     return segment.segments(lines, known, by=("item_id", "line_no")).where("matched").select("item_id", "line_no", "pos", "text")
 
@@ -447,16 +513,16 @@ def field_markers(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", C.field_markers(template).alias("markers"))
 
 
-@query("WITH s AS (SELECT conv_id, turn, text, regexp_extract(text, '[A-Za-z]{5,}') AS source FROM conversations) SELECT conv_id, turn, left(text, instr(text, source) - 1) AS prefix, source AS body, substr(text, instr(text, source) + length(source)) AS suffix FROM s WHERE source <> ''")
+@query("WITH s AS (SELECT conv_id, turn, text, regexp_extract(text, '[A-Za-z]+') AS source FROM conversations) SELECT conv_id, turn, left(text, instr(text, source) - 1) AS prefix, source AS body, substr(text, instr(text, source) + length(source)) AS suffix FROM s WHERE source <> ''")
 def cloze(spark, sf_dir):
-    own = table(spark, sf_dir, "conversations").withColumn("source", F.regexp_extract("text", "[A-Za-z]{5,}", 0)).where("source <> ''")
+    own = table(spark, sf_dir, "conversations").withColumn("source", F.regexp_extract("text", "[A-Za-z]+", 0)).where("source <> ''")
     return own.select("conv_id", "turn", C.cloze(F.col("text"), F.col("source"), F.instr("text", F.col("source")) - 1).alias("c")).select("conv_id", "turn", "c.*")
 
 
-@query(f"""WITH {TERMS_SQL}, g AS (SELECT dictionary, reading, list_sort(list(expression)) AS own FROM terms WHERE score >= 3 GROUP BY ALL), a AS (SELECT reading, list(DISTINCT expression) AS every FROM terms WHERE score >= 3 GROUP BY ALL)
+@query(f"""WITH {TERMS_SQL}, g AS (SELECT dictionary, reading, list_sort(list(expression)) AS own FROM terms GROUP BY ALL), a AS (SELECT reading, list(DISTINCT expression) AS every FROM terms GROUP BY ALL)
 SELECT dictionary, reading, CASE WHEN len(every) > len(own) THEN own ELSE [] END AS terms FROM g JOIN a USING (reading)""")
 def disambiguation_sets(spark, sf_dir):
-    own = terms(spark, sf_dir).where("score >= 3")
+    own = terms(spark, sf_dir)
     sets = own.groupBy("dictionary", "reading").agg(F.array_sort(F.collect_set("expression")).alias("own"))
     every = own.groupBy("reading").agg(F.collect_set("expression").alias("every"))
     return sets.join(every, "reading").select("dictionary", "reading", metadata.disambiguations(F.col("own"), F.array("reading"), F.col("every"), F.array("reading")).alias("terms"))
