@@ -90,17 +90,6 @@ def yo_to_e(text: Column) -> Column:
     return F.translate(text, "ёЁ", "еЕ")
 
 
-#: Arabic: what is removed or unified before lookup, one processor each.
-ARABIC = {
-    "removeArabicScriptDiacritics": lambda t: F.regexp_replace(t, "[ؐ-ًؚ-ٟۖ-ۜ۟-۪ۨ-ۭ]", ""),
-    "removeTatweel": lambda t: F.replace(t, F.lit("ـ"), F.lit("")),
-    "normalizeHamzaTop": lambda t: F.regexp_replace(t, "^ا", "أ"),
-    "normalizeHamzaBottom": lambda t: F.regexp_replace(t, "^ا", "إ"),
-    "normalizeAlifMaqsura": lambda t: F.regexp_replace(t, "ي$", "ى"),
-    "addTaMarbuta": lambda t: F.regexp_replace(t, "ه$", "ة"),
-}
-
-
 def kebab_case(text: Column) -> Column:
     out = F.regexp_replace(text, r"[\s_　]", "-")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}-]", "")

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 class Processor(NamedTuple):
     name: str
-    rewrites: tuple[Callable[[str], str], ...]  # one an option; leaving the text alone is always one
+    rewrites: tuple[Callable[[str], str], ...]  # one an option
+    optional: bool = True  # leaving the text alone is an option too
 
 
 def _strip(form_back: str | None, marks: str) -> Callable[[str], str]:
@@ -29,10 +30,10 @@ def _strip(form_back: str | None, marks: str) -> Callable[[str], str]:
     return rewrite
 
 
-def _swap(*pairs: tuple[str, str]) -> Callable[[str], str]:
+def _swap(*pairs: tuple[str, str], count: int = -1) -> Callable[[str], str]:
     def rewrite(text: str) -> str:
         for a, b in pairs:
-            text = text.replace(a, b)
+            text = text.replace(a, b, count)
         return text
 
     return rewrite
@@ -97,8 +98,8 @@ def romaji_to_hiragana(text: str) -> str:
     return re.sub("[A-Za-z][A-Za-z']*", one, text)
 
 
-# Letters that stretch what is before them, besides repeated small vowels.
-EMPHATIC = "っッー～〜"
+# Marks that stretch what is before them.
+EMPHATIC = "っッー"
 
 
 def _collapse(all_of_it: bool) -> Callable[[str], str]:
@@ -106,7 +107,7 @@ def _collapse(all_of_it: bool) -> Callable[[str], str]:
         head = re.match(f"[{EMPHATIC}]*", text)[0]
         tail = re.search(f"[{EMPHATIC}]*$", text[len(head) :])[0]
         inner = text[len(head) : len(text) - len(tail)]
-        return head + re.sub(f"([{EMPHATIC}])[{EMPHATIC}]*", "" if all_of_it else r"\1", inner) + tail
+        return head + re.sub(f"([{EMPHATIC}])\\1*", "" if all_of_it else r"\1", inner) + tail
 
     return rewrite
 
@@ -144,7 +145,13 @@ DECAPITALIZE, CAPITALIZE = Processor("decapitalize", (str.lower,)), Processor("c
 DIACRITICS = Processor("removeAlphabeticDiacritics", (_strip(None, "̀-ͯ"),))
 RADICALS = Processor("normalizeRadicalCharacters", (_within("⺀-⻿⼀-⿟㇀-㇯", "NFKD"),))
 CASE = (DECAPITALIZE, CAPITALIZE)
-ARABIC_MARKS = "ؐ-ًؚ-ٟۖ-ۜ۟-۪ۨ-ٰۭ"
+# Arabic marks; letters (alif with wasla, madda or hamza, waw and yaa with hamza, alif maqsura, ta marbuta)
+# and the plain ones they become.
+ARABIC_MARKS = "\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed"
+ARABIC_LETTERS = (("\u0671", "\u0627"), ("\u0622", "\u0627"), ("\u0623", "\u0627"), ("\u0625", "\u0627"), ("\u0624", "\u0648"), ("\u0626", "\u064a"), ("\u0649", "\u064a"), ("\u0629", "\u0647"))
+# Yiddish letters and their final forms; ligatures and what they are made of.
+YIDDISH_FINALS = {"\u05de": "\u05dd", "\u05e0": "\u05df", "\u05e6": "\u05e5", "\u05e4": "\u05e3", "\u05db": "\u05da"}
+YIDDISH_LIGATURES = (("\u05f0", "\u05d5\u05d5"), ("\u05f1", "\u05d5\u05d9"), ("\u05f2", "\u05d9\u05d9"), ("\ufb1d", "\u05d9\u05b4"), ("\ufb1f", "\u05d9\u05d9\u05b7"), ("\ufb2e", "\u05d0\u05b7"), ("\ufb2f", "\u05d0\u05b8"))
 
 #: Processors of each language, in order.
 LANGUAGES: dict[str, tuple[Processor, ...]] = {
@@ -158,11 +165,11 @@ LANGUAGES: dict[str, tuple[Processor, ...]] = {
     "ru": (*CASE, Processor("removeRussianDiacritics", (_strip("NFC", "́"),)), Processor("yoToE", (_swap(("ё", "е"), ("Ё", "Е")),))), "sh": (*CASE, Processor("removeSerboCroatianAccentMarks", (_strip("NFC", "\u0300\u0301\u0302\u030f\u0311"),))),
     "el": (*CASE, Processor("removeDoubleAcuteAccents", (_strip("NFC", "̋"),))), "grc": (*CASE, DIACRITICS, Processor("convertLatinToGreek", (latin_to_greek,))), "vi": (*CASE, Processor("normalizeDiacritics", (_tone(True), _tone(False)))),
     "ar": (
-        Processor("removeArabicScriptDiacritics", (lambda t: re.sub(f"[{ARABIC_MARKS}]", "", t),)), Processor("removeTatweel", (_swap(("ـ", "")),)), Processor("normalizeUnicode", (lambda t: unicodedata.normalize("NFKC", t),)),
-        Processor("addHamzaTop", (lambda t: re.sub("^ا", "أ", t),)), Processor("addHamzaBottom", (lambda t: re.sub("^ا", "إ", t),)), Processor("convertAlifMaqsuraToYaa", (lambda t: re.sub("ى$", "ي", t),)), Processor("convertHaToTaMarbuta", (lambda t: re.sub("ه$", "ة", t),)),
+        Processor("removeArabicScriptDiacritics", (lambda t: re.sub(f"[{ARABIC_MARKS}]", "", t),)), Processor("removeTatweel", (_swap(("\u0640", "")),)), Processor("normalizeUnicode", (_swap(*ARABIC_LETTERS),)),
+        Processor("addHamzaTop", (_swap(("\u0627", "\u0623")),)), Processor("addHamzaBottom", (_swap(("\u0627", "\u0625")),)), Processor("convertAlifMaqsuraToYaa", (_swap(("\u0649", "\u064a")),)), Processor("convertHaToTaMarbuta", (_swap(("\u0647", "\u0629")),)),
     ),
     "aii": (Processor("removeSyriacScriptDiacritics", (lambda t: re.sub("[ܰ-̣݊̇̈-̥̭̰̱]", "", t),)),),
-    "yi": (Processor("combineYiddishLigatures", (lambda t: t.replace("וו", "װ", 1).replace("וי", "ױ", 1).replace("יי", "ײ", 1),)), Processor("removeYiddishDiacritics", (lambda t: re.sub("[ְ-ּֿ-ׂ]", "", t),))),
+    "yi": (Processor("combineYiddishLigatures", (_swap(*((b, a) for a, b in YIDDISH_LIGATURES), count=1),), False), Processor("removeYiddishDiacritics", (lambda t: re.sub("[\u05b0-\u05c7]", "", t),), False)),
 }
 
 
@@ -172,7 +179,12 @@ def pinyin(text: str) -> str:
 
 
 #: Processors of rewritten texts: what languages undo after their rules.
-AFTER: dict[str, tuple[Processor, ...]] = {}
+AFTER: dict[str, tuple[Processor, ...]] = {
+    "yi": (
+        Processor("convertFinalLetters", (lambda t: t[:-1] + YIDDISH_FINALS.get(t[-1:], t[-1:]),), False),
+        Processor("convertYiddishLigatures", (_swap(*YIDDISH_LIGATURES, count=1), _swap(*((b, a) for a, b in YIDDISH_LIGATURES), count=1))),
+    ),
+}
 
 
 def normalised_reading(reading: Column, language: str) -> Column:
@@ -191,9 +203,12 @@ def variants(text: str, language: str, replacements: tuple[tuple[tuple[str, str]
     for processor in (AFTER if after else LANGUAGES).get(language, ()):
         new: dict[str, list[tuple[str, ...]]] = {}
         for variant, chains in found.items():
-            new.setdefault(variant, []).extend(chains)
+            if processor.optional:
+                new.setdefault(variant, []).extend(chains)
             for rewrite in processor.rewrites:
                 made = rewrite(variant)
+                if made == variant and not processor.optional:
+                    new.setdefault(made, []).extend(chains)
                 if made != variant:
                     new.setdefault(made, []).extend((*c, processor.name) for c in chains)
         found = new

@@ -25,6 +25,13 @@ MODES = {"term_meta": ("freq", "pitch", "ipa"), "kanji_meta": ("freq",)}
 MEDIA_TYPES = {"apng": "image/apng", "avif": "image/avif", "bmp": "image/bmp", "gif": "image/gif", "ico": "image/x-icon", "jpeg": "image/jpeg", "jpg": "image/jpeg", "png": "image/png", "svg": "image/svg+xml", "tif": "image/tiff", "tiff": "image/tiff", "webp": "image/webp"}
 
 
+#: Of rows of version 1, whose last values are the definitions or meanings.
+LEAST_SIZES = {"term": 5, "kanji": 4}
+#: Kinds of values by their place, as Spark names the types of JSON values.
+NUMBER, ARRAY, OBJECT = "^(BIGINT|DOUBLE|DECIMAL)", "^ARRAY", "^(OBJECT|STRUCT)"
+KINDS = {("term", None): {4: NUMBER}, ("term", 3): {5: ARRAY, 6: NUMBER}, ("kanji", 3): {4: ARRAY, 5: OBJECT}, ("tag", None): {2: NUMBER, 4: NUMBER}}
+
+
 ROW = "dictionary string, version int, bank string, file_no int, row_no int, row string"
 
 
@@ -48,6 +55,24 @@ def read_index(data: bytes) -> dict:
     return index | {"version": version}
 
 
+def indexes(archives: DataFrame) -> DataFrame:
+    """index (JSON) of archives; only this leaves the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [json.dumps(read_index(data), ensure_ascii=False) for data in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["index"])
+
+    return archives.select("content").mapInArrow(run, "index string")
+
+
+def old_index_tags(index: dict) -> list[tuple]:
+    """Tags that an old index holds itself: name, category, order, notes, score."""
+    found = index.get("tagMeta")
+    known = lambda v: (v.get("category"), float(v.get("order") or 0), v.get("notes"), float(v.get("score") or 0))
+    return [(name, *known(v)) for name, v in found.items()] if isinstance(found, dict) else []
+
+
 def bank_rows(archives: DataFrame) -> DataFrame:
     """dictionary, version, bank, file_no, row_no, row (JSON) of archives (path, content)."""
 
@@ -75,12 +100,18 @@ def invalid_rows(rows: DataFrame) -> DataFrame:
     first = lambda k: F.get_json_object("row", f"$[{k}]")
     wrong_size = F.lit(False)
     for bank, n in ROW_SIZES.items():
-        own = size != n if bank not in ("term", "kanji") else F.when(F.col("version") == 1, size < 4).otherwise(size != n)
+        own = size != n if bank not in ("term", "kanji") else F.when(F.col("version") == 1, size < LEAST_SIZES[bank]).otherwise(size != n)
         wrong_size = wrong_size | ((F.col("bank") == bank) & own)
     wrong_mode = F.lit(False)
     for bank, modes in MODES.items():
         wrong_mode = wrong_mode | ((F.col("bank") == bank) & ~F.coalesce(first(1).isin(*modes), F.lit(False)))
-    reason = F.when(size.isNull(), "not an array").when(wrong_size, "number of values").when(wrong_mode, "mode").when(first(0).isNull(), "no name")
+    value, wrong_kind = F.try_parse_json("row"), F.lit(False)
+    for (bank, version), kinds in KINDS.items():
+        own = (F.col("bank") == bank) & (F.lit(version is None) | (F.col("version") == F.lit(version)))
+        for k, kind in kinds.items():
+            named = F.schema_of_variant(F.try_variant_get(value, f"$[{k}]", "variant"))
+            wrong_kind = wrong_kind | (own & ~F.coalesce(named.rlike(kind), F.lit(False)))
+    reason = F.when(size.isNull(), "not an array").when(wrong_size, "number of values").when(wrong_mode, "mode").when(wrong_kind, "kind of value").when(first(0).isNull(), "no name")
     return rows.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 

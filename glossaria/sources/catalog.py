@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -44,7 +45,7 @@ class Catalog:
         """Check all banks of one archive, write its tables, then its summary. A title that is there already, or a bank
         with wrong rows, raises before anything is written; a missing image leaves the summary as not successful."""
         files = archive.read_archives(self.spark, path)
-        index = archive.read_index(bytes(files.first()["content"]))
+        index = json.loads(archive.indexes(files).first()["index"])
         if self.has(index["title"]):
             raise archive.ArchiveError(f"Dictionary {index['title']} is already imported")
         rows = archive.bank_rows(files)
@@ -54,6 +55,10 @@ class Catalog:
         terms = archive.terms(rows, reverse=True)
         paths = archive.image_paths(terms)
         found = {"terms": terms, "term_meta": archive.term_meta(rows), "kanji": archive.kanji(rows), "kanji_meta": archive.kanji_meta(rows), "tag_meta": archive.tag_meta(rows), "media": archive.media(files, paths)}
+        old_tags = archive.old_index_tags(index)
+        if old_tags and not rows.where("bank = 'tag'").isEmpty():  # they come with a tag bank only
+            tags = self.spark.createDataFrame([(-1 - k, index["title"], *t) for k, t in enumerate(old_tags)], found["tag_meta"].schema)
+            found["tag_meta"] = found["tag_meta"].unionByName(tags)
         counts = {}
         for name, df in found.items():
             df.write.mode("append").partitionBy("dictionary").parquet(f"{self.path}/{name}")
@@ -63,17 +68,15 @@ class Catalog:
                 counts |= {f"{name}.{r['mode']}": r["count"] for r in own.groupBy("mode").count().collect()}
         ok = counts["media"] == paths.count()
         row = (index["title"], index["revision"], index["version"], bool(index.get("sequenced", False)), index.get("frequencyMode"), index.get("sourceLanguage"), index.get("targetLanguage"), index.get("indexUrl"), counts, ok)
-        self.spark.createDataFrame([row], SUMMARY).write.mode("append").parquet(f"{self.path}/dictionaries")
+        self.spark.createDataFrame([row], SUMMARY).write.mode("append").partitionBy("title").parquet(f"{self.path}/dictionaries")
         return {"title": index["title"], "counts": counts, "success": ok}
 
     def delete(self, title: str) -> None:
-        """Remove a dictionary from all tables: its folders, then its summary."""
+        """Remove a dictionary from all tables: its folders, then its summary. No other dictionary is touched, so a crash
+        between leaves only this one, to be deleted again."""
         for name in TABLES:
             self._drop(f"{name}/dictionary={title}")
-        left = [tuple(r) for r in self.info().where(F.col("title") != title).collect()]  # a row of each dictionary
-        self._drop("dictionaries")
-        if left:
-            self.spark.createDataFrame(left, SUMMARY).write.parquet(f"{self.path}/dictionaries")
+        self._drop(f"dictionaries/title={title}")
 
     def purge(self) -> None:
         for name in (*TABLES, "dictionaries"):
