@@ -242,10 +242,10 @@ def across(groups: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """node, text of the rows that `wanted` (node, rid) names. A filter of fixed size drops most other texts before any is
+    """node, text of the rows that `wanted` (node, rid) names. A filter of bounded size drops most other texts before any is
     shuffled, at every size of the corpus."""
     wanted = cut(wanted.select("node", "rid", F.xxhash64("rid").alias("name")))
-    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted, "name"))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted, "name", counted=True))
     rows = docs.select(F.col(ROW).alias("rid"), text_or_empty(text_col).alias("text"), F.xxhash64(ROW).alias("name"))
     return cut(rows.where(bloom.passes(bits, F.col("name"))).join(wanted.select("node", "rid"), "rid").select("node", "text"))
 

@@ -182,6 +182,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, root: str | None = None, most_runs: int = 4):
         self.spark, self.most_runs = spark, most_runs
         self.root = root or f"{scratch_root(spark)}/fingerprints-{uuid.uuid4().hex}"
+        self._filters: list = []
         self.tables: dict[str, str] = {}  # names in this session's catalog, by folder
         self._note()
 
@@ -255,17 +256,22 @@ class FingerprintIndex:
         for line in self.live:
             self._empty(line["name"], {"run": HISTORY, "met": RUN}.get(line["kind"], "rid long"))
 
+    def _filter(self, values: DataFrame, column: str):
+        """A broadcast filter, until `add` ends."""
+        self._filters.append(self.spark.sparkContext.broadcast(bloom.build(values, column, counted=True)))
+        return self._filters[-1]
+
     def _texts_at(self, places: DataFrame, logs: list[DataFrame]) -> DataFrame:
-        """`places` (batch, rid, ...) with doc_id and text from the log; a filter of fixed size drops other texts first."""
+        """`places` (batch, rid, ...) with doc_id and text from the log; a filter of bounded size drops other texts first."""
         name = F.xxhash64("batch", "rid")
         places = cut(places)
-        bits = self.spark.sparkContext.broadcast(bloom.build(places.select(name.alias("name")), "name"))
+        bits = self._filter(places.select(name.alias("name")), "name")
         log = reduce(DataFrame.unionByName, logs)
         return log.where(bloom.passes(bits, name)).join(places, ["batch", "rid"])
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """rid, doc_id, n_words, n_removed, digest or kept (text) of the batch's documents; the other one is null."""
-        spark, context, k = self.spark, self.spark.sparkContext, self.batches
+        spark, k = self.spark, self.batches
         if len(self._names("run")) >= self.most_runs:
             self.compact()
         docs = numbered(docs).select(F.col(ROW).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -276,22 +282,24 @@ class FingerprintIndex:
         own = spark.table(self.tables[run])
         if before is None:
             shared = own.where(F.col("n") > 1).select("anchor")
-            found = cut(candidate_runs(texts, context.broadcast(bloom.build(shared, "anchor"))))
+            found = cut(candidate_runs(texts, self._filter(shared, "anchor")))
             known = None
         else:
             past = before.select("anchor", F.col("n").alias("m"), F.col("batch").alias("b"), F.col("rid").alias("r"))
             met = cut(own.select("anchor", "n").join(past, "anchor", "left").where((F.col("n") > 1) | F.col("m").isNotNull()))
-            found = cut(candidate_runs(texts, context.broadcast(bloom.build(met, "anchor"))))
+            found = cut(candidate_runs(texts, self._filter(met, "anchor")))
             alone = met.where(F.col("m") == 1)
             old = self._texts_at(alone.select(F.col("b").alias("batch"), F.col("r").alias("rid")).distinct(), logs)
-            known = cut(candidate_runs(old, context.broadcast(bloom.build(alone, "anchor"))))
+            known = cut(candidate_runs(old, self._filter(alone, "anchor")))
         spans = self._spans(found, known, logs).where(F.col("batch") == k)
         spans = cut(spans.groupBy("rid").agg(F.collect_list(F.struct("start", "n_words")).alias("spans")))  # bounded by the text
         name = F.xxhash64("rid")
-        bits = context.broadcast(bloom.build(spans.select(name.alias("name")), "name"))
+        bits = self._filter(spans.select(name.alias("name")), "name")
         touched = without_spans(docs.where(bloom.passes(bits, name)).join(spans, "rid", "left"))
         out = untouched(docs.where(~bloom.passes(bits, name))).select("rid", "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "digest", F.lit(None).cast("string").alias("kept"))
         out = cut(out.unionByName(touched.select("rid", "doc_id", "n_words", "n_removed", F.lit(None).cast("string").alias("digest"), "kept")))
+        while self._filters:  # what asked them is written
+            self._filters.pop().destroy()
         made = self._part("met", found if known is None else found.unionByName(known))
         self._note((self.seq, "run", run, buckets, None), (self.seq, "texts", log, None, None), (self.seq, "met", made, None, None))
         return out
