@@ -344,8 +344,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = left_after(every, copies)
     whole = docs.select(text_or_empty(text_col).alias("text"))
     part_bits = slots.part_bits(whole, BYTES_A_KEY)
-    names = slots.shared(whole, keys_of, part_bits)
-    rows = cut(candidates(docs, context.broadcast(bloom.build(names, "name")), part_bits, id_col, text_col))
+    names = cut(slots.shared(whole, keys_of, part_bits))
+    rows = cut(candidates(docs, context.broadcast(bloom.build(names, "name", counted=True)), part_bits, id_col, text_col))
     lines = rows.select("rid", "doc_id", F.explode("lines").alias("x")).select("rid", "doc_id", "x.*")
     keyed = lines.select("node", F.lit(True).alias("own"), F.explode("own").alias("bucket")).unionByName(lines.select("node", F.lit(False).alias("own"), F.explode("probes").alias("bucket")))
     members = cut(keyed.groupBy("bucket", "node").agg(F.max("own").alias("own")))

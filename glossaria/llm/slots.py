@@ -65,7 +65,7 @@ def _mark(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iter
 
 
 #: Values that a task gathers before it emits their slots: fewer records, in bounded memory.
-AT_ONCE = 1_000_000
+AT_ONCE = 500_000
 
 
 def shared(rows: DataFrame, values_of: Callable[[list[bytes]], Iterator[tuple[np.ndarray, np.ndarray]]], bits: int) -> DataFrame:

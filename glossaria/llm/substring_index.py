@@ -46,11 +46,17 @@ def _bytes_of(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def spaced(text: bytes) -> bytes:
+    """The words of a text, joined by single spaces."""
+    text = text.translate(SPACES).strip(b" ")
+    return b" ".join(text.split()) if b"  " in text else text
+
+
 class Anchored:
     """The anchored runs of windows of several texts, whose words are joined by single spaces first."""
 
     def __init__(self, texts: list[bytes]):
-        self.words = w = Words([b" ".join(t.split()) for t in texts], SPACES)
+        self.words = w = Words([spaced(t) for t in texts], SPACES)
         n = len(w.hash)
         left = w.last[w.doc] - np.arange(n)
         starts = np.flatnonzero(left >= WINDOW)
@@ -111,7 +117,7 @@ def windows_of(rows: DataFrame) -> DataFrame:
         for part in batches:
             texts, heads = _bytes_of(part.column("text")), part.column("heads").to_pylist()
             for a, b in chunks(texts, AT_ONCE):
-                w = Words([b" ".join(t.split()) for t in texts[a:b]], SPACES)
+                w = Words([spaced(t) for t in texts[a:b]], SPACES)
                 flat = [(k, h["start"], h["n"]) for k in range(a, b) for h in heads[k]]
                 doc, start, n = (np.array([f[j] for f in flat], np.int64) for j in range(3))
                 inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -164,9 +170,9 @@ def untouched(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [t.split() for t in _bytes_of(batch.column("text"))]
-            made = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(made, pa.string())], names=["rid", "doc_id", "n_words", "digest"])
+            words = [spaced(t) for t in _bytes_of(batch.column("text"))]
+            made = [hashlib.sha256(w).hexdigest() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array([w.count(b" ") + bool(w) for w in words], pa.int64()), pa.array(made, pa.string())], names=["rid", "doc_id", "n_words", "digest"])
 
     small_batches(rows.sparkSession)
     return rows.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n_words long, digest string")
@@ -335,7 +341,7 @@ def in_batches(docs: DataFrame, n: int, id_col: str = "doc_id") -> list[DataFram
     return parts
 
 
-def deduplicate(docs: DataFrame, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of `docs` as if they came in batches: doc_id, n_words, n_removed, digest or kept.
 
     Later copies of a whole text lose all of it (if it has a window), and nothing starts first in them, so only their

@@ -213,8 +213,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = left_after(every, copies)
     whole = docs.select(text_or_empty(text_col).alias("text"))
     part_bits = slots.part_bits(whole, (LENGTH - GRAM + 2) / 2)
-    names = slots.shared(whole, anchors_of, part_bits)
-    rows = cut(candidates(docs, context.broadcast(bloom.build(names, "name")), part_bits, id_col, text_col))
+    names = cut(slots.shared(whole, anchors_of, part_bits))
+    rows = cut(candidates(docs, context.broadcast(bloom.build(names, "name", counted=True)), part_bits, id_col, text_col))
     texts = bucketed(rows.where(F.col("text").isNotNull()).select("rid", "doc_id", "text"), "rid")  # each round asks it
     places = rows.select("rid", "doc_id", F.explode("pieces").alias("p")).select("rid", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("owner"), "p.*")
     found = reduce(DataFrame.unionByName, [cut(covered(places.where(F.pmod("anchor", F.lit(ROUNDS)) == k), texts)) for k in range(ROUNDS)])

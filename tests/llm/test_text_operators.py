@@ -534,11 +534,16 @@ def test_shards(spark, stored):
 
 
 def test_shards_are_written(spark, tmp_path):
-    docs = spark.createDataFrame([(k, "x" * (k % 50)) for k in range(400)], "doc_id long, text string")
+    rows = [(k // 2 if k % 7 else None, "x" * (k % 50) if k % 5 else None, k) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot long")
     sharding.write_shards(docs, str(tmp_path / "s"), 4)
     back = spark.read.parquet(str(tmp_path / "s"))
-    sizes = [r["n"] for r in back.groupBy("shard").agg(F.sum(F.length("text") + 1).alias("n")).collect()]
+    sizes = [r["n"] for r in back.groupBy("shard").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1).alias("n")).collect()]
     assert len(sizes) == 4 and max(sizes) - min(sizes) <= 100 and back.count() == 400
+    for shard in range(4):
+        files = sorted((tmp_path / "s" / f"shard={shard}").glob("*.parquet"))
+        slots = [r["slot"] for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert slots == list(range(len(slots)))
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
