@@ -213,7 +213,7 @@ def groups_of(rows: DataFrame, by: list[str], once: bool = False) -> DataFrame:
     best = lambda c: F.min_by(F.when(F.col("primary"), F.col(c)), F.when(F.col("primary"), F.struct(F.size(c), "place")))
     merged = rows.groupBy(*by).agg(
         F.max("score").alias("score"), F.min("idx").alias("dictionary_index"), F.max(F.when(F.col("primary"), F.length("original_text")).otherwise(0)).alias("max_length"), F.max("primary").alias("primary"),
-        F.coalesce(best("text_chains"), F.array().cast(NO_CHAINS)).alias("text_chains"), F.coalesce(best("chains"), F.array().cast(INFLECTIONS)).alias("chains"), F.min("ord").alias("ord"), F.max("exact").alias("_exact"),
+        F.coalesce(best("text_chains"), F.array().cast(NO_CHAINS)).alias("text_chains"), F.coalesce(best("chains"), F.array().cast(INFLECTIONS)).alias("chains"), F.min("ord").alias("ord"),
     )
     out = merged.join(headwords_of(rows, by), by).join(definitions_of(rows, by, once), by)
     heads = F.transform("headwords", lambda h: F.struct(h["expression"].alias("expression"), h["norm_reading"].alias("norm_reading")))
@@ -222,13 +222,25 @@ def groups_of(rows: DataFrame, by: list[str], once: bool = False) -> DataFrame:
     return out.withColumn("_heads", heads).withColumn("definitions", definition_order(numbered)).drop("_heads")
 
 
+def singles(rows: DataFrame) -> DataFrame:
+    """Each row as an entry of its own."""
+    source = F.struct("original_text", "transformed_text", "base", "match_source", "primary")
+    head = F.struct("idx", "expression", "norm_reading", "reading", F.array(source).alias("sources"), F.array_sort(F.array_distinct("rules")).alias("classes"))
+    definition = F.struct(
+        F.lit(0).alias("place"), "id", "dictionary", "idx", "alias", "score", "definitions", "primary", F.array("sequence").alias("sequences"), F.array_sort(F.array_distinct("definition_tags")).alias("tags"),
+        F.array(F.lit(0)).alias("headword_indices"), F.lit(0).cast("long").alias("frequency_order"),
+    )
+    return rows.select("query_id", "score", F.col("idx").alias("dictionary_index"), F.length("original_text").alias("max_length"), "primary", "text_chains", "chains", "ord", F.array(head).alias("headwords"), "exact", "primary_reading", F.array(definition).alias("definitions"))
+
+
 def grouped(rows: DataFrame, mode: str = "group", language: str = "") -> DataFrame:
     """Entries of one headword (group), one term (term), or as they are (simple or unknown modes); entries of different
     inflection chains stay apart."""
-    keys = {"group": ["expression", "norm_reading"], "term": ["expression"]}.get(mode, ["id"])
     own = rows.withColumn("norm_reading", normalised_reading(F.col("reading"), language)).withColumn("place", F.struct("ord", "id"))
-    out = groups_of(own.withColumn("_group", F.to_json(F.struct(*keys, "chains"))), ["query_id", "_group"])
-    return (out.withColumn("exact", F.col("_exact")) if "id" in keys else out).drop("_group", "_exact")
+    keys = {"group": ["expression", "norm_reading"], "term": ["expression"]}.get(mode)
+    if keys is None:
+        return singles(own)
+    return groups_of(own.withColumn("_group", F.to_json(F.struct(*keys, "chains"))), ["query_id", "_group"]).drop("_group")
 
 
 def related_by_sequence(rows: DataFrame, terms: DataFrame, main_dictionary: str) -> DataFrame:
@@ -274,7 +286,7 @@ def merged(rows: DataFrame, terms: DataFrame, enabled: DataFrame, main_dictionar
     groups = groups.withColumn("_group", F.col("_sequence").cast("string")).where(F.size("definitions") > 0).persist()
     groups = groups_of(groups, ["query_id", "_group"], True)
     left = others.join(joined.select("query_id", "id").unionByName(secondary.select("query_id", "id")).distinct(), ["query_id", "id"], "left_anti")
-    return groups.drop("_group", "_exact").unionByName(grouped(left.drop("norm_reading"), "group", language))
+    return groups.drop("_group").unionByName(grouped(left.drop("norm_reading"), "group", language))
 
 
 def without_dictionaries(groups: DataFrame, excluded: list[str]) -> DataFrame:

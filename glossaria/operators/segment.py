@@ -8,6 +8,7 @@ import unicodedata
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from glossaria.functions.columns import JAPANESE
+from glossaria.operators.lookup import find_terms
 
 SCAN_LENGTH = 20
 
@@ -32,13 +33,18 @@ def longest_matches(lines: DataFrame, texts: DataFrame, scan_length: int = SCAN_
 
 
 def segments(lines: DataFrame, texts: DataFrame, scan_length: int = SCAN_LENGTH, by: tuple[str, ...] = ("line_id",)) -> DataFrame:
-    """line ids, seg_no, pos, text, matched: from the left, the longest match at each place; what lies between is one
-    unmatched segment. A match of one letter counts only if it is Japanese.
+    """line ids, seg_no, pos, text, matched by the longest text of `texts` at each place."""
+    return chained(lines, longest_matches(lines, texts, scan_length, by), by)
+
+
+def chained(lines: DataFrame, matches: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """line ids, seg_no, pos, text, matched: from the left, the match (line ids, pos, size) at each place; what lies
+    between is one unmatched segment. A match of one letter counts only if it is Japanese.
 
     A line's matches are gathered, at most one a letter, and chained by a fold.
     """
     letter = F.substring(F.col("line"), F.col("pos") + 1, F.lit(1))
-    found = longest_matches(lines, texts, scan_length, by).join(lines.select(*by, "line"), list(by))
+    found = matches.select(*by, "pos", "size").join(lines.select(*by, "line"), list(by))
     found = found.where((F.col("size") > 1) | letter.rlike(f"[{JAPANESE}]"))
     gathered = found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "size"))).alias("matches"))
     own = lines.select(*by, "line").join(gathered, list(by), "left").withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<pos:int,size:int>>")))
@@ -51,6 +57,30 @@ def segments(lines: DataFrame, texts: DataFrame, scan_length: int = SCAN_LENGTH,
     return each.select(*by, "seg_no", F.col("seg.pos").alias("pos"), F.substring(F.col("line"), F.col("seg.pos") + 1, F.col("seg.size")).alias("text"), F.col("seg.matched").alias("matched"))
 
 
+def parse(texts: DataFrame, terms: DataFrame, enabled: DataFrame, language: str, scan_length: int = SCAN_LENGTH, **options) -> DataFrame:
+    """text_id, line_no, seg_no, text, matched, reading, headwords of each line of (text_id, text).
+
+    What a place's window finds in the dictionaries, rewritten forms too, is one segment: as much of the window as the
+    longest hit took, with the best entry's reading and the headwords met by just that text, best first. Distinct windows
+    are looked up once.
+    """
+    by = ("text_id", "line_no")
+    lines = texts.select("text_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    seen = windows(lines, scan_length).select(*by, "pos", F.substring("window", 1, scan_length).alias("window"))
+    asked = seen.select(F.col("window").alias("text")).distinct().withColumn("query_id", F.col("text"))
+    found = find_terms(asked, terms, enabled, language, "simple", **options)
+    heads = F.transform("headwords", lambda h: F.struct("rank", h["expression"].alias("expression"), h["reading"].alias("reading"), F.transform(h["sources"], lambda x: x["original_text"]).alias("texts")))
+    best = found.select("query_id", "max_length", "rank", heads.alias("heads")).groupBy(F.col("query_id").alias("window")).agg(
+        F.max("max_length").alias("size"), F.flatten(F.array_sort(F.collect_list("heads"))).alias("heads"), F.min_by(F.col("heads")[0]["reading"], "rank").alias("reading"),
+    )
+    met = F.filter("heads", lambda h: F.array_contains(h["texts"], F.left("window", F.col("size"))))
+    best = best.select("window", "size", "reading", F.transform(met, lambda h: F.struct(h["expression"].alias("expression"), h["reading"].alias("reading"))).alias("headwords"))
+    matches = seen.join(best, "window").select(*by, "pos", "size", "reading", "headwords")
+    parts = chained(lines, matches, by).join(matches.drop("size"), [*by, "pos"], "left")
+    own = lambda c: F.when(F.col("matched"), F.col(c))
+    return parts.select(*by, "seg_no", "pos", "text", "matched", F.coalesce(own("reading"), F.lit("")).alias("reading"), own("headwords").alias("headwords"))
+
+
 def parse_text(texts: DataFrame, dictionary: DataFrame, scan_length: int = SCAN_LENGTH) -> DataFrame:
     """text_id, line_no, seg_no, text, matched of each line of (text_id, text)."""
     lines = texts.select("text_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -107,6 +137,35 @@ def furigana(term: str, reading: str) -> list[dict[str, str]]:
 PARTS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("reading", T.StringType())]))
 
 
+def furigana_inflected(term: str, reading: str, source: str) -> list[dict[str, str]]:
+    """Parts of an inflected form of a term: what it shares with the term, or with the reading where that is more, is read
+    as there; the rest reads as itself."""
+
+    def shared(a: str) -> int:
+        pairs = zip(to_hiragana(a), to_hiragana(source), strict=False)
+        return next((k for k, (x, y) in enumerate(pairs) if x != y), min(len(a), len(source)))
+
+    stem, by_reading, main = shared(term), shared(reading), term
+    if by_reading and by_reading >= stem:
+        stem, main, reading = by_reading, reading, source[:by_reading] + reading[by_reading:]
+    out: list[dict[str, str]] = []
+    at = 0
+    for part in furigana(source[:stem] + main[stem:], reading) if stem else []:
+        if at + len(part["text"]) <= stem:
+            out.append(part)
+        elif at < stem:
+            out.append({"text": source[at:stem], "reading": ""})
+        at += len(part["text"])
+        if at >= stem:
+            break
+    rest = source[stem:]
+    if rest and out and not out[-1]["reading"]:
+        out[-1] = {"text": out[-1]["text"] + rest, "reading": ""}
+    elif rest:
+        out.append({"text": rest, "reading": ""})
+    return out
+
+
 def with_furigana(rows: DataFrame, term: str = "expression", reading: str = "reading") -> DataFrame:
     """Adds `furigana`; distinct pairs are annotated once."""
     annotate = F.udf(furigana, PARTS, useArrow=True)

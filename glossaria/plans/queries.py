@@ -494,6 +494,24 @@ def segment_longest_match(spark, sf_dir):
     return segment.segments(lines, known, by=("item_id", "line_no")).where("matched").select("item_id", "line_no", "pos", "text")
 
 
+@query(f"""WITH RECURSIVE {TERMS_SQL}, dicts AS (SELECT dictionary, row_number() OVER (ORDER BY dictionary) - 1 AS idx FROM (SELECT DISTINCT dictionary FROM terms)),
+keyed AS (SELECT expression AS key, 1 AS exact, * FROM terms JOIN dicts USING (dictionary) UNION ALL SELECT reading, 0, * FROM terms JOIN dicts USING (dictionary) WHERE reading <> expression),
+best AS (SELECT key, reading FROM keyed QUALIFY row_number() OVER (PARTITION BY key ORDER BY exact DESC, idx, score DESC, length(expression) DESC, expression, id) = 1),
+l AS (SELECT item_id, unnest(string_split(lower(text), chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM benchmark),
+p AS (SELECT item_id, line_no, line, unnest(range(0, length(line))) AS pos FROM l), w AS (SELECT item_id, line_no, pos, unnest(range(1, 21)) AS size, line FROM p),
+m AS (SELECT item_id, line_no, pos, max(size) AS size FROM w JOIN best ON substr(line, pos + 1, size) = key AND pos + size <= length(line) GROUP BY ALL HAVING max(size) > 1),
+c AS (SELECT item_id, line_no, min(pos) AS pos FROM m GROUP BY ALL UNION ALL
+  SELECT * FROM (SELECT c.item_id, c.line_no, (SELECT min(n.pos) FROM m n WHERE n.item_id = c.item_id AND n.line_no = c.line_no AND n.pos >= c.pos + m.size) AS pos FROM c JOIN m ON m.item_id = c.item_id AND m.line_no = c.line_no AND m.pos = c.pos) WHERE pos IS NOT NULL)
+SELECT c.item_id, c.line_no, c.pos, substr(line, c.pos + 1, size) AS text, reading FROM c JOIN m USING (item_id, line_no, pos) JOIN l ON l.item_id = c.item_id AND l.line_no = c.line_no JOIN best ON key = substr(line, c.pos + 1, size)""")
+def parse_benchmark(spark, sf_dir):
+    """Lines of the benchmark, segmented by whole lookups, with readings."""
+    own = terms(spark, sf_dir)
+    sources = [r[0] for r in own.select("dictionary").distinct().orderBy("dictionary").collect()]
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("text_id"), F.lower("text").alias("text"))
+    parts = segment.parse(texts, _shaped(own), enabled_map(spark, sources), "pt").where("matched")
+    return parts.select(F.col("text_id").alias("item_id"), "line_no", "pos", "text", "reading")
+
+
 @query("""WITH v AS (SELECT p_partkey, p_size || '.' || (p_partkey % 7) AS a, (p_size + p_partkey % 3 - 1) || '.' || (p_partkey % 5) AS b FROM part)
 SELECT p_partkey, a, b, CASE WHEN CAST(split_part(a, '.', 1) AS BIGINT) <> CAST(split_part(b, '.', 1) AS BIGINT) THEN CAST(split_part(a, '.', 1) AS BIGINT) < CAST(split_part(b, '.', 1) AS BIGINT) ELSE CAST(split_part(a, '.', 2) AS BIGINT) < CAST(split_part(b, '.', 2) AS BIGINT) END AS newer FROM v""")
 def compare_revisions(spark, sf_dir):

@@ -139,9 +139,24 @@ def test_segments_chain_longest_matches(spark):
     assert not [r for r in found if r["text_id"] != 1]
 
 
+def test_parse_rewrites_and_reads(spark, terms):
+    texts = spark.createDataFrame([(1, "食べた、猫\n見る猫x"), (2, None), (3, "")], "text_id int, text string")
+    found = segment.parse(texts, terms, enabled_map(spark, ["A", "B"]), "ja", 10).orderBy("text_id", "line_no", "seg_no").collect()
+    assert [(r["line_no"], r["text"], r["reading"]) for r in found] == [(0, "食べた", "たべる"), (0, "、", ""), (0, "猫", "ねこ"), (1, "見る", "みる"), (1, "猫", "ねこ"), (1, "x", "")]
+    assert [tuple(h) for h in found[0]["headwords"]] == [("食べる", "たべる")] * 2 and found[1]["headwords"] is None
+
+
+@pytest.mark.parametrize(
+    ("term", "reading", "source", "parts"),
+    [("食べる", "たべる", "食べた", [("食", "た"), ("べた", "")]), ("食べる", "たべる", "たべた", [("たべた", "")]), ("見る", "みる", "見ない", [("見", "み"), ("ない", "")]), ("猫", "ねこ", "犬", [("犬", "")])],
+)
+def test_furigana_of_inflected_forms(term, reading, source, parts):
+    assert [(p["text"], p["reading"]) for p in segment.furigana_inflected(term, reading, source)] == parts
+
+
 @pytest.mark.parametrize(
     ("term", "reading", "parts"),
-    [("食べる", "たべる", [("食", "た"), ("べる", "")]), ("猫", "ねこ", [("猫", "ねこ")]), ("お金", "おかね", [("お", ""), ("金", "かね")]), ("ねこ", "ねこ", [("ねこ", "")]), ("好き嫌い", "すききらい", [("好", "す"), ("き", ""), ("嫌", "きら"), ("い", "")]), ("取り引き", "とりひき", [("取", "と"), ("り", ""), ("引", "ひ"), ("き", "")])],
+    [("食べる", "たべる", [("食", "た"), ("べる", "")]), ("猫", "ねこ", [("猫", "ねこ")]), ("お金", "おかね", [("お", ""), ("金", "かね")]), ("ねこ", "ねこ", [("ねこ", "")]), ("好き嫌い", "すききらい", [("好き嫌い", "すききらい")]), ("取り引き", "とりひき", [("取", "と"), ("り", ""), ("引", "ひ"), ("き", "")])],
 )
 def test_furigana(term, reading, parts):
     found = [(p["text"], p["reading"]) for p in segment.furigana(term, reading)]
@@ -223,6 +238,19 @@ def test_bad_archives(spark, tmp_path):
         Catalog(spark, str(tmp_path / "c")).import_archive(str(tmp_path / "w.zip"))
 
 
+def test_old_archives_and_kinds_of_values(spark, tmp_path):
+    tag_meta = {"P": {"category": "popular", "order": 2, "notes": "popular", "score": 1}}
+    write_archive(tmp_path / "o.zip", "O", {"term_bank_1.json": [["猫", "ねこ", "n", "", 1, "cat", "kitty"]], "tag_bank_1.json": [["n", "partOfSpeech", 1, "noun", 0]]}, format=1, tagMeta=tag_meta)
+    cat = Catalog(spark, str(tmp_path / "c"))
+    assert cat.import_archive(str(tmp_path / "o.zip"))["counts"]["tag_meta"] == 2
+    assert rows(cat.table("tag_meta"), "name", "category", "order") == [("P", "popular", 2.0), ("n", "partOfSpeech", 1.0)]
+    assert cat.table("terms").first()["definitions"] == ["cat", "kitty"]
+    for name, bank, index, reason in (("short", {"term_bank_1.json": [["a", "b", "", 1]]}, {"format": 1}, "number of values"), ("text", {"term_bank_1.json": [["a", "b", "", "", "high", ["x"], 1, ""]]}, {}, "kind of value"), ("plain", {"term_bank_1.json": [["a", "b", "", "", 1, "x", 1, ""]]}, {}, "kind of value")):
+        write_archive(tmp_path / f"{name}.zip", name, bank, **index)
+        with pytest.raises(archive.ArchiveError, match=reason):
+            cat.import_archive(str(tmp_path / f"{name}.zip"))
+
+
 def test_many_rows_import(spark, tmp_path):
     write_archive(tmp_path / "m.zip", "M", {f"term_bank_{k}.json": [[f"単語{n}", "", "", "", 0, ["x"], n, ""] for n in range(k * 1000, min(k * 1000 + 1000, 2001))] for k in (0, 1, 2)})
     cat = Catalog(spark, str(tmp_path / "c"))
