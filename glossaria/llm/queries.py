@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glossaria.llm import bpe, decontam, license_scan, line_dedup, minhash, quality, sharding, substring_index, suffix_dedup, url_filter
+from glossaria.llm import bpe, conversations, decontam, divergence, exact_dedup, license_scan, line_dedup, minhash, quality, sharding, substring_index, suffix_dedup, url_filter
 from glossaria.llm.common import of_scan
 
 #: The contract's url rules.
@@ -125,8 +125,25 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(of_scan(table(spark, sf_dir, "conversations")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = exact_dedup.deduplicate(documents(spark, sf_dir))
+    return told.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_suffix_dedup, op3_quality, op4_license_scan, op5_substring_dedup, op6_bpe, op7_line_dedup, op8_decontaminate, op9_near_dedup, op10_shard)}
+    every = (
+        op1_url_filter, op2_suffix_dedup, op3_quality, op4_license_scan, op5_substring_dedup, op6_bpe, op7_line_dedup, op8_decontaminate, op9_near_dedup, op10_shard,
+        op11_conversation_repair, op12_source_divergence, op13_exact_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 URL_SQL = r"""
@@ -199,5 +216,31 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(co
 """
 
 
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+w AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM grp g JOIN kept k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)::HUGEINT) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM dense JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 2)::HUGEINT) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM (SELECT lang, term, sum(n) AS n FROM dense GROUP BY lang, term) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (FROM pair UNION ALL FROM term))
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+EXACT_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS s FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY s) AS group_size, rid = first_value(rid) OVER w AS kept, s AS text_sha256
+FROM d WINDOW w AS (PARTITION BY s ORDER BY doc_id NULLS FIRST, rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": URL_SQL, "op2_suffix_dedup": SUFFIX_SQL, "op4_license_scan": _license_sql(), "op5_substring_dedup": SUBSTRING_SQL, "op8_decontaminate": DECONTAM_SQL}
+    return {"op12_source_divergence": DIVERGENCE_SQL, "op13_exact_dedup": EXACT_SQL, "op1_url_filter": URL_SQL, "op2_suffix_dedup": SUFFIX_SQL, "op4_license_scan": _license_sql(), "op5_substring_dedup": SUBSTRING_SQL, "op8_decontaminate": DECONTAM_SQL}
