@@ -15,6 +15,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from glossaria.functions.korean import letters_of, syllables_of
+
 
 class Processor(NamedTuple):
     name: str
@@ -168,6 +170,7 @@ LANGUAGES: dict[str, tuple[Processor, ...]] = {
         Processor("removeArabicScriptDiacritics", (lambda t: re.sub(f"[{ARABIC_MARKS}]", "", t),)), Processor("removeTatweel", (_swap(("\u0640", "")),)), Processor("normalizeUnicode", (_swap(*ARABIC_LETTERS),)),
         Processor("addHamzaTop", (_swap(("\u0627", "\u0623")),)), Processor("addHamzaBottom", (_swap(("\u0627", "\u0625")),)), Processor("convertAlifMaqsuraToYaa", (_swap(("\u0649", "\u064a")),)), Processor("convertHaToTaMarbuta", (_swap(("\u0647", "\u0629")),)),
     ),
+    "ko": (Processor("disassembleHangul", (letters_of,), False),),
     "aii": (Processor("removeSyriacScriptDiacritics", (lambda t: re.sub("[ܰ-̣݊̇̈-̥̭̰̱]", "", t),)),),
     "yi": (Processor("combineYiddishLigatures", (_swap(*((b, a) for a, b in YIDDISH_LIGATURES), count=1),), False), Processor("removeYiddishDiacritics", (lambda t: re.sub("[\u05b0-\u05c7]", "", t),), False)),
 }
@@ -180,6 +183,7 @@ def pinyin(text: str) -> str:
 
 #: Processors of rewritten texts: what languages undo after their rules.
 AFTER: dict[str, tuple[Processor, ...]] = {
+    "ko": (Processor("reassembleHangul", (syllables_of,), False),),
     "yi": (
         Processor("convertFinalLetters", (lambda t: t[:-1] + YIDDISH_FINALS.get(t[-1:], t[-1:]),), False),
         Processor("convertYiddishLigatures", (_swap(*YIDDISH_LIGATURES, count=1), _swap(*((b, a) for a, b in YIDDISH_LIGATURES), count=1))),

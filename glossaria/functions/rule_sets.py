@@ -7,7 +7,10 @@ from collections.abc import Callable
 from functools import cache
 from itertools import product
 
+from glossaria.functions.arabic import arabic
+from glossaria.functions.korean import korean
 from glossaria.functions.rules import Condition, Rule, RuleSet, everywhere, pattern, prefix, suffix, whole
+from glossaria.functions.tagalog import tagalog
 
 
 def doubled(consonants: str, ending: str, inner: str, outer: str) -> list[Rule]:
@@ -326,7 +329,7 @@ def old_irish() -> RuleSet:
     })
 
 
-MAKERS = {"sga": old_irish, "grc": ancient_greek, "sq": albanian, "yi": yiddish, "en": english, "de": german, "es": spanish, "fr": french, "ja": japanese, "ka": georgian, "ga": irish, "eo": esperanto, "la": latin}
+MAKERS = {"sga": old_irish, "grc": ancient_greek, "sq": albanian, "yi": yiddish, "en": english, "de": german, "es": spanish, "fr": french, "ja": japanese, "ka": georgian, "ga": irish, "eo": esperanto, "la": latin, "ko": korean, "tl": tagalog, "ar": arabic}
 _added: dict[str, RuleSet] = {}
 
 

@@ -18,11 +18,17 @@ MAX_DEPTH = 16
 
 
 class Rule(NamedTuple):
-    kind: str  # suffix, prefix, whole, pattern (its first match) or everywhere (all matches)
-    inflected: str  # the affix, word or regular expression
+    kind: str  # suffix, prefix, whole, around (both ends), pattern (its first match) or everywhere (all matches)
+    inflected: str  # the affix, word or regular expression; of both ends, a prefix and a suffix with `BETWEEN`
     base: str | Callable[[re.Match], str]
     inner: tuple[str, ...] = ()
     outer: tuple[str, ...] = ()
+    stem: str = ""  # of both ends: what stands between must be met by this as a whole, and becomes
+    stem_base: str = ""  # this, if given
+
+
+#: Parts the prefix and the suffix of a rule for both ends; no letter.
+BETWEEN = "\u2026"
 
 
 def suffix(inflected: str, base: str, inner: str = "", outer: str = "") -> Rule:
@@ -45,6 +51,11 @@ def everywhere(inflected: str, base: str, inner: str = "", outer: str = "") -> R
     return Rule("everywhere", inflected, base, tuple(inner.split()), tuple(outer.split()))
 
 
+def around(before: str, after: str, base_before: str, base_after: str, inner: str = "", outer: str = "", stem: str = "", stem_base: str = "") -> Rule:
+    """A prefix and a suffix at once, either of which may be empty, around a stem of a certain form."""
+    return Rule("around", before + BETWEEN + after, base_before + BETWEEN + base_after, tuple(inner.split()), tuple(outer.split()), stem, stem_base)
+
+
 class Condition(NamedTuple):
     name: str
     members: tuple[str, ...] = ()
@@ -64,11 +75,12 @@ class RuleSet:
     transforms: dict[str, list[Rule]]
     flags: dict[str, int] = field(init=False)
     _affixes: dict = field(init=False, repr=False)
+    _around: dict = field(init=False, repr=False)
     _patterns: list = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         self.flags = self._allocate()
-        self._affixes, self._patterns = {}, []
+        self._affixes, self._around, self._patterns = {}, {}, []
         place = 0
         for name, rules in self.transforms.items():
             for number, rule in enumerate(rules):
@@ -76,6 +88,9 @@ class RuleSet:
                 place += 1
                 if rule.kind in ("pattern", "everywhere"):
                     self._patterns.append((*entry, re.compile(rule.inflected, re.ASCII)))
+                elif rule.kind == "around":
+                    before, after = rule.inflected.split(BETWEEN)
+                    self._around.setdefault(before, {}).setdefault(after, []).append((entry, re.compile(rule.stem, re.DOTALL) if rule.stem else None))
                 else:
                     self._affixes.setdefault((rule.kind, rule.inflected), []).append(entry)
 
@@ -123,11 +138,23 @@ class RuleSet:
                 found.append((entry, entry[3].base + text[size:]))
         for entry in self._affixes.get(("whole", text), ()):
             found.append((entry, entry[3].base))
+        for size in range(len(text) + 1):
+            for after, entries in self._around.get(text[:size], {}).items():
+                if text.endswith(after) and size + len(after) <= len(text):
+                    found += self._around_stem(text[size : len(text) - len(after)], entries)
         for *entry, compiled in self._patterns:
             if compiled.search(text):
                 found.append((tuple(entry), compiled.sub(entry[3].base, text, count=entry[3].kind == "pattern")))
         yield from sorted(found, key=lambda x: x[0][0])
 
+    @staticmethod
+    def _around_stem(stem: str, entries: list[tuple]) -> Iterator[tuple[tuple, str]]:
+        for entry, form in entries:
+            met = form.fullmatch(stem) if form else True
+            if met:
+                before, after = entry[3].base.split(BETWEEN)
+                yield entry, before + (met.expand(entry[3].stem_base) if entry[3].stem_base else stem) + after
+
     def closure(self, text: str, max_depth: int = MAX_DEPTH) -> list[Form]:
         """The text and all forms that rules lead to, breadth first."""
         out = [Form(text, 0, ())]

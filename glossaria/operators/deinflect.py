@@ -64,7 +64,7 @@ def forms_of(texts: DataFrame, language: str, column: str, replacements: tuple =
 def suffix_rules(spark, language: str) -> DataFrame:
     """A language's affix rules as a table: transform, kind, inflected, base, inner, outer (flags)."""
     rules = rule_set(language)
-    rows = [(name, r.kind, r.inflected, r.base, rules.flags_of(r.inner), rules.flags_of(r.outer)) for name, rs in rules.transforms.items() for r in rs if r.kind not in ("pattern", "everywhere")]
+    rows = [(name, r.kind, r.inflected, r.base, rules.flags_of(r.inner), rules.flags_of(r.outer)) for name, rs in rules.transforms.items() for r in rs if r.kind in ("suffix", "prefix", "whole")]
     return spark.createDataFrame(rows, "transform string, kind string, inflected string, base string, inner int, outer int")
 
 

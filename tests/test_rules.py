@@ -2,11 +2,14 @@ import re
 
 import pytest
 
+from glossaria.functions.korean import letters_of, syllables_of
 from glossaria.functions.rule_sets import MAKERS, rule_set
-from glossaria.functions.rules import MAX_DEPTH, Condition, RuleSet, pattern, prefix, suffix, whole
+from glossaria.functions.rules import BETWEEN, MAX_DEPTH, Condition, RuleSet, around, pattern, prefix, suffix, whole
 
 
 def bases(language, word):
+    if language == "ko":
+        return {syllables_of(f.text) for f in rule_set(language).closure(letters_of(word))}
     return {f.text for f in rule_set(language).closure(word)}
 
 
@@ -26,6 +29,80 @@ def test_golden_pairs(language, inflected, base):
     assert base in bases(language, inflected)
 
 
+# Inflected word, base and the name of the transform that is applied to it first.
+KOREAN = [
+    ("먹거나", "먹다", "-거나"), ("가거든", "가다", "-거든"), ("먹더군", "먹다", "-더군"), ("크던가", "크다", "-던가"), ("가든데", "가다", "-든데"), ("먹사옵니다", "먹다", "-사옵니다"), ("가는구나", "가다", "-는구나"), ("가자면", "가다", "-자면"), ("먹길래", "먹다", "-길래"),
+    ("먹도록", "먹다", "-도록"), ("먹느냐", "먹다", "-느냐"), ("있고자", "있다", "-고자"), ("없다시피", "없다", "-다시피"), ("먹으면", "먹다", "-(으)면"), ("가면", "가다", "-(으)면"), ("추우면", "춥다", "-(으)면"), ("들으면", "듣다", "-(으)면"), ("지으면", "짓다", "-(으)면"),
+    ("파라면", "파랗다", "-(으)면"), ("갈지언정", "가다", "-(으)ㄹ지언정"), ("살지라도", "살다", "-(으)ㄹ지라도"), ("먹을걸", "먹다", "-(으)ㄹ걸"), ("갈 거예요", "가다", "-(으)ㄹ 거예요"), ("먹으라니까", "먹다", "-(으)라니까"), ("갑니다", "가다", "-(스)ㅂ니다"),
+    ("먹습니다", "먹다", "-(스)ㅂ니다"), ("삽니다", "살다", "-(스)ㅂ니다"), ("먹는다", "먹다", "-(느)ㄴ다"), ("간다", "가다", "-(느)ㄴ다"), ("먹는다면서", "먹다", "-((느)ㄴ)다면서"), ("크다니", "크다", "-((느)ㄴ)다니"), ("간답니다", "가다", "-((느)ㄴ)답니다"), ("먹는데", "먹다", "-(으/느)ㄴ데"),
+    ("큰데", "크다", "-(으/느)ㄴ데"), ("없는데", "없다", "-(으/느)ㄴ데"), ("먹어요", "먹다", "-아/어요"), ("가요", "가다", "-아/어요"), ("도와서", "돕다", "-아/어서"), ("더워서", "덥다", "-아/어서"), ("들어도", "듣다", "-아/어도"), ("몰라", "모르다", "-아/어"), ("예뻐", "예쁘다", "-아/어"), ("해야지", "하다", "-아/어야지"),
+    ("빨개서", "빨갛다", "-아/어서"), ("마셔", "마시다", "-아/어"), ("삶", "살다", "-(으)ㅁ"), ("감", "가다", "-(으)ㅁ"), ("학생이라서", "학생이다", "-라서"), ("아니로군", "아니다", "-로군"), ("학생이에요", "학생이다", "-아/어요"), ("먹고는 하다", "먹다", "-고는 하다"), ("갈락 말락", "가다", "-(으)ㄹ락"),
+    ("읽으시는", "읽다", "-는"), ("먹었다", "먹다", "-다"), ("갔다", "가다", "-다"), ("하겠습니다", "하다", "-(스)ㅂ니다"), ("먹었었다", "먹다", "-다"), ("도왔어요", "돕다", "-아/어요"), ("가셨다", "가다", "-다"), ("먹더니", "먹다", "-더니"), ("가오니", "가다", "-(으)니"), ("하네", "하다", "-네"), ("아네", "알다", "-네"),
+]
+TAGALOG = [
+    ("pag-asa", "pagasa", "hyphenated"), ("basahin", "basa", "-in"), ("inumin", "inom", "-in"), ("lakaran", "lakad", "-an"), ("puntahan", "punta", "-an"), ("tulungan", "tulong", "-an"), ("marunong", "dunong", "ma-"), ("maganda", "ganda", "ma-"), ("pandikit", "dikit", "pang-"), ("pambansa", "bansa", "pang-"),
+    ("pangalawa", "dalawa", "pang-"), ("ikatlo", "tatlo", "ika-"), ("kaibigan", "ibig", "ka-...-an"), ("karunungan", "dunong", "ka-...-an"), ("kabutihan", "buti", "ka-...-an"), ("magluluto", "luto", "mag- + rep1"), ("pagbabasa", "basa", "pag- + rep1"), ("mambabasa", "basa", "mang- + rep1"),
+    ("pamilihan", "mili", "pa-...-an"), ("pagkain", "kain", "pag-"), ("tagapagturo", "turo", "tagapag-"), ("makipagusapan", "usap", "makipag-...-an"), ("pantulugan", "tulog", "pang-...-an"), ("nakakatakot", "takot", "nakaka-"), ("nakapanlulumo", "lumo", "nakapang- + rep1"), ("bahayng", "bahay", "-ng"),
+]
+ARABIC = [
+    ("وكتاب", "كتاب", "NPref-Wa"), ("بالكتاب", "كتاب", "NPref-BiAl"), ("والكتاب", "كتاب", "NPref-Al"), ("للولد", "ولد", "NPref-Lil"), ("للغة", "لغة", "NPref-LiAl"), ("كتابهم", "كتاب", "NSuff-h"), ("مدرستنا", "مدرسة", "NSuff-ath"), ("كتابا", "كتاب", "NSuff-AF"), ("كتابان", "كتاب", "NSuff-An"), ("معلمات", "معلمة", "NSuff-At"),
+    ("مدرسون", "مدرس", "NSuff-wn"), ("سيارتان", "سيارة", "NSuff-atAn"), ("كتبت", "كتب", "PVSuff-t"), ("كتبوا", "كتب", "PVSuff-uw"), ("كتبنا", "كتب", "PVSuff-n"), ("سكتنا", "سكت", "PVSuff-n"), ("قرآ", "قرأ", "PVSuff-A"), ("يكتب", "كتب", "IVPref-hw"), ("سيكتبها", "كتب", "IVPref-hw"), ("تكتبين", "كتب", "IVPref-Anti"),
+    ("يكتبون", "كتب", "IVPref-hm"), ("لتكتبوا", "كتب", "IVPref-Antm"), ("يكتبن", "كتب", "IVPref-hn"), ("أكتبه", "كتب", "IVPref-AnA"), ("آكل", "أكل", "IVPref-AnA"), ("نكتب", "كتب", "IVPref-nHn"), ("يستعمل", "استعمل", "IVPref-hw"), ("يكرمون", "أكرم", "IVPref-hm"), ("اكتب", "كتب", "CVPref"), ("اكتبوا", "كتب", "CVSuff"), ("وبالمعلمات", "معلمة", "NSuff-At"),
+]
+
+
+@pytest.mark.parametrize(("language", "pairs"), [("ko", KOREAN), ("tl", TAGALOG), ("ar", ARABIC)])
+def test_golden_pairs_by_transform(language, pairs):
+    made = rule_set(language)
+    split, whole_ = (letters_of, syllables_of) if language == "ko" else (str, str)
+    for word, base, name in pairs:
+        found = [f for f in made.closure(split(word)) if whole_(f.text) == base]
+        assert name in {t for f in found for t, *_ in f.trace}, (word, base, name)
+
+
+@pytest.mark.parametrize("language", ["ko", "tl", "ar"])
+def test_every_rule_is_met_by_a_form_made_with_it(language):
+    rules = rule_set(language)
+    for name, entries in rules.transforms.items():
+        for number, r in enumerate(entries):
+            if r.kind == "around" and not r.stem_base:
+                before, after = r.inflected.split(BETWEEN)
+                stems = ["batak"] if language == "tl" else ["كتب"]
+                words = [(before + s + after, r.base.replace(BETWEEN, s)) for s in stems]
+            elif r.kind in ("suffix", "prefix") and r.inflected:
+                stem = {"ko": "ㅁㅓㄱ", "tl": "batak", "ar": "كتب"}[language]
+                words = [(stem + r.inflected, stem + r.base) if r.kind == "suffix" else (r.inflected + stem, r.base + stem)]
+            else:
+                continue
+            for word, base in words:
+                assert any(e[1:3] == (name, number) and made == base for e, made in rules.rewrites(word)), (name, r)
+
+
+def test_syllables_and_letters():
+    every = [chr(c) for c in range(0xAC00, 0xAC00 + 11172)]
+    assert [syllables_of(letters_of(c)) for c in every] == every
+    words = [a + b + c for a, b, c in zip(every, every[::-1], every[5000:] + every[:5000], strict=True)]
+    assert [syllables_of(letters_of(w)) for w in words] == words
+    assert letters_of("값을 왔 a") == "ㄱㅏㅂㅅㅇㅡㄹ ㅇㅗㅏㅆ a" and syllables_of("ㅂㅅ ㅏㄱ x") == "ㅂㅅ ㅏㄱ x"
+
+
+def test_around_needs_both_ends_and_its_stem():
+    r = RuleSet("x", [], {"k": [around("ka", "an", "", "", stem=r"\w+"), around("m", "", "p", "", stem="[^a].*"), around("", "s", "", "", stem="(.*)u(.)", stem_base=r"\1o\2")]})
+    assert [m for _, m in r.rewrites("kabanan")] == ["ban"] and not list(r.rewrites("kaan")) and not list(r.rewrites("kan"))
+    assert [m for _, m in r.rewrites("mba")] == ["pba"] and not list(r.rewrites("ma")) and [m for _, m in r.rewrites("xubs")] == ["xob"]
+
+
+def test_korean_lookup(spark):
+    from glossaria.operators import lookup
+    from glossaria.sources.catalog import enabled_map
+
+    schema = "dictionary string, id long, expression string, reading string, rules array<string>, score double, sequence long, definitions array<string>, definition_tags array<string>, term_tags array<string>"
+    terms = spark.createDataFrame([("A", 1, "돕다", "", ["v"], 1.0, -1, ["to help"], [], []), ("A", 2, "춥다", "", ["adj"], 1.0, -1, ["cold"], [], []), ("A", 3, "도오다", "", ["n"], 1.0, -1, ["no such verb"], [], [])], schema)
+    asked = spark.createDataFrame([("1", "도와서"), ("2", "추웠어요"), ("3", "집")], "query_id string, text string")
+    found = lookup.find_terms(asked, terms, enabled_map(spark, ["A"]), "ko", "simple").collect()
+    assert {(r["query_id"], d["id"]) for r in found for d in r["definitions"] if r["max_length"] > 2} == {("1", 1), ("2", 2)}
+
+
 def test_every_rule_set_compiles():
     for language in MAKERS:
         assert rule_set(language).transforms
@@ -80,6 +157,12 @@ def brute_closure(rules, word, most):
                     new = r.base + text[len(r.inflected) :]
                 elif r.kind == "whole" and text == r.inflected:
                     new = r.base
+                elif r.kind == "around":
+                    (a, b), (c, d) = r.inflected.split(BETWEEN), r.base.split(BETWEEN)
+                    middle = text[len(a) : len(text) - len(b)]
+                    if text != a + middle + b or not re.fullmatch(r.stem or ".*", middle, re.DOTALL):
+                        continue
+                    new = c + (re.sub(f"^{r.stem}$", r.stem_base, middle) if r.stem_base else middle) + d
                 elif r.kind in ("pattern", "everywhere") and re.search(r.inflected, text, re.ASCII):
                     new = re.sub(r.inflected, r.base, text, count=int(r.kind == "pattern"), flags=re.ASCII)
                 else:
@@ -90,6 +173,14 @@ def brute_closure(rules, word, most):
     return seen, not level
 
 
+@pytest.mark.parametrize(("language", "words"), [("tl", [w for w, *_ in TAGALOG]), ("ar", [w for w, *_ in ARABIC][:12]), ("ko", [letters_of(w) for w, *_ in KOREAN][:20])])
+def test_closures_are_brute_forces(language, words):
+    rules = rule_set(language)
+    for w in words:
+        forms, done = brute_closure(rules, w, MAX_DEPTH)
+        assert done and {(f.text, f.flags) for f in rules.closure(w)} == forms, w
+
+
 @pytest.mark.parametrize(
     ("language", "text", "expected", "ends"),
     [
