@@ -6,6 +6,9 @@ allow_secondary. Order matters throughout and is carried as a column, never take
 
 A definition that is a JSON array, [text, [rules]], redirects to another term: its dictionary says of which text the term
 is a form.
+
+What a term says, its definitions, is not carried along: terms are `slim` while they are met, grouped and ranked, and the
+definitions of what is left are fetched at the end.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from glossaria.functions.columns import JAPANESE, LAST_ASCENDING, LAST_DESCENDIN
 from glossaria.functions.processors import normalised_reading
 from glossaria.functions.rule_sets import rule_set
 from glossaria.operators.deinflect import forms_of
+from glossaria.sources.scratch import written
 
 MODES = ("group", "term", "merge", "simple")
 NO_CHAINS = "array<array<string>>"
@@ -105,6 +109,18 @@ def is_redirect(definition: Column) -> Column:
     return definition.rlike(r"^\s*\[")
 
 
+def slim(terms: DataFrame, enabled: DataFrame) -> DataFrame:
+    """Terms of enabled dictionaries with what the enabled map says of these. In place of definitions: those that redirect
+    (`redirects`), and what the others are known by (`content`, null if there are none)."""
+    own = terms.join(enabled.withColumnRenamed("title", "dictionary"), "dictionary")
+    said = F.filter("definitions", lambda d: ~is_redirect(d))
+    content = F.when(F.size(said) > 0, F.sha2(F.to_json(F.struct(said)), 256))
+    return own.select(*SLIM, F.filter("definitions", is_redirect).alias("redirects"), content.alias("content"))
+
+
+SLIM = ("dictionary", "id", "expression", "reading", "rules", "score", "sequence", "definition_tags", "idx", "alias", "pos_filter", "use_deinflections", "allow_secondary")
+
+
 def _hits(found: DataFrame, own: DataFrame, language: str) -> DataFrame:
     """Candidates with the rows they meet. A row belongs to the first text that reaches it, and isn't tried for another
     text, even if its part of speech then fails."""
@@ -117,8 +133,8 @@ def _hits(found: DataFrame, own: DataFrame, language: str) -> DataFrame:
 
 def redirected(hits: DataFrame) -> DataFrame:
     """Candidates that redirecting definitions of hits name, after all others; their chains go on from the hit's."""
-    named = hits.where("use_deinflections").select("query_id", "ord", "id", "original_text", "transformed_text", "text_chains", "inflections", F.posexplode("definitions").alias("_k", "_d"))
-    named = named.where(is_redirect(F.col("_d"))).withColumn("base", F.get_json_object("_d", "$[0]")).where("base <> ''")
+    named = hits.where("use_deinflections").select("query_id", "ord", "id", "original_text", "transformed_text", "text_chains", "inflections", F.posexplode("redirects").alias("_k", "_d"))
+    named = named.withColumn("base", F.get_json_object("_d", "$[0]")).where("base <> ''")
     rules = F.coalesce(F.from_json(F.get_json_object("_d", "$[1]"), "array<string>"), F.array().cast("array<string>"))
     longer = F.transform("inflections", lambda c: F.struct(F.when(F.size(c["rules"]) == 0, "dictionary").otherwise("both").alias("source"), F.concat(c["rules"], rules).alias("rules")))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("ord", "id", "_k"))
@@ -126,21 +142,20 @@ def redirected(hits: DataFrame) -> DataFrame:
     return named.select("query_id", order.alias("ord"), "original_text", "transformed_text", "base", F.lit(0).alias("flags"), "text_chains", longer.alias("inflections"))
 
 
-def entries(found: DataFrame, terms: DataFrame, enabled: DataFrame, language: str, primary_reading: str = "") -> DataFrame:
-    """One row of each query and term: by the first candidate of the longest text, chains of ties merged.
+def entries(found: DataFrame, own: DataFrame, language: str, primary_reading: str = "", redirects: bool = True) -> DataFrame:
+    """One row of each query and slim term: by the first candidate of the longest text, chains of ties merged.
 
-    Redirects are followed once; terms that only redirect are no entries.
+    Redirects are followed once, if any term has them; terms that only redirect are no entries.
     """
-    own = terms.join(enabled.withColumnRenamed("title", "dictionary"), "dictionary")
     hits = _hits(found, own, language)
-    if not terms.where(F.exists("definitions", is_redirect)).isEmpty():
+    if redirects:
         hits = hits.unionByName(_hits(redirected(hits), own, language))
-    hits = hits.withColumn("definitions", F.filter("definitions", lambda d: ~is_redirect(d))).where(F.size("definitions") > 0)
+    hits = hits.where(F.col("content").isNotNull())
     longest = F.max(F.length("transformed_text")).over(Window.partitionBy("query_id", "id"))
     hits = hits.withColumn("_longest", longest).withColumn("_place", F.min("ord").over(Window.partitionBy("query_id", "id")))
     hits = hits.where(F.length("transformed_text") == F.col("_longest"))
     first = lambda c: F.min_by(c, "ord").alias(c)
-    scalars = ("original_text", "transformed_text", "base", "match_source", "dictionary", "expression", "reading", "score", "sequence", "definitions", "definition_tags", "term_tags", "idx", "alias", "rules", "allow_secondary")
+    scalars = ("original_text", "transformed_text", "base", "match_source", "dictionary", "expression", "reading", "score", "sequence", "content", "definition_tags", "idx", "alias", "rules", "allow_secondary")
     gathered = F.array_sort(F.collect_list(F.struct("ord", "text_chains", "inflections")))
     out = hits.groupBy("query_id", "id").agg(F.min("_place").alias("ord"), *map(first, scalars), gathered.alias("_all"))
     text_chains = F.flatten(F.transform("_all", lambda c: c["text_chains"]))
@@ -173,7 +188,6 @@ def shaped(rows: DataFrame, primary_reading: str) -> DataFrame:
 def related_row(terms: DataFrame, text: Column, primary_reading: str) -> DataFrame:
     """Terms that come by another term of their group, not by the query: not primary, without chains."""
     out = terms.withColumns({"original_text": text, "transformed_text": text, "base": text, "match_source": F.lit("term"), "text_chains": F.array().cast(NO_CHAINS), "chains": F.array().cast(INFLECTIONS)})
-    out = out.withColumn("definitions", F.filter("definitions", lambda d: ~is_redirect(d)))
     return shaped(out, primary_reading).withColumns({"primary": F.lit(False), "exact": F.lit(0)})
 
 
@@ -192,14 +206,16 @@ def headwords_of(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def definitions_of(rows: DataFrame, by: list[str], once: bool) -> DataFrame:
     """by, definitions by place, each with the (expression, reading) it belongs to; `once` joins those of equal content."""
-    entry = [*by, "dictionary", "definitions"] if once else [*by, "id"]
-    keep = lambda *names: [F.min_by(n, "place").alias(n) for n in names if n not in entry]
-    each = rows.groupBy(*entry).agg(
-        F.min("place").alias("place"), *keep("id", "dictionary", "definitions", "idx", "alias", "score"), F.max("primary").alias("primary"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "sequence"))), lambda x: x["sequence"])).alias("sequences"),
-        F.collect_set(F.struct("expression", "norm_reading")).alias("heads"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("definition_tags")))).alias("tags"),
-    )
-    whole = F.struct("place", "id", "dictionary", "idx", "alias", "score", "definitions", "primary", "sequences", "tags", "heads")
-    return each.groupBy(*by).agg(F.array_sort(F.collect_list(whole)).alias("definitions"))
+    whole = ("place", "id", "dictionary", "idx", "alias", "score", "primary", "sequences", "tags", "heads")
+    if once:
+        keep = [F.min_by(n, "place").alias(n) for n in ("id", "idx", "alias", "score")]
+        each = rows.groupBy(*by, "dictionary", "content").agg(
+            F.min("place").alias("place"), *keep, F.max("primary").alias("primary"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "sequence"))), lambda x: x["sequence"])).alias("sequences"),
+            F.collect_set(F.struct("expression", "norm_reading")).alias("heads"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("definition_tags")))).alias("tags"),
+        )
+    else:  # a term is in its group once
+        each = rows.withColumns({"sequences": F.array("sequence"), "heads": F.array(F.struct("expression", "norm_reading")), "tags": F.array_sort(F.array_distinct("definition_tags"))})
+    return each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*whole))).alias("definitions"))
 
 
 def definition_order(definitions: Column) -> Column:
@@ -209,7 +225,9 @@ def definition_order(definitions: Column) -> Column:
 
 
 def groups_of(rows: DataFrame, by: list[str], once: bool = False) -> DataFrame:
-    """Rows of one group become one entry. `rows` has place: the order within the group."""
+    """Rows of one group become one entry. `rows` has place: the order within the group. They are dealt by group once,
+    which is what all three aggregates and their joins need."""
+    rows = rows.repartition(*by)
     best = lambda c: F.min_by(F.when(F.col("primary"), F.col(c)), F.when(F.col("primary"), F.struct(F.size(c), "place")))
     merged = rows.groupBy(*by).agg(
         F.max("score").alias("score"), F.min("idx").alias("dictionary_index"), F.max(F.when(F.col("primary"), F.length("original_text")).otherwise(0)).alias("max_length"), F.max("primary").alias("primary"),
@@ -227,7 +245,7 @@ def singles(rows: DataFrame) -> DataFrame:
     source = F.struct("original_text", "transformed_text", "base", "match_source", "primary")
     head = F.struct("idx", "expression", "norm_reading", "reading", F.array(source).alias("sources"), F.array_sort(F.array_distinct("rules")).alias("classes"))
     definition = F.struct(
-        F.lit(0).alias("place"), "id", "dictionary", "idx", "alias", "score", "definitions", "primary", F.array("sequence").alias("sequences"), F.array_sort(F.array_distinct("definition_tags")).alias("tags"),
+        F.lit(0).alias("place"), "id", "dictionary", "idx", "alias", "score", "primary", F.array("sequence").alias("sequences"), F.array_sort(F.array_distinct("definition_tags")).alias("tags"),
         F.array(F.lit(0)).alias("headword_indices"), F.lit(0).cast("long").alias("frequency_order"),
     )
     return rows.select("query_id", "score", F.col("idx").alias("dictionary_index"), F.length("original_text").alias("max_length"), "primary", "text_chains", "chains", "ord", F.array(head).alias("headwords"), "exact", "primary_reading", F.array(definition).alias("definitions"))
@@ -257,36 +275,41 @@ def related_by_headword(rows: DataFrame, terms: DataFrame, by: tuple[str, ...] =
     return found.join(rows.select(*by, "id").distinct(), [*by, "id"], "left_anti")
 
 
-def merged(rows: DataFrame, terms: DataFrame, enabled: DataFrame, main_dictionary: str, language: str = "", primary_reading: str = "") -> DataFrame:
-    """Entries of the main dictionary are grouped by sequence. A group gets the dictionary's other terms of that sequence;
-    entries of other dictionaries that have a term and reading of the group; and terms of dictionaries open to secondary
-    searches that have one. Definitions of equal content are joined. Other entries are grouped by headword."""
+def sequence_members(sequences: DataFrame, own: DataFrame, main_dictionary: str) -> DataFrame:
+    """What each sequence (_sequence) of the main dictionary brings into a group, whoever asks for it: its terms (phase 0),
+    and terms that have a term's expression and reading in dictionaries open to secondary searches (phase 2)."""
+    main = own.where(F.col("dictionary") == main_dictionary).join(sequences, F.col("sequence") == F.col("_sequence"))
+    second = related_by_headword(main, own.where("allow_secondary"), ("_sequence",))
+    return main.withColumn("phase", F.lit(0)).unionByName(second.withColumn("phase", F.lit(2)).select("phase", *main.columns))
+
+
+def merged(rows: DataFrame, own: DataFrame, main_dictionary: str, language: str = "", primary_reading: str = "") -> DataFrame:
+    """Entries (`rows`, written) of the main dictionary are grouped by sequence. A group gets the dictionary's other terms
+    of that sequence; entries of other dictionaries that have a term and reading of the group; and terms of dictionaries
+    open to secondary searches that have one. Definitions of equal content are joined. Other entries are grouped by
+    headword.
+
+    What a sequence brings is found once, not for each query that asks for it; queries join it by its number.
+    """
     spelled = lambda df: df.withColumn("norm_reading", normalised_reading(F.col("reading"), language))
-    place = lambda phase, *by: F.struct(F.lit(phase).alias("phase"), *by)
     key = ["query_id", "_sequence"]
     is_main = (F.col("dictionary") == main_dictionary) & (F.col("sequence") >= 0)
-    own = terms.join(enabled.withColumnRenamed("title", "dictionary"), "dictionary")
     rows = spelled(rows)
-    seeds = rows.where(is_main).withColumn("_sequence", F.col("sequence"))
-    more = related_by_sequence(rows, own, main_dictionary).withColumn("_sequence", F.col("sequence"))
-    more = spelled(related_row(more, F.col("expression"), primary_reading))
-    wanted = ["query_id", "_sequence", "id", "ord", "original_text", "transformed_text", "base", "match_source", "dictionary", "expression", "reading", "norm_reading", "score", "sequence", "definitions", "definition_tags", "term_tags", "idx", "alias", "rules", "text_chains", "chains", "primary", "primary_reading", "exact"]
+    seeds, others = rows.where(is_main).withColumn("_sequence", F.col("sequence")), rows.where(~is_main)
+    asked = seeds.select(*key).distinct()
+    members = sequence_members(asked.select("_sequence").distinct(), own, main_dictionary)
+    members = written(spelled(related_row(members, F.col("expression"), primary_reading)))
+
+    heads = asked.join(members.where("phase = 0").select("_sequence", "expression", "norm_reading").distinct(), "_sequence")
+    joined = others.join(heads, ["query_id", "expression", "norm_reading"])
+    wanted = [*key, "id", "ord", "original_text", "transformed_text", "base", "match_source", "dictionary", "expression", "reading", "norm_reading", "score", "sequence", "content", "definition_tags", "idx", "alias", "rules", "text_chains", "chains", "primary", "primary_reading", "exact"]
+    entered = written(seeds.withColumn("phase", F.lit(0)).select(*wanted, "phase").unionByName(joined.withColumn("phase", F.lit(1)).select(*wanted, "phase")))
     last = F.struct(*(F.lit(2**31 - 1).alias(f"o{k}") for k in range(1, 5)))
-    pick = lambda df, where: df.select(*wanted, where.alias("place"))
-    core = pick(seeds, place(0, "id", F.col("ord").alias("at"))).unionByName(pick(more.withColumn("ord", last), place(0, "id", F.col("ord").alias("at"))))
-    core = core.persist()
-
-    heads = core.select(*key, "expression", "norm_reading").distinct()
-    others = rows.where(~is_main)
-    joined = others.join(heads, ["query_id", "expression", "norm_reading"]).persist()
-    found = related_by_headword(core, own.where("allow_secondary"), tuple(key))
-    found = found.join(joined.select(*key, "id"), [*key, "id"], "left_anti")
-    secondary = spelled(related_row(found, F.col("expression"), primary_reading)).withColumn("ord", last).persist()
-    groups = core.unionByName(pick(joined, place(1, "id", F.col("ord").alias("at")))).unionByName(pick(secondary, place(2, "id", F.col("ord").alias("at"))))
-    groups = groups.withColumn("_group", F.col("_sequence").cast("string")).where(F.size("definitions") > 0).persist()
-    groups = groups_of(groups, ["query_id", "_group"], True)
-    left = others.join(joined.select("query_id", "id").unionByName(secondary.select("query_id", "id")).distinct(), ["query_id", "id"], "left_anti")
-    return groups.drop("_group").unionByName(grouped(left.drop("norm_reading"), "group", language))
+    brought = asked.join(members, "_sequence").join(entered.select(*key, "id"), [*key, "id"], "left_anti").withColumn("ord", last)
+    groups = entered.unionByName(brought.select(*wanted, "phase")).withColumn("place", F.struct("phase", "id", F.col("ord").alias("at")))
+    groups = groups_of(groups.where(F.col("content").isNotNull()), key, True).drop("_sequence")
+    left = others.join(joined.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
+    return groups.unionByName(grouped(left.drop("norm_reading"), "group", language))
 
 
 def without_dictionaries(groups: DataFrame, excluded: list[str]) -> DataFrame:
@@ -328,21 +351,39 @@ def ranked(groups: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
 
 
+def with_definitions(groups: DataFrame, terms: DataFrame) -> DataFrame:
+    """Ranked groups with what their terms say: definitions that redirect are left out."""
+    said = terms.select(F.col("dictionary").alias("_dictionary"), F.col("id").alias("_id"), F.filter("definitions", lambda d: ~is_redirect(d)).alias("_said"))
+    each = groups.select("query_id", "rank", F.posexplode("definitions").alias("_k", "_d"))
+    met = each.join(said, (F.col("_d.id") == F.col("_id")) & (F.col("_d.dictionary") == F.col("_dictionary")))
+    whole = F.sort_array(F.collect_list(F.struct("_k", F.col("_d").withField("definitions", F.col("_said")).alias("d"))))
+    filled = met.groupBy("query_id", "rank").agg(F.transform(whole, lambda x: x["d"]).alias("definitions"))
+    return groups.drop("definitions").join(filled, ["query_id", "rank"])
+
+
 def find_terms(
     queries: DataFrame, terms: DataFrame, enabled: DataFrame, language: str = "en", mode: str = "group", deinflect: bool = True, by: str = "letter", replacements: tuple = (), excluded: list[str] | None = None,
-    frequencies: DataFrame | None = None, ascending: bool = True, main_dictionary: str = "", primary_reading: str = "", remove_non_japanese: bool = False,
+    frequencies: DataFrame | None = None, ascending: bool = True, main_dictionary: str = "", primary_reading: str = "", remove_non_japanese: bool = False, redirects: bool | None = None, definitions: bool = True,
 ) -> DataFrame:
-    """The whole lookup: ranked groups of entries of each query (query_id, text)."""
+    """The whole lookup: ranked groups of entries of each query (query_id, text).
+
+    `redirects` says whether terms redirect at all, if the caller knows; otherwise they are asked. Without `definitions`
+    what the terms say is not fetched: their ids and all that is known of them stay.
+    """
     if remove_non_japanese and language == "ja":
         queries = queries.withColumn("text", F.regexp_extract("text", f"^[{JAPANESE}]*", 0))
-    own = enabled_only(terms, enabled)
-    rows = entries(candidates(queries, language, deinflect, by, replacements), own, enabled, language, primary_reading).persist()  # asked several times
-    groups = merged(rows, own, enabled, main_dictionary, language, primary_reading) if mode == "merge" else grouped(rows, mode, language)
+    own = written(slim(terms, enabled))
+    if redirects is None:
+        redirects = not own.where(F.size("redirects") > 0).isEmpty()
+    rows = entries(candidates(queries, language, deinflect, by, replacements), own, language, primary_reading, redirects)
+    rows = rows if mode in ("simple", "") else written(rows)  # groups are made of several aggregates
+    groups = merged(rows, own, main_dictionary, language, primary_reading) if mode == "merge" else grouped(rows, mode, language)
     if excluded:
         groups = without_dictionaries(groups, excluded)
     if frequencies is not None:
         groups = frequency_order(groups, frequencies, ascending)
-    return ranked(groups)
+    out = ranked(groups)
+    return with_definitions(written(out), enabled_only(terms, enabled)) if definitions else out
 
 
 def batch_lookup(texts: DataFrame, terms: DataFrame, enabled: DataFrame, **options) -> DataFrame:

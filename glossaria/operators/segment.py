@@ -68,7 +68,7 @@ def parse(texts: DataFrame, terms: DataFrame, enabled: DataFrame, language: str,
     lines = texts.select("text_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     seen = windows(lines, scan_length).select(*by, "pos", F.substring("window", 1, scan_length).alias("window"))
     asked = seen.select(F.col("window").alias("text")).distinct().withColumn("query_id", F.col("text"))
-    found = find_terms(asked, terms, enabled, language, "simple", **options)
+    found = find_terms(asked, terms, enabled, language, "simple", definitions=False, **options)
     heads = F.transform("headwords", lambda h: F.struct("rank", h["expression"].alias("expression"), h["reading"].alias("reading"), F.transform(h["sources"], lambda x: x["original_text"]).alias("texts")))
     best = found.select("query_id", "max_length", "rank", heads.alias("heads")).groupBy(F.col("query_id").alias("window")).agg(
         F.max("max_length").alias("size"), F.flatten(F.array_sort(F.collect_list("heads"))).alias("heads"), F.min_by(F.col("heads")[0]["reading"], "rank").alias("reading"),

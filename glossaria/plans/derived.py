@@ -23,15 +23,17 @@ def part_of_speech(word: Column) -> Column:
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dictionary, id, expression, reading, rules, score, freq, sequence and tags; ids are texts, unique in a dictionary."""
+    """dictionary, id, expression, reading, rules, score, freq, sequence and tags; ids are texts. Terms of equal length and
+    reading share a sequence."""
     tokens = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("dictionary"), F.explode(words()).alias("expression"))
     counted = tokens.groupBy("dictionary", "expression").agg(F.countDistinct("doc_id").alias("score"), F.count("*").alias("freq"))
     bare = F.regexp_replace("expression", "[aeiou]", "")
     reading = F.when(F.length(bare) > 0, bare).otherwise(F.col("expression"))
+    sequence = F.conv(F.substring(F.md5(F.concat_ws(" ", F.length("expression"), reading)), 1, 8), 16, 10).cast("long")
     tag = F.when(F.col("score") >= 5, "common").when(F.col("score") == 1, "rare").otherwise("usual")
     return counted.select(
         "dictionary", F.concat_ws("/", "dictionary", "expression").alias("id"), "expression", reading.alias("reading"), part_of_speech(F.col("expression")).alias("pos"),
-        "score", "freq", (F.length("expression") * 1000 + F.ascii("expression")).cast("long").alias("sequence"), tag.alias("tag"),
+        "score", "freq", sequence.alias("sequence"), tag.alias("tag"),
     )
 
 
@@ -41,7 +43,7 @@ counted AS (SELECT dictionary, expression, count(DISTINCT doc_id) AS score, coun
 terms AS (SELECT dictionary, dictionary || '/' || expression AS id, expression,
   CASE WHEN regexp_replace(expression, '[aeiou]', '', 'g') <> '' THEN regexp_replace(expression, '[aeiou]', '', 'g') ELSE expression END AS reading,
   CASE WHEN ends_with(expression, 'ed') OR ends_with(expression, 'ing') THEN 'v' WHEN ends_with(expression, 's') THEN 'np' WHEN ends_with(expression, 'ly') THEN 'adv' ELSE 'n' END AS pos,
-  score, freq, length(expression) * 1000 + ascii(expression) AS sequence,
+  score, freq, ('0x' || left(md5(length(expression) || ' ' || CASE WHEN regexp_replace(expression, '[aeiou]', '', 'g') <> '' THEN regexp_replace(expression, '[aeiou]', '', 'g') ELSE expression END), 8))::BIGINT AS sequence,
   CASE WHEN score >= 5 THEN 'common' WHEN score = 1 THEN 'rare' ELSE 'usual' END AS tag FROM counted)
 """
 

@@ -14,6 +14,7 @@ from glossaria.operators.kanji import find_kanji
 from glossaria.operators.deinflect import closure_of, one_step, suffix_rules
 from glossaria.plans.derived import BENCHMARK_SQL, TAGS, TAGS_SQL, TERMS_SQL, benchmark_words, table, terms, words
 from glossaria.sources.catalog import dictionary_counts, enabled_map
+from glossaria.sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,12 +203,6 @@ def group_term(spark, sf_dir):
     return own.groupBy("reading").agg(F.array_sort(F.collect_set("expression")).alias("expressions"), F.max("score").alias("score"), F.count("*").alias("definitions"))
 
 
-@query()
-def group_term_whole(spark, sf_dir):
-    """`group_term` by its other name."""
-    return group_term(spark, sf_dir)
-
-
 @query(f"""WITH {TERMS_SQL}, {BENCHMARK_SQL}, e AS (SELECT item_id AS query_id, id, dictionary, sequence FROM bw JOIN terms ON word = expression),
 s AS (SELECT DISTINCT query_id, sequence FROM e WHERE dictionary = 'src2' AND sequence >= 0)
 SELECT s.query_id, t.id, t.score FROM s JOIN terms t ON s.sequence = t.sequence AND t.dictionary = 'src2' ANTI JOIN e ON e.query_id = s.query_id AND e.id = t.id""")
@@ -217,12 +212,6 @@ def merge_sequence(spark, sf_dir):
     return lookup.related_by_sequence(rows, own, "src2").select("query_id", "id", "score")
 
 
-@query()
-def merge_sequence_whole(spark, sf_dir):
-    """`merge_sequence` by its other name."""
-    return merge_sequence(spark, sf_dir)
-
-
 @query(f"""WITH {TERMS_SQL}, {BENCHMARK_SQL}, e AS (SELECT DISTINCT item_id AS query_id, id, expression, reading FROM bw JOIN terms ON word = expression WHERE dictionary = 'src2')
 SELECT h.query_id, t.id FROM (SELECT DISTINCT query_id, expression, reading FROM e) h JOIN terms t USING (expression, reading) WHERE t.dictionary IN ('src2', 'src4') AND NOT EXISTS (SELECT 1 FROM e WHERE e.query_id = h.query_id AND e.id = t.id)""")
 def merge_secondary(spark, sf_dir):
@@ -245,12 +234,6 @@ def merge_tags(spark, sf_dir):
     return _merged_tags(spark, sf_dir, terms(spark, sf_dir))
 
 
-@query()
-def merge_tags_whole(spark, sf_dir):
-    """`merge_tags` of all expressions."""
-    return _merged_tags(spark, sf_dir, terms(spark, sf_dir))
-
-
 def _merged_tags(spark, sf_dir, own: DataFrame) -> DataFrame:
     named = own.select("expression", "dictionary", F.explode(F.array("tag", "pos")).alias("tag"))
     few = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("name", "category", "order", "score", "notes", "tag_id"), (*t, t[2]), strict=True))) for t in TAGS))
@@ -266,13 +249,6 @@ def redundant_tags_lag(spark, sf_dir):
     return metadata.redundant_tags(own, ["reading"], "id").select("id", "redundant")
 
 
-@query()
-def redundant_tags_whole(spark, sf_dir):
-    """`redundant_tags_lag` of all terms."""
-    own = terms(spark, sf_dir).withColumn("tags", F.array("pos"))
-    return metadata.redundant_tags(own, ["reading"], "id").select("id", "redundant")
-
-
 @query(f"""WITH {TERMS_SQL}, {BENCHMARK_SQL}, g AS (SELECT item_id, expression, max(score) AS score, count(*) AS definitions FROM bw JOIN terms ON word = expression GROUP BY ALL)
 SELECT item_id, expression, score, definitions, row_number() OVER (PARTITION BY item_id ORDER BY length(expression) DESC, score DESC, expression) AS rank FROM g QUALIFY rank <= 10""")
 def sort_entries_topk(spark, sf_dir):
@@ -382,11 +358,17 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY max_lengt
 SHOWN = ("query_id", "rank", "expression", "max_length", "exact", "dictionary_index", "score", "definitions")
 
 
+def _dictionaries(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The derived dictionary, made once, and its enabled map."""
+    own = written(_shaped(terms(spark, sf_dir)))
+    sources = [r[0] for r in own.select("dictionary").distinct().orderBy("dictionary").collect()]
+    return own, enabled_map(spark, sources)
+
+
 def _found(spark, sf_dir, asked: DataFrame, mode: str, **options) -> DataFrame:
     """The library's lookup of texts (`text`) in all dictionaries, in a language of the same letters that has no rules."""
-    own = terms(spark, sf_dir)
-    sources = [r[0] for r in own.select("dictionary").distinct().orderBy("dictionary").collect()]
-    found = lookup.find_terms(asked.withColumn("query_id", F.col("text")), _shaped(own), enabled_map(spark, sources), "pt", mode, **options)
+    own, on = _dictionaries(spark, sf_dir)
+    found = lookup.find_terms(asked.withColumn("query_id", F.col("text")), own, on, "pt", mode, definitions=False, **options)
     return found.select("query_id", "rank", F.col("headwords")[0]["expression"].alias("expression"), "max_length", "exact", "dictionary_index", "score", F.size("definitions").alias("definitions"), "headwords")
 
 
@@ -441,10 +423,9 @@ def batch_lookup_distinct(spark, sf_dir):
 @query()
 def batch_lookup_whole(spark, sf_dir):
     """The whole lookup of each distinct word of the conversations, once; words without a hit stay."""
-    own = terms(spark, sf_dir)
-    sources = [r[0] for r in own.select("dictionary").distinct().orderBy("dictionary").collect()]
+    own, on = _dictionaries(spark, sf_dir)
     said = table(spark, sf_dir, "conversations").select(F.explode(words()).alias("text")).distinct()
-    found = lookup.batch_lookup(said, _shaped(own), enabled_map(spark, sources), language="en")
+    found = lookup.batch_lookup(said, own, on, language="en")
     return found.select("text", "rank", F.col("headwords")[0]["expression"].alias("expression"), "max_length", "score", F.size("definitions").alias("definitions"), "chain_length")
 
 
@@ -546,15 +527,6 @@ def disambiguation_sets(spark, sf_dir):
     return sets.join(every, "reading").select("dictionary", "reading", metadata.disambiguations(F.col("own"), F.array("reading"), F.col("every"), F.array("reading")).alias("terms"))
 
 
-@query()
-def disambiguation_sets_whole(spark, sf_dir):
-    """`disambiguation_sets` of all terms."""
-    own = terms(spark, sf_dir)
-    sets = own.groupBy("dictionary", "reading").agg(F.array_sort(F.collect_set("expression")).alias("own"))
-    every = own.groupBy("reading").agg(F.collect_set("expression").alias("every"))
-    return sets.join(every, "reading").select("dictionary", "reading", metadata.disambiguations(F.col("own"), F.array("reading"), F.col("every"), F.array("reading")).alias("terms"))
-
-
 @query(f"WITH {BENCHMARK_SQL} SELECT DISTINCT word, 'https://audio.example/en/' || word || '?r=' || regexp_replace(word, '[aeiou]', '', 'g') || '%20x' AS url FROM bw")
 def audio_custom_url(spark, sf_dir):
     own = benchmark_words(spark, sf_dir).select("word").distinct()
@@ -578,10 +550,9 @@ def pitch_categories(spark, sf_dir):
 @query()
 def find_terms_grouped(spark, sf_dir):
     """The whole lookup of each distinct word of the benchmark: prefixes, rewrites, hits, groups and ranks."""
-    own = terms(spark, sf_dir)
-    sources = [r[0] for r in own.select("dictionary").distinct().orderBy("dictionary").collect()]
+    own, on = _dictionaries(spark, sf_dir)
     asked = benchmark_words(spark, sf_dir).select(F.col("word").alias("text")).distinct().withColumn("query_id", F.col("text"))
-    found = lookup.find_terms(asked, _shaped(own), enabled_map(spark, sources), "en")
+    found = lookup.find_terms(asked, own, on, "en", definitions=False)
     return found.select("query_id", "rank", F.col("headwords")[0]["expression"].alias("expression"), "max_length", "score", F.size("definitions").alias("definitions"), "chain_length")
 
 

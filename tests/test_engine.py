@@ -67,7 +67,7 @@ def test_exact_prefix_suffix(spark, terms):
 def test_merge_redirect_exclude_and_frequency_order(spark, terms):
     asked = spark.createDataFrame([("q", "食べる")], "query_id string, text string")
     on = enabled_map(spark, ["A", "B"])
-    own = lookup.entries(lookup.candidates(asked, "ja"), terms, on, "ja")
+    own = lookup.entries(lookup.candidates(asked, "ja"), lookup.slim(terms, on), "ja")
     assert rows(lookup.related_by_sequence(own, terms, "B"), "id") == [(5,)]
     assert rows(lookup.related_by_headword(own.where("dictionary = 'A'"), terms), "id") == [(4,)]
     groups = lookup.grouped(own)

@@ -63,23 +63,23 @@ def test_whole_queries_leave_nothing_out(spark, tmp_path):
     by_reading = {r: sorted(x for x in terms if reading(x[1]) == r) for r in {reading(w) for _, w in terms}}
 
     expected = {(r, tuple(sorted({w for _, w in xs})), max(len(terms[x]) for x in xs), len(xs)) for r, xs in by_reading.items()}
-    assert {(r["reading"], tuple(r["expressions"]), r["score"], r["definitions"]) for r in run("group_term_whole")} == expected
+    assert {(r["reading"], tuple(r["expressions"]), r["score"], r["definitions"]) for r in run("group_term")} == expected
     expected = set()
     for r, xs in by_reading.items():
         for source in {s for s, _ in xs}:
             own, every = sorted(w for s, w in xs if s == source), {w for _, w in xs}
             expected.add((source, r, tuple(own) if every - set(own) else ()))
-    assert {(r["dictionary"], r["reading"], tuple(r["terms"])) for r in run("disambiguation_sets_whole")} == expected
+    assert {(r["dictionary"], r["reading"], tuple(r["terms"])) for r in run("disambiguation_sets")} == expected
     expected = {(f"{s}/{w}", k > 0 and xs[k - 1][0] == s and pos(xs[k - 1][1]) == pos(w)) for xs in by_reading.values() for k, (s, w) in enumerate(xs)}
-    assert {(r["id"], r["redundant"]) for r in run("redundant_tags_whole")} == expected
+    assert {(r["id"], r["redundant"]) for r in run("redundant_tags_lag")} == expected
     expected = {(w, t, s) for (s, w), n in terms.items() for t in (pos(w), tag(len(n)))}
-    assert {(r["expression"], r["tag"], s) for r in run("merge_tags_whole") for s in r["dictionaries"]} == expected
+    assert {(r["expression"], r["tag"], s) for r in run("merge_tags") for s in r["dictionaries"]} == expected
     expected = set()
     for item, t in enumerate(asked):
         hits = {x for x in terms if x[1] in words(t)}
-        same = {(len(w), w[0]) for s, w in hits if s == "src2"}
-        expected |= {(item, f"{s}/{w}", len(n)) for (s, w), n in terms.items() if s == "src2" and (len(w), w[0]) in same and (s, w) not in hits}
-    assert expected and {tuple(r) for r in run("merge_sequence_whole")} == expected
+        same = {(len(w), reading(w)) for s, w in hits if s == "src2"}
+        expected |= {(item, f"{s}/{w}", len(n)) for (s, w), n in terms.items() if s == "src2" and (len(w), reading(w)) in same and (s, w) not in hits}
+    assert expected and {tuple(r) for r in run("merge_sequence")} == expected
     found = {}
     for r in run("batch_lookup_whole"):
         found.setdefault(r["text"], []).append((r["rank"], r["expression"]))
