@@ -9,7 +9,7 @@ from itertools import product
 
 from glossaria.functions.arabic import arabic
 from glossaria.functions.korean import korean
-from glossaria.functions.rules import Condition, Rule, RuleSet, everywhere, pattern, prefix, suffix, whole
+from glossaria.functions.rules import Condition, Rule, RuleSet, everywhere, pattern, prefix, rewrite, suffix, whole
 from glossaria.functions.tagalog import tagalog
 
 
@@ -24,30 +24,56 @@ def endings(text: str, base: str, inner: str, outer: str | None = None) -> list[
 # Words that form phrasal verbs.
 PARTICLES = "aboard about above across ahead alongside apart around aside astray away back before behind below beneath besides between beyond by close down east west north south eastward westward northward southward forward backward backwards forwards home in inside instead near off on opposite out outside over overhead past round since through throughout together under underneath up within without".split()
 PREPOSITIONS = "aback about above across after against ahead along among apart around as aside at away back before behind below between beyond by down even for forth forward from in into of off on onto open out over past round through to together toward towards under up upon way with without".split()
+PHRASAL_WORDS = frozenset([*PARTICLES, *PREPOSITIONS])
+PHRASAL_LENGTHS = sorted({len(w) for w in PHRASAL_WORDS})
 # Separable prefixes of German verbs.
 SEPARABLE = "ab an auf aus auseinander bei da dabei dar daran dazwischen durch ein empor entgegen entlang entzwei fehl fern fest fort frei gegenüber gleich heim her herab heran herauf heraus herbei herein herüber herum herunter hervor hin hinab hinauf hinaus hinein hinterher hinunter hinweg hinzu hoch los mit nach nebenher nieder statt um vor voran voraus vorbei vorüber vorweg weg weiter wieder zu zurecht zurück zusammen".split()
 ACUTE = dict(zip("aeiou", "áéíóú", strict=True))
 
 
+def led_by_particle(text: str) -> bool:
+    """The text begins with a word of phrasal verbs, or with letters that are one."""
+    return any(text[:n] in PHRASAL_WORDS for n in PHRASAL_LENGTHS)
+
+
+def phrasal(rule: Rule) -> Rule:
+    """A suffix rule for the verb before a particle: looked up, look up."""
+
+    def base(text: str) -> str | None:
+        verb, _, rest = text.partition(" ")
+        fits = verb.endswith(rule.inflected) and (verb.isalnum() or "_" in verb) and led_by_particle(rest)
+        return f"{verb.removesuffix(rule.inflected)}{rule.base} {rest}" if fits else None
+
+    return rewrite(f"{rule.inflected} before a particle", base, "v", "v_phr")
+
+
+def object_between(text: str) -> str | None:
+    """What stands between a verb and its particle goes: turn it off, turn off. Words are passed until one that belongs to
+    phrasal verbs; the last one on the way that begins like a particle is taken for it."""
+    words, last = text.split(" "), None
+    for k, word in enumerate(words[1:], 1):
+        if k > 1 and any(word.startswith(p) for p in PARTICLES):
+            last = k
+        if PHRASAL_WORDS.intersection(re.findall(r"\w+", word)):
+            break
+    return " ".join([words[0], *words[last:]]) if last else None
+
+
 def english() -> RuleSet:
     doubling = "bdgklmnprstz"
-    past = [*endings("ed", "", "v"), *endings("ed", "e", "v"), *endings("ied", "y", "v"), *endings("cked", "c", "v"), *doubled(doubling, "ed", "v", "v"), *(suffix(f"{c}aid", f"{c}ay", "v", "v") for c in "lps")]
+    # Irregular past forms that compounds share.
+    irregular = {"laid": "lay", "paid": "pay", "said": "say"}
+    past = [*endings("ed", "", "v"), *endings("ed", "e", "v"), *endings("ied", "y", "v"), *endings("cked", "c", "v"), *doubled(doubling, "ed", "v", "v"), *(suffix(form, verb, "v", "v") for form, verb in irregular.items())]
     gerund = [*endings("ing", "", "v"), *endings("ing", "e", "v"), *endings("ying", "ie", "v"), *endings("cking", "c", "v"), *doubled(doubling, "ing", "v", "v")]
     third = [*endings("s es", "", "v"), *endings("ies", "y", "v")]
-    words = "|".join(dict.fromkeys([*PARTICLES, *PREPOSITIONS]))
-
-    def phrasal(rules: list[Rule]) -> list[Rule]:
-        return [pattern(rf"^(\w*?){r.inflected}(?= (?:{words}))", lambda m, base=r.base: m[1] + base, "v", "v_phr") for r in rules]
-
-    between = pattern(rf"^(\w*) (?:(?!\b(?:{words})\b).)+ (?=(?:{'|'.join(PARTICLES)}))", lambda m: m[1] + " ", "", "v_phr")
     any_ = "adj adv v"
     return RuleSet(
         "en", [Condition("v", ("v_phr",)), Condition("v_phr"), Condition("n", ("np", "ns")), Condition("np"), Condition("ns"), Condition("adj"), Condition("adv")],
         {
             "plural": [*endings("s es", "", "np", "ns"), suffix("ies", "y", "np", "ns"), suffix("ves", "fe", "np", "ns"), suffix("ves", "f", "np", "ns")],
             "possessive": [suffix("'s", "", "n", "n"), suffix("s'", "s", "n", "n")],
-            "past": [*past, *phrasal(past)], "ing": [*gerund, *phrasal(gerund)], "3rd pers. sing. pres": [*third, *phrasal(third)],
-            "interposed object": [between], "archaic": [suffix("'d", "ed", "v", "v")],
+            "past": [*past, *map(phrasal, past)], "ing": [*gerund, *map(phrasal, gerund)], "3rd pers. sing. pres": [*third, *map(phrasal, third)],
+            "interposed object": [rewrite("object", object_between, "", "v_phr")], "archaic": [suffix("'d", "ed", "v", "v")],
             "adverb": [suffix("ly", "", "adv", "adj"), suffix("ily", "y", "adv", "adj"), suffix("ly", "le", "adv", "adj")],
             "comparative": [*endings("er", "", "adj"), *endings("er", "e", "adj"), *endings("ier", "y", "adj"), *doubled("bdgmnt", "er", "adj", "adj")],
             "superlative": [*endings("est", "", "adj"), *endings("est", "e", "adj"), *endings("iest", "y", "adj"), *doubled("bdgmnt", "est", "adj", "adj")],
@@ -277,23 +303,43 @@ def ancient_greek() -> RuleSet:
 
 def albanian() -> RuleSet:
     """Definite nouns, and persons of the three conjugations; the second one doesn't follow a j."""
-    numbers = ["first-person singular", "second-person singular", "third-person singular", "first-person plural", "second-person plural", "third-person plural"]
 
     def second(ending: str) -> Rule:
         return pattern(f"([^j]){ending}$", r"\g<1>", "", "v")
 
-    # Endings by person; what follows a / belongs to the middle voice, whose base ends in -hem.
-    present = ["", "on>oj uan>uaj n>j hesh>hem", "on>oj uan>uaj n>j het>hem", "më> im> hemi>hem", "ni>j ni> heni>hem", "në> in> hen>hem"]
-    imperfect = ["ja>j ja> hesha>hem", "je>j je> heshe>hem", "nte>j te> hej>hem", "nim>j nim> heshim>hem", "nit>j nit> heshit>hem", "nin>j nin> heshin>hem"]
-    aorist = [("ova>uaj va>j", "a", ""), ("ove>uaj ve>j", "e", ""), ("oi>oj oi>uaj u>j", "i", "ye>ej"), ("uam>oj uam>uaj më>j", "ëm", ""), ("uat>oj uat>uaj të>j", "ët", ""), ("uan>oj uan>uaj në>j", "ën", "")]
-    optative = ["fsha", "fsh", "ftë", "fshim", "fshi", "fshin"]
-    v = lambda t: listed(t, "", "v")
+    # Rows of person, ending and what it stands for.
+    present = (
+        ("first-person singular", "on", "oj"), ("first-person singular", "uan", "uaj"), ("first-person singular", "n", "j"), ("first-person singular", "hesh", "hem"),
+        ("second-person singular", "on", "oj"), ("second-person singular", "uan", "uaj"), ("second-person singular", "n", "j"), ("second-person singular", "het", "hem"),
+        ("third-person singular", "më", ""), ("third-person singular", "im", ""), ("third-person singular", "hemi", "hem"), ("first-person plural", "ni", "j"), ("first-person plural", "ni", ""), ("first-person plural", "heni", "hem"),
+        ("second-person plural", "në", ""), ("second-person plural", "in", ""), ("second-person plural", "hen", "hem"),
+    )
+    imperfect = (
+        ("first-person singular", "ja", "j"), ("first-person singular", "ja", ""), ("first-person singular", "hesha", "hem"), ("second-person singular", "je", "j"), ("second-person singular", "je", ""), ("second-person singular", "heshe", "hem"),
+        ("third-person singular", "nte", "j"), ("third-person singular", "te", ""), ("third-person singular", "hej", "hem"), ("first-person plural", "nim", "j"), ("first-person plural", "nim", ""), ("first-person plural", "heshim", "hem"),
+        ("second-person plural", "nit", "j"), ("second-person plural", "nit", ""), ("second-person plural", "heshit", "hem"), ("third-person plural", "nin", "j"), ("third-person plural", "nin", ""), ("third-person plural", "heshin", "hem"),
+    )
+    # The ending of the second conjugation by person, and the others' rows before and after it.
+    aorist = {"first-person singular": "a", "second-person singular": "e", "third-person singular": "i", "first-person plural": "ëm", "second-person plural": "ët", "third-person plural": "ën"}
+    aorist_before = (
+        ("first-person singular", "ova", "uaj"), ("first-person singular", "va", "j"), ("second-person singular", "ove", "uaj"), ("second-person singular", "ve", "j"), ("third-person singular", "oi", "oj"), ("third-person singular", "oi", "uaj"), ("third-person singular", "u", "j"),
+        ("first-person plural", "uam", "oj"), ("first-person plural", "uam", "uaj"), ("first-person plural", "më", "j"), ("second-person plural", "uat", "oj"), ("second-person plural", "uat", "uaj"), ("second-person plural", "të", "j"),
+        ("third-person plural", "uan", "oj"), ("third-person plural", "uan", "uaj"), ("third-person plural", "në", "j"),
+    )
+    aorist_after = (("third-person singular", "ye", "ej"),)
+
+    def of_person(rows: tuple, person: str) -> list[Rule]:
+        return [suffix(ending, base, "", "v") for p, ending, base in rows if p == person]
+
+    optative = {"first-person singular": "fsha", "second-person singular": "fsh", "third-person singular": "ftë", "first-person plural": "fshim", "second-person plural": "fshi", "third-person plural": "fshin"}
+    definite = (("ku", "k"), ("gu", "g"), ("hu", "h"), ("au", "a"), ("iu", "i"), ("eu", "e"), ("i", "ë"), ("i", ""), ("ri", ""), ("oi", "ua"), ("a", "ë"), ("a", ""), ("ja", "e"))
+    v = lambda *pairs: [suffix(a, b, "", "v") for a, b in pairs]
     return RuleSet("sq", [Condition("v"), Condition("n", ("np", "ns")), Condition("np"), Condition("ns"), Condition("adj"), Condition("adv")], {
-        "definite": listed("ku>k gu>g hu>h au>a iu>i eu>e i>ë i> ri> oi>ua a>ë a> ja>e", "", "n"), "singular definite accusative": listed("n>", "", "n"), "plural": listed("e> t>", "np", "ns"),
-        **{f"present indicative {p}": v(t) for p, t in zip(numbers, present, strict=True) if t}, **{f"imperfect {p} indicative": v(t) for p, t in zip(numbers, imperfect, strict=True)},
-        **{f"aorist {p} indicative": [*v(a), second(b), *v(c)] for p, (a, b, c) in zip(numbers, aorist, strict=True)},
-        "imperative second-person singular present": v("o>oj hu>hem"), "imperative second-person plural present": v("ni>j ni> huni>hem"), "participle": v("uar>oj ur> rë>j yer>ej"), "mediopassive": listed("hem>h hem>j", "v", "v"),
-        **{f"optative {p} present": v(f"{e}>j") for p, e in zip(numbers, optative, strict=True)}, "nominalization": v("im>oj im>ej je>"),
+        "definite": [suffix(a, b, "", "n") for a, b in definite], "singular definite accusative": [suffix("n", "", "", "n")], "plural": [suffix("e", "", "np", "ns"), suffix("t", "", "np", "ns")],
+        **{f"present indicative {p}": of_person(present, p) for p in aorist if of_person(present, p)}, **{f"imperfect {p} indicative": of_person(imperfect, p) for p in aorist},
+        **{f"aorist {p} indicative": [*of_person(aorist_before, p), second(e), *of_person(aorist_after, p)] for p, e in aorist.items()},
+        "imperative second-person singular present": v(("o", "oj"), ("hu", "hem")), "imperative second-person plural present": v(("ni", "j"), ("ni", ""), ("huni", "hem")), "participle": v(("uar", "oj"), ("ur", ""), ("rë", "j"), ("yer", "ej")),
+        "mediopassive": [suffix("hem", "h", "v", "v"), suffix("hem", "j", "v", "v")], **{f"optative {p} present": v((e, "j")) for p, e in optative.items()}, "nominalization": v(("im", "oj"), ("im", "ej"), ("je", "")),
     })
 
 

@@ -18,9 +18,9 @@ MAX_DEPTH = 16
 
 
 class Rule(NamedTuple):
-    kind: str  # suffix, prefix, whole, around (both ends), pattern (its first match) or everywhere (all matches)
-    inflected: str  # the affix, word or regular expression; of both ends, a prefix and a suffix with `BETWEEN`
-    base: str | Callable[[re.Match], str]
+    kind: str  # suffix, prefix, whole, around (both ends), pattern (its first match), everywhere (all matches) or rewrite
+    inflected: str  # the affix, word or regular expression; of both ends, a prefix and a suffix with `BETWEEN`; else a name
+    base: str | Callable  # what stands there instead; of a match; of a rewrite, the function of a text that gives it or None
     inner: tuple[str, ...] = ()
     outer: tuple[str, ...] = ()
     stem: str = ""  # of both ends: what stands between must be met by this as a whole, and becomes
@@ -56,6 +56,10 @@ def around(before: str, after: str, base_before: str, base_after: str, inner: st
     return Rule("around", before + BETWEEN + after, base_before + BETWEEN + base_after, tuple(inner.split()), tuple(outer.split()), stem, stem_base)
 
 
+def rewrite(name: str, base: Callable[[str], str | None], inner: str = "", outer: str = "") -> Rule:
+    return Rule("rewrite", name, base, tuple(inner.split()), tuple(outer.split()))
+
+
 class Condition(NamedTuple):
     name: str
     members: tuple[str, ...] = ()
@@ -77,16 +81,19 @@ class RuleSet:
     _affixes: dict = field(init=False, repr=False)
     _around: dict = field(init=False, repr=False)
     _patterns: list = field(init=False, repr=False)
+    _rewrites: list = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         self.flags = self._allocate()
-        self._affixes, self._around, self._patterns = {}, {}, []
+        self._affixes, self._around, self._patterns, self._rewrites = {}, {}, [], []
         place = 0
         for name, rules in self.transforms.items():
             for number, rule in enumerate(rules):
                 entry = (place, name, number, rule, self.flags_of(rule.inner, strict=True), self.flags_of(rule.outer, strict=True))
                 place += 1
-                if rule.kind in ("pattern", "everywhere"):
+                if rule.kind == "rewrite":
+                    self._rewrites.append(entry)
+                elif rule.kind in ("pattern", "everywhere"):
                     self._patterns.append((*entry, re.compile(rule.inflected, re.ASCII)))
                 elif rule.kind == "around":
                     before, after = rule.inflected.split(BETWEEN)
@@ -145,6 +152,7 @@ class RuleSet:
         for *entry, compiled in self._patterns:
             if compiled.search(text):
                 found.append((tuple(entry), compiled.sub(entry[3].base, text, count=entry[3].kind == "pattern")))
+        found += ((entry, made) for entry in self._rewrites for made in [entry[3].base(text)] if made is not None)
         yield from sorted(found, key=lambda x: x[0][0])
 
     @staticmethod

@@ -103,6 +103,12 @@ def test_korean_lookup(spark):
     assert {(r["query_id"], d["id"]) for r in found for d in r["definitions"] if r["max_length"] > 2} == {("1", 1), ("2", 2)}
 
 
+def test_phrasal_verbs():
+    assert {"look up"} <= bases("en", "looked up") and "look up" not in bases("en", "looked upon us") - {"look up"}
+    assert "turn off" in bases("en", "turn it off") and "turn off" in bases("en", "turning the old light off") and "put up with" not in bases("en", "put up it with")
+    assert "take upset" in bases("en", "take it upset") and bases("en", "turn it") == {"turn it"}
+
+
 def test_every_rule_set_compiles():
     for language in MAKERS:
         assert rule_set(language).transforms
@@ -157,6 +163,10 @@ def brute_closure(rules, word, most):
                     new = r.base + text[len(r.inflected) :]
                 elif r.kind == "whole" and text == r.inflected:
                     new = r.base
+                elif r.kind == "rewrite":
+                    new = r.base(text)
+                    if new is None:
+                        continue
                 elif r.kind == "around":
                     (a, b), (c, d) = r.inflected.split(BETWEEN), r.base.split(BETWEEN)
                     middle = text[len(a) : len(text) - len(b)]
