@@ -219,7 +219,8 @@ class FingerprintIndex:
         name = line["name"]
         if name not in self.tables:  # made by another job: its files keep their buckets
             self.tables[name] = f"{name.replace('-', '_')}_{uuid.uuid4().hex[:8]}"
-            self.spark.sql(f"CREATE TABLE {self.tables[name]} ({HISTORY}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {line['buckets']} BUCKETS LOCATION '{self.root}/{name}'")
+            place = f"{self.root}/{name}".replace("\\", "\\\\").replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE {self.tables[name]} ({HISTORY}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {line['buckets']} BUCKETS LOCATION '{place}'")
         return self.spark.table(self.tables[name])
 
     def _part(self, kind: str, rows: DataFrame, *names: str) -> str:
@@ -341,8 +342,9 @@ def in_batches(docs: DataFrame, n: int, id_col: str = "doc_id") -> list[DataFram
     return parts
 
 
-def deduplicate(docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows of `docs` as if they came in batches: doc_id, n_words, n_removed, digest or kept.
+def deduplicate(docs: DataFrame, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows of `docs` as if they came in batches: doc_id, n_words, n_removed, digest or kept. Of three batches the last
+    one meets a run that the first two were merged into.
 
     Later copies of a whole text lose all of it (if it has a window), and nothing starts first in them, so only their
     first text goes into the index.
