@@ -94,7 +94,7 @@ def prefix_enumeration(spark, sf_dir):
 
 def _affix_closure_sql(language: str, source: str, depth: int = 3) -> str:
     rules = rule_set(language)
-    rows = [(r, rules.flags_of(r.inner), rules.flags_of(r.outer)) for rs in rules.transforms.values() for r in rs if r.kind not in ("pattern", "everywhere")]
+    rows = [(r, rules.flags_of(r.inner), rules.flags_of(r.outer)) for rs in rules.transforms.values() for r in rs if r.kind in ("suffix", "prefix", "whole")]
     quote = lambda s: s.replace("'", "''")
     values = ", ".join(f"('{r.kind}', '{quote(r.inflected)}', '{quote(r.base)}', {i}, {o})" for r, i, o in rows)
     return f"""WITH RECURSIVE {source}, rules(kind, inflected, base, i, o) AS (VALUES {values}),
