@@ -106,7 +106,9 @@ def rule_flags(rules: Column, language: str) -> Column:
 
 
 def is_redirect(definition: Column) -> Column:
-    return definition.rlike(r"^\s*\[")
+    """A JSON array of a text and a list; a text that only begins with a bracket isn't one."""
+    named = (F.json_array_length(definition) == 2) & F.get_json_object(definition, "$[1]").startswith("[")
+    return definition.startswith("[") & F.coalesce(named, F.lit(False))
 
 
 def slim(terms: DataFrame, enabled: DataFrame) -> DataFrame:

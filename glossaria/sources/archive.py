@@ -1,19 +1,17 @@
-"""Dictionary archives: zip files of JSON banks, read by Spark and turned into typed tables.
+"""Dictionary archives: zip files of JSON banks, whose rows are turned into typed tables.
 
-Files are read as binary records; each bank is unpacked in a task and its rows are positional JSON arrays, projected by
-place. All banks are checked before anything is returned.
+Rows come from `archive_source`, a bank a task, as positional JSON arrays that are projected by place. All banks are
+checked before anything is returned.
 """
 
 from __future__ import annotations
 
 import io
 import json
-import re
 import zipfile
-from collections.abc import Iterator
+from urllib.parse import urlsplit
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from glossaria.functions.columns import reversed_text, split_field
 
@@ -22,8 +20,12 @@ BANKS = {"term": r"^term_bank_(\d+)\.json$", "term_meta": r"^term_meta_bank_(\d+
 ROW_SIZES = {"term": 8, "term_meta": 3, "kanji": 6, "kanji_meta": 3, "tag": 5}
 MODES = {"term_meta": ("freq", "pitch", "ipa"), "kanji_meta": ("freq",)}
 # Media types by file name extension.
-MEDIA_TYPES = {"apng": "image/apng", "avif": "image/avif", "bmp": "image/bmp", "gif": "image/gif", "ico": "image/x-icon", "jpeg": "image/jpeg", "jpg": "image/jpeg", "png": "image/png", "svg": "image/svg+xml", "tif": "image/tiff", "tiff": "image/tiff", "webp": "image/webp"}
-
+MEDIA_TYPES = {"apng": "image/apng", "avif": "image/avif", "bmp": "image/bmp", "gif": "image/gif", "ico": "image/x-icon", "cur": "image/x-icon", **dict.fromkeys("jpg jpeg jfif pjpeg pjp".split(), "image/jpeg"), "png": "image/png", "svg": "image/svg+xml", "tif": "image/tiff", "tiff": "image/tiff", "webp": "image/webp"}
+# File name extensions of audio by media type.
+AUDIO_EXTENSIONS = {
+    **dict.fromkeys(("audio/mpeg", "audio/mp3"), ".mp3"), **dict.fromkeys(("audio/ogg", "audio/vorbis", "application/ogg"), ".ogg"), "audio/aac": ".aac", "audio/mp4": ".mp4", "audio/flac": ".flac", "audio/webm": ".webm",
+    **dict.fromkeys(("audio/vnd.wav", "audio/wave", "audio/wav", "audio/x-wav", "audio/x-pn-wav"), ".wav"),
+}
 
 #: Of rows of version 1, whose last values are the definitions or meanings.
 LEAST_SIZES = {"term": 5, "kanji": 4}
@@ -40,32 +42,30 @@ class ArchiveError(ValueError):
 
 
 def read_index(data: bytes) -> dict:
-    """An archive's index; `format` goes before `version`."""
+    """The index of an archive that is held as bytes."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()
-        if "index.json" not in names:
-            nested = [n for n in names if n.endswith("/index.json")]
-            raise ArchiveError("No dictionary index found in archive" + (f"; redundant directory {nested[0].rpartition('/')[0]}" if nested else ""))
-        index = json.loads(z.read("index.json"))
+        return index_of(z)
+
+
+def index_of(z: zipfile.ZipFile) -> dict:
+    """An archive's index; `format` goes before `version`. Dictionaries that can be updated say where from."""
+    names = z.namelist()
+    if "index.json" not in names:
+        nested = [n for n in names if n.endswith("/index.json")]
+        raise ArchiveError("No dictionary index found in archive" + (f"; redundant directory {nested[0].rpartition('/')[0]}" if nested else ""))
+    index = json.loads(z.read("index.json"))
     version = index.get("format", index.get("version"))
     if not isinstance(index.get("title"), str) or not isinstance(index.get("revision"), str) or version not in (1, 2, 3):
         raise ArchiveError("Invalid dictionary index: title, revision and format 1 to 3 are needed")
     if index.get("frequencyMode", "rank-based") not in ("occurrence-based", "rank-based"):
         raise ArchiveError(f"Invalid frequency mode {index['frequencyMode']}")
+    if isinstance(index.get("isUpdatable"), bool):
+        places = [urlsplit(u) if isinstance(u := index.get(name), str) else None for name in ("indexUrl", "downloadUrl")]
+        if not index["isUpdatable"] or not all(p and p.scheme in ("http", "https") and p.netloc for p in places):
+            raise ArchiveError("Invalid index data for updatable dictionary")
     return index | {"version": version}
 
 
-def indexes(archives: DataFrame) -> DataFrame:
-    """index (JSON) of archives; only this leaves the tasks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [json.dumps(read_index(data), ensure_ascii=False) for data in batch.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["index"])
-
-    return archives.select("content").mapInArrow(run, "index string")
-
-
 def old_index_tags(index: dict) -> list[tuple]:
     """Tags that an old index holds itself: name, category, order, notes, score."""
     found = index.get("tagMeta")
@@ -73,27 +73,6 @@ def old_index_tags(index: dict) -> list[tuple]:
     return [(name, *known(v)) for name, v in found.items()] if isinstance(found, dict) else []
 
 
-def bank_rows(archives: DataFrame) -> DataFrame:
-    """dictionary, version, bank, file_no, row_no, row (JSON) of archives (path, content)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["dictionary", "version", "bank", "file_no", "row_no", "row"]
-        for batch in batches:
-            for data in batch.column("content").to_pylist():
-                index = read_index(data)
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for name in z.namelist():
-                        bank, found = next(((b, m) for b, p in BANKS.items() if (m := re.match(p, name))), (None, None))
-                        if bank:
-                            rows = json.loads(z.read(name))
-                            n = len(rows)
-                            columns = [[index["title"]] * n, [index["version"]] * n, [bank] * n, [int(found[1])] * n, list(range(n)), [json.dumps(r, ensure_ascii=False) for r in rows]]
-                            types = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    return archives.select("content").mapInArrow(run, ROW)
-
-
 def invalid_rows(rows: DataFrame) -> DataFrame:
     """Rows that a bank may not have, with the reason."""
     size = F.json_array_length("row")
@@ -162,32 +141,3 @@ def kanji_meta(rows: DataFrame) -> DataFrame:
 def tag_meta(rows: DataFrame) -> DataFrame:
     own = rows.where(F.col("bank") == "tag")
     return own.select(_id().alias("tag_id"), "dictionary", _at(0).alias("name"), _at(1).alias("category"), _at(2).cast("double").alias("order"), _at(3).alias("notes"), _at(4).cast("double").alias("score"))
-
-
-def media(archives: DataFrame, paths: DataFrame) -> DataFrame:
-    """dictionary, path, media_type, content of the files that definitions name."""
-    suffixes = tuple(MEDIA_TYPES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("content").to_pylist():
-                title = read_index(data)["title"]
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    found = [n for n in z.namelist() if n.lower().endswith(suffixes)]
-                    for name in found:
-                        row = ([title], [name], [MEDIA_TYPES[name.rpartition(".")[2].lower()]], [z.read(name)])
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)], names=["dictionary", "path", "media_type", "content"])
-
-    files = archives.select("content").mapInArrow(run, "dictionary string, path string, media_type string, content binary")
-    return files.join(paths.select("dictionary", "path").distinct(), ["dictionary", "path"], "left_semi")
-
-
-def image_paths(term_rows: DataFrame) -> DataFrame:
-    """dictionary, path of images in definitions, however deep."""
-    paths = F.regexp_extract_all(F.array_join("definitions", " "), F.lit(r'"path"\s*:\s*"([^"]+)"'), F.lit(1))
-    return term_rows.select("dictionary", F.explode(paths).alias("path")).distinct()
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """path, content of zip files."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
