@@ -15,6 +15,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from glossaria.functions.kana import alphabetic_to_kana, to_hiragana, to_katakana
 from glossaria.functions.korean import letters_of, syllables_of
 
 
@@ -49,10 +50,6 @@ def _within(ranges: str, form: str) -> Callable[[str], str]:
     return lambda text: re.sub(f"[{ranges}]+", lambda m: unicodedata.normalize(form, m[0]), text)
 
 
-def _shifted(low: int, high: int, by: int) -> Callable[[str], str]:
-    return lambda text: "".join(chr(ord(c) + by) if low <= ord(c) <= high else c for c in text)
-
-
 def _wide(text: str) -> str:
     return re.sub("[0-9A-Za-z]", lambda m: chr(ord(m[0]) + 0xFEE0), text)
 
@@ -61,45 +58,6 @@ def _narrow(text: str) -> str:
     return re.sub("[０-９Ａ-Ｚａ-ｚ]", lambda m: chr(ord(m[0]) - 0xFEE0), text)
 
 
-# Rows of the kana table in romaji; y-rows and the irregular spellings follow.
-ROWS = {"": "あいうえお", "k": "かきくけこ", "s": "さしすせそ", "t": "たちつてと", "n": "なにぬねの", "h": "はひふへほ", "m": "まみむめも", "r": "らりるれろ", "g": "がぎぐげご", "z": "ざじずぜぞ", "d": "だぢづでど", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ"}
-ODD = {"ya": "や", "yu": "ゆ", "yo": "よ", "wa": "わ", "wo": "を", "shi": "し", "chi": "ち", "tsu": "つ", "fu": "ふ", "ji": "じ", "sha": "しゃ", "shu": "しゅ", "sho": "しょ", "cha": "ちゃ", "chu": "ちゅ", "cho": "ちょ", "ja": "じゃ", "ju": "じゅ", "jo": "じょ"}
-
-
-def _romaji() -> dict[str, str]:
-    table = {c + v: kana for c, row in ROWS.items() for v, kana in zip("aiueo", row, strict=True)}
-    table |= {f"{c}y{v}": ROWS[c][1] + small for c in ROWS if c for v, small in zip("auo", "ゃゅょ", strict=True)}
-    return table | ODD
-
-
-ROMAJI = _romaji()
-_LONGEST = sorted(ROMAJI, key=len, reverse=True)
-
-
-def romaji_to_hiragana(text: str) -> str:
-    """Latin runs as hiragana; letters that spell nothing stay."""
-
-    def one(match: re.Match) -> str:
-        run, out, k = match[0].lower(), [], 0
-        while k < len(run):
-            spelled = next((r for r in _LONGEST if run.startswith(r, k)), None)
-            if spelled:
-                out.append(ROMAJI[spelled])
-                k += len(spelled)
-            elif run[k] == "n" and (k + 1 == len(run) or run[k + 1] not in "aiueoy"):
-                out.append("ん")
-                k += 2 if run[k + 1 : k + 2] == "'" else 1
-            elif run[k + 1 : k + 2] == run[k] and run[k] not in "aiueon":
-                out.append("っ")
-                k += 1
-            else:
-                out.append(run[k])
-                k += 1
-        return "".join(out)
-
-    return re.sub("[A-Za-z][A-Za-z']*", one, text)
-
-
 # Marks that stretch what is before them.
 EMPHATIC = "っッー"
 
@@ -158,8 +116,8 @@ YIDDISH_LIGATURES = (("\u05f0", "\u05d5\u05d5"), ("\u05f1", "\u05d5\u05d9"), ("\
 #: Processors of each language, in order.
 LANGUAGES: dict[str, tuple[Processor, ...]] = {
     "ja": (
-        Processor("convertHalfWidthCharacters", (_within("･-ﾟ", "NFKC"),)), Processor("alphabeticToHiragana", (romaji_to_hiragana,)), Processor("alphanumericWidthVariants", (_wide, _narrow)),
-        Processor("convertHiraganaToKatakana", (_shifted(0x3041, 0x3096, 0x60), _shifted(0x30A1, 0x30F6, -0x60))), Processor("collapseEmphaticSequences", (_collapse(False), _collapse(True))),
+        Processor("convertHalfWidthCharacters", (_within("･-ﾟ", "NFKC"),)), Processor("alphabeticToHiragana", (alphabetic_to_kana,)), Processor("alphanumericWidthVariants", (_wide, _narrow)),
+        Processor("convertHiraganaToKatakana", (to_katakana, to_hiragana)), Processor("collapseEmphaticSequences", (_collapse(False), _collapse(True))),
         Processor("normalizeCombiningCharacters", (lambda t: re.sub(".[゙゚]", lambda m: unicodedata.normalize("NFC", m[0]), t),)), Processor("normalizeCJKCompatibilityCharacters", (_within("㌀-㏿", "NFKD"),)), RADICALS,
     ),
     "zh": (*CASE, RADICALS), "yue": (*CASE, RADICALS), "en": CASE, "es": CASE, "it": (*CASE, DIACRITICS), "pt": CASE, "eo": CASE, "ga": CASE, "sq": CASE, "nl": CASE, "pl": CASE, "tr": CASE, "fi": CASE, "hu": CASE,

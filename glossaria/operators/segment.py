@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import groupby
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from glossaria.functions.columns import JAPANESE
+from glossaria.functions.kana import to_hiragana
 from glossaria.operators.lookup import find_terms
 
 SCAN_LENGTH = 20
@@ -57,8 +59,9 @@ def chained(lines: DataFrame, matches: DataFrame, by: tuple[str, ...]) -> DataFr
     return each.select(*by, "seg_no", F.col("seg.pos").alias("pos"), F.substring(F.col("line"), F.col("seg.pos") + 1, F.col("seg.size")).alias("text"), F.col("seg.matched").alias("matched"))
 
 
-def parse(texts: DataFrame, terms: DataFrame, enabled: DataFrame, language: str, scan_length: int = SCAN_LENGTH, **options) -> DataFrame:
-    """text_id, line_no, seg_no, text, matched, reading, headwords of each line of (text_id, text).
+def parse(texts: DataFrame, terms: DataFrame, enabled: DataFrame, language: str, scan_length: int = SCAN_LENGTH, parts: bool = False, **options) -> DataFrame:
+    """text_id, line_no, seg_no, text, matched, reading, headwords of each line of (text_id, text); with `parts` also the
+    parts of each segment with the reading that is theirs in this inflected form.
 
     What a place's window finds in the dictionaries, rewritten forms too, is one segment: as much of the window as the
     longest hit took, with the best entry's reading and the headwords met by just that text, best first. Distinct windows
@@ -71,14 +74,15 @@ def parse(texts: DataFrame, terms: DataFrame, enabled: DataFrame, language: str,
     found = find_terms(asked, terms, enabled, language, "simple", definitions=False, **options)
     heads = F.transform("headwords", lambda h: F.struct("rank", h["expression"].alias("expression"), h["reading"].alias("reading"), F.transform(h["sources"], lambda x: x["original_text"]).alias("texts")))
     best = found.select("query_id", "max_length", "rank", heads.alias("heads")).groupBy(F.col("query_id").alias("window")).agg(
-        F.max("max_length").alias("size"), F.flatten(F.array_sort(F.collect_list("heads"))).alias("heads"), F.min_by(F.col("heads")[0]["reading"], "rank").alias("reading"),
+        F.max("max_length").alias("size"), F.flatten(F.array_sort(F.collect_list("heads"))).alias("heads"), F.min_by(F.col("heads")[0]["reading"], "rank").alias("reading"), F.min_by(F.col("heads")[0]["expression"], "rank").alias("term"),
     )
     met = F.filter("heads", lambda h: F.array_contains(h["texts"], F.left("window", F.col("size"))))
-    best = best.select("window", "size", "reading", F.transform(met, lambda h: F.struct(h["expression"].alias("expression"), h["reading"].alias("reading"))).alias("headwords"))
-    matches = seen.join(best, "window").select(*by, "pos", "size", "reading", "headwords")
-    parts = chained(lines, matches, by).join(matches.drop("size"), [*by, "pos"], "left")
+    best = best.select("window", "size", "reading", "term", F.transform(met, lambda h: F.struct(h["expression"].alias("expression"), h["reading"].alias("reading"))).alias("headwords"))
+    matches = seen.join(best, "window").select(*by, "pos", "size", "reading", "headwords", "term")
+    segments_ = chained(lines, matches, by).join(matches.drop("size"), [*by, "pos"], "left")
     own = lambda c: F.when(F.col("matched"), F.col(c))
-    return parts.select(*by, "seg_no", "pos", "text", "matched", F.coalesce(own("reading"), F.lit("")).alias("reading"), own("headwords").alias("headwords"))
+    out = segments_.select(*by, "seg_no", "pos", "text", "matched", F.coalesce(own("reading"), F.lit("")).alias("reading"), own("headwords").alias("headwords"), own("term").alias("term"))
+    return with_inflected_furigana(out).drop("term") if parts else out.drop("term")
 
 
 def parse_text(texts: DataFrame, dictionary: DataFrame, scan_length: int = SCAN_LENGTH) -> DataFrame:
@@ -87,23 +91,23 @@ def parse_text(texts: DataFrame, dictionary: DataFrame, scan_length: int = SCAN_
     return segments(lines, dictionary, scan_length, ("text_id", "line_no")).drop("pos")
 
 
-# Rows of small and long kana conversions.
-HIRAGANA_FROM_KATAKANA = {k: k - 0x60 for k in range(0x30A1, 0x30F7)}
-KANA_LETTERS = "぀-ヿ"
-
-
-def to_hiragana(text: str) -> str:
-    return text.translate(HIRAGANA_FROM_KATAKANA)
-
-
-def to_katakana(text: str) -> str:
-    return text.translate({v: k for k, v in HIRAGANA_FROM_KATAKANA.items()})
+KANA_LETTERS = "\u3040-\u30ff"
 
 
 def without_diacritics(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not "̀" <= c <= "ͯ")
 
 
+def kana_parts(text: str, reading: str) -> list[tuple[str, str]]:
+    """Runs of kana that are read as they stand, and runs that the reading spells in the other kana."""
+    runs = [(same, [x for x, _ in pairs]) for same, pairs in ((k, list(g)) for k, g in groupby(zip(text, reading, strict=True), lambda p: p[0] == p[1]))]
+    out, at = [], 0
+    for same, letters in runs:
+        out.append(("".join(letters), "" if same else reading[at : at + len(letters)]))
+        at += len(letters)
+    return out
+
+
 def furigana(term: str, reading: str) -> list[dict[str, str]]:
     """Parts of a term with their readings; kana read as themselves. A term that can be split in several ways, or in
     none, is one part."""
@@ -121,8 +125,7 @@ def furigana(term: str, reading: str) -> list[dict[str, str]]:
             own = to_hiragana(groups[k])
             if not plain.startswith(own, at):
                 return []
-            shown = reading[at : at + len(own)]
-            return [[(groups[k], "" if shown == groups[k] else shown), *rest] for rest in split(k + 1, at + len(own))[:2]]
+            return [[*kana_parts(groups[k], reading[at : at + len(own)]), *rest] for rest in split(k + 1, at + len(own))[:2]]
         ways = []
         for end in range(len(reading), at + len(groups[k]) - 1, -1):
             ways += [[(groups[k], reading[at:end]), *rest] for rest in split(k + 1, end)]
@@ -173,6 +176,14 @@ def with_furigana(rows: DataFrame, term: str = "expression", reading: str = "rea
     return rows.join(pairs, [term, reading], "left")
 
 
+def with_inflected_furigana(rows: DataFrame, term: str = "term", reading: str = "reading", source: str = "text") -> DataFrame:
+    """Adds `parts`: of a form (source) of a term; distinct ones are annotated once. A row without a term is one part."""
+    annotate = F.udf(furigana_inflected, PARTS, useArrow=True)
+    forms = rows.select(term, reading, source).where(F.col(term).isNotNull()).distinct().withColumn("parts", annotate(term, reading, source))
+    alone = F.array(F.struct(F.col(source).alias("text"), F.lit("").alias("reading")))
+    return rows.join(forms, [term, reading, source], "left").withColumn("parts", F.coalesce("parts", alone))
+
+
 def diacritics_removed(rows: DataFrame, column: str, into: str) -> DataFrame:
     """NFD without combining marks U+0300 to U+036F; distinct texts once."""
     strip = F.udf(without_diacritics, T.StringType(), useArrow=True)
