@@ -24,10 +24,11 @@ def part_of_speech(word: Column) -> Column:
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dictionary, id, expression, reading, rules, score, freq, sequence and tags; ids are texts. Terms of equal length and
-    reading share a sequence."""
+    reading share a sequence. The
+    reading is the word without vowels; y is a vowel in every other dictionary, so a word may have two readings."""
     tokens = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("dictionary"), F.explode(words()).alias("expression"))
     counted = tokens.groupBy("dictionary", "expression").agg(F.countDistinct("doc_id").alias("score"), F.count("*").alias("freq"))
-    bare = F.regexp_replace("expression", "[aeiou]", "")
+    bare = F.when(F.col("dictionary").rlike("[13579]$"), F.regexp_replace("expression", "[aeiouy]", "")).otherwise(F.regexp_replace("expression", "[aeiou]", ""))
     reading = F.when(F.length(bare) > 0, bare).otherwise(F.col("expression"))
     sequence = F.conv(F.substring(F.md5(F.concat_ws(" ", F.length("expression"), reading)), 1, 8), 16, 10).cast("long")
     tag = F.when(F.col("score") >= 5, "common").when(F.col("score") == 1, "rare").otherwise("usual")
@@ -39,11 +40,12 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TERMS_SQL = """
 tokens AS (SELECT doc_id, source AS dictionary, unnest(regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z]', ' ', 'g')), '[a-z]+')) AS expression FROM documents),
-counted AS (SELECT dictionary, expression, count(DISTINCT doc_id) AS score, count(*) AS freq FROM tokens GROUP BY ALL),
+counted0 AS (SELECT dictionary, expression, count(DISTINCT doc_id) AS score, count(*) AS freq FROM tokens GROUP BY ALL),
+counted AS (SELECT *, coalesce(nullif(CASE WHEN regexp_matches(dictionary, '[13579]$') THEN regexp_replace(expression, '[aeiouy]', '', 'g') ELSE regexp_replace(expression, '[aeiou]', '', 'g') END, ''), expression) AS reading FROM counted0),
 terms AS (SELECT dictionary, dictionary || '/' || expression AS id, expression,
-  CASE WHEN regexp_replace(expression, '[aeiou]', '', 'g') <> '' THEN regexp_replace(expression, '[aeiou]', '', 'g') ELSE expression END AS reading,
+  reading,
   CASE WHEN ends_with(expression, 'ed') OR ends_with(expression, 'ing') THEN 'v' WHEN ends_with(expression, 's') THEN 'np' WHEN ends_with(expression, 'ly') THEN 'adv' ELSE 'n' END AS pos,
-  score, freq, ('0x' || left(md5(length(expression) || ' ' || CASE WHEN regexp_replace(expression, '[aeiou]', '', 'g') <> '' THEN regexp_replace(expression, '[aeiou]', '', 'g') ELSE expression END), 8))::BIGINT AS sequence,
+  score, freq, ('0x' || left(md5(length(expression) || ' ' || reading), 8))::BIGINT AS sequence,
   CASE WHEN score >= 5 THEN 'common' WHEN score = 1 THEN 'rare' ELSE 'usual' END AS tag FROM counted)
 """
 

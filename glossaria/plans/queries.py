@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from glossaria.functions import columns as C
 from glossaria.functions.processors import text_variants
 from glossaria.functions.rule_sets import rule_set
-from glossaria.operators import lookup, metadata, segment
+from glossaria.operators import glossary, lookup, metadata, segment
 from glossaria.operators.kanji import find_kanji
 from glossaria.operators.deinflect import closure_of, one_step, suffix_rules
 from glossaria.plans.derived import BENCHMARK_SQL, TAGS, TAGS_SQL, TERMS_SQL, benchmark_words, table, terms, words
@@ -355,6 +355,7 @@ BENCHMARK_TEXTS = f"WITH {BENCHMARK_SQL} SELECT DISTINCT word FROM bw"
 SAID = "SELECT DISTINCT unnest(regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z]', ' ', 'g')), '[a-z]+')) AS word FROM conversations"
 HEADWORD_SQL = """g AS (SELECT query_id, expression, reading, max(score) AS score, min(idx) AS dictionary_index, max(length(base)) AS max_length, max(1 - k) AS exact, count(*) AS definitions FROM rows GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY max_length DESC, exact DESC, dictionary_index, score DESC, length(expression) DESC, expression, definitions DESC) AS rank FROM g)"""
+TERM_SQL = HEADWORD_SQL.replace("SELECT query_id, expression, reading, max(score)", "SELECT query_id, expression, max(score)").replace("max(1 - k) AS exact", "count(DISTINCT reading) FILTER (k = 0) AS exact")
 SHOWN = ("query_id", "rank", "expression", "max_length", "exact", "dictionary_index", "score", "definitions")
 
 
@@ -382,9 +383,9 @@ def find_terms_group(spark, sf_dir):
     return _found(spark, sf_dir, _asked(spark, sf_dir), "group").select(*SHOWN)
 
 
-@query(f"WITH {_entries_sql(BENCHMARK_TEXTS)}, {HEADWORD_SQL} SELECT {', '.join(SHOWN)} FROM ranked")
+@query(f"WITH {_entries_sql(BENCHMARK_TEXTS)}, {TERM_SQL} SELECT {', '.join(SHOWN)} FROM ranked")
 def find_terms_term(spark, sf_dir):
-    """Grouped by term: here a term has one reading."""
+    """Grouped by term, whatever its reading."""
     return _found(spark, sf_dir, _asked(spark, sf_dir), "term").select(*SHOWN)
 
 
@@ -415,9 +416,35 @@ def find_terms_merge(spark, sf_dir):
 @query(f"""WITH {_entries_sql(SAID)}, {HEADWORD_SQL} SELECT word AS text, rank, expression, max_length, exact, score, definitions FROM q LEFT JOIN ranked ON query_id = word""")
 def batch_lookup_distinct(spark, sf_dir):
     """Every distinct word of the conversations, once; words without a hit stay."""
+    own, on = _dictionaries(spark, sf_dir)
     said = table(spark, sf_dir, "conversations").select(F.explode(words()).alias("text")).distinct()
-    found = _found(spark, sf_dir, said, "group").withColumnRenamed("query_id", "text")
-    return said.join(found, "text", "left").select("text", "rank", "expression", "max_length", "exact", "score", "definitions")
+    found = lookup.batch_lookup(said, own, on, language="pt", definitions=False)
+    return found.select("text", "rank", F.col("headwords")[0]["expression"].alias("expression"), "max_length", "exact", "score", F.size("definitions").alias("definitions"))
+
+
+def _structured(spark, sf_dir) -> DataFrame:
+    """Each document as a definition: a list of its lines, with a reading over each and an image after it."""
+    node = lambda tag, **more: F.struct(F.lit(tag).alias("tag"), *(v.alias(k) for k, v in more.items()))
+    said = lambda line: F.struct(F.lit("span").alias("tag"), line.alias("content"), F.lit(None).cast("string").alias("path"))
+    read = F.struct(F.lit("rt").alias("tag"), F.lit("read so").alias("content"), F.lit(None).cast("string").alias("path"))
+    shown = lambda line: F.struct(F.lit("img").alias("tag"), F.lit("unsaid").alias("content"), F.concat(F.length(line).cast("string"), F.lit(".png")).alias("path"))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: node("li", content=node("ruby", content=F.array(said(line), read, shown(line)))))
+    tree = F.to_json(F.struct(F.lit("structured-content").alias("type"), F.array(node("ul", content=lines)).alias("content")))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("dictionary"), F.col("doc_id").alias("id"), F.array(tree).alias("definitions"))
+
+
+@query(r"""WITH t AS (SELECT source AS dictionary, doc_id AS id, coalesce(text, '') || chr(10) || chr(10) AS t FROM documents),
+a AS (SELECT dictionary, id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]{2,}', ' ', 'g') AS t FROM t)
+SELECT dictionary, id, regexp_replace(t, '^[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '', 'g') AS text FROM a""")
+def glossary_plain(spark, sf_dir):
+    """Structured content as text: lists, readings over words and images, taken apart level by level."""
+    return glossary.plain_definitions(_structured(spark, sf_dir)).select("dictionary", "id", "text")
+
+
+@query("SELECT source AS dictionary, length(line) || '.png' AS path, count(*) AS n FROM (SELECT source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY ALL")
+def glossary_images(spark, sf_dir):
+    """Images that definitions need, however deep they lie."""
+    return glossary.image_requirements(_structured(spark, sf_dir)).groupBy("dictionary", "path").agg(F.count("*").alias("n"))
 
 
 @query()
