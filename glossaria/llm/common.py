@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -41,15 +43,39 @@ def settle(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared scratch folder and read it back: lineage ends there."""
+def cut(df: DataFrame, outer: bool = False) -> DataFrame:
+    """Write `df` to the shared scratch folder and read it back: lineage ends there. With `outer` it outlives the innermost
+    `passing`."""
     spark = df.sparkSession
     settle(spark)
     path = f"{scratch_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for held in _passing[-2:-1] if outer else _passing[-1:]:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that `cut` wrote within each `passing` that is open.
+_passing: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is cut within is deleted at the end: for steps whose results are written elsewhere by then."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            remove(spark, path)
+
+
 def bucketed(df: DataFrame, *key: str) -> DataFrame:
     """Write `df` as a table in buckets of `key`: what groups or joins by these columns afterwards needs no shuffle."""
     spark = df.sparkSession

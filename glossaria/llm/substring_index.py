@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glossaria.llm import bloom
-from glossaria.llm.common import ROW, cut, exact_copies, left_after, numbered, scratch_root, small_batches, text_or_empty
+from glossaria.llm.common import ROW, cut, exact_copies, left_after, numbered, passing, scratch_root, small_batches, text_or_empty
 from glossaria.llm.hashing import Words, anchored_runs, chunks, prefix_sums, span_hashes
 
 WINDOW, GRAM = 20, 6
@@ -40,6 +40,7 @@ AT_ONCE = 1_000_000  # bytes of text hashed together
 SPACES = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
 RUN = "batch int, rid long, doc_id long, anchor long, digest binary, n int, start int"
 HISTORY = "anchor long, n long, batch int, rid long"
+TOLD = "rid long, doc_id long, n_words long, n_removed long, digest string, kept string"
 
 
 def _bytes_of(column: pa.Array) -> list[bytes]:
@@ -278,10 +279,16 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """rid, doc_id, n_words, n_removed, digest or kept (text) of the batch's documents; the other one is null."""
-        spark, k = self.spark, self.batches
         if len(self._names("run")) >= self.most_runs:
             self.compact()
         docs = numbered(docs).select(F.col(ROW).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+        with passing(self.spark):
+            name = self._added(docs)
+        return self.spark.read.schema(TOLD).parquet(f"{self.root}/{name}")
+
+    def _added(self, docs: DataFrame) -> str:
+        """The folder of the results of a batch; what was cut on the way isn't needed any more."""
+        spark, k = self.spark, self.batches
         log = self._part("texts", docs.where(F.octet_length("text") >= LEAST_BYTES).withColumn("batch", F.lit(k)))
         texts = spark.read.parquet(f"{self.root}/{log}")
         logs, before = [*self._parts("texts"), texts], self.history()
@@ -298,13 +305,14 @@ class FingerprintIndex:
             alone = met.where(F.col("m") == 1)
             old = self._texts_at(alone.select(F.col("b").alias("batch"), F.col("r").alias("rid")).distinct(), logs)
             known = cut(candidate_runs(old, self._filter(alone, "anchor")))
-        spans = self._spans(found, known, logs).where(F.col("batch") == k)
-        spans = cut(spans.groupBy("rid").agg(F.collect_list(F.struct("start", "n_words")).alias("spans")))  # bounded by the text
+        with passing(spark):
+            spans = self._spans(found, known, logs).where(F.col("batch") == k)
+            spans = cut(spans.groupBy("rid").agg(F.collect_list(F.struct("start", "n_words")).alias("spans")), outer=True)  # bounded by the text
         name = F.xxhash64("rid")
         bits = self._filter(spans.select(name.alias("name")), "name")
         touched = without_spans(docs.where(bloom.passes(bits, name)).join(spans, "rid", "left"))
         out = untouched(docs.where(~bloom.passes(bits, name))).select("rid", "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "digest", F.lit(None).cast("string").alias("kept"))
-        out = cut(out.unionByName(touched.select("rid", "doc_id", "n_words", "n_removed", F.lit(None).cast("string").alias("digest"), "kept")))
+        out = self._part("told", out.unionByName(touched.select("rid", "doc_id", "n_words", "n_removed", F.lit(None).cast("string").alias("digest"), "kept")))
         while self._filters:  # what asked them is written
             self._filters.pop().destroy()
         made = self._part("met", found if known is None else found.unionByName(known))
