@@ -8,6 +8,7 @@ from functools import cache
 from itertools import product
 
 from glossaria.functions.arabic import arabic
+from glossaria.functions.japanese import japanese
 from glossaria.functions.korean import korean
 from glossaria.functions.rules import Condition, Rule, RuleSet, everywhere, pattern, prefix, rewrite, suffix, whole
 from glossaria.functions.tagalog import tagalog
@@ -196,56 +197,6 @@ def french() -> RuleSet:
     )
 
 
-#: Godan verbs by ending; stems before negative, polite, conditional and volitional endings, then te and ta.
-GODAN = {"う": "わいえおっ", "く": "かきけこい", "す": "さしせそし", "つ": "たちてとっ", "ぬ": "なにねのん", "ぶ": "ばびべぼん", "む": "まみめもん", "る": "らりれろっ", "ぐ": "がぎげごい"}
-VOICED_TE = "ぬぶむぐ"
-
-
-def japanese() -> RuleSet:
-    """Regular, irregular and adjective endings by row of the kana table."""
-
-    def verbs(ichidan: str, row: int | None, ending: str, suru: str, kuru: str, outer: str = "", te: bool = False) -> list[Rule]:
-        inner = outer
-        rules = [suffix(ichidan, "る", inner, "v1")]
-        for base, stems in GODAN.items():
-            own = stems[4] + (chr(ord(ending[0]) + 1) + ending[1:] if base in VOICED_TE else ending) if te else stems[row] + ending
-            rules.append(suffix(own, base, inner, "v5"))
-        if te:
-            rules += [suffix("行っ" + ending, "行く", inner, "v5"), suffix("いっ" + ending, "いく", inner, "v5")]
-        rules += [suffix(suru, "する", inner, "vs"), suffix("為" + suru[1:], "為る", inner, "vs"), suffix(kuru, "くる", inner, "vk"), suffix("来" + kuru[1:], "来る", inner, "vk")]
-        return rules
-
-    return RuleSet(
-        "ja",
-        [Condition("v", ("v1", "v5", "vk", "vs", "vz")), Condition("v1", ("v1d", "v1p")), Condition("v1d", (), False), Condition("v1p", (), False), Condition("v5", ("v5d", "v5s")), Condition("v5d", (), False),
-         Condition("v5s", ("v5ss", "v5sp")), Condition("v5ss", (), False), Condition("v5sp", (), False), Condition("vk"), Condition("vs"), Condition("vz"), Condition("adj-i"),
-         *(Condition(c, (), False) for c in ("-ます", "-ません", "-て", "-ば", "-く", "-た", "-ん", "-なさい", "-ゃ"))],
-        {
-            "-ば": [suffix("ければ", "い", "-ば", "adj-i"), *verbs("れば", 2, "ば", "すれば", "くれば", "-ば")],
-            "-なさい": verbs("なさい", 1, "なさい", "しなさい", "きなさい", "-なさい"),
-            "-そう": [suffix("そう", "い", "", "adj-i"), *verbs("そう", 1, "そう", "しそう", "きそう")],
-            "-すぎる": [suffix("すぎる", "い", "v1", "adj-i"), *verbs("すぎる", 1, "すぎる", "しすぎる", "きすぎる", "v1")],
-            "-たい": verbs("たい", 1, "たい", "したい", "きたい", "adj-i"),
-            "-たら": [suffix("かったら", "い", "", "adj-i"), *verbs("たら", None, "たら", "したら", "きたら", te=True)],
-            "-たり": [suffix("かったり", "い", "", "adj-i"), *verbs("たり", None, "たり", "したり", "きたり", te=True)],
-            "-て": [suffix("くて", "い", "-て", "adj-i"), *verbs("て", None, "て", "して", "きて", "-て", te=True), suffix("まして", "ます", "", "-ます")],
-            "-ず": verbs("ず", 0, "ず", "せず", "こず"), "-ぬ": verbs("ぬ", 0, "ぬ", "せぬ", "こぬ"), "-ん": verbs("ん", 0, "ん", "せん", "こん", "-ん"), "-ざる": verbs("ざる", 0, "ざる", "せざる", "こざる"),
-            "-く": [suffix("く", "い", "-く", "adj-i")], "-さ": [suffix("さ", "い", "", "adj-i")], "-き": [suffix("き", "い", "", "adj-i")], "-げ": [suffix("げ", "い", "", "adj-i")], "-がる": [suffix("がる", "い", "v5", "adj-i")],
-            "causative": verbs("させる", 0, "せる", "させる", "こさせる", "v1"), "short causative": verbs("さす", 0, "す", "さす", "こさす", "v5"),
-            "imperative": [*verbs("ろ", 2, "", "しろ", "こい"), suffix("よ", "る", "", "v1"), suffix("せよ", "する", "", "vs")],
-            "continuative": verbs("", 1, "", "し", "き")[1:],
-            "negative": [suffix("くない", "い", "adj-i", "adj-i"), *verbs("ない", 0, "ない", "しない", "こない", "adj-i"), suffix("ません", "ます", "-ません", "-ます")],
-            "passive": verbs("られる", 0, "れる", "される", "こられる", "v1"),
-            "-た": [suffix("かった", "い", "-た", "adj-i"), *verbs("た", None, "た", "した", "きた", "-た", te=True), suffix("ました", "ます", "-た", "-ます"), suffix("でした", "", "-た", "-ません")],
-            "-ます": verbs("ます", 1, "ます", "します", "きます", "-ます"), "potential": [suffix(s[2] + "る", b, "v1", "v5") for b, s in GODAN.items()] + [suffix("れる", "る", "v1", "v1 vk"), suffix("これる", "くる", "v1", "vk")],
-            "volitional": [*verbs("よう", 3, "う", "しよう", "こよう"), suffix("ましょう", "ます", "", "-ます"), suffix("かろう", "い", "", "adj-i")],
-            "-ちゃう": [r._replace(inflected=re.sub("で$", "じゃう", re.sub("て$", "ちゃう", r.inflected)), inner=("v5",)) for r in verbs("て", None, "て", "して", "きて", te=True)],
-            "-しまう": [suffix("てしまう", "て", "v5", "-て"), suffix("でしまう", "で", "v5", "-て")], "-おく": [suffix("ておく", "て", "v5", "-て"), suffix("でおく", "で", "v5", "-て"), suffix("とく", "て", "v5", "-て"), suffix("どく", "で", "v5", "-て")],
-            "-いる": [suffix("ている", "て", "v1", "-て"), suffix("でいる", "で", "v1", "-て"), suffix("てる", "て", "v1", "-て"), suffix("でる", "で", "v1", "-て")],
-        },
-    )
-
-
 def georgian() -> RuleSet:
     cases = "ები ებს ების ებით ებად ებმა მა ს ის ით ად ო ში ზე თან".split()
     return RuleSet("ka", [Condition("v"), Condition("n", ("np", "ns")), Condition("np"), Condition("ns"), Condition("adj"), Condition("adv")], {

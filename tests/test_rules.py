@@ -51,7 +51,21 @@ ARABIC = [
 ]
 
 
-@pytest.mark.parametrize(("language", "pairs"), [("ko", KOREAN), ("tl", TAGALOG), ("ar", ARABIC)])
+JAPANESE = [
+    ("書けば", "書く", "-ば"), ("高ければ", "高い", "-ば"), ("すりゃ", "する", "-ゃ"), ("行きゃ", "行く", "-ゃ"), ("食べちゃ", "食べる", "-ちゃ"), ("読んじゃう", "読む", "-ちゃう"), ("行っちまう", "行く", "-ちまう"), ("食べてしまう", "食べる", "-しまう"), ("飲みなさい", "飲む", "-なさい"), ("高そう", "高い", "-そう"), ("食べすぎる", "食べる", "-すぎる"),
+    ("飲み過ぎた", "飲む", "-過ぎる"), ("したい", "する", "-たい"), ("泳いだら", "泳ぐ", "-たら"), ("問うたら", "問う", "-たら"), ("来たり", "来る", "-たり"), ("逝って", "逝く", "-て"), ("のたもうて", "のたまう", "-て"), ("論じて", "論ずる", "-て"), ("せず", "する", "-ず"), ("言わぬ", "言う", "-ぬ"), ("食べん", "食べる", "-ん"), ("泣かんばかり", "泣く", "-んばかり"),
+    ("行かんとする", "行く", "-んとする"), ("行かむ", "行く", "-む"), ("知らざる", "知る", "-ざる"), ("行かねば", "行く", "-ねば"), ("高く", "高い", "-く"), ("来させる", "来る", "causative"), ("書かす", "書く", "short causative"), ("來い", "來る", "imperative"), ("書け", "書く", "imperative"), ("食べ", "食べる", "continuative"), ("飲み", "飲む", "continuative"),
+    ("来ない", "来る", "negative"), ("食べません", "食べる", "negative"), ("高さ", "高い", "-さ"), ("読まれる", "読む", "passive"), ("書かされた", "書く", "passive"), ("食べませんでした", "食べる", "-た"), ("為ます", "為る", "-ます"), ("書ける", "書く", "potential"), ("出来る", "する", "potential"), ("食べられる", "食べる", "potential or passive"), ("しよう", "する", "volitional"), ("行こっか", "行く", "volitional slang"),
+    ("行くまい", "行く", "-まい"), ("食べとく", "食べる", "-おく"), ("読んでる", "読む", "-いる"), ("書いておる", "書く", "-いる"), ("美しき", "美しい", "-き"), ("寒げ", "寒い", "-げ"), ("寒がる", "寒い", "-がる"), ("すげえ", "すごい", "-え"), ("わかんない", "わかる", "n-slang"), ("すんな", "する", "imperative negative slang"), ("知らへん", "知る", "kansai-ben negative"), ("買うて", "買う", "kansai-ben -て"),
+    ("もろうた", "もらう", "kansai-ben -た"), ("よう", "よい", "kansai-ben -く"), ("高うて", "高い", "kansai-ben adjective -て"), ("高うない", "高い", "kansai-ben adjective negative"), ("笑うたら", "笑う", "kansai-ben -たら"), ("笑うたり", "笑う", "kansai-ben -たり"),
+]
+
+
+def test_every_japanese_transform_has_a_pair():
+    assert {name for *_, name in JAPANESE} == set(rule_set("ja").transforms)
+
+
+@pytest.mark.parametrize(("language", "pairs"), [("ja", JAPANESE), ("ko", KOREAN), ("tl", TAGALOG), ("ar", ARABIC)])
 def test_golden_pairs_by_transform(language, pairs):
     made = rule_set(language)
     split, whole_ = (letters_of, syllables_of) if language == "ko" else (str, str)
@@ -60,7 +74,7 @@ def test_golden_pairs_by_transform(language, pairs):
         assert name in {t for f in found for t, *_ in f.trace}, (word, base, name)
 
 
-@pytest.mark.parametrize("language", ["ko", "tl", "ar"])
+@pytest.mark.parametrize("language", ["ja", "ko", "tl", "ar"])
 def test_every_rule_is_met_by_a_form_made_with_it(language):
     rules = rule_set(language)
     for name, entries in rules.transforms.items():
@@ -70,7 +84,7 @@ def test_every_rule_is_met_by_a_form_made_with_it(language):
                 stems = ["batak"] if language == "tl" else ["كتب"]
                 words = [(before + s + after, r.base.replace(BETWEEN, s)) for s in stems]
             elif r.kind in ("suffix", "prefix") and r.inflected:
-                stem = {"ko": "ㅁㅓㄱ", "tl": "batak", "ar": "كتب"}[language]
+                stem = {"ja": "食べ", "ko": "ㅁㅓㄱ", "tl": "batak", "ar": "كتب"}[language]
                 words = [(stem + r.inflected, stem + r.base) if r.kind == "suffix" else (r.inflected + stem, r.base + stem)]
             else:
                 continue
@@ -183,7 +197,7 @@ def brute_closure(rules, word, most):
     return seen, not level
 
 
-@pytest.mark.parametrize(("language", "words"), [("tl", [w for w, *_ in TAGALOG]), ("ar", [w for w, *_ in ARABIC][:12]), ("ko", [letters_of(w) for w, *_ in KOREAN][:20])])
+@pytest.mark.parametrize(("language", "words"), [("tl", [w for w, *_ in TAGALOG]), ("ar", [w for w, *_ in ARABIC][:12]), ("ko", [letters_of(w) for w, *_ in KOREAN][:20]), ("ja", [w for w, *_ in JAPANESE][:30])])
 def test_closures_are_brute_forces(language, words):
     rules = rule_set(language)
     for w in words:
