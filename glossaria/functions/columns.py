@@ -167,3 +167,22 @@ def entirely_kana(text: Column) -> Column:
 
 def partly_japanese(text: Column) -> Column:
     return text.rlike(f"[{JAPANESE}]")
+
+
+#: Ranges of Chinese and Korean letters beside the characters they share with Japanese.
+CHINESE = KANJI + r"\x{3000}-\x{303F}\x{FF01}-\x{FF60}\x{FFE0}-\x{FFEE}\x{3100}-\x{312F}\x{31A0}-\x{31BF}\x{16FE0}-\x{16FFF}\x{FE50}-\x{FE6F}\x{FE10}-\x{FE1F}"
+KOREAN = r"\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{A960}-\x{A97F}\x{D7B0}-\x{D7FF}"
+
+
+def partly_chinese(text: Column) -> Column:
+    return text.rlike(f"[{CHINESE}]")
+
+
+def partly_korean(text: Column) -> Column:
+    return text.rlike(f"[{KOREAN}]")
+
+
+def verb_or_adjective(classes: Column) -> Column:
+    """Whether word classes are a verb's or an adjective's; a noun that suru makes a verb of isn't one."""
+    has = lambda *names: F.arrays_overlap(classes, F.array(*map(F.lit, names)))
+    return F.coalesce(has("v1", "v5", "vk", "vz", "adj-i", "vs") & ~(has("vs") & has("n")), F.lit(False))

@@ -121,6 +121,7 @@ LANGUAGES: dict[str, tuple[Processor, ...]] = {
         Processor("normalizeCombiningCharacters", (lambda t: re.sub(".[゙゚]", lambda m: unicodedata.normalize("NFC", m[0]), t),)), Processor("normalizeCJKCompatibilityCharacters", (_within("㌀-㏿", "NFKD"),)), RADICALS,
     ),
     "zh": (*CASE, RADICALS), "yue": (*CASE, RADICALS), "en": CASE, "es": CASE, "it": (*CASE, DIACRITICS), "pt": CASE, "eo": CASE, "ga": CASE, "sq": CASE, "nl": CASE, "pl": CASE, "tr": CASE, "fi": CASE, "hu": CASE,
+    **dict.fromkeys(("bg", "cs", "da", "et", "lv", "mn", "mt", "no", "sv", "tok", "uk", "cy"), CASE), **dict.fromkeys(("id", "ro", "sga", "tl"), (*CASE, DIACRITICS)),
     "de": (*CASE, _both("eszettPreprocessor", ("ß", "ss"))), "fr": (*CASE, _both("apostropheVariants", ("'", "’"))), "la": (*CASE, DIACRITICS, _both("processDiphtongs", ("ae", "æ"), ("Ae", "Æ"), ("oe", "œ"), ("Oe", "Œ"))),
     "ru": (*CASE, Processor("removeRussianDiacritics", (_strip("NFC", "́"),)), Processor("yoToE", (_swap(("ё", "е"), ("Ё", "Е")),))), "sh": (*CASE, Processor("removeSerboCroatianAccentMarks", (_strip("NFC", "\u0300\u0301\u0302\u030f\u0311"),))),
     "el": (*CASE, Processor("removeDoubleAcuteAccents", (_strip("NFC", "̋"),))), "grc": (*CASE, DIACRITICS, Processor("convertLatinToGreek", (latin_to_greek,))), "vi": (*CASE, Processor("normalizeDiacritics", (_tone(True), _tone(False)))),

@@ -129,3 +129,15 @@ def kanji_stats(kanji: DataFrame, tags: DataFrame) -> DataFrame:
     each = kanji.select("character", "dictionary", F.explode("stats").alias("stat", "value")).withColumn("name", tag_base(F.col("stat")))
     met = each.join(tags.select("dictionary", "name", "category", "order", "notes"), ["dictionary", "name"])
     return met.groupBy("character", "dictionary", "category").agg(F.array_sort(F.collect_list(F.struct("order", "notes", "name", "value"))).alias("stats"))
+
+
+def grouped_term_tags(tags: DataFrame, by: list[str]) -> DataFrame:
+    """Tags of an entry's headwords (by..., headword, ord, name, category, content, dictionaries): by..., ord, the tag and
+    headword_indices. With several headwords a tag that stands alike at more than one is one tag of all of them."""
+    tag = ["name", "category", "content", "dictionaries"]
+    several = tags.groupBy(*by).agg((F.count_distinct("headword") > 1).alias("_several"))
+    once = tags.join(several, by).withColumn("_own", F.when(~F.col("_several"), F.col("ord")))
+    place = F.struct("headword", "ord")
+    met = once.groupBy(*by, *tag, "_own").agg(F.min(place).alias("_at"), F.array_sort(F.collect_list("headword")).alias("headword_indices"))
+    order = F.row_number().over(Window.partitionBy(*by).orderBy("_at")) - 1
+    return met.select(*by, order.alias("ord"), *tag, "headword_indices")
