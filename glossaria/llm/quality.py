@@ -8,7 +8,8 @@ once more made from all rows within its 0.975 quantile; rows beyond the 0.9999 q
 
 The estimate is a regularised one: a floor is added to each variance, since nearly all clean texts have no symbols and no
 repeated lines at all, so that without it the determinant would be 0 and any symbol an outlier. Only sums of each group
-are gathered, never its rows, and they are summed before they are shuffled, so a hot group is no task of its own.
+are gathered, never its rows, and they are summed before they are shuffled, so a hot group is no task of its own. The
+scale never falls below 1, and floors widen each variance: fewer clean rows than the quantile says are rejected.
 
 Defined cases: a null text has no words; texts that fail the base rules are rejected and take no part in the estimates;
 null languages and sources count as empty strings; a group of fewer than `MIN_GROUP` rows supports no estimate of its

@@ -5,7 +5,8 @@ that starts with its path; the longest fitting rule decides. Expressions are mad
 length) which rules have, so a url gives as many candidates as there are shapes, whatever its length.
 
 Defined cases: a null url, or one without `://`, has empty host and path, fits no rule and gets the default verdict;
-repeated rows are judged one by one; an empty table gives an empty result; other columns are ignored.
+repeated rows are judged one by one; an empty table gives an empty result; other columns are ignored; of rules with the
+same host and path but two verdicts the verdict that comes last by its letters counts, so block goes before allow.
 """
 
 from __future__ import annotations

@@ -51,6 +51,41 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(pages, table.limit(0), default="block").collect()} == {"block"}
 
 
+def test_near_dedup_misses_no_pair_of_the_tables(spark):
+    """All pairs of different texts at 0.8 or more, found through every shingle that at most sixty texts share: each is in
+    one class."""
+    sf = "/root/testdata/sf0.01"
+    docs = queries.documents(spark, sf)
+    rows = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    weights = {t: minhash_weights(t) for t in set(rows.values())}
+    holders = defaultdict(list)
+    for t, w in weights.items():
+        for s in w:
+            holders[s].append(t)
+    near = set()
+    for own in holders.values():
+        if len(own) <= 60:
+            near |= {(a, b) for k, a in enumerate(own) for b in own[k + 1 :] if sum(min(weights[a][s], weights[b].get(s, 0)) for s in weights[a]) >= 0.9 * max(sum(weights[a].values()), sum(weights[b].values()))}
+    classes = {r["doc_id"]: r["class_id"] for r in queries.op9_near_dedup(spark, sf).collect()}
+    by_text = defaultdict(set)
+    for i, t in rows.items():
+        by_text[t].add(classes[i])
+    assert all(len(c) == 1 for c in by_text.values())  # exact copies
+    assert all(by_text[a] == by_text[b] for a, b in near)
+
+
+def minhash_weights(text):
+    words = ALNUM_WORDS.findall(text.translate(LOWER))
+    return Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+
+
+def test_url_rules_that_disagree(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/x"), (2, "http://c.d/" + "y" * 100_000)], "page_id long, url string")
+    for rules in ([("allow", "a.b", "/"), ("block", "a.b", "/")], [("block", "a.b", "/"), ("allow", "a.b", "/")]):
+        table = url_filter.rule_table(spark, [url_filter.Rule(*r) for r in rules])
+        assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, table).collect()} == {1: ("a.b/", "block"), 2: (None, "allow")}
+
+
 def test_suffix_dedup(spark, stored):
     docs = texts_of(stored)
     first = {}
