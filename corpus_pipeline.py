@@ -2,6 +2,12 @@
 
 Each stage takes all documents that the one before kept, as a Parquet scan, and returns those it keeps with the columns
 they came with; `n_chars` follows the text. The last one returns token ids in place of the text.
+
+Defined cases: rows are told apart by their place in the scan, so repeated rows and null ids stay rows of their own. A null
+text has no words and goes with the quality rules, as does any text of under 50 words; null languages and sources are
+groups of their own. Of equal lines, and of near copies, the first by id stays, null ids first, then by the place in the
+scan. Texts may have any length. Columns beside those of documents pass through to the last stage, which returns them too;
+names that the stages use themselves carry a prefix no table has. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
