@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from glossaria.functions import columns as C
+from glossaria.functions.kana import romaji_to_hiragana
 from glossaria.functions.processors import text_variants
 from glossaria.functions.rule_sets import rule_set
 from glossaria.operators import glossary, lookup, metadata, segment
@@ -37,15 +38,15 @@ def lookup_exact(spark, sf_dir):
     return found.select("item_id", "word", "ord", "id", "match_source")
 
 
-@query(f"WITH {TERMS_SQL}, {BENCHMARK_SQL}, heads AS (SELECT DISTINCT left(word, 5) AS head FROM bw WHERE length(word) >= 5) SELECT head, id, CASE WHEN head = expression THEN 'exact' ELSE 'prefix' END AS match_type FROM heads JOIN terms ON starts_with(expression, head)")
+@query(f"WITH {TERMS_SQL}, {BENCHMARK_SQL}, heads AS (SELECT DISTINCT left(word, 5) AS head FROM bw) SELECT head, id, CASE WHEN head = expression THEN 'exact' ELSE 'prefix' END AS match_type FROM heads JOIN terms ON starts_with(expression, head)")
 def lookup_prefix(spark, sf_dir):
-    heads = benchmark_words(spark, sf_dir).where(F.length("word") >= 5).select(F.left("word", F.lit(5)).alias("head")).distinct()
+    heads = benchmark_words(spark, sf_dir).select(F.left("word", F.lit(5)).alias("head")).distinct()
     return lookup.prefix_hits(heads, terms(spark, sf_dir), "head").select("head", "id", "match_type")
 
 
-@query(f"WITH {TERMS_SQL}, {BENCHMARK_SQL}, tails AS (SELECT DISTINCT right(word, 5) AS tail FROM bw WHERE length(word) >= 5) SELECT tail, id, CASE WHEN tail = expression THEN 'exact' ELSE 'suffix' END AS match_type FROM tails JOIN terms ON ends_with(expression, tail)")
+@query(f"WITH {TERMS_SQL}, {BENCHMARK_SQL}, tails AS (SELECT DISTINCT right(word, 5) AS tail FROM bw) SELECT tail, id, CASE WHEN tail = expression THEN 'exact' ELSE 'suffix' END AS match_type FROM tails JOIN terms ON ends_with(expression, tail)")
 def lookup_suffix(spark, sf_dir):
-    tails = benchmark_words(spark, sf_dir).where(F.length("word") >= 5).select(F.right("word", F.lit(5)).alias("tail")).distinct()
+    tails = benchmark_words(spark, sf_dir).select(F.right("word", F.lit(5)).alias("tail")).distinct()
     return lookup.suffix_hits(tails, terms(spark, sf_dir), "tail").select("tail", "id", "match_type")
 
 
@@ -161,10 +162,10 @@ _register_whole_closures()
 
 @query()
 def deinflect_ja(spark, sf_dir):
-    """Forms of a Japanese verb list, one for each word of the benchmark in turn: rows only, there is no Japanese text."""
-    verbs = ("食べた", "食べられない", "書いて", "読みます", "行かなかった", "高くない", "しました", "来させる")
-    own = benchmark_words(spark, sf_dir).select(F.element_at(F.array(*map(F.lit, verbs)), (F.pmod(F.length("word"), F.lit(len(verbs))) + 1).cast("int")).alias("text"))
-    return closure_of(own, "ja")
+    """The whole Japanese closure of each English word of the documents, spelled in kana: the tables have no Japanese text."""
+    own = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(words()).alias("word")).distinct()
+    spelled = own.select(F.udf(romaji_to_hiragana, "string", useArrow=True)("word").alias("text"))
+    return closure_of(spelled, "ja")
 
 
 @query(f"WITH {BENCHMARK_SQL} SELECT DISTINCT word, unnest(list_distinct([word, lower(word), upper(left(word, 1)) || substr(word, 2)])) AS variant FROM bw")

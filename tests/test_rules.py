@@ -224,3 +224,16 @@ def test_whole_closures_are_brute_forces(spark, tmp_path, language, text, expect
     assert found == {w: f for w, (f, _) in forms.items()}
     assert all(done for _, done in forms.values()) == ends
     assert expected <= {(w, b) for w, f in found.items() for b, _ in f}
+
+
+def test_japanese_closure_of_words_in_kana(spark, tmp_path):
+    from glossaria.functions.kana import romaji_to_hiragana
+    from glossaria.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "Tabeta, tabenai to kaite hashiru", "en"), (2, None, "en"), (3, "yonda", "de")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {}
+    for r in QUERIES["deinflect_ja"](spark, str(tmp_path)).collect():
+        found.setdefault(r["text"], set()).add((r["base"], r["flags"]))
+    words = {romaji_to_hiragana(w) for w in ("tabeta", "tabenai", "to", "kaite", "hashiru")}
+    assert found == {w: brute_closure(rule_set("ja"), w, MAX_DEPTH)[0] for w in words}
+    assert any(b == "たべる" for b, _ in found["たべた"]) and any(b == "かく" for b, _ in found["かいて"])
