@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from glossaria.functions.columns import JAPANESE, LAST_ASCENDING, LAST_DESCENDING, lookup_prefixes, part_of_speech_passes, reversed_text
 from glossaria.functions.processors import normalised_reading
 from glossaria.functions.rule_sets import rule_set
+from glossaria.operators import metadata
 from glossaria.operators.deinflect import forms_of
 from glossaria.sources.scratch import written
 
@@ -322,7 +323,26 @@ def without_dictionaries(groups: DataFrame, excluded: list[str]) -> DataFrame:
         return kept
     kept = kept.withColumn("_used", F.array_sort(F.array_distinct(F.flatten(F.transform("definitions", lambda d: d["headword_indices"])))))
     numbered = F.transform("definitions", lambda d: d.withField("headword_indices", F.transform(d["headword_indices"], lambda i: (F.array_position("_used", i) - 1).cast("int"))))
-    return kept.withColumns({"headwords": F.filter("headwords", lambda h, i: F.array_contains("_used", i)), "definitions": numbered}).drop("_used")
+    changed = {"headwords": F.filter("headwords", lambda h, i: F.array_contains("_used", i)), "definitions": numbered}
+    for said in {"frequencies", "pronunciations"}.intersection(groups.columns):
+        own = F.filter(said, lambda x: ~x["dictionary"].isin(excluded) & F.array_contains("_used", x["headword_index"]))
+        changed[said] = F.transform(own, lambda x: x.withField("headword_index", (F.array_position("_used", x["headword_index"]) - 1).cast("int")))
+    return kept.withColumns(changed).drop("_used")
+
+
+def with_metadata(groups: DataFrame, meta: DataFrame, enabled: DataFrame) -> DataFrame:
+    """Ranked groups with what metadata (dictionary, id, expression, mode, data, meta_reading) say of their headwords, by
+    headword, dictionary and place: frequencies, and pronunciations (pitch accents and transcriptions, as JSON)."""
+    own = meta.join(enabled.select(F.col("title").alias("dictionary"), "idx", "alias"), "dictionary")
+    heads = groups.select("query_id", "rank", F.posexplode("headwords").alias("headword_index", "_h")).select("query_id", "rank", "headword_index", "_h.expression", "_h.reading")
+    met = metadata.with_term_meta(heads, own).withColumn("_f", metadata.frequency_value(F.col("data")))
+    place, shared = ("headword_index", "idx", "id"), ("dictionary", "alias")
+    frequency = F.struct(*place, *shared, F.col("meta_reading").isNotNull().alias("has_reading"), F.col("_f.value").alias("frequency"), F.col("_f.display").alias("display"))
+    said = F.struct(*place, *shared, "mode", "data")
+    by_mode = {"frequencies": F.when(F.col("mode") == "freq", frequency), "pronunciations": F.when(F.col("mode") != "freq", said)}
+    told = met.groupBy("query_id", "rank").agg(*(F.sort_array(F.collect_list(x)).alias(n) for n, x in by_mode.items()))
+    out = groups.join(told, ["query_id", "rank"], "left")
+    return out.withColumns({n: F.coalesce(n, F.array().cast(told.schema[n].dataType)) for n in by_mode})
 
 
 def frequency_order(groups: DataFrame, frequencies: DataFrame, ascending: bool = True) -> DataFrame:
@@ -365,9 +385,10 @@ def with_definitions(groups: DataFrame, terms: DataFrame) -> DataFrame:
 
 def find_terms(
     queries: DataFrame, terms: DataFrame, enabled: DataFrame, language: str = "en", mode: str = "group", deinflect: bool = True, by: str = "letter", replacements: tuple = (), excluded: list[str] | None = None,
-    frequencies: DataFrame | None = None, ascending: bool = True, main_dictionary: str = "", primary_reading: str = "", remove_non_japanese: bool = False, redirects: bool | None = None, definitions: bool = True,
+    frequencies: DataFrame | None = None, ascending: bool = True, main_dictionary: str = "", primary_reading: str = "", remove_non_japanese: bool = False, redirects: bool | None = None, definitions: bool = True, meta: DataFrame | None = None,
 ) -> DataFrame:
-    """The whole lookup: ranked groups of entries of each query (query_id, text).
+    """The whole lookup: ranked groups of entries of each query (query_id, text); with `meta` also the frequencies and
+    pronunciations of their headwords, without those of `excluded` dictionaries.
 
     `redirects` says whether terms redirect at all, if the caller knows; otherwise they are asked. Without `definitions`
     what the terms say is not fetched: their ids and all that is known of them stay.
@@ -385,6 +406,8 @@ def find_terms(
     if frequencies is not None:
         groups = frequency_order(groups, frequencies, ascending)
     out = ranked(groups)
+    if meta is not None:
+        out = with_metadata(written(out), meta.where(~F.col("dictionary").isin(excluded or [])), enabled)
     return with_definitions(written(out), enabled_only(terms, enabled)) if definitions else out
 
 

@@ -125,6 +125,20 @@ def test_merge_mode(spark, terms):
     assert [d["dictionary"] for d in found[0]["definitions"]] == ["B", "B", "A", "C", "C"]
 
 
+def test_metadata_of_headwords_and_excluded_dictionaries(spark, terms):
+    meta = spark.createDataFrame([("A", 1, "食べる", "freq", "42", None), ("B", 2, "食べる", "freq", '{"reading": "たべる", "frequency": {"value": 7, "displayValue": "7th"}}', "たべる"), ("B", 3, "食べる", "freq", '{"reading": "x", "frequency": 1}', "x"), ("A", 4, "食べる", "pitch", '{"reading": "たべる", "pitches": [{"position": 2}]}', "たべる"), ("C", 5, "食べる", "freq", "1", None), ("B", 6, "食べる", "ipa", '{"reading": "たべる", "transcriptions": []}', "たべる")], "dictionary string, id long, expression string, mode string, data string, meta_reading string")
+    first = find(spark, terms, "食べる", meta=meta)[0]
+    assert [(f["headword_index"], f["dictionary"], f["has_reading"], f["frequency"], f["display"]) for f in first["frequencies"]] == [(0, "A", False, 42.0, None), (0, "B", True, 7.0, "7th")]
+    assert [(p["dictionary"], p["mode"]) for p in first["pronunciations"]] == [("A", "pitch"), ("B", "ipa")]
+    left = find(spark, terms, "食べる", meta=meta, excluded=["A"])[0]
+    assert {d["dictionary"] for d in left["definitions"]} == {"B"} and [f["dictionary"] for f in left["frequencies"]] == ["B"] and [p["mode"] for p in left["pronunciations"]] == ["ipa"]
+    asked = spark.createDataFrame([("q", "食べる")], "query_id string, text string")
+    groups = lookup.find_terms(asked, terms, enabled_map(spark, ["A", "B"]), "ja", meta=meta)
+    after = lookup.without_dictionaries(groups, ["A"]).orderBy("rank").first()
+    assert [f["dictionary"] for f in after["frequencies"]] == ["B"] and [p["headword_index"] for p in after["pronunciations"]] == [0]
+    assert find(spark, terms, "猫", meta=meta)[0]["frequencies"] == []
+
+
 def test_batch_lookup_keeps_misses_and_nulls(spark, terms):
     texts = spark.createDataFrame([("猫",), ("猫",), ("xyz",), (None,)], "text string")
     found = lookup.batch_lookup(texts, terms, enabled_map(spark, ["A"]), language="ja")
