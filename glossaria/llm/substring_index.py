@@ -35,7 +35,7 @@ from glossaria.llm.hashing import Words, anchored_runs, chunks, prefix_sums, spa
 
 WINDOW, GRAM = 20, 6
 LEAST_BYTES = 2 * WINDOW - 1  # of a text with a window
-AT_ONCE = 1_000_000  # bytes of text hashed together
+AT_ONCE = 250_000  # bytes of text hashed together: what a task holds for them is some forty times that
 #: Bytes that separate words become spaces, others stay.
 SPACES = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
 RUN = "batch int, rid long, doc_id long, anchor long, digest binary, n int, start int"
