@@ -262,16 +262,16 @@ def sort_entries_topk(spark, sf_dir):
 def _frequency_order_sql(ascending: bool) -> str:
     value = f"min(coalesce(f.freq, {C.LAST_ASCENDING}))" if ascending else f"-max(coalesce(f.freq, {C.LAST_DESCENDING}))"
     return f"""WITH {TERMS_SQL}, {BENCHMARK_SQL}, g AS (SELECT DISTINCT item_id, expression, reading FROM bw JOIN terms ON word = expression)
-SELECT item_id, expression, {value} AS frequency_order FROM g LEFT JOIN (SELECT expression, freq FROM terms WHERE dictionary = 'src7') f USING (expression) GROUP BY ALL"""
+SELECT item_id, expression, reading, {value} AS frequency_order FROM g LEFT JOIN (SELECT expression, reading, freq FROM terms WHERE dictionary = 'src7') f USING (expression, reading) GROUP BY ALL"""
 
 
 def _frequency_order(spark, sf_dir, ascending: bool) -> DataFrame:
     own = terms(spark, sf_dir)
     met = benchmark_words(spark, sf_dir).join(own, F.col("word") == F.col("expression")).select("item_id", "expression", "reading").distinct()
-    groups = met.withColumn("headwords", F.array(F.struct("expression", "reading"))).withColumnRenamed("item_id", "query_id").withColumn("ord", F.col("expression"))
+    groups = met.withColumn("headwords", F.array(F.struct("expression", "reading"))).withColumnRenamed("item_id", "query_id").withColumn("ord", F.struct("expression", "reading"))
     frequencies = own.where("dictionary = 'src7'").select("expression", "reading", F.col("freq").alias("frequency"), F.lit(0).alias("ord"))
     out = lookup.frequency_order(groups, frequencies, ascending)
-    return out.select(F.col("query_id").alias("item_id"), "expression", F.col("frequency_order").cast("long").alias("frequency_order"))
+    return out.select(F.col("query_id").alias("item_id"), "ord.expression", "ord.reading", F.col("frequency_order").cast("long").alias("frequency_order"))
 
 
 @query(_frequency_order_sql(True))
