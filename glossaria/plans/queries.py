@@ -453,7 +453,7 @@ def batch_lookup_whole(spark, sf_dir):
     """The whole lookup of each distinct word of the conversations, once; words without a hit stay."""
     own, on = _dictionaries(spark, sf_dir)
     said = table(spark, sf_dir, "conversations").select(F.explode(words()).alias("text")).distinct()
-    found = lookup.batch_lookup(said, own, on, language="en")
+    found = lookup.batch_lookup(said, own, on, language="en", definitions=False)
     return found.select("text", "rank", F.col("headwords")[0]["expression"].alias("expression"), "max_length", "score", F.size("definitions").alias("definitions"), "chain_length")
 
 
