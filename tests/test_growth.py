@@ -1,6 +1,6 @@
 """Work that must not grow faster than the tables: where a plan does it, and that it does all of it."""
 
-from glossaria.operators import lookup
+from glossaria.operators import lookup, segment
 from glossaria.plans import derived
 from glossaria.plans.queries import QUERIES
 from glossaria.sources.catalog import enabled_map
@@ -43,3 +43,39 @@ def test_prefixes_are_looked_up_once_for_all_texts(spark, monkeypatch):
         run = lambda **more: sorted(map(repr, lookup.find_terms(asked, terms, enabled_map(spark, ["a", "b"]), "pt", mode, **more).select("query_id", "rank", "ord", "max_length", "exact", "headwords", "definitions", "chains", "text_chains").collect()))  # noqa: B023, E731
         assert run() == run(redirects=True)  # terms that may redirect are met for each text
     assert seen == [4 + 4 + 3, 3 + 4 + 4 + 4]
+
+
+KINDS = "dictionary string, id string, expression string, reading string, rules array<string>, score long, sequence long, definitions array<string>, definition_tags array<string>, term_tags array<string>"
+
+
+def small_terms(spark):
+    words = ("t", "te", "tea", "teas", "ted", "walk", "walked", "any", "ny", "n", "run", "runs")
+    rows = []
+    for d in "ab":
+        for k, w in enumerate(words):
+            reading = "".join(c for c in w if c not in ("aeiouy" if d == "b" else "aeiou")) or w
+            rows.append((d, f"{d}/{w}", w, reading if k % 5 else None, ["v"] if w in ("walk", "run", "ted") else ["n"], k % 3, len(w) * 10 + len(reading) if k % 7 else -1, [f"{k % 3}"], ["x"], ["u"]))
+    return spark.createDataFrame(rows, KINDS)
+
+
+def test_every_grouping_goes_by_prefix(spark, monkeypatch):
+    asked = spark.createDataFrame([(1, "teds"), (2, "walked"), (3, "Anyx"), (4, "nyx"), (5, "runs"), (6, "")], "query_id int, text string")
+    terms, on, own = small_terms(spark), enabled_map(spark, ["a", "b"]), lookup.candidates
+    for mode, longest in (("group", False), ("term", False), ("merge", False), ("simple", True)):
+        calls = []
+        monkeypatch.setattr(lookup, "candidates", lambda *a, calls=calls, **k: calls.append(1) or own(*a, **k))
+        run = lambda **more: lookup.find_terms(asked, terms, on, "en", mode, main_dictionary="b", longest=longest, **more)  # noqa: B023, E731
+        by_prefix = run()
+        assert not calls  # no text's candidates are met as a whole
+        columns = sorted(by_prefix.columns)
+        rows = sorted(map(repr, by_prefix.select(columns).collect()))
+        assert rows and rows == sorted(map(repr, run(redirects=True).select(columns).collect())) and calls == [1]
+
+
+def test_windows_are_looked_up_by_what_they_reach(spark, monkeypatch):
+    seen, own = [], segment.find_terms
+    monkeypatch.setattr(segment, "find_terms", lambda texts, *a, **k: seen.extend(r["text"] for r in texts.collect()) or own(texts, *a, **k))
+    texts = spark.createDataFrame([(1, "walk runs zq"), (2, "walk teas"), (3, "")], "text_id int, text string")
+    found = segment.parse(texts, small_terms(spark), enabled_map(spark, ["a", "b"]), "pt").where("matched").collect()
+    assert sorted((r["text_id"], r["text"], r["reading"]) for r in found) == [(1, "runs", "rns"), (1, "walk", "wlk"), (2, "teas", "ts"), (2, "walk", "wlk")]
+    assert {"walk", "runs", "teas"} <= set(seen) and len(seen) == len(set(seen)) and max(map(len, seen)) == 4
