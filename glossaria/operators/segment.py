@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from glossaria.functions.columns import JAPANESE
 from glossaria.functions.kana import to_hiragana
-from glossaria.operators.lookup import find_terms
+from glossaria.operators.lookup import find_terms, reaching
+from glossaria.sources.scratch import written
 
 SCAN_LENGTH = 20
 
@@ -64,21 +65,27 @@ def parse(texts: DataFrame, terms: DataFrame, enabled: DataFrame, language: str,
     parts of each segment with the reading that is theirs in this inflected form.
 
     What a place's window finds in the dictionaries, rewritten forms too, is one segment: as much of the window as the
-    longest hit took, with the best entry's reading and the headwords met by just that text, best first. Distinct windows
-    are looked up once.
+    longest hit took, with the best entry's reading and the headwords met by just that text, best first. What is looked
+    up, once, are the distinct prefixes that are the longest ones of a window to reach a term, and only entries of the
+    longest text of each are made.
     """
     by = ("text_id", "line_no")
     lines = texts.select("text_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     seen = windows(lines, scan_length).select(*by, "pos", F.substring("window", 1, scan_length).alias("window"))
-    asked = seen.select(F.col("window").alias("text")).distinct().withColumn("query_id", F.col("text"))
-    found = find_terms(asked, terms, enabled, language, "simple", definitions=False, **options)
+    asked = seen.select(F.col("window").alias("text")).distinct()
+    if {"by", "deinflect", "remove_non_japanese"}.isdisjoint(options):
+        reach = reaching(asked, terms, language, options.get("replacements", ()))
+    else:
+        reach = asked.withColumn("reach", F.col("text"))
+    reach = written(reach.withColumnRenamed("text", "window"))
+    found = find_terms(reach.select(F.col("reach").alias("text")).distinct().withColumn("query_id", F.col("text")), terms, enabled, language, "simple", definitions=False, longest=True, **options)
     heads = F.transform("headwords", lambda h: F.struct("rank", h["expression"].alias("expression"), h["reading"].alias("reading"), F.transform(h["sources"], lambda x: x["original_text"]).alias("texts")))
-    best = found.select("query_id", "max_length", "rank", heads.alias("heads")).groupBy(F.col("query_id").alias("window")).agg(
+    best = found.select("query_id", "max_length", "rank", heads.alias("heads")).groupBy(F.col("query_id").alias("reach")).agg(
         F.max("max_length").alias("size"), F.flatten(F.array_sort(F.collect_list("heads"))).alias("heads"), F.min_by(F.col("heads")[0]["reading"], "rank").alias("reading"), F.min_by(F.col("heads")[0]["expression"], "rank").alias("term"),
     )
-    met = F.filter("heads", lambda h: F.array_contains(h["texts"], F.left("window", F.col("size"))))
-    best = best.select("window", "size", "reading", "term", F.transform(met, lambda h: F.struct(h["expression"].alias("expression"), h["reading"].alias("reading"))).alias("headwords"))
-    matches = seen.join(best, "window").select(*by, "pos", "size", "reading", "headwords", "term")
+    met = F.filter("heads", lambda h: F.array_contains(h["texts"], F.left("reach", F.col("size"))))
+    best = best.select("reach", "size", "reading", "term", F.transform(met, lambda h: F.struct(h["expression"].alias("expression"), h["reading"].alias("reading"))).alias("headwords"))
+    matches = seen.join(reach, "window").join(best, "reach").select(*by, "pos", "size", "reading", "headwords", "term")
     segments_ = chained(lines, matches, by).join(matches.drop("size"), [*by, "pos"], "left")
     own = lambda c: F.when(F.col("matched"), F.col(c))
     out = segments_.select(*by, "seg_no", "pos", "text", "matched", F.coalesce(own("reading"), F.lit("")).alias("reading"), own("headwords").alias("headwords"), own("term").alias("term"))
