@@ -1,5 +1,7 @@
 """Work that must not grow faster than the tables: where a plan does it, and that it does all of it."""
 
+from pyspark.sql import functions as F
+
 from glossaria.operators import lookup, segment
 from glossaria.plans import derived
 from glossaria.plans.queries import QUERIES
@@ -79,3 +81,13 @@ def test_windows_are_looked_up_by_what_they_reach(spark, monkeypatch):
     found = segment.parse(texts, small_terms(spark), enabled_map(spark, ["a", "b"]), "pt").where("matched").collect()
     assert sorted((r["text_id"], r["text"], r["reading"]) for r in found) == [(1, "runs", "rns"), (1, "walk", "walk"), (2, "teas", "ts"), (2, "walk", "walk")]
     assert {"walk", "runs", "teas"} <= set(seen) and len(seen) == len(set(seen)) and max(map(len, seen)) == 4
+
+
+def test_what_distinct_texts_find_is_not_dealt_again(spark):
+    terms, on = small_terms(spark), enabled_map(spark, ["a", "b"])
+    texts = spark.createDataFrame([("walked",), ("zq",), ("",), (None,)], "text string")
+    found = lookup.batch_lookup(texts, terms, on, language="en", definitions=False)
+    assert "LeftOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
+    again = lookup.batch_lookup(texts.withColumn("n", F.lit(1)), terms, on, language="en", definitions=False).drop("n")
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert rows(found) == rows(again) and {r["text"] for r in found.where("rank IS NULL").collect()} == {"zq", "", None}
