@@ -8,9 +8,11 @@ dealt into shards by anchor, about `SHARD` bytes each (those whose anchor stands
 whose permuted common prefixes reach 50 bytes form classes, and the least id of a class is where its string starts first.
 
 Hot strings are reduced before they are dealt, and the way back to their places is an equi-join that Spark can split.
-An anchor whose distinct pieces come to more than `HOT` bytes (the edges of a passage that many documents share) goes
-into no shard: its strings are named by digests, and an aggregate and an equi-join give the least id of each, so that no
-group in memory grows with the number of documents.
+An anchor whose distinct pieces come to more than `HOT` bytes goes into no shard. Most such anchors are frequent words
+among ever other ones, so their pieces are taken apart once more, by the least hash of `FINER`-byte grams, and these
+parts are settled as pieces of their own; an anchor that stands in one document only ends there. Where a finer anchor is
+hot as well (the edges of a passage that many documents share), strings are named by digests, and an aggregate and an
+equi-join give the least id of each, so that no group in memory grows with the number of documents.
 
 Defined cases: a null text is empty; null ids come first; rows of equal id are not earlier than each other; texts shorter
 than 50 bytes lose nothing; a text up to 2**28 bytes is hashed at once; an empty table gives an empty result.
@@ -21,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import secrets
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -33,7 +35,7 @@ from glossaria.llm.common import bucketed, cut, digest, exact_copies, left_after
 from glossaria.llm.hashing import anchored_runs, chunks, prefix_sums, window_hashes
 from glossaria.llm.suffix_array import common_prefixes, suffix_array
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM, FINER = 50, 16, 32
 AT_ONCE = 1_000_000  # bytes of text hashed together
 SHARD = 1 << 18  # bytes
 HOT = SHARD >> 2  # bytes of one anchor's distinct pieces
@@ -49,7 +51,7 @@ def _bytes_of(column: pa.Array) -> list[bytes]:
 class Pieces:
     """Pieces of several texts: first start, number of starts, anchor and text number."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], gram: int = GRAM):
         self.buffer = np.frombuffer(b"".join(texts), np.uint8)
         size = np.array([len(t) for t in texts], np.int64)
         self.first = np.concatenate([[0], np.cumsum(size)])
@@ -57,9 +59,16 @@ class Pieces:
         starts = np.maximum(size - LENGTH + 1, 0)
         before = np.concatenate([[0], np.cumsum(starts)[:-1]])
         places = np.arange(starts.sum()) + np.repeat(self.first[:-1] - before, starts)
-        self.start, self.count, self.anchor = anchored_runs(window_hashes(self.sums, GRAM), LENGTH - GRAM + 1, places)
+        self.start, self.count, self.anchor = anchored_runs(window_hashes(self.sums, gram), LENGTH - gram + 1, places)
         self.doc = np.searchsorted(self.first, self.start, side="right") - 1
 
+    def known(self, ok: np.ndarray, salt: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """anchor, hash and at of these pieces."""
+        start, n = self.start[ok], self.count[ok]
+        data, end = self.buffer.tobytes(), start + n + LENGTH - 1
+        hashes = b"".join([hashlib.blake2b(data[x:y], digest_size=8, key=salt).digest() for x, y in zip(start.tolist(), end.tolist(), strict=True)])
+        return self.anchor[ok].view(np.int64), np.frombuffer(hashes, np.int64), (start - self.first[self.doc[ok]]) << 8 | n
+
 
 def anchors_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for a, b in chunks(texts, AT_ONCE):
@@ -81,11 +90,8 @@ def candidates(docs: DataFrame, filter_bits, part_bits: int, id_col: str, text_c
             for a, b in chunks(texts, AT_ONCE):
                 p = Pieces(texts[a:b])
                 ok = np.flatnonzero(bloom.passing(bits, slots.named(slots.slots_of(p.anchor, part_bits))))
-                start, n = p.start[ok], p.count[ok]
                 counts.append(np.bincount(p.doc[ok], minlength=b - a))
-                data, end = p.buffer.tobytes(), start + n + LENGTH - 1
-                hashes = b"".join([hashlib.blake2b(data[x:y], digest_size=8, key=salt).digest() for x, y in zip(start.tolist(), end.tolist(), strict=True)])
-                for column, made in zip(columns, (p.anchor[ok].view(np.int64), np.frombuffer(hashes, np.int64), (start - p.first[p.doc[ok]]) << 8 | n), strict=True):
+                for column, made in zip(columns, p.known(ok, salt), strict=True):
                     column.append(made)
             count = np.concatenate([np.empty(0, np.int64), *counts])
             parts = [pa.array(np.concatenate(c) if c else np.empty(0, np.int64)) for c in columns]
@@ -138,8 +144,32 @@ def resolve_shard(pieces: pa.Table) -> pa.Table:
     return taken.append_column("earlier", pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(runs)]).astype(np.int32)), parts))
 
 
+def finer_places(pieces: DataFrame) -> DataFrame:
+    """rid, owner, anchor, hash, at: parts of pieces whose strings have one anchor of `FINER` bytes."""
+    salt = secrets.token_bytes(16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _bytes_of(batch.column("bytes"))
+            for a, b in chunks(texts, AT_ONCE):
+                p = Pieces(texts[a:b], FINER)
+                row = pa.array(p.doc + a)
+                yield pa.RecordBatch.from_arrays([batch.column("rid").take(row), batch.column("owner").take(row), *map(pa.array, p.known(np.arange(len(p.start)), salt))], names=["rid", "owner", "anchor", "hash", "at"])
+
+    return pieces.select("rid", "owner", "bytes").mapInArrow(run, "rid long, owner long, anchor long, hash long, at long")
+
+
+def resolve_finer(pieces: DataFrame) -> DataFrame:
+    """The same as `resolve_shard` for pieces of hot anchors: each is a text, taken apart by finer anchors."""
+    held = cut(pieces.withColumn("rid", F.monotonically_increasing_id()))
+    spans = covered(finer_places(held), held.select("rid", F.col("bytes").alias("text")), resolve_strings)
+    run = F.struct(F.col("span.start").alias("k"), (F.col("span.size") - (LENGTH - 1)).alias("n"))
+    found = spans.groupBy("rid").agg(F.array_sort(F.collect_list(run)).alias("earlier"))  # 35 at most
+    return held.select("rid", "anchor", "hash").join(found, "rid").select("anchor", "hash", "earlier")
+
+
 def resolve_strings(pieces: DataFrame) -> DataFrame:
-    """The same as `resolve_shard` for pieces of hot anchors: equal strings meet by digest."""
+    """The same as `resolve_shard` for pieces of hot finer anchors: equal strings meet by digest."""
     each = pieces.select("anchor", "hash", "owner", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH)).alias("k"))
     strings = cut(each.select("anchor", "hash", "owner", "k", digest(F.substring("bytes", F.col("k") + 1, F.lit(LENGTH))).alias("name")))
     least = strings.groupBy("name").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).where(F.col("least") < F.col("most"))
@@ -171,7 +201,7 @@ def without_spans(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def covered(places: DataFrame, texts: DataFrame) -> DataFrame:
+def covered(places: DataFrame, texts: DataFrame, resolve_hot: Callable[[DataFrame], DataFrame] = resolve_finer) -> DataFrame:
     """rid, span (start, size): parts of the places' texts that also start in an earlier document."""
     key = ["anchor", "hash"]
     places = bucketed(places, *key)
@@ -191,7 +221,7 @@ def covered(places: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = pieces(contested.where(~F.col("hot"))).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     resolved = cut(dealt.groupBy("shard").applyInArrow(resolve_shard, "anchor long, hash long, earlier array<struct<k:int,n:int>>"))
     if True in sizes:
-        resolved = resolved.unionByName(cut(resolve_strings(pieces(contested.where("hot")))))
+        resolved = resolved.unionByName(cut(resolve_hot(pieces(contested.where("hot")))))
 
     known = distinct.select(*key, "first_owner").join(resolved, key, "left")
     found = places.join(known, key).withColumn("start", F.shiftright("at", 8).cast("int"))

@@ -137,6 +137,34 @@ def test_suffix_dedup_bounds_groups_of_hot_anchors(spark, tmp_path, monkeypatch)
     same(found.select("doc_id", "n_removed", F.coalesce("digest", F.sha2("kept", 256))).collect(), expected)
 
 
+def test_suffix_dedup_takes_frequent_words_apart_by_finer_anchors(spark, tmp_path, monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    least = lambda t: suffix_dedup.window_hashes(suffix_dedup.prefix_sums(suffix_dedup.np.frombuffer(t.encode(), "u1")), 16).min()
+    words = min((letters(18) for _ in range(2000)), key=least)  # the anchor of almost all strings with it
+    sides = [letters(70) for _ in range(1300)]
+    # Few of the texts share what stands around these words, in part or wholly.
+    docs = [(k, sides[k] + words + letters(70)) for k in range(1300)] + [(1300 + k, letters(30) + sides[k][40:] + words + side + letters(9)) for k, side in enumerate(sides[:40])] + [(1340 + k, "z" + sides[k] + words + sides[k] + "z") for k in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    first = {}
+    for i, t in docs:
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    expected = []
+    for i, t in docs:
+        gone = {p for k in range(len(t) - 49) if first[t[k : k + 50]] < i for p in range(k, k + 50)}
+        expected.append((i, len(gone), sha("".join(x for k, x in enumerate(t) if k not in gone))))
+    assert sum(n > 0 for _, n, _ in expected) == 80
+    finer, asked = suffix_dedup.resolve_finer, []
+    monkeypatch.setattr(suffix_dedup.covered, "__defaults__", (lambda pieces: asked.append(pieces.count()) or finer(pieces),))
+    monkeypatch.setattr(suffix_dedup, "resolve_strings", lambda pieces: pytest.fail("strings of frequent words are named one by one"))
+    found = suffix_dedup.deduplicate(spark.read.parquet(str(tmp_path / "docs")))
+    same(found.select("doc_id", "n_removed", F.coalesce("digest", F.sha2("kept", 256))).collect(), expected)
+    assert asked and max(asked) > 1000
+
+
 def test_quality_statistics(spark, stored):
     expected = []
     for i, t in texts_of(stored):
