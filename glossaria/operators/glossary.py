@@ -1,14 +1,14 @@
 """Definitions as trees: their plain text, the media they need, and their normal form.
 
 A definition is a text, or a JSON object: a text, an image, or structured content, whose nodes hold texts, lists and other
-nodes to any depth. Trees are folded in the JVM, level by level: each pass takes the nodes of one depth apart into texts,
-images and children (variants), which carry the way from the root, a list of places. A level is a table, and there are as
-many passes as the deepest tree has levels; no tree is held in one place until its texts are joined in the order of their
-ways.
+nodes to any depth. Trees are folded in the JVM, level by level, each in its own row: a pass replaces every node of a
+definition's list by what it holds, in order, so texts need no way back to their tree. `LEVELS` passes are one job; what
+is deeper is written and goes on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,22 +24,15 @@ IMAGE = {"width": "double", "height": "double", "title": "string", "alt": "strin
 #: White space at the ends of a text.
 TRIM = r"[\s   -     　﻿\x0B]+"
 WAY = "array<int>"
+#: What a list holds: a node still to be taken apart, or else a text, or an image as its node.
+ITEM = "struct<way:array<int>,node:variant,text:string,done:boolean>"
+LEVELS = 10
 
 
 def _as(node: Column, kind: str, path: str = "$") -> Column:
     return F.try_variant_get(node, path, kind)
 
 
-def _object(node: Column) -> Column:
-    return _as(node, "map<string,variant>")
-
-
-def _text(node: Column) -> Column:
-    """The text of a node that is one; null for numbers, objects and lists, which a cast would turn into text."""
-    scalar = _as(node, "array<variant>").isNull() & _object(node).isNull()
-    return F.when(scalar & (F.schema_of_variant(node) == "STRING"), _as(node, "string"))
-
-
 def _of_kind(node: Column, name: str, kind: str) -> Column:
     """An attribute, if its value is of this kind."""
     shown = {"string": "STRING", "boolean": "BOOLEAN", "double": "^(BIGINT|DOUBLE|DECIMAL)"}[kind]
@@ -52,31 +45,52 @@ def is_tree(definition: Column) -> Column:
     return definition.startswith("{") & F.coalesce(kind.isin("text", "image", "structured-content"), F.lit(False))
 
 
-def taken_apart(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts, images and all else that trees hold, with their ways: (by..., way, text) and (by..., way, image).
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is found once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _item(way: Column, node: Column | None = None, text: Column | None = None, done: bool = False) -> Column:
+    void = F.lit(None)
+    return F.struct(way.alias("way"), (void if node is None else node).cast("variant").alias("node"), (void if text is None else text).cast("string").alias("text"), F.lit(done).alias("done")).cast(ITEM)
+
+
+def _expanded(item: Column, images: bool) -> Column:
+    """The items that one item holds: itself, if it is done."""
+    node = item["node"]
+    way = lambda k: F.concat(item["way"], F.array(F.lit(k) if isinstance(k, int) else k)) if images else item["way"]
+    none = F.array().cast(f"array<{ITEM}>")
+
+    def of_object(tag: Column) -> Column:
+        after = F.when(tag.isin("br", *LINES), "\n").when(tag.isin(*CELLS), " ")
+        inside = F.array(_item(way(0), _as(node, "variant", "$.content")))
+        image = F.array(_item(item["way"], node, done=True)) if images else none
+        ending = none if images else F.when(after.isNotNull(), F.array(_item(way(1), text=after, done=True))).otherwise(none)
+        return F.when(tag == "img", image).when(tag == "br", ending).when(tag.isin(*HIDDEN), none).otherwise(F.concat(inside, ending))
+
+    def of_other(kids: Column) -> Column:
+        text = none if images else F.when(F.schema_of_variant(node) == "STRING", F.array(_item(item["way"], text=_as(node, "string"), done=True))).otherwise(none)
+        return F.when(kids.isNotNull(), F.transform(kids, lambda kid, k: _item(way(k), kid))).otherwise(text)
+
+    tag = F.coalesce(_as(node, "string", "$.tag"), F.when(_as(node, "variant", "$.content").isNotNull(), ""))
+    held = _let(tag, lambda t: F.when(t.isNotNull(), of_object(t)).otherwise(_let(_as(node, "array<variant>"), of_other)))
+    return F.when(item["done"], F.array(item)).when(node.isNull(), none).otherwise(held)
+
 
-    `nodes` has `node`, a variant, and columns that tell the trees apart.
-    """
-    by = [c for c in nodes.columns if c != "node"]
-    level = nodes.select(*by, F.array().cast(WAY).alias("way"), "node")
-    texts, images = [], []
-    way = lambda k: F.concat("way", F.array(F.lit(k) if isinstance(k, int) else k))
+def taken_apart(trees: DataFrame, images: bool = False) -> DataFrame:
+    """`trees` with `items` instead of `node`, a variant or null: the texts that a tree holds, or its images with their ways
+    from the root, in order."""
+    by = [c for c in trees.columns if c != "node"]
+    level = trees.select(*by, F.array(_item(F.array().cast(WAY), F.col("node"))).alias("items"))
+    found = []
     while True:
-        level = written(level.where(F.col("node").isNotNull()))
-        if level.isEmpty():
-            break
-        tag = F.when(_object(F.col("node")).isNotNull(), F.coalesce(_as(F.col("node"), "string", "$.tag"), F.lit("")))
-        known = level.withColumns({"_tag": tag, "_text": _text(F.col("node"))})
-        after = F.when(F.col("_tag") == "br", "\n").when(F.col("_tag").isin(*LINES), "\n").when(F.col("_tag").isin(*CELLS), " ")
-        texts.append(known.where(F.col("_text").isNotNull()).select(*by, "way", F.col("_text").alias("text")))
-        texts.append(known.where(after.isNotNull()).select(*by, way(1).alias("way"), after.alias("text")))
-        images.append(known.where(F.col("_tag") == "img").select(*by, "way", F.col("node").alias("image")))
-        inside = ~F.coalesce(F.col("_tag").isin("br", "img", *HIDDEN), F.lit(False))
-        lists = level.select(*by, "way", F.posexplode(_as(F.col("node"), "array<variant>")).alias("_k", "node")).select(*by, way(F.col("_k")).alias("way"), "node")
-        objects = known.where(F.col("_tag").isNotNull() & inside).select(*by, way(0).alias("way"), _as(F.col("node"), "variant", "$.content").alias("node"))
-        level = lists.unionByName(objects)
-    union = lambda dfs, name, kind: reduce(DataFrame.unionByName, dfs) if dfs else nodes.select(*by, F.array().cast(WAY).alias("way"), F.lit(None).cast(kind).alias(name)).limit(0)
-    return union(texts, "text", "string"), union(images, "image", "variant")
+        for _ in range(LEVELS):
+            level = level.withColumn("items", F.flatten(F.transform("items", lambda x: _expanded(x, images))))
+        level = written(level.select(*by, "items")).withColumn("open", F.exists("items", lambda x: ~x["done"]))
+        if level.where("open").isEmpty():
+            return reduce(DataFrame.unionByName, [*found, level.drop("open")])
+        found.append(level.where("NOT open").drop("open"))
+        level = level.where("open").drop("open")
 
 
 def tidy(text: Column) -> Column:
@@ -95,25 +109,21 @@ def _each(terms: DataFrame) -> DataFrame:
 def plain_definitions(terms: DataFrame) -> DataFrame:
     """dictionary, id, k, text: what each definition says, without markup; images say nothing, and readings above words
     (ruby) are left out. A definition that redirects, or an object of no known kind, stands as it is."""
-    each = written(_each(terms))
     kind = _as(F.col("tree"), "string", "$.type")
-    flat = each.where(F.col("tree").isNull() | (kind != "structured-content"))
     said = F.when(F.col("tree").isNull(), F.col("definition")).when(kind == "text", F.coalesce(_as(F.col("tree"), "string", "$.text"), F.lit(""))).otherwise("")
-    deep = each.where(kind == "structured-content").select("dictionary", "id", "k", _as(F.col("tree"), "variant", "$.content").alias("node"))
-    texts, _ = taken_apart(deep)
-    joined = texts.groupBy("dictionary", "id", "k").agg(F.sort_array(F.collect_list(F.struct("way", "text"))).alias("t"))
-    joined = joined.select("dictionary", "id", "k", tidy(F.array_join(F.transform("t", lambda x: x["text"]), "")).alias("text"))
-    told = deep.select("dictionary", "id", "k").join(joined, ["dictionary", "id", "k"], "left").withColumn("text", F.coalesce("text", F.lit("")))
-    return flat.select("dictionary", "id", "k", said.alias("text")).unionByName(told)
+    deep = F.col("tree").isNotNull() & (kind == "structured-content")
+    each = _each(terms).select("dictionary", "id", "k", F.when(~deep, said).alias("said"), deep.alias("deep"), F.when(deep, _as(F.col("tree"), "variant", "$.content")).alias("node"))
+    told = tidy(F.array_join(F.transform("items", lambda x: x["text"]), ""))
+    return taken_apart(each).select("dictionary", "id", "k", F.when(F.col("deep"), told).otherwise(F.col("said")).alias("text"))
 
 
 def image_requirements(terms: DataFrame) -> DataFrame:
     """dictionary, id, k, way, path and what a definition asks of each image, however deep it lies."""
-    each = written(_each(terms).where(F.col("tree").isNotNull()))
     kind = _as(F.col("tree"), "string", "$.type")
-    own = each.where(kind == "image").select("dictionary", "id", "k", F.array().cast(WAY).alias("way"), F.col("tree").alias("image"))
-    _, inner = taken_apart(each.where(kind == "structured-content").select("dictionary", "id", "k", _as(F.col("tree"), "variant", "$.content").alias("node")))
-    every = own.unionByName(inner)
+    deep = F.when(kind == "structured-content", _as(F.col("tree"), "variant", "$.content"))
+    each = _each(terms).where(F.col("tree").isNotNull()).select("dictionary", "id", "k", F.when(kind == "image", F.col("tree")).alias("own"), deep.alias("node"))
+    own = F.when(F.col("own").isNotNull(), F.array(_item(F.array().cast(WAY), F.col("own"), done=True))).otherwise(F.col("items"))
+    every = taken_apart(each, images=True).select("dictionary", "id", "k", F.explode(own).alias("item")).select("dictionary", "id", "k", "item.way", F.col("item.node").alias("image"))
     named = lambda n: {"width": "preferred_width", "height": "preferred_height"}.get(n, n)
     return every.select("dictionary", "id", "k", "way", _as(F.col("image"), "string", "$.path").alias("path"), *(_of_kind(F.col("image"), n, kind).alias(named(n)) for n, kind in IMAGE.items()))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from glossaria.operators import lookup, segment
+from glossaria.operators import glossary, lookup, segment
 from glossaria.plans import derived
 from glossaria.plans.queries import QUERIES
 from glossaria.sources.catalog import enabled_map
@@ -91,3 +91,11 @@ def test_what_distinct_texts_find_is_not_dealt_again(spark):
     again = lookup.batch_lookup(texts.withColumn("n", F.lit(1)), terms, on, language="en", definitions=False).drop("n")
     rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
     assert rows(found) == rows(again) and {r["text"] for r in found.where("rank IS NULL").collect()} == {"zq", "", None}
+
+
+def test_definitions_are_folded_in_their_rows(spark, monkeypatch):
+    seen, own = [], glossary.written
+    monkeypatch.setattr(glossary, "written", lambda df: seen.append(df) or own(df))
+    found = QUERIES["glossary_plain"](spark, SMALL)
+    assert len(seen) == 1 and not any("Join" in line or "Aggregate" in line for line in plan_of(found))
+    assert len(QUERIES["glossary_images"](spark, SMALL).columns) == 3 and len(seen) == 2
