@@ -99,3 +99,7 @@ def test_definitions_are_folded_in_their_rows(spark, monkeypatch):
     found = QUERIES["glossary_plain"](spark, SMALL)
     assert len(seen) == 1 and not any("Join" in line or "Aggregate" in line for line in plan_of(found))
     assert len(QUERIES["glossary_images"](spark, SMALL).columns) == 3 and len(seen) == 2
+
+
+def test_sets_of_readings_read_the_texts_once(spark):
+    assert not any("text" in line for line in plan_of(QUERIES["disambiguation_sets"](spark, SMALL)))
