@@ -46,27 +46,36 @@ def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
     """lang, source, term (null: the group occurs), n, docs: of each group, counted over many texts at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: defaultdict[tuple, list] = defaultdict(lambda: [0, 0])
+        places: defaultdict[tuple, Counter] = defaultdict(Counter)
+        holders: defaultdict[tuple, Counter] = defaultdict(Counter)
+        n_texts: Counter[tuple] = Counter()
+        held = 0
 
         def sent() -> pa.RecordBatch:
-            keys, values = list(counts), list(counts.values())
-            columns = (*zip(*keys, strict=True), *zip(*values, strict=True))
-            counts.clear()
+            columns: list[list] = [[], [], [], [], []]
+            for (lang, source), k in n_texts.items():
+                own, of_docs = places[lang, source], holders[lang, source]
+                size = len(own) + 1
+                for column, more in zip(columns, ([lang] * size, [source] * size, [None, *own], [k, *own.values()], [0, *map(of_docs.__getitem__, own)]), strict=True):
+                    column += more
+            for kept in (places, holders, n_texts):
+                kept.clear()
             kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
             arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
             return pa.RecordBatch.from_arrays([*arrays[:2], arrays[2].cast(pa.string()), *arrays[3:]], names=["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                counts[lang, source, None][0] += 1
-                for term, n in Counter(text.translate(LETTERS).split(b" ")).items():
-                    if term:
-                        entry = counts[lang, source, term]
-                        entry[0] += n
-                        entry[1] += 1
-                if len(counts) > TERMS:
+                terms, own = text.translate(LETTERS).split(), places[lang, source]
+                held -= len(own)
+                own.update(terms)
+                holders[lang, source].update(set(terms))
+                held += len(own)
+                n_texts[lang, source] += 1
+                if held + len(n_texts) > TERMS:
                     yield sent()
-        if counts:
+                    held = 0
+        if n_texts:
             yield sent()
 
     small_batches(docs.sparkSession)

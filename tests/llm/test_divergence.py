@@ -91,3 +91,11 @@ def test_query(spark):
     assert told(queries.op12_source_divergence(spark, sf)) == Counter(want)
     docs = queries.table(spark, sf, "documents")
     assert Counter(want) == plain([tuple(r) for r in docs.select("text", "lang", "source").collect()], 10)
+
+
+def test_counts_keep_whole_when_sent_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([("a B b", "x", "s"), ("b\u00e9 b", "x", "s"), (None, None, "s"), ("", "x", "t"), ("c c c", "x", "t")], "text string, lang string, source string")
+    want = {("x", "s", None, 2, 0), ("x", "s", "a", 1, 1), ("x", "s", "b", 3, 2), ("x", "s", "b\u00e9", 1, 1), ("", "s", None, 1, 0), ("x", "t", None, 2, 0), ("x", "t", "c", 3, 1)}
+    for most in (0, 2, 100):
+        monkeypatch.setattr(divergence, "TERMS", most)
+        assert {tuple(r) for r in divergence.term_counts(docs.coalesce(1), "text", "lang", "source").collect()} == want
