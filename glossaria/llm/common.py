@@ -177,7 +177,7 @@ def exact_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rid, doc_id, head: of numbered rows whose whole text also stands in a row of a smaller id, the first of which is
     `head`."""
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    named = docs.select(F.col(ROW).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), order.alias("order"), digest(text_or_empty(text_col)).alias("node"))
+    named = cut(docs.select(F.col(ROW).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), order.alias("order"), digest(text_or_empty(text_col)).alias("node")))
     heads = named.groupBy("node").agg(F.min(F.struct("order", "rid")).alias("head"), F.count("*").alias("n")).where(F.col("n") > 1)
     met = named.join(heads, "node").where(F.col("order") > F.col("head.order"))
     return cut(met.select("rid", "doc_id", F.col("head.rid").alias("head")))

@@ -4,8 +4,11 @@ Equal strings have equal anchors (the least hash of the `GRAM`-byte grams in the
 an anchor are a unit: a *piece* of text with a run of starting places. Only anchors of two documents or more matter.
 These are found by marking hashed slots, which costs a few bytes an anchor in the shuffle, and kept as a filter of fixed
 size; a false hit only adds a piece. Pieces of equal bytes are reduced to one with the least id. The distinct pieces are
-dealt into shards by anchor, about `SHARD` bytes each (those whose anchor stands in one document only need none), and each shard's suffix array is built by induced sorting; suffixes
-whose permuted common prefixes reach 50 bytes form classes, and the least id of a class is where its string starts first.
+dealt into shards by anchor, about `SHARD` bytes each (those whose anchor stands in one document only need none). There
+most pieces of one anchor differ soon on both sides of it: a 50-byte string holds its anchor and half of the other bytes
+to the left or to the right of it, so pieces that share neither of these two longer grams with another document drop out.
+Of the others a suffix array is built by induced sorting; suffixes whose permuted common prefixes reach 50 bytes form
+classes, and the least id of a class is where its string starts first.
 
 Hot strings are reduced before they are dealt, and the way back to their places is an equi-join that Spark can split.
 An anchor whose distinct pieces come to more than `HOT` bytes goes into no shard. Most such anchors are frequent words
@@ -28,17 +31,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from glossaria.llm import bloom, slots
 from glossaria.llm.common import bucketed, cut, digest, exact_copies, left_after, numbered, row_id, small_batches, text_or_empty
-from glossaria.llm.hashing import anchored_runs, chunks, prefix_sums, window_hashes
+from glossaria.llm.hashing import anchored_runs, chunks, prefix_sums, span_hashes, window_hashes
 from glossaria.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM, FINER = 50, 16, 32
-AT_ONCE = 1_000_000  # bytes of text hashed together
-SHARD = 1 << 18  # bytes
-HOT = SHARD >> 2  # bytes of one anchor's distinct pieces
+AT_ONCE = 1 << 17  # bytes of text hashed together: their hashes stay in a core's cache
+SHARD = 1 << 19  # bytes, of which most drop out before they are sorted
+HOT = 1 << 16  # bytes of one anchor's distinct pieces
 #: Anchors are settled in so many rounds, one after the other, each of which needs that part of the disk.
 ROUNDS = 3
 PIECE = "anchor:bigint,hash:bigint,at:bigint"  # at: first start, then how many, in the low 8 bits
@@ -66,7 +70,14 @@ class Pieces:
         """anchor, hash and at of these pieces."""
         start, n = self.start[ok], self.count[ok]
         data, end = self.buffer.tobytes(), start + n + LENGTH - 1
-        hashes = b"".join([hashlib.blake2b(data[x:y], digest_size=8, key=salt).digest() for x, y in zip(start.tolist(), end.tolist(), strict=True)])
+        salted = hashlib.blake2b(digest_size=8, salt=salt)  # a copy of it is quicker made than a new one
+
+        def digest_of(piece: bytes) -> bytes:
+            own = salted.copy()
+            own.update(piece)
+            return own.digest()
+
+        hashes = b"".join([digest_of(data[x:y]) for x, y in zip(start.tolist(), end.tolist(), strict=True)])
         return self.anchor[ok].view(np.int64), np.frombuffer(hashes, np.int64), (start - self.first[self.doc[ok]]) << 8 | n
 
 
@@ -78,7 +89,7 @@ def anchors_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def candidates(docs: DataFrame, filter_bits, part_bits: int, id_col: str, text_col: str) -> DataFrame:
     """rid, doc_id, n_bytes, pieces; the text if there are pieces, else its digest. A piece is known by its anchor and a
-    keyed digest of its bytes, under a key that no text can foresee."""
+    salted digest of its bytes, under a salt that no text can foresee."""
     salt = secrets.token_bytes(16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +122,38 @@ def piece_texts(heads: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p["anchor"], p["hash"], p["owner"], t[p["at"] >> 8 : (p["at"] >> 8) + (p["at"] & 255) + LENGTH - 1]) for t, ps in zip(_bytes_of(batch.column("text")), batch.column("pieces").to_pylist(), strict=True) for p in ps]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["anchor", "hash", "owner", "bytes"])
+            texts, pieces = _bytes_of(batch.column("text")), batch.column("pieces")
+            anchor, hash_, owner, at = pieces.flatten().flatten()
+            at = at.to_numpy()
+            start = at >> 8
+            spans = zip(pc.list_parent_indices(pieces).to_pylist(), start.tolist(), (start + (at & 255) + LENGTH - 1).tolist(), strict=True)
+            yield pa.RecordBatch.from_arrays([anchor, hash_, owner, pa.array([texts[k][a:b] for k, a, b in spans], pa.binary())], names=["anchor", "hash", "owner", "bytes"])
 
     return heads.select("text", "pieces").mapInArrow(run, "anchor long, hash long, owner long, bytes binary")
 
 
+def contested_sides(pieces: pa.Table, gram: int) -> pa.Table:
+    """Pieces that share their anchor of `gram` bytes, with half of the other bytes of a string before or after it, with a
+    piece of another owner; others share no string."""
+    texts, owner = pieces.column("bytes").to_pylist(), pieces.column("owner").to_numpy()
+    size = np.array([len(t) for t in texts], np.int64)
+    end = np.cumsum(size)
+    first, side = end - size, (LENGTH - gram) // 2
+    sums = prefix_sums(np.frombuffer(b"".join(texts), np.uint8))
+    hits = np.flatnonzero(window_hashes(sums, gram) == np.repeat(pieces.column("anchor").to_numpy().view(np.uint64), size)[: 1 - gram])
+    place = hits[np.searchsorted(hits, first)]  # an anchor is the leftmost of its kind in a piece
+    left, right = np.flatnonzero(place - side >= first), np.flatnonzero(place + gram + side <= end)
+    which = np.concatenate([left, right])
+    begin = np.concatenate([place[left] - side, place[right]])
+    name = span_hashes(sums, begin, begin + gram + side)
+    name[len(left) :] += np.uint64(1)
+    order = np.argsort(name)
+    starts = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]])[: len(order)])
+    owners, counts = owner[which[order]], np.diff(np.append(starts, len(order)))
+    shared = np.repeat(np.minimum.reduceat(owners, starts) < np.maximum.reduceat(owners, starts), counts)
+    return pieces.take(pa.array(np.unique(which[order[shared]])))
+
+
 def resolve_shard(pieces: pa.Table) -> pa.Table:
     """Of each piece with strings that start earlier than in its owner: runs of them (first place in the piece, number)."""
     texts, owner = pieces.column("bytes").to_pylist(), pieces.column("owner").to_numpy()
@@ -162,7 +198,7 @@ def finer_places(pieces: DataFrame) -> DataFrame:
 def resolve_finer(pieces: DataFrame) -> DataFrame:
     """The same as `resolve_shard` for pieces of hot anchors: each is a text, taken apart by finer anchors."""
     held = cut(pieces.withColumn("rid", F.monotonically_increasing_id()))
-    spans = covered(finer_places(held), held.select("rid", F.col("bytes").alias("text")), resolve_strings)
+    spans = covered(finer_places(held), held.select("rid", F.col("bytes").alias("text")), FINER, resolve_strings)
     run = F.struct(F.col("span.start").alias("k"), (F.col("span.size") - (LENGTH - 1)).alias("n"))
     found = spans.groupBy("rid").agg(F.array_sort(F.collect_list(run)).alias("earlier"))  # 35 at most
     return held.select("rid", "anchor", "hash").join(found, "rid").select("anchor", "hash", "earlier")
@@ -185,24 +221,31 @@ def without_spans(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text, spans in zip(_bytes_of(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-                edge = np.zeros(len(text) + 1, np.int64)
-                for s in spans or ():
-                    edge[s["start"]] += 1
-                    edge[s["start"] + s["size"]] -= 1
+            texts, spans = _bytes_of(batch.column("text")), batch.column("spans")
+            row = pc.list_parent_indices(spans).to_numpy()
+            start, size = (x.to_numpy().astype(np.int64) for x in spans.flatten().flatten())
+            for a, b in chunks(texts, AT_ONCE):
+                first = np.concatenate([[0], np.cumsum([len(t) for t in texts[a:b]])]).astype(np.int64)
+                own = slice(*np.searchsorted(row, [a, b]))
+                begin = first[row[own] - a] + start[own]
+                edge = np.bincount(begin, minlength=first[-1] + 1) - np.bincount(begin + size[own], minlength=first[-1] + 1)
                 gone = np.cumsum(edge[:-1]) > 0
-                begins = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-                for column, value in zip(out, (len(text), int(gone.sum()), begins, np.frombuffer(text, np.uint8)[~gone].tobytes()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                begins = gone.copy()
+                begins[1:] &= ~gone[:-1]
+                heads = first[:-1][np.diff(first) > 0]
+                begins[heads] = gone[heads]
+                n_removed, n_spans = (np.concatenate([[0], np.cumsum(x)])[first] for x in (gone, begins))
+                kept = np.frombuffer(b"".join(texts[a:b]), np.uint8)[~gone]
+                kept = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((first - n_removed).astype(np.int32)), pa.py_buffer(kept)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(np.diff(x)) for x in (first, n_removed, n_spans)), kept], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     small_batches(rows.sparkSession)
     return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def covered(places: DataFrame, texts: DataFrame, resolve_hot: Callable[[DataFrame], DataFrame] = resolve_finer) -> DataFrame:
-    """rid, span (start, size): parts of the places' texts that also start in an earlier document."""
+def covered(places: DataFrame, texts: DataFrame, gram: int, resolve_hot: Callable[[DataFrame], DataFrame] = resolve_finer) -> DataFrame:
+    """rid, span (start, size): parts of the places' texts that also start in an earlier document. Anchors are of `gram` bytes."""
+    resolve = resolve_shard
     key = ["anchor", "hash"]
     places = bucketed(places, *key)
     # The piece's place in its first document: of rows with the least owner all three take the same one.
@@ -218,8 +261,11 @@ def covered(places: DataFrame, texts: DataFrame, resolve_hot: Callable[[DataFram
         heads = some.groupBy(F.col("first_rid").alias("rid")).agg(F.collect_list(F.struct(*key, F.col("first_owner").alias("owner"), F.col("first_at").alias("at"))).alias("pieces"))
         return piece_texts(texts.join(heads, "rid"))
 
+    def shard(held: pa.Table) -> pa.Table:
+        return resolve(contested_sides(held, gram))
+
     dealt = pieces(contested.where(~F.col("hot"))).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    resolved = cut(dealt.groupBy("shard").applyInArrow(resolve_shard, "anchor long, hash long, earlier array<struct<k:int,n:int>>"))
+    resolved = cut(dealt.groupBy("shard").applyInArrow(shard, "anchor long, hash long, earlier array<struct<k:int,n:int>>"))
     if True in sizes:
         resolved = resolved.unionByName(cut(resolve_hot(pieces(contested.where("hot")))))
 
@@ -247,7 +293,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = cut(candidates(docs, context.broadcast(bloom.build(names, "name", counted=True)), part_bits, id_col, text_col))
     texts = bucketed(rows.where(F.col("text").isNotNull()).select("rid", "doc_id", "text"), "rid")  # each round asks it
     places = rows.select("rid", "doc_id", F.explode("pieces").alias("p")).select("rid", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("owner"), "p.*")
-    found = reduce(DataFrame.unionByName, [cut(covered(places.where(F.pmod("anchor", F.lit(ROUNDS)) == k), texts)) for k in range(ROUNDS)])
+    found = reduce(DataFrame.unionByName, [cut(covered(places.where(F.pmod("anchor", F.lit(ROUNDS)) == k), texts, GRAM)) for k in range(ROUNDS)])
     spans = found.groupBy("rid").agg(F.collect_list("span").alias("spans"))  # bounded by the text
     touched = without_spans(texts.join(spans, "rid", "left"))
     clean = rows.where(F.col("text").isNull()).select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "digest", F.lit(None).cast("binary").alias("kept"))

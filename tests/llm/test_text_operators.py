@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from glossaria.llm import bpe, decontam, license_scan, line_dedup, minhash, quality, queries, sharding, substring_index, suffix_dedup, url_filter
+from glossaria.llm import bpe, decontam, license_scan, line_dedup, minhash, quality, queries, sharding, slots, substring_index, suffix_dedup, url_filter
 from glossaria.llm.common import of_scan
 from pyspark.sql import functions as F
 
@@ -165,6 +165,45 @@ def test_suffix_dedup_takes_frequent_words_apart_by_finer_anchors(spark, tmp_pat
     assert asked and max(asked) > 1000
 
 
+def test_suffix_dedup_sorts_only_pieces_with_a_shared_side(spark, tmp_path, monkeypatch):
+    import random
+
+    rng = random.Random(13)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    least = lambda t: suffix_dedup.window_hashes(suffix_dedup.prefix_sums(suffix_dedup.np.frombuffer(t.encode(), "u1")), 16).min()
+    words = min((letters(18) for _ in range(2000)), key=least)  # the anchor of almost all strings with it
+    sides = [letters(70) for _ in range(300)]
+    # Of the later texts, each shares one side of these words: wholly, up to one of them, or a string's length exactly.
+    docs = [(k, sides[k] + words + letters(70)) for k in range(300)] + [(300 + k, letters(30) + sides[k][70 - k :] + words + letters(60)) for k in range(25, 45)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    first = {}
+    for i, t in docs:
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    expected = []
+    for i, t in docs:
+        gone = {p for k in range(len(t) - 49) if first[t[k : k + 50]] < i for p in range(k, k + 50)}
+        expected.append((i, len(gone), sha("".join(x for k, x in enumerate(t) if k not in gone))))
+    assert 10 <= sum(n > 0 for _, n, _ in expected) <= 20
+    inner = suffix_dedup.resolve_shard
+
+    def few(pieces):
+        if pieces.num_rows > 100:
+            raise ValueError("pieces are sorted that share nothing but their anchor")
+        return inner(pieces)
+
+    monkeypatch.setattr(suffix_dedup, "resolve_shard", few)
+    found = suffix_dedup.deduplicate(spark.read.parquet(str(tmp_path / "docs")))
+    same(found.select("doc_id", "n_removed", F.coalesce("digest", F.sha2("kept", 256))).collect(), expected)
+
+
+def test_slots_are_packed_alike_for_owners_of_any_size():
+    rng = suffix_dedup.np.random.default_rng(14)
+    values, owners = rng.integers(0, 1 << 63, 400).astype("u8").repeat(5), rng.integers(0, 3, 2000)
+    assert slots.packed(values, owners, 9).equals(slots.packed(values, owners + (1 << 40), 9))
+    assert slots.packed(values[:0], owners[:0], 9).num_rows == 0
+
+
 def test_quality_statistics(spark, stored):
     expected = []
     for i, t in texts_of(stored):
