@@ -7,6 +7,10 @@ bytes. Keys of one line only, nearly all of them, are left out by a filter of fi
 compared by banded bit-parallel edit distance, all pairs of a batch at once, after common ends are cut off. Linked
 lines form classes; of a class the first line stays, by document id and line number.
 
+A segment of a short line is a few common letters, which unrelated lines share the more often the more lines there are. So
+lines whose keys leave them in doubt meet by two of `EDITS + 2` segments instead, about half of the line. Where even a half
+is in many lines, these meet by their rarest grams.
+
 Lines of fewer than `LEAST` bytes, in which two edits may change the meaning, only equal each other byte by byte. Lines
 without a letter or digit (ASCII or any byte beyond) are never removed: they carry no text of their own.
 
@@ -20,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,8 @@ from glossaria.llm.rarity import document_counts, entry_of, sharing_pairs
 EDITS = 2
 LEAST = 24
 BYTES_A_KEY = 16  # about, for the number of slots
+BYTES_A_HALF = 0.5  # the same for `halves`: some eighty a line
+CROWD = 64  # lines that are paired within a bucket of halves; those of larger ones meet by grams
 GRAM = 4
 #: Bytes of letters and digits.
 LETTERS = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
@@ -279,14 +286,92 @@ def prefixes(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "node binary, token long, size int, short boolean, low long, high long")
 
 
-def across(groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: pairs of lines of different classes, one of them minor, that share what near lines must share."""
-    nodes = cut(groups.groupBy("node", "class").agg(F.max("minor").alias("minor")))
+def halves(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of pairs of segments, of lines of `LEAST` bytes or more: a line's own, and its probes, a row a line.
+
+    A line is cut into `EDITS + 2` segments, so two of them stay whole in any line within the distance. Of two lines the
+    longer one is probed for the pairs of the shorter one, each segment moved by the bytes that came in before it; of lines
+    of one length the one in which none is missing in between.
+    """
+    length = np.array([len(t) for t in texts], np.int64)
+    start = np.cumsum(length) - length
+    sums = prefix_sums(np.frombuffer(b"".join(texts), np.uint8))
+    pairs = list(combinations(range(EDITS + 2), 2))
+    own, probes = [], []
+    for less in range(EDITS + 1):  # of a line that many bytes shorter
+        moves = [(s, t) for s in range(EDITS + 1) for t in range(EDITS + 1) if s + abs(t - s) + abs(less - t) <= EDITS]
+        parts = segments(length - less, EDITS + 1)
+        spans = {}
+        for s in {m for both in moves for m in both}:
+            for i, (p, size) in enumerate(parts):
+                at = np.minimum(p + s, length - size)
+                spans[i, s] = span_hashes(sums, start + at, start + at + size), p + s + size <= length
+        for s, t in moves:
+            for k, (i, j) in enumerate(pairs):
+                if t < s and j == i + 1:  # no byte between them that could be missing
+                    continue
+                (first, fits), (second, fits_too) = spans[i, s], spans[j, t]
+                key = mix((first * CHAIN + second) * CHAIN + ((length - less) * len(pairs) + k).astype(np.uint64))
+                if less == s == t == 0:
+                    own.append(key)
+                else:
+                    probes.append(np.where(fits & fits_too, key, own[0]))
+    return np.stack(own, axis=1), np.stack(probes, axis=1)
+
+
+def halves_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for a, b in chunks(texts, AT_ONCE):
+        keys = np.concatenate(halves(texts[a:b]), axis=1)
+        yield keys.reshape(-1), np.repeat(np.arange(b - a), keys.shape[1])
+
+
+def halved(lines: DataFrame, filter_bits, part_bits: int) -> DataFrame:
+    """bucket, node, own: the keys of `halves` that pass the filter, each once a line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _bytes_of(batch.column("text"))
+            for a, b in chunks(texts, AT_ONCE):
+                own, probes = halves(texts[a:b])
+                key = np.concatenate([own, probes], axis=1).reshape(-1)
+                doc = np.repeat(np.arange(b - a), own.shape[1] + probes.shape[1])
+                probing = np.tile(np.arange(own.shape[1] + probes.shape[1]) >= own.shape[1], b - a)
+                ok = bloom.passing(filter_bits.value, slots.named(slots.slots_of(key, part_bits)))
+                key, doc, probing = key[ok], doc[ok], probing[ok]
+                order = np.lexsort((probing, key, doc))
+                key, doc, probing = key[order], doc[order], probing[order]
+                new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.empty(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), batch.column("node").take(pa.array(a + doc[new])), pa.array(~probing[new])], names=["bucket", "node", "own"])
+
+    return lines.mapInArrow(run, "bucket long, node binary, own boolean")
+
+
+def sharing_grams(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: pairs of lines of different classes, one of them minor, that share one of their rarest grams."""
     # Of two minor lines the lesser name comes first; a line that isn't minor may come second or first.
     once = lambda a, b: (F.abs(a("size") - b("size")) <= EDITS) & (unlike(a("low"), b("low")) + unlike(a("high"), b("high")) <= 2 * EDITS) & (~a("minor") | ~b("minor") | (a("node") < b("node")))
     return sharing_pairs(cut(prefixes(nodes.select("node"), texts)), nodes, once)
 
 
+def across(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: pairs of lines of different classes, one of them minor, that share what near lines must share."""
+    context = groups.sparkSession.sparkContext
+    small_batches(groups.sparkSession)
+    nodes = cut(groups.groupBy("node", "class").agg(F.max("minor").alias("minor")))
+    lines = cut(texts.where(F.octet_length("text") >= LEAST).join(nodes.select("node"), "node").select("node", "text"))
+    part_bits = slots.part_bits(lines, BYTES_A_HALF)
+    names = cut(slots.shared(lines, halves_of, part_bits))
+    members = cut(halved(lines, context.broadcast(bloom.build(names, "name", counted=True)), part_bits))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.max("own").alias("any")).where((F.col("n") > 1) & F.col("any")).select("bucket", "n")
+    held = cut(members.join(sizes, "bucket").join(nodes, "node"))
+    x, y = (held.where(F.col("n") <= CROWD).select("bucket", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "class", "minor", "own"))) for side in "ab")
+    once = ~F.col("b_own") | (F.col("a_node") < F.col("b_node"))
+    met = x.where("a_own").join(y, "bucket").where((F.col("a_class") != F.col("b_class")) & (F.col("a_minor") | F.col("b_minor")) & once)
+    met = met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    crowded = cut(held.where(F.col("n") > CROWD).select("node", "class", "minor").distinct())
+    return met if crowded.isEmpty() else met.unionByName(sharing_grams(crowded, texts))
+
+
 def split_lines(rows: DataFrame) -> DataFrame:
     """rid, node, text of candidate lines."""
 

@@ -518,6 +518,52 @@ def test_banded_distance_and_segments():
             assert set(line_dedup.Lines([short]).own[0].tolist()) & set(line_dedup.Lines([long_]).probes[0].tolist())
 
 
+def edited(rng, line: bytes, letters: bytes) -> bytes:
+    out = bytearray(line)
+    for _ in range(2):
+        k, more = rng.randrange(len(out)), rng.choice([b"", rng.choice(letters).to_bytes(), bytes([rng.choice(letters), out[0]])])
+        out[k : k + rng.randint(0, 1)] = more[: rng.randint(0, 1)]
+    return bytes(out)
+
+
+def test_halves_of_near_lines_meet():
+    import random
+
+    rng = random.Random(8)
+    for letters in (b"ab", bytes(range(97, 123)), bytes(range(32, 127))):
+        firsts = [bytes(rng.choice(letters) for _ in range(rng.choice([24, 25, 26, 27, 28, 29, 50]))) for _ in range(500)]
+        pairs = [(a, b) for a, b in ((a, edited(rng, a, letters)) for a in firsts) if len(b) >= line_dedup.LEAST]
+        found = [line_dedup.halves([p[j] for p in pairs]) for j in (0, 1)]
+        for k in range(len(pairs)):
+            own, probes = ([set(x[j][k].tolist()) for x in found] for j in (0, 1))
+            assert own[0] & (own[1] | probes[1]) or own[1] & probes[0]
+
+
+def test_unrelated_short_lines_do_not_meet_by_grams(spark, monkeypatch):
+    """All lines share a segment and many rare grams: what meets must not grow with the square of their number."""
+    import random
+
+    rng = random.Random(9)
+    words = [b"the", b"and", b"tion", b"here", b"of", b"in", b"er", b"an", b"to", b"re"]
+    lines = list({b"as of now " + b" ".join(rng.choice(words) for _ in range(6)) for _ in range(600)})
+    lines = [x for x in lines if len(x) >= line_dedup.LEAST]
+    lines = list(dict.fromkeys(lines + [edited(rng, x, b"xyz") for x in lines[:60]]))
+    lines = [x for x in lines if len(x) >= line_dedup.LEAST]
+    pairs = [(a, b) for k, a in enumerate(lines) for b in lines[:k] if abs(len(a) - len(b)) <= 2]
+    near = {frozenset(p) for p, n in zip(pairs, line_dedup.banded_distance(pairs).tolist(), strict=True) if n <= 2}
+    assert len(near) > 40
+    # The first line is the chosen one of them all; every other one is of another class.
+    groups = spark.createDataFrame([(lines[0], x, x, k > 0) for k, x in enumerate(lines)], "a binary, node binary, class binary, minor boolean")
+    texts = groups.select("node", F.col("node").alias("text"))
+    sharing, by_grams = line_dedup.sharing_pairs, []
+    monkeypatch.setattr(line_dedup, "sharing_pairs", lambda prefixes, *rest: by_grams.append(prefixes.select("node").distinct().count()) or sharing(prefixes, *rest))
+    met = {frozenset((bytes(a), bytes(b))) for a, b in line_dedup.across(groups, texts).collect()}
+    assert near <= met
+    assert sum(by_grams) < len(lines) / 2 and len(met) < 20 * len(lines)
+    monkeypatch.setattr(line_dedup, "CROWD", 1)  # all that share a half go by grams
+    assert near <= {frozenset((bytes(a), bytes(b))) for a, b in line_dedup.across(groups, texts).collect()}
+
+
 def test_decontamination(spark, stored):
     docs = texts_of(stored)
     words = lambda t: ALNUM_WORDS.findall(t.translate(LOWER))
