@@ -41,10 +41,10 @@ MULTIPLIER = _rng.integers(1, 1 << 63, SAMPLES, np.uint64) | np.uint64(1)
 
 
 def _sampling_table() -> np.ndarray:
-    """1/r, beta, r and ln c + r*beta - r of consistent weighted sampling; entries are picked by hash."""
+    """1/r, beta, r and ln c + r*beta - r of consistent weighted sampling, a row each; entries are picked by hash."""
     n = 1 << SAMPLING_BITS
     r, c, beta = _rng.gamma(2, 1, n), _rng.gamma(2, 1, n), _rng.random(n)
-    return np.stack([1 / r, beta, r, np.log(c) + r * beta - r], axis=1).astype(np.float32)
+    return np.stack([1 / r, beta, r, np.log(c) + r * beta - r]).astype(np.float32)
 
 
 TABLE = _sampling_table()
@@ -86,11 +86,19 @@ def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.nd
     for a in range(0, len(h), BLOCK):
         own, x = doc[a : a + BLOCK], h[a : a + BLOCK, None] * MULTIPLIER
         x ^= x >> np.uint64(32)
-        entry = TABLE[(x >> np.uint64(64 - SAMPLING_BITS)).astype(np.int32)]
-        t = np.floor(log_weight[a : a + BLOCK, None] * entry[..., 0] + entry[..., 1])
-        value = entry[..., 3] - entry[..., 2] * t + np.float32(4096)  # positive, so its bits are ordered like it
-        step = t.astype(np.int32).astype(np.uint32) * np.uint32(0x9E3779B1)
-        key = (value.view(np.uint32).astype(np.uint64) << np.uint64(32)) | (x.astype(np.uint32) ^ step)
+        entry = (x >> np.uint64(64 - SAMPLING_BITS)).astype(np.intp)
+        t = TABLE[0].take(entry)
+        t *= log_weight[a : a + BLOCK, None]
+        t += TABLE[1].take(entry)
+        np.floor(t, out=t)
+        value = TABLE[2].take(entry)
+        value *= t
+        np.subtract(TABLE[3].take(entry), value, out=value)
+        value += np.float32(4096)  # positive, so its bits are ordered like it
+        step = t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
+        key = value.view(np.uint32).astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= x.astype(np.uint32) ^ step
         starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         least = np.minimum.reduceat(key, starts, axis=0)
         best[own[starts]] = np.minimum(best[own[starts]], least)

@@ -649,6 +649,24 @@ def test_samples_estimate_weighted_similarity():
     assert abs(np.mean(agree) - true) < 0.04
 
 
+def test_samples_are_those_of_the_formula():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    h, weight = rng.integers(1, 1 << 63, 5000, np.uint64), np.round(rng.uniform(0.5, 60, 5000), 4)
+    doc = np.sort(rng.integers(0, 7, 5000))
+    inverse, beta, r, rest = minhash.TABLE
+    best = minhash.samples(doc, h, weight, 8)
+    for k in (0, 17, 47):
+        x = h * minhash.MULTIPLIER[k]
+        x ^= x >> np.uint64(32)
+        e = (x >> np.uint64(64 - minhash.SAMPLING_BITS)).astype(int)
+        t = np.floor(np.log(weight).astype(np.float32) * inverse[e] + beta[e])
+        value = rest[e] - r[e] * t + np.float32(4096)
+        key = value.view(np.uint32).astype(np.uint64) << np.uint64(32) | (x.astype(np.uint32) ^ (t.astype(np.int32).astype(np.uint32) * np.uint32(0x9E3779B1)))
+        assert best[:, k].tolist() == [int(key[doc == d].min()) for d in range(7)] + [(1 << 64) - 1]
+
+
 def test_open_buckets_lose_no_link(spark):
     """A chain in one bucket whose ends are unlike its chosen member."""
     from glossaria.llm.classes import classes_in_buckets
